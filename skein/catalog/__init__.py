@@ -33,6 +33,7 @@ def register(name: str, sql: str | None = None) -> Callable[[QueryFn], QueryFn]:
 def _load() -> None:
     # Importing the modules fills the registries.
     from skein.catalog import (  # noqa: F401
+        analysis_queries,
         relational_queries,
         stats_queries,
         text_queries,

@@ -56,13 +56,14 @@ def children(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_tax"),
         F.col("l_returnflag"),
         F.col("l_linestatus"),
+        F.concat(F.col("l_returnflag"), F.lit("  "), F.lower("l_linestatus")).alias("text"),
     )
 
 
 CHILDREN_SQL = """
 SELECT CAST(l_linenumber AS VARCHAR) AS id, CAST(l_orderkey AS VARCHAR) AS video_id,
        CAST(epoch(l_shipdate) AS BIGINT) AS create_time, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax,
-       l_returnflag, l_linestatus
+       l_returnflag, l_linestatus, l_returnflag || '  ' || lower(l_linestatus) AS text
 FROM lineitem
 """
 
@@ -99,6 +100,40 @@ WHERE topic_id BETWEEN 0 AND 2 GROUP BY topic_id
 NAMES_SQL = "SELECT * FROM (VALUES (0, 'Sunset'), (1, 'Depression'), (2, 'Mental Health Month')) AS t(topic_id, topic_name)"
 
 
+def export_scores(df: DataFrame, base: str) -> DataFrame:
+    """Seven toxicity and five sentiment columns from arithmetic on one numeric column."""
+    from skein.functions.scalar import argmax_label
+
+    x = F.col(base)
+    neg, pos = (x % 5) / 10, (x % 4) / 10
+    neu = F.lit(1.0) - neg - pos
+    return df.select(
+        "*",
+        ((x % 1000) / 1000).alias("detoxify_toxicity"),
+        ((x % 7) / 7).alias("detoxify_severe_toxicity"),
+        ((x % 13) / 13).alias("detoxify_obscene"),
+        ((x % 17) / 17).alias("detoxify_identity_attack"),
+        ((x % 97) / 97).alias("detoxify_insult"),
+        ((x % 3) / 3).alias("detoxify_threat"),
+        ((x % 11) / 11).alias("detoxify_sexual_explicit"),
+        argmax_label(F.array(neg, neu, pos)).alias("xlm_sentiment"),
+        (pos - neg).alias("xlm_polarity"),
+        neg.alias("xlm_negative"),
+        neu.alias("xlm_neutral"),
+        pos.alias("xlm_positive"),
+    )
+
+
+def export_scores_sql(x: str) -> str:
+    neg, pos = f"(({x}) % 5) / 10", f"(({x}) % 4) / 10"
+    neu = f"(1.0 - {neg} - {pos})"
+    return f"""(({x}) % 1000) / 1000 AS detoxify_toxicity, (({x}) % 7) / 7 AS detoxify_severe_toxicity,
+  (({x}) % 13) / 13 AS detoxify_obscene, (({x}) % 17) / 17 AS detoxify_identity_attack,
+  (({x}) % 97) / 97 AS detoxify_insult, (({x}) % 3) / 3 AS detoxify_threat, (({x}) % 11) / 11 AS detoxify_sexual_explicit,
+  CASE WHEN {neg} >= {neu} AND {neg} >= {pos} THEN 'xlm_negative' WHEN {neu} >= {pos} THEN 'xlm_neutral' ELSE 'xlm_positive' END AS xlm_sentiment,
+  {pos} - {neg} AS xlm_polarity, {neg} AS xlm_negative, {neu} AS xlm_neutral, {pos} AS xlm_positive"""
+
+
 def scored(df: DataFrame, kind: str) -> DataFrame:
     """Add score columns in [0, 1] / [−1, 1] derived from source columns (stand-ins for model scores)."""
     if kind == "children":

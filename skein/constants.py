@@ -166,6 +166,10 @@ PAPER_TOPIC_NAMES = [
     "Venting 2",
 ]
 
+# Published collection sizes reported in the sanity table.
+PAPER_VIDEO_COUNT = 28_341
+PAPER_COMMENT_COUNT = 80_130
+
 # Metrics compared by the rank tests.
 TEST_METRICS = [
     "detoxify_toxicity",

@@ -53,14 +53,22 @@ def prepare_child_ids(
     ids = rel.distinct_ids(eligible.select(F.col("id").alias("video_id")), "video_id")
     if shuffle:
         ids = rel.dense_index(ids, [rel.seeded_order_key("video_id", seed), F.col("video_id")], "shuffle_pos")
-    summary = collection_summary(parents, unique, ids, min_count)
+    summary = collection_summary(parents, unique, eligible, ids, min_count)
     return ids, summary
 
 
-def collection_summary(raw: DataFrame, unique: DataFrame, ids: DataFrame, min_count: int) -> DataFrame:
-    """AG-13: (measure, value) for the id preparation."""
-    a = raw.agg(F.count(F.lit(1)).alias("raw_video_rows"), F.count_distinct("id").alias("unique_video_ids"))
-    b = unique.agg(F.count(F.lit(1)).alias("deduped_video_rows"))
-    c = ids.agg(F.count(F.lit(1)).alias("eligible_video_ids"))
-    row = a.crossJoin(b).crossJoin(c).withColumn("min_comment_count", F.lit(min_count).cast("bigint"))
+def collection_summary(raw: DataFrame, unique: DataFrame, eligible: DataFrame, ids: DataFrame, min_count: int) -> DataFrame:
+    """AG-13: (measure, value) for the id preparation; ``source_files`` only when known."""
+    aggs = [F.count(F.lit(1)).alias("video_rows"), F.count_distinct("id").alias("unique_video_ids")]
+    if "source_file" in raw.columns:
+        aggs.append(F.count_distinct("source_file").alias("source_files"))
+    a = raw.agg(*aggs)
+    b = unique.agg(F.count(F.lit(1)).alias("videos_after_dedup"))
+    c = eligible.agg(F.count(F.lit(1)).alias(f"videos_comment_count_ge_{min_count}"))
+    d = ids.agg(F.count(F.lit(1)).alias("video_ids_for_comments"))
+    row = a.crossJoin(b).crossJoin(c).crossJoin(d)  # one-row aggregates
+    order = ["video_rows", "unique_video_ids", "videos_after_dedup", f"videos_comment_count_ge_{min_count}", "video_ids_for_comments"]
+    if "source_file" in raw.columns:
+        order.append("source_files")
+    row = row.select(*[F.col(x).cast("bigint").alias(x) for x in order])
     return row.unpivot([], row.columns, "measure", "value")
