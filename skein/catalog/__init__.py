@@ -34,6 +34,7 @@ def _load() -> None:
     # Importing the modules fills the registries.
     from skein.catalog import (  # noqa: F401
         analysis_queries,
+        model_queries,
         relational_queries,
         stats_queries,
         text_queries,
