@@ -37,6 +37,7 @@ def _load() -> None:
         model_queries,
         relational_queries,
         stats_queries,
+        stream_queries,
         text_queries,
     )
 
