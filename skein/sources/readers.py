@@ -20,20 +20,34 @@ from skein.functions.scalar import normalize_id_columns
 from skein.schemas import CHILD_SCHEMA, PARENT_SCHEMA, envelope_schema
 
 
-def records_from_payload(payload: Column, record: T.StructType, keys: Sequence[str] = ("results", "comments", "data")) -> Column:
+def _objects(items: Column, record: T.StructType) -> Column:
+    """Parse the JSON-object elements of an ``ARRAY<STRING>``; other elements are skipped."""
+    objs = F.filter(items, lambda x: F.ltrim(x).startswith("{"))
+    return F.transform(objs, lambda x: F.from_json(x, record))
+
+
+def records_from_payload(
+    payload: Column,
+    record: T.StructType,
+    keys: Sequence[str] = ("results", "comments", "data"),
+    single_object: bool = True,
+) -> Column:
     """SRC-2: JSON text → ARRAY<record>.
 
-    A list gives its objects; an object gives the first list found under
-    ``keys``; any other object is one record.  The shape is decided by the first
-    non-blank character, because parsing a list with an object schema (or the
-    reverse) silently yields null or a fake row.
+    A list gives its object elements (scalars skipped); an object gives the
+    object elements of the first list found under ``keys``; any other object is
+    one record when ``single_object``.  Malformed text gives no records.
+    Lists are first parsed as ``ARRAY<STRING>`` (objects stay raw JSON text), so
+    one bad element never voids its neighbours.
     """
-    head = F.substring(F.ltrim(F.regexp_replace(payload, r"^[\s\x{FEFF}]+", "")), 1, 1)
-    as_list = F.from_json(payload, T.ArrayType(record))
-    env = F.from_json(payload, envelope_schema(record))
+    head = F.substring(F.regexp_replace(payload, r"^[\s\x{FEFF}]+", ""), 1, 1)
+    as_list = _objects(F.from_json(payload, "array<string>"), record)
+    env_schema = T.StructType([T.StructField(k, T.ArrayType(T.StringType())) for k in keys])
+    env = F.from_json(payload, env_schema)
     from_keys = F.coalesce(*[env[k] for k in keys])
-    single = F.array(F.from_json(payload, record))
-    obj = F.coalesce(from_keys, single)
+    valid_object = F.json_object_keys(payload).isNotNull()
+    fallback = F.array(F.from_json(payload, record)) if single_object else F.array().cast(T.ArrayType(record))
+    obj = F.when(valid_object, F.when(from_keys.isNotNull(), _objects(from_keys, record)).otherwise(fallback))
     out = F.when(head == "[", as_list).when(head == "{", obj)
     return F.filter(F.coalesce(out, F.array().cast(T.ArrayType(record))), lambda r: r.isNotNull())
 
@@ -48,17 +62,25 @@ def read_json_payloads(spark: SparkSession, path: str, pattern: str = "*.json")
     )
 
 
-def explode_records(df: DataFrame, payload: str, record: T.StructType, keys: Sequence[str] = ("results", "comments", "data")) -> DataFrame:
+def explode_records(
+    df: DataFrame,
+    payload: str,
+    record: T.StructType,
+    keys: Sequence[str] = ("results", "comments", "data"),
+    single_object: bool = True,
+) -> DataFrame:
     """posexplode the records of a payload column; keeps ``source_file`` and adds ``pos``."""
     extra = [c for c in df.columns if c != payload]
-    out = df.select(*extra, F.posexplode(records_from_payload(F.col(payload), record, keys)).alias("pos", "r"))
+    recs = records_from_payload(F.col(payload), record, keys, single_object)
+    out = df.select(*extra, F.posexplode(recs).alias("pos", "r"))
     return out.select(*extra, F.col("pos").cast("bigint").alias("pos"), "r.*")
 
 
 def read_parent_envelopes(spark: SparkSession, path: str, pattern: str = "*.json", schema: T.StructType = PARENT_SCHEMA) -> DataFrame:
-    """SRC-1: parent envelopes → one row per record with ``source_file``/``pos``; empty files skipped; ids normalised."""
+    """SRC-1: parent envelopes → one row per record of ``results`` with ``source_file``/``pos``;
+    files without results are skipped; a bare list is accepted too (D-1); ids normalised."""
     payloads = read_json_payloads(spark, path, pattern)
-    return normalize_id_columns(explode_records(payloads, "payload", schema, keys=("results",)))
+    return normalize_id_columns(explode_records(payloads, "payload", schema, keys=("results",), single_object=False))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*.jsonl") -> DataFrame:
