@@ -22,9 +22,8 @@ _LANGS = ["de", "en", "es", "fr"]
 def _docs_by_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     lang_id = F.array_position(F.array(*[F.lit(x) for x in _LANGS]), F.col("lang")).cast("int") - 1
-    return docs.select("doc_id", lang_id.alias("topic"), tx.topic_preprocess_text("text").alias("topic_text")).filter(
-        F.length(F.trim("topic_text")) >= 3
-    )
+    out = tx.compute_once(docs, ["doc_id", lang_id.alias("topic")], topic_text=tx.topic_preprocess_text("text"))
+    return out.filter(F.length(F.trim("topic_text")) >= 3)
 
 
 _LANG_ID_SQL = "CAST(list_position(['de', 'en', 'es', 'fr'], lang) AS INTEGER) - 1"
@@ -109,7 +108,7 @@ FROM s
 )
 def q_lexicon_sentiment(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    out = scr.lexicon_sentiment(docs, "text", _LEXICON)
+    out = scr.lexicon_sentiment(docs, "text", _LEXICON, ["doc_id"])
     return out.select("doc_id", *[F.round(c, 9).alias(c) for c in ("vader_neg", "vader_neu", "vader_pos", "vader_compound")])
 
 
@@ -139,7 +138,9 @@ def q_softmax_label(spark: SparkSession, sf: str) -> DataFrame:
 def q_batch_score(spark: SparkSession, sf: str) -> DataFrame:
     """ML-1 + ML-4: three-class sentiment by batched inference (hashed stand-in model) on every document."""
     docs = table(spark, sf, "documents").select("doc_id", tx.normalize_social_text("text").alias("processed_text"))
-    out = scr.score_frame(docs, "processed_text", sentiment_factory=scr.hashed_linear_model(3, seed=7), lexicon=_LEXICON)
+    out = scr.score_frame(
+        docs, "processed_text", sentiment_factory=scr.hashed_linear_model(3, seed=7), lexicon=_LEXICON, key_cols=["doc_id"]
+    )
     return out.drop("processed_text")
 
 

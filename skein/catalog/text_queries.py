@@ -15,9 +15,8 @@ from skein.session import table
 
 def _lang_docs(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    return docs.select(F.col("lang").alias("topic"), tx.topic_preprocess_text("text").alias("topic_text")).filter(
-        F.length(F.trim(F.col("topic_text"))) >= 3
-    )
+    out = tx.compute_once(docs, [F.col("lang").alias("topic")], topic_text=tx.topic_preprocess_text("text"))
+    return out.filter(F.length(F.trim(F.col("topic_text"))) >= 3)
 
 
 _LANG_DOCS_SQL = f"""

@@ -98,19 +98,94 @@ def strip_ws(text: Column | str) -> Column:
 
 
 def topic_preprocess_text(text: Column | str, stopwords: Iterable[str] = ALL_STOPWORDS) -> Column:
-    """SC-5: lower, keep only ``[a-z#]`` and whitespace, drop stop words (with or without ``#``), strip ``#``."""
-    stop = F.array(*[F.lit(w) for w in sorted(set(stopwords))])
+    """SC-5: lower, keep only ``[a-z#]`` and whitespace, drop stop words (with or without ``#``), strip ``#``.
+
+    Written as a chain of string regexes (all inside whole-stage codegen):
+    deleting ``#`` first and turning every other non-letter run into one space
+    yields exactly the words of the split-then-strip form; stop words are then
+    removed as whole words and spaces collapsed.
+    """
+    stop = sorted(set(stopwords), key=lambda w: (-len(w), w))
     lowered = F.lower(F.coalesce(_col(text), F.lit("")))
-    cleaned = F.regexp_replace(lowered, rf"(?U)[^a-z#{WS_CLASS}]", " ")
-    words = F.transform(split_words(cleaned), lambda w: F.replace(w, F.lit("#"), F.lit("")))
-    kept = F.filter(words, lambda w: (w != F.lit("")) & ~F.array_contains(stop, w))
-    return F.array_join(kept, " ")
+    letters = F.regexp_replace(F.regexp_replace(lowered, "#", ""), "[^a-z]+", " ")
+    if stop:
+        letters = F.regexp_replace(letters, "(?<![a-z])(?:" + "|".join(stop) + ")(?![a-z])", "")
+    return F.trim(F.regexp_replace(letters, " {2,}", " "))
+
+
+# SC-6 word: a whitespace-separated token of two or more letters
+_TERM_WORD = r"(?U)(?<![^\s\x1c-\x1f])\p{L}{2,}(?![^\s\x1c-\x1f])"
+
+
+def term_word_string(text: Column | str) -> Column:
+    """SC-6 words joined by single spaces (one regex pass, no per-word lambdas)."""
+    return F.array_join(F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(_TERM_WORD), 0), " ")
+
+
+def spaced_ngrams(words: Column | str) -> Column:
+    """Unigrams, bigrams and trigrams of a space-joined word string, space-joined.
+
+    Bigrams/trigrams are captured by zero-width lookaheads at every word start,
+    so the whole expression is three regex scans.  Words hold letters only, so
+    the space form maps one-to-one onto the published ``_`` form
+    (``translate(term, ' ', '_')``), applied after aggregation.
+    """
+    w = _col(words)
+    return F.concat(
+        F.regexp_extract_all(w, F.lit("[^ ]+"), 0),
+        F.regexp_extract_all(w, F.lit("(?<![^ ])(?=([^ ]+ [^ ]+))"), 1),
+        F.regexp_extract_all(w, F.lit("(?<![^ ])(?=([^ ]+ [^ ]+ [^ ]+))"), 1),
+    )
+
+
+def compute_once(df, keep, **cols: Column):
+    """Project expensive expressions exactly once.
+
+    Catalyst pushes a filter on a projected alias below the projection by
+    substituting the expression, so a regex-heavy column filtered afterwards
+    would be evaluated twice.  Producing the columns through a one-row
+    generator (``inline(array(struct(...)))``) is a boundary filters cannot
+    cross; the expressions then run once per row.
+    """
+    packed = F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))
+    return df.select(*keep, F.inline(packed))
+
+
+def explode_tokens(df, keep, array_col: Column | str, out: str = "term"):
+    """One row per array element, without an inferred pre-filter.
+
+    For ``explode`` Catalyst infers ``size(array) > 0`` and pushes it below the
+    projections, re-evaluating the whole array expression; ``explode_outer``
+    gets no inferred filter, and empty arrays (null elements) are dropped above
+    the generator instead.
+    """
+    col = F.col(array_col) if isinstance(array_col, str) else array_col
+    return df.select(*keep, F.explode_outer(col).alias(out)).filter(F.col(out).isNotNull())
+
+
+def term_words(text: Column | str) -> Column:
+    """SC-6 word filter: words longer than one character made of letters only."""
+    return F.filter(split_words(text), lambda w: (F.length(w) > 1) & w.rlike(r"^\p{L}+$"))
 
 
 def term_tokens(text: Column | str) -> Column:
-    """SC-6: alphabetic words longer than one char, plus ``_``-joined bigrams and trigrams of them."""
-    words = F.filter(split_words(text), lambda w: (F.length(w) > 1) & w.rlike(r"^\p{L}+$"))
-    return ngrams_of(words)
+    """SC-6: alphabetic words longer than one char, plus ``_``-joined bigrams and trigrams of them.
+
+    For large inputs prefer ``with_term_tokens``: as one expression the word array
+    is re-evaluated at every reference inside the n-gram expression.
+    """
+    return ngrams_of(term_words(text))
+
+
+def with_term_tokens(df, text_col: str, out_col: str = "tokens", keep=None):
+    """SC-6 as two projections: the word array is computed once, then n-grams reference it.
+
+    Catalyst does not collapse a non-trivial expression referenced several times
+    into its consumer, so the split/filter runs once per row.
+    """
+    keep = [c for c in (keep if keep is not None else df.columns) if c != text_col]
+    staged = df.select(*keep, term_words(text_col).alias("__words"))
+    return staged.select(*keep, ngrams_of(F.col("__words")).alias(out_col))
 
 
 def ngrams_of(words: Column) -> Column:

@@ -27,6 +27,10 @@ def date_counts(videos: DataFrame, comments: DataFrame) -> DataFrame:
     return both.filter(F.col("date").isNotNull()).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _total(df: DataFrame) -> int:
+    return int(df.agg(F.sum("n")).first()[0] or 0)
+
+
 def filter_sparse_dates(
     videos: DataFrame,
     comments: DataFrame,
@@ -36,22 +40,33 @@ def filter_sparse_dates(
     """SET-4: drop dates with fewer than ``min_entries`` rows over both tables, then children
     whose date or parent is gone; repeat until neither count changes.
 
-    Each pass is materialised in the reliable checkpoint folder (lineage stays
-    one pass long and survives executor loss); the stop test compares two counts
-    on the driver.  Returns (videos, comments, passes incl. the confirming one).
+    The loop runs on narrow aggregates — parents as (id, date, n), children as
+    (video_id, date, n) — because survival depends on nothing else; the wide
+    tables are semi-joined once at the end.  Each pass is materialised in the
+    reliable checkpoint folder (lineage stays one pass long and survives
+    executor loss); the stop test compares two sums on the driver.
+    Returns (videos, comments, passes incl. the confirming one).
     """
-    v, c = videos, comments
-    nv, nc = v.count(), c.count()
+    vk = cut_lineage(videos.groupBy("id", "date").agg(F.count(F.lit(1)).alias("n")))
+    ck = cut_lineage(comments.groupBy("video_id", "date").agg(F.count(F.lit(1)).alias("n")))
+    nv, nc = _total(vk), _total(ck)
     for n_pass in range(1, max_passes + 1):
-        dates = date_counts(v, c).filter(F.col("n") >= min_entries).select("date")  # ≤ one row per day
-        v2 = v.join(dates, "date", "left_semi")
-        c2 = c.join(dates, "date", "left_semi").join(v2.select(F.col("id").alias("video_id")), "video_id", "left_semi")
-        v2, c2 = cut_lineage(v2), cut_lineage(c2)
-        nv2, nc2 = v2.count(), c2.count()
+        per_date = vk.select("date", "n").unionAll(ck.select("date", "n")).filter(F.col("date").isNotNull())
+        dates = per_date.groupBy("date").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_entries).select("date")
+        vk2 = vk.join(dates, "date", "left_semi")
+        ck2 = ck.join(dates, "date", "left_semi").join(vk2.select(F.col("id").alias("video_id")), "video_id", "left_semi")
+        vk2, ck2 = cut_lineage(vk2), cut_lineage(ck2)
+        nv2, nc2 = _total(vk2), _total(ck2)
+        vk, ck = vk2, ck2
         if nv2 == nv and nc2 == nc:
-            return v2, c2, n_pass
-        v, c, nv, nc = v2, c2, nv2, nc2
-    raise RuntimeError(f"sparse-date filter did not converge in {max_passes} passes")
+            break
+        nv, nc = nv2, nc2
+    else:
+        raise RuntimeError(f"sparse-date filter did not converge in {max_passes} passes")
+    keep_v = vk.select(F.col("id").alias("__id"), F.col("date").alias("__date"))
+    v_out = videos.join(keep_v, F.col("id").eqNullSafe(F.col("__id")) & (F.col("date") == F.col("__date")), "left_semi")
+    c_out = comments.join(ck.select("video_id", "date"), ["video_id", "date"], "left_semi")
+    return v_out, c_out, n_pass
 
 
 def build_exports(

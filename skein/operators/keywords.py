@@ -25,7 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.constants import DEFAULT_MIN_TOPIC_TEXT_LEN, DEFAULT_TOP_N_KEYWORDS
-from skein.functions.text import keyword_cells, term_tokens, topic_preprocess_text
+from skein.functions.text import (
+    compute_once,
+    explode_tokens,
+    keyword_cells,
+    spaced_ngrams,
+    term_word_string,
+    topic_preprocess_text,
+)
 
 
 def _valid_topic(df: DataFrame, topic_col: str) -> Column:
@@ -39,10 +46,10 @@ def _valid_topic(df: DataFrame, topic_col: str) -> Column:
 
 def term_counts(df: DataFrame, topic_col: str, text_col: str) -> DataFrame:
     """AG-12: (topic, term, f_i) — count of each n-gram token per topic (valid topics only)."""
-    toks = df.filter(_valid_topic(df, topic_col)).select(
-        F.col(topic_col).alias("topic"), F.explode(term_tokens(text_col)).alias("term")
-    )
-    return toks.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("f_i"))
+    base = df.filter(_valid_topic(df, topic_col)).select(F.col(topic_col).alias("topic"), term_word_string(text_col).alias("__ws"))
+    toks = explode_tokens(base, ["topic"], spaced_ngrams("__ws"), "term")
+    counts = toks.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("f_i"))
+    return counts.select("topic", F.translate("term", " ", "_").alias("term"), "f_i")
 
 
 def log_odds_z(f_i: Column, big_f: Column, n_i: Column, big_n: Column) -> Column:
@@ -109,10 +116,10 @@ def topic_documents(
     """TXT-2: (id, source_text, topic_text[, create_time]) with short topic texts removed."""
     if text_col is None:
         text_col = "processed_text" if "processed_text" in df.columns else "text"
-    cols = [F.col(id_col).alias("id"), F.col(text_col).alias("source_text"), topic_preprocess_text(text_col).alias("topic_text")]
+    keep = [F.col(id_col).alias("id"), F.col(text_col).alias("source_text")]
     if "create_time" in df.columns:
-        cols.append(F.col("create_time"))
-    out = df.select(*cols)
+        keep.append(F.col("create_time"))
+    out = compute_once(df, keep, topic_text=topic_preprocess_text(text_col))
     return out.filter(F.length(F.trim(F.col("topic_text"))) >= min_len)
 
 
@@ -139,9 +146,10 @@ def class_tfidf_terms(df: DataFrame, topic_col: str, text_col: str, top_n: int =
     weight(t, c) = tf(t, c) · ln(1 + A / f_t), A = mean tokens per class,
     f_t = frequency of t over all classes.  Unigrams only.
     """
-    words = df.filter(_valid_topic(df, topic_col)).select(
-        F.col(topic_col).alias("topic"),
-        F.explode(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), lambda w: w != F.lit(""))).alias("term"),
+    words = explode_tokens(
+        df.filter(_valid_topic(df, topic_col)),
+        [F.col(topic_col).alias("topic")],
+        F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), lambda w: w != F.lit("")),
     )
     tf = words.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("tf"))
     avg = tf.agg((F.sum("tf") / F.countDistinct("topic")).alias("avg_words"))

@@ -4,9 +4,9 @@ trained offline toxicity/quality scorer.
 * ``batch_score`` wraps any model behind ``pyspark.ml.functions.predict_batch_udf``:
   the model is built once per Python worker and fed Arrow batches of
   ``batch_size`` texts; no row-at-a-time Python.
-* ``lexicon_sentiment`` is a pure JVM expression: the lexicon becomes a literal
-  map (its size is checked), every row scores its own token array — no explode,
-  no join, no shuffle.
+* ``lexicon_sentiment`` explodes tokens against the size-checked, broadcast
+  lexicon (a hash join: O(1) per token whatever the lexicon size) and folds the
+  hits per row key with map-side partial aggregation.
 * ``train_text_classifier`` fits an MLlib pipeline (tokens → hashed TF → IDF →
   logistic regression) on labelled rows; ``apply_text_classifier`` scores any table.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from skein.constants import SENTIMENT_LABELS, TOXICITY_COLUMNS, VADER_COLUMNS, XLM_COLUMNS
 from skein.functions.scalar import argmax_label, softmax3
-from skein.functions.text import text_or_empty
+from skein.functions.text import explode_tokens, text_or_empty
 
 DEFAULT_BATCH = 128
 MAX_LEXICON_ENTRIES = 200_000
@@ -85,19 +85,23 @@ def hashed_linear_model(n_outputs: int, dim: int = 1 << 16, seed: int = 0) -> Ca
     """
 
     def factory():
-        import zlib
+        import pandas as pd
 
         rng = np.random.default_rng(seed)
         weights = rng.normal(0, 1, size=(dim, n_outputs)).astype(np.float32)
 
         def predict(texts: np.ndarray) -> np.ndarray:
             out = np.zeros((len(texts), n_outputs), dtype=np.float32)
-            for i, t in enumerate(texts):
-                words = str(t).lower().split()
-                if not words:
-                    continue
-                idx = np.fromiter((zlib.crc32(w.encode()) % dim for w in words), dtype=np.int64, count=len(words))
-                out[i] = weights[idx].mean(axis=0)
+            words = pd.Series(texts, dtype="object").fillna("").str.lower().str.split()
+            lens = words.str.len().to_numpy()
+            if lens.sum() == 0:
+                return out
+            flat = np.concatenate([np.asarray(w, dtype=object) for w in words if len(w)])
+            idx = (pd.util.hash_array(flat) % np.uint64(dim)).astype(np.int64)  # fixed-key hash: same in every process
+            rows = np.flatnonzero(lens)
+            starts = np.concatenate([[0], np.cumsum(lens[rows])[:-1]])
+            sums = np.add.reduceat(weights[idx], starts, axis=0)
+            out[rows] = sums / lens[rows][:, None]
             return out
 
         return predict
@@ -115,6 +119,7 @@ def score_frame(
     batch_size: int = DEFAULT_BATCH,
     limit_rows: int = 0,
     order_key: str | None = None,
+    key_cols: Sequence[str] | None = None,
 ) -> DataFrame:
     """ML-4: check the text column, optional deterministic limit, run the enabled scorers."""
     if text_col not in df.columns:
@@ -126,7 +131,7 @@ def score_frame(
     elif {"xlm_positive", "xlm_negative"} <= set(out.columns) and "xlm_polarity" not in out.columns:
         out = out.withColumn("xlm_polarity", F.col("xlm_positive") - F.col("xlm_negative"))  # PRJ-5
     if lexicon is not None:
-        out = lexicon_sentiment(out, text_col, lexicon)
+        out = lexicon_sentiment(out, text_col, lexicon, key_cols)
     if toxicity_factory is not None:
         st = T.StructType([T.StructField(k, T.FloatType()) for k in toxicity_keys])
         out = toxicity_columns(batch_score(out, text_col, toxicity_factory, st, "__tox", batch_size), "__tox")
@@ -144,35 +149,56 @@ def lexicon_tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}']+"), lambda w: w != F.lit(""))
 
 
-def _lexicon_map(lexicon: Mapping[str, float] | DataFrame) -> Column:
+def _lexicon_df(spark, lexicon: Mapping[str, float] | DataFrame) -> DataFrame:
     if isinstance(lexicon, DataFrame):
-        n = lexicon.count()
-        if n > MAX_LEXICON_ENTRIES:
-            raise ValueError(f"lexicon has {n} entries, more than {MAX_LEXICON_ENTRIES}")
-        lexicon = {r[0]: float(r[1]) for r in lexicon.collect()}  # bounded by the check above
-    items = sorted(lexicon.items())
-    return F.map_from_arrays(F.array(*[F.lit(k) for k, _ in items]), F.array(*[F.lit(float(v)) for _, v in items]))
+        lex = lexicon.toDF("__w", "__v").select("__w", F.col("__v").cast("double"))
+        n = lex.count()
+    else:
+        n = len(lexicon)
+        lex = spark.createDataFrame([(k, float(v)) for k, v in sorted(lexicon.items())], "__w STRING, __v DOUBLE")
+    if n > MAX_LEXICON_ENTRIES:
+        raise ValueError(f"lexicon has {n} entries, more than {MAX_LEXICON_ENTRIES}")
+    return F.broadcast(lex)  # size checked above
 
 
-def lexicon_sentiment(df: DataFrame, text_col: str, lexicon: Mapping[str, float] | DataFrame) -> DataFrame:
+def lexicon_sentiment(
+    df: DataFrame,
+    text_col: str,
+    lexicon: Mapping[str, float] | DataFrame,
+    key_cols: Sequence[str] | None = None,
+) -> DataFrame:
     """ML-2: vader_neg/neu/pos/compound from word valences.
 
     Every token scores its valence (0 when unknown); positive valences add
     v + 1, negative add v − 1, zeros count as neutral; neg/neu/pos are shares of
     their total and compound = s / sqrt(s² + 15).  Texts without tokens score 0.
     Negation, booster and punctuation rules are not applied.
+
+    Plan: tokens are exploded and inner-joined with the (size-checked,
+    broadcast) lexicon, so only lexicon hits survive; a per-key aggregate with
+    map-side partial aggregation collapses them; neutral = tokens − hits with a
+    non-zero valence.  ``key_cols`` must identify rows (default: ``id`` and
+    ``video_id`` when present, else the text itself).
     """
-    lex = _lexicon_map(lexicon)
-    vals = F.transform(lexicon_tokens(text_col), lambda w: F.coalesce(F.try_element_at(lex, w), F.lit(0.0)))
+    if key_cols is None:
+        key_cols = [c for c in ("id", "video_id") if c in df.columns] or [text_col]
+    key_cols = list(key_cols)
+    lex = _lexicon_df(df.sparkSession, lexicon)
+    base = df.drop(*[c for c in VADER_COLUMNS if c in df.columns])
+    tokens = explode_tokens(base, key_cols, lexicon_tokens(text_col), "__w")
+    hits = tokens.join(lex, "__w").groupBy(*key_cols).agg(
+        F.sum("__v").alias("__s"),
+        F.sum(F.when(F.col("__v") > 0, F.col("__v") + 1).otherwise(0.0)).alias("__pos"),
+        F.sum(F.when(F.col("__v") < 0, F.col("__v") - 1).otherwise(0.0)).alias("__neg"),
+        F.count_if(F.col("__v") != 0).alias("__nz"),
+    )
+    joined = base.withColumn("__n", F.size(lexicon_tokens(text_col))).join(hits, key_cols, "left")
     zero = F.lit(0.0)
-    s = F.aggregate(vals, zero, lambda a, v: a + v)
-    pos = F.aggregate(vals, zero, lambda a, v: a + F.when(v > 0, v + 1).otherwise(0.0))
-    neg = F.aggregate(vals, zero, lambda a, v: a + F.when(v < 0, v - 1).otherwise(0.0))
-    neu = F.aggregate(vals, zero, lambda a, v: a + F.when(v == 0, 1.0).otherwise(0.0))
+    s, pos, neg = (F.coalesce(F.col(c), zero) for c in ("__s", "__pos", "__neg"))
+    neu = (F.col("__n") - F.coalesce(F.col("__nz"), F.lit(0))).cast("double")
     total = pos + F.abs(neg) + neu
-    out = df.drop(*[c for c in VADER_COLUMNS if c in df.columns])
     has = total > 0
-    return out.withColumns(
+    out = joined.withColumns(
         {
             "vader_neg": F.when(has, F.abs(neg) / total).otherwise(zero),
             "vader_neu": F.when(has, neu / total).otherwise(zero),
@@ -180,6 +206,7 @@ def lexicon_sentiment(df: DataFrame, text_col: str, lexicon: Mapping[str, float]
             "vader_compound": F.when(s != 0, s / F.sqrt(s * s + VADER_ALPHA)).otherwise(zero),
         }
     )
+    return out.drop("__n", "__s", "__pos", "__neg", "__nz")
 
 
 # ---------------------------------------------------------------------------

@@ -29,7 +29,9 @@ DEFAULT_SEED = 42
 def embed_documents(docs: DataFrame, id_col: str, text_col: str, dim: int = 64, min_count: int = 2, seed: int = DEFAULT_SEED) -> DataFrame:
     """ML-5 (offline form): (id, embedding ARRAY<FLOAT>) as the mean Word2Vec vector of the words."""
     words = docs.select(id_col, F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), lambda w: w != "").alias("__w"))
-    w2v = Word2Vec(vectorSize=dim, minCount=min_count, inputCol="__w", outputCol="__v", seed=seed, maxIter=1)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # numPartitions > 1 trains on all executors (the default 1 trains in one task)
+    w2v = Word2Vec(vectorSize=dim, minCount=min_count, inputCol="__w", outputCol="__v", seed=seed, maxIter=1, numPartitions=parts)
     model = w2v.fit(words)
     out = model.transform(words)
     return out.select(id_col, vector_to_array("__v", "float32").alias("embedding"))

@@ -21,6 +21,7 @@ from skein.functions.text import comment_text_key
 from skein.operators import relational as rel
 from skein.operators import stats as st
 from skein.operators import timeseries as ts
+from skein.operators.quality import assert_unique
 
 
 def _file_order(df: DataFrame):
@@ -38,6 +39,7 @@ def prepare_data(
 ) -> dict[str, DataFrame]:
     """PIPE-1: string keys → dedupe → content-dedupe count → cap → topic joins → valid-topic
     filters; returns the nine tables plus ``sanity`` (measure, value)."""
+    assert_unique(topics, ["id"], "topics")  # D-17: a repeated key would multiply joined rows
     v = videos_raw.withColumn("id", F.col("id").cast("string"))
     c = comments_raw.withColumn("id", F.col("id").cast("string")).withColumn("video_id", F.col("video_id").cast("string"))
     comments_unique = rel.dedupe_keep_first(c, ["id", "video_id"], _file_order(c))
