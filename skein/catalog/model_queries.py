@@ -179,7 +179,14 @@ def q_toxicity_model(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("embed_docs")
 def q_embed_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """ML-5 (offline encoder): Word2Vec document vectors of the topic texts."""
+    """ML-5: batched sentence embeddings of every document (hashed random-indexing encoder, 64 dims)."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return tp.embed_batched(docs, "doc_id", "text", scr.hashed_linear_model(64, seed=3), batch_size=64)
+
+
+@register("embed_word2vec")
+def q_embed_word2vec(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-5 (offline trained encoder): Word2Vec document vectors of the topic texts."""
     docs = _docs_by_id(spark, sf)
     return tp.embed_documents(docs, "doc_id", "topic_text", dim=32)
 

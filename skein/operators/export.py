@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +86,9 @@ def build_exports(
     c = dedupe_keep_first(comments, ["id", "video_id"], [x for x in ("source_file", "pos") if x in comments.columns] or None)
     v = v.withColumn("id", F.col("id").cast("string")).withColumn("date", epoch_to_date_str("create_time"))
     c = c.withColumn("video_id", F.col("video_id").cast("string")).withColumn("date", epoch_to_date_str("create_time"))
+    # read three times below (fixed point, indices, orphan check): dedupe once.  A lost
+    # cached block is recomputed from deterministic lineage.
+    v, c = v.persist(StorageLevel.MEMORY_AND_DISK), c.persist(StorageLevel.MEMORY_AND_DISK)
     v, c, passes = filter_sparse_dates(v, c, min_entries)
     vi = dense_index(v, list(video_order), "video_index")
     orphans = count_orphans(c, vi.select("id"), "video_id", "id").first()["orphans"]

@@ -2,12 +2,11 @@
 
 Scale notes (1000 executors, one key may hold a third of all rows):
 
-* ``dedupe_keep_first`` is a window ``row_number() = 1`` per key.  A hot key
-  is handled by a two-step form: first the local winner per (key, salt), then
-  the winner among at most ``salts`` rows per key.  The order key is total, so
-  the result is the same as the one-step form.
-* ``cap_per_parent`` uses the same salted two-step top-N; Spark additionally
-  inserts a map-side ``WindowGroupLimit`` so each task ships ≤ N rows per key.
+* ``dedupe_keep_first`` is a ``min_by`` hash aggregate per key: partial
+  aggregation leaves one row per key per task, so a hot key costs nothing extra.
+* ``cap_per_parent`` is a salted two-step top-N (within (key, salt), then within
+  key); Spark also inserts a map-side ``WindowGroupLimit`` so each task ships
+  ≤ N rows per key, and the final step sees ≤ N × salts rows of a hot key.
 * joins against small derived dimensions carry no broadcast hint: AQE measures
   the materialised dimension and broadcasts it only under its threshold.
 """
@@ -70,17 +69,26 @@ def dedupe_keep_first(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str] | None = None,
-    salts: int = DEFAULT_SALTS,
 ) -> DataFrame:
     """AG-1: one row per key, the first by ``order``; null keys compare equal.
 
     ``order`` defaults to all non-key columns, which is total when whole rows are
     distinct (the ingest readers add ``source_file``/``pos`` for file order).
+
+    Plan: ``min_by(struct(row), struct(order))`` per key — a hash aggregate with
+    map-side partial aggregation, so a key repeated by a third of all rows
+    leaves each task as one row, through one shuffle and without any sort.
     """
+    keys = list(keys)
     cols = order or [c for c in df.columns if c not in keys]
-    order_cols = [F.col(c).asc_nulls_first() if isinstance(c, str) else c for c in cols]
-    # window partitions put null keys into one group, like pandas drop_duplicates
-    return first_per_key(df, keys, order_cols, 1, salts)
+    order_cols = [F.col(c) if isinstance(c, str) else c for c in cols]
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.dropDuplicates(keys)
+    row = F.struct(*[F.col(c) for c in rest])
+    key_order = F.struct(*[c.alias(f"__o{i}") for i, c in enumerate(order_cols)])
+    kept = df.groupBy(*keys).agg(F.min_by(row, key_order).alias("__row"))
+    return kept.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
 def content_dedupe(df: DataFrame, group_col: str, text_col: str) -> DataFrame:

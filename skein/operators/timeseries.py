@@ -13,6 +13,15 @@ from skein.functions.text import comment_text_key
 from skein.operators.relational import valid_topic
 
 
+def _epoch_year_range(col: str, first_year: int, last_year: int):
+    """FLT-7 on epoch seconds as a range predicate (pushes down to the Parquet scan)."""
+    import calendar
+
+    lo = calendar.timegm((first_year, 1, 1, 0, 0, 0))
+    hi = calendar.timegm((last_year + 1, 1, 1, 0, 0, 0))
+    return (F.col(col) >= F.lit(lo)) & (F.col(col) < F.lit(hi))
+
+
 def _spine(spark, years: Sequence[int], window) -> DataFrame:
     (sm, sd), (em, ed) = window
     rows = [(y, f"{y:04d}-{sm:02d}-{sd:02d}", f"{y:04d}-{em:02d}-{ed:02d}") for y in years]
@@ -91,7 +100,9 @@ def top_parents(
     counts (missing → 0); ties broken by id."""
     if text_col is None:
         text_col = "processed_text" if "processed_text" in children.columns else "text"
-    p = parents.filter(F.year(epoch_to_ts("create_time")) == year)
+    numeric = dict(parents.dtypes).get("create_time") in ("bigint", "int", "double")
+    p = parents.filter(_epoch_year_range("create_time", year, year)) if numeric else parents
+    p = p.filter(F.year(epoch_to_ts("create_time")) == year)
     raw = children.groupBy(F.col("video_id").alias("id")).agg(F.count(F.lit(1)).alias("collected_comments_raw_unique"))
     dedup = (
         children.select("video_id", comment_text_key(text_col).alias("_k"))

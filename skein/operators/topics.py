@@ -26,8 +26,19 @@ from pyspark.sql import functions as F
 DEFAULT_SEED = 42
 
 
+def embed_batched(docs: DataFrame, id_col: str, text_col: str, encoder_factory, batch_size: int = 64) -> DataFrame:
+    """ML-5: (id, embedding ARRAY<FLOAT>) from any batched sentence encoder (built once per
+    worker, fed Arrow batches of ``batch_size`` texts); not L2-normalised."""
+    from pyspark.sql import types as T
+
+    from skein.operators.scoring import batch_score
+
+    out = batch_score(docs.select(id_col, text_col), text_col, encoder_factory, T.ArrayType(T.FloatType()), "embedding", batch_size)
+    return out.select(id_col, "embedding")
+
+
 def embed_documents(docs: DataFrame, id_col: str, text_col: str, dim: int = 64, min_count: int = 2, seed: int = DEFAULT_SEED) -> DataFrame:
-    """ML-5 (offline form): (id, embedding ARRAY<FLOAT>) as the mean Word2Vec vector of the words."""
+    """ML-5 (offline trained form): (id, embedding ARRAY<FLOAT>) as the mean Word2Vec vector of the words."""
     words = docs.select(id_col, F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), lambda w: w != "").alias("__w"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # numPartitions > 1 trains on all executors (the default 1 trains in one task)
@@ -88,8 +99,13 @@ def cluster_topics(
     return out, model
 
 
-def map_2d(emb: DataFrame, id_col: str, topics: DataFrame, vec_col: str = "embedding") -> DataFrame:
-    """ML-11: (id, x, y, topic_id) from PCA(2), joined by key; DQ-8 is ``key_mismatch``."""
+def map_2d(emb: DataFrame, id_col: str, topics: DataFrame, vec_col: str = "embedding", exclude_topics=()) -> DataFrame:
+    """ML-11: (id, x, y, topic_id) from PCA(2), joined by key; DQ-8 is ``key_mismatch``.
+
+    ``exclude_topics`` (FLT-5) drops topic ids from the projection's input.
+    """
+    if exclude_topics:
+        emb = emb.join(topics.filter(F.col("topic_id").isin(list(exclude_topics))).select(id_col), id_col, "left_anti")
     base = emb.select(id_col, array_to_vector(vec_col).alias("__raw"))
     model = PCA(k=2, inputCol="__raw", outputCol="__xy").fit(base)
     xy = model.transform(base).select(id_col, vector_to_array("__xy").alias("__a"))

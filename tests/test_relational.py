@@ -21,7 +21,7 @@ def test_dedupe_keep_first_uses_file_order(spark):
         ("b", "v2", "f2.json", 0, "only"),
     ]
     df = spark.createDataFrame(rows, "id STRING, video_id STRING, source_file STRING, pos LONG, text STRING")
-    out = {(r.id, r.video_id): r.text for r in rel.dedupe_keep_first(df, ["id", "video_id"], ["source_file", "pos"], salts=3).collect()}
+    out = {(r.id, r.video_id): r.text for r in rel.dedupe_keep_first(df, ["id", "video_id"], ["source_file", "pos"]).collect()}
     assert out == {("a", "v1"): "earliest-file", (None, "v1"): "null-key-1", ("b", "v2"): "only"}
 
 
