@@ -187,9 +187,9 @@ def q_first_n(spark: SparkSession, sf: str) -> DataFrame:
     "id_normalise",
     """
 SELECT event_id,
-  CAST(CAST(event_id AS DOUBLE) AS DECIMAL(38, 0))::VARCHAR AS id_from_double,
+  CAST(CAST(CAST(event_id AS DOUBLE) AS BIGINT) AS VARCHAR) AS id_from_double,
   regexp_replace(json_extract_string(props, '$.k') || '.0', '^(-?[0-9]+)\\.0+$', '\\1') AS id_from_json,
-  CASE WHEN value = floor(value) THEN CAST(CAST(value AS DECIMAL(38, 0)) AS VARCHAR) END AS value_id
+  CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) END AS value_id
 FROM events
 """,
 )

@@ -21,7 +21,9 @@ def normalize_id(c: Column | str, dtype: T.DataType | None = None) -> Column:
     """
     x = _col(c)
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        whole = F.when(~F.isnan(x) & (x == F.floor(x)), x.cast("decimal(38,0)").cast("string"))
+        # below 2^63 the BIGINT cast is exact (Python prints the double's exact integer value)
+        exact = F.when(F.abs(x) < F.lit(9.2e18), x.cast("bigint").cast("string")).otherwise(x.cast("decimal(38,0)").cast("string"))
+        whole = F.when(~F.isnan(x) & (x == F.floor(x)), exact)
         return F.when(x.isNull() | F.isnan(x), F.lit(None).cast("string")).otherwise(F.coalesce(whole, x.cast("string")))
     if isinstance(dtype, T.DecimalType):
         return F.regexp_replace(x.cast("string"), r"^(-?\d+)\.0+$", "$1")

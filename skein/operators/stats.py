@@ -244,8 +244,9 @@ def mwu_z(u1: Column, n1: Column, n2: Column, ties: Column) -> Column:
     """z of the normal approximation (the SQL-checkable part of the p-value)."""
     n = n1 + n2
     u = F.greatest(u1, n1 * n2 - u1)
-    var = n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1)))
-    return (u - n1 * n2 / 2.0 - 0.5) / F.sqrt(var)
+    var = n1 * n2 / 12.0 * ((n + 1) - F.try_divide(ties, n * (n - 1)))
+    # all values tied → zero variance → no test (null)
+    return F.when(var > 0, F.try_divide(u - n1 * n2 / 2.0 - 0.5, F.sqrt(var)))
 
 
 def _rest_positions(
