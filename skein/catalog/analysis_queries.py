@@ -50,7 +50,7 @@ SELECT p.id, p.create_time, t.topic AS topic_id FROM ({fx.PARENTS_SQL}) p LEFT J
     f"""
 WITH v AS (SELECT year({_TS}) AS year, topic_id + 1 AS topic_num FROM ({_TOPIC_OF_PARENT_SQL}) WHERE topic_id >= 0),
 c AS (SELECT year, topic_num, count(*) AS n FROM v GROUP BY ALL)
-SELECT year, topic_num, CAST(n AS BIGINT) AS count, round(n / sum(n) OVER (PARTITION BY year), 9) AS fraction FROM c
+SELECT CAST(year AS INTEGER) AS year, topic_num, CAST(n AS BIGINT) AS count, round(n / sum(n) OVER (PARTITION BY year), 9) AS fraction FROM c
 """,
 )
 def q_topic_share_by_year(spark: SparkSession, sf: str) -> DataFrame:
@@ -255,8 +255,8 @@ def q_indexed_export_children(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "export_checks",
     """
-SELECT * FROM (VALUES ('disallowed_columns', 0), ('video_columns', 0), ('comment_columns', 0), ('video_index_unique', 0),
-  ('comment_index_unique', 0), ('comment_parent_exists', 0), ('dates_above_threshold', 0)) AS x("check", failures)
+SELECT "check", CAST(n AS BIGINT) AS failures FROM (VALUES ('disallowed_columns', 0), ('video_columns', 0), ('comment_columns', 0), ('video_index_unique', 0),
+  ('comment_index_unique', 0), ('comment_parent_exists', 0), ('dates_above_threshold', 0)) AS x("check", n)
 WHERE (SELECT count(*) FROM orders) >= 0
 """,
 )

@@ -85,7 +85,8 @@ def q_topic_inherit(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "topic_names",
     """
-SELECT topic_id, CASE WHEN topic_id < 15 THEN NULL ELSE 'Topic ' || CAST(topic_id + 1 AS VARCHAR) END AS extra_name
+SELECT CAST(topic_id AS INTEGER) AS topic_id,
+  CASE WHEN topic_id < 15 THEN NULL ELSE 'Topic ' || CAST(topic_id + 1 AS VARCHAR) END AS extra_name
 FROM (SELECT unnest(range(0, CAST(max(p_size) AS BIGINT) + 1)) AS topic_id FROM part)
 """,
 )

@@ -87,7 +87,7 @@ def log_odds_scores(df: DataFrame, topic_col: str, text_col: str) -> DataFrame:
 def top_terms(scores: DataFrame, top_n: int, score_col: str = "z_score") -> DataFrame:
     """WN-3: rank within topic by score desc (ties: rounded score, then term), keep top n."""
     order = Window.partitionBy("topic").orderBy(F.round(F.col(score_col), 9).desc(), F.col("term"))
-    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_n)
+    return scores.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= top_n)
 
 
 def topic_term_map(terms: DataFrame) -> DataFrame:

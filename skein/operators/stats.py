@@ -41,6 +41,8 @@ from skein.functions.scalar import significance
 from skein.operators.relational import finite
 from skein.session import cut_lineage
 
+MAX_BROADCAST_TARGETS = 2_000_000
+
 # ---------------------------------------------------------------------------
 # Long format and the ranked histogram
 # ---------------------------------------------------------------------------
@@ -129,7 +131,9 @@ def _lookup(hist: DataFrame, group_cols: Sequence[str], targets: DataFrame, valu
     the group keys with the position range as a residual condition.
     """
     h = hist.alias("h")
-    t = targets.alias("t")
+    # a few targets per group: broadcast after checking the size, so no task ever
+    # receives a whole group's histogram (a shuffle join on the group key would)
+    t = (F.broadcast(targets) if targets.count() <= MAX_BROADCAST_TARGETS else targets).alias("t")
     cond = [F.col(f"h.{g}").eqNullSafe(F.col(f"t.{g}")) for g in group_cols]
     cond.append(F.col("h.below") < F.col("t.pos"))
     cond.append(F.col("t.pos") <= F.col("h.below") + F.col("h.c"))
