@@ -298,12 +298,12 @@ def dense_index(
     """
     from skein.session import cut_lineage
 
-    spark = df.sparkSession
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     mask = (1 << 33) - 1
+    # without an explicit count AQE may coalesce neighbouring ranges (order is kept)
+    by_range = df.repartitionByRange(partitions, *order_cols) if partitions else df.repartitionByRange(*order_cols)
     positioned = (
-        df.repartitionByRange(n, *order_cols)
+        by_range
         .sortWithinPartitions(*order_cols)
         .withColumn("__mid", F.monotonically_increasing_id())
         .withColumn("__pid", F.shiftright(F.col("__mid"), 33))

@@ -104,11 +104,11 @@ def ranked_histogram(
 ) -> DataFrame:
     """(group…, value, c, below): exact per-group value counts and count of smaller values."""
     group_cols = list(group_cols)
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     hist = df.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("c"))
+    # without an explicit count AQE may coalesce neighbouring ranges (order is kept)
+    by_range = hist.repartitionByRange(partitions, *group_cols, value_col) if partitions else hist.repartitionByRange(*group_cols, value_col)
     ranged = (
-        hist.repartitionByRange(n, *group_cols, value_col)
+        by_range
         .sortWithinPartitions(*group_cols, value_col)
         .withColumn("pid", F.spark_partition_id())
     )

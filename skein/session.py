@@ -43,9 +43,39 @@ def get_session(master: str | None = None, app_name: str = "skein", **conf: str)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``skein`` importable in Python workers (``--py-files`` at run time).
+
+    Pandas UDFs, ``mapInPandas`` and ``foreachBatch`` functions are pickled by
+    reference to this package; executors that did not start in the repository
+    need the package shipped.  Zipped once per SparkContext.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out_dir = tempfile.mkdtemp(prefix="skein-pyfiles-")
+    path = os.path.join(out_dir, "skein.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for base, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Make sure reliable checkpoints have a directory.
 
