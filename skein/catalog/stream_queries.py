@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.catalog import register
 from skein.session import ensure_checkpoint_dir, table
@@ -100,3 +101,39 @@ def q_stream_topic_inherit(spark: SparkSession, sf: str) -> DataFrame:
     joined = si.inherit_topics_stream(stream, fx.topics(spark, sf), fx.id2topics(spark, sf)).select("video_id", "id", "topic_id")
     si.run_available_now(joined, f"{root}/out", f"{root}/ckpt")
     return spark.read.parquet(f"{root}/out")
+
+
+_EV_RECORD = T.StructType(
+    [
+        T.StructField("event_id", T.LongType()),
+        T.StructField("user_id", T.LongType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("value", T.DoubleType()),
+    ]
+)
+
+
+@register(
+    "file_ingest",
+    """
+SELECT 'envelope' AS via, event_id, user_id, event_type, value FROM events
+UNION ALL
+SELECT 'jsonl', event_id, user_id, event_type, value FROM events
+""",
+)
+def q_file_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-1 + SRC-3 through real files: events land as JSON envelopes of at most 100
+    records (one file each, read whole) and as JSONL lines; both are read back."""
+    from skein.sources.readers import read_child_batches, read_parent_envelopes
+
+    root = _scratch(spark, "files")
+    ev = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    env = ev.groupBy(F.floor(F.col("event_id") / 100).alias("b")).agg(
+        F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("event_id", "user_id", "event_type", "value"))).alias("results"))).alias("v")
+    )
+    env.select("v").write.option("maxRecordsPerFile", 1).mode("overwrite").text(f"{root}/envelopes")
+    ev.select(F.to_json(F.struct("*")).alias("v")).write.mode("overwrite").text(f"{root}/lines")
+    a = read_parent_envelopes(spark, f"{root}/envelopes", "*.txt", _EV_RECORD)
+    b = read_child_batches(spark, f"{root}/lines", _EV_RECORD, jsonl_pattern="*.txt", json_pattern=None)
+    cols = ["event_id", "user_id", "event_type", "value"]
+    return a.select(F.lit("envelope").alias("via"), *cols).unionByName(b.select(F.lit("jsonl").alias("via"), *cols))

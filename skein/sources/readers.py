@@ -101,14 +101,22 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, pattern: st
     return parsed.select("source_file", "pos_block", "pos", "r.*")
 
 
-def read_child_batches(spark: SparkSession, path: str, schema: T.StructType = CHILD_SCHEMA) -> DataFrame:
+def read_child_batches(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType = CHILD_SCHEMA,
+    jsonl_pattern: str = "*.jsonl",
+    json_pattern: str | None = "*.json",
+) -> DataFrame:
     """SRC-3: JSONL batches then JSON batches (lists or envelopes), ids normalised.
 
     JSONL files sort before JSON files in the reference order; the file order key
     is (``file_kind`` 0 = jsonl / 1 = json, ``source_file``, ``pos_block``, ``pos``).
     """
-    jsonl = read_jsonl(spark, path, schema).withColumn("file_kind", F.lit(0))
-    payloads = read_json_payloads(spark, path, "*.json")
+    jsonl = read_jsonl(spark, path, schema, jsonl_pattern).withColumn("file_kind", F.lit(0))
+    if json_pattern is None:
+        return normalize_id_columns(jsonl)
+    payloads = read_json_payloads(spark, path, json_pattern)
     js = explode_records(payloads, "payload", schema).withColumn("file_kind", F.lit(1)).withColumn("pos_block", F.lit(0).cast("bigint"))
     both = jsonl.unionByName(js, allowMissingColumns=True)
     return normalize_id_columns(both)
