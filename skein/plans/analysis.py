@@ -109,10 +109,28 @@ def sanity_counts(
     return row.unpivot([], row.columns, "measure", "value")
 
 
-def run_analysis(tables: dict[str, DataFrame], year: int = 2024, metrics=TEST_METRICS, kind_capped: str = "comments_capped500") -> dict[str, DataFrame]:
+def _with_names(tests: DataFrame, names: DataFrame) -> DataFrame:
+    """Rank-test rows carry the topic's label (id + 1) and display name ("Outlier"-safe)."""
+    out = tests.join(names, "topic_id", "left")
+    return out.withColumn("topic_label", rel.topic_label("topic_id")).withColumn(
+        "topic_name", F.coalesce("topic_name", F.lit("Outlier"))
+    )
+
+
+def run_analysis(
+    tables: dict[str, DataFrame],
+    year: int = 2024,
+    metrics=TEST_METRICS,
+    kind_capped: str = "comments_capped500",
+    id2topics: DataFrame | None = None,
+) -> dict[str, DataFrame]:
     """PIPE-10: topic shares, top parents, daily series, rank tests, quantiles and density
-    tables from the prepared tables (all lazy DataFrames)."""
+    tables from the prepared tables (all lazy DataFrames).  ``id2topics`` sizes the
+    topic-name list (SC-18); without it the valid topic ids of the parents do."""
     va, ca = tables["videos_analysis"], tables["comments_analysis"]
+    if id2topics is None:
+        id2topics = va.select("topic_id").distinct()
+    names = rel.topic_names(id2topics)
     out = {
         "daily_counts": ts.daily_activity(tables["videos_unique"], tables["comments_unique"]),
         "video_topic_fractions": ts.topic_share_by_year(tables["videos_with_topics"]),
@@ -123,12 +141,17 @@ def run_analysis(tables: dict[str, DataFrame], year: int = 2024, metrics=TEST_ME
     if len(present) != len(list(metrics)):
         missing = sorted(set(metrics) - set(present))
         raise ValueError(f"Missing test metrics: {missing}")
-    out["tests_videos"] = st.topic_vs_rest(va, "topic_id", list(metrics), kind="videos")
-    out["tests_comments"] = st.topic_vs_rest(ca, "topic_id", list(metrics), kind=kind_capped)
+    out["tests_videos"] = _with_names(st.topic_vs_rest(va, "topic_id", list(metrics), kind="videos"), names)
+    out["tests_comments"] = _with_names(st.topic_vs_rest(ca, "topic_id", list(metrics), kind=kind_capped), names)
     out["videos_vs_comments"] = st.two_sample_u(va, ca, "xlm_polarity", ("videos", kind_capped))
+    spine = names.select("topic_id")  # tables completed to every named topic (AG-8)
     for m in metrics:
-        out[f"quantiles_videos_{m}"] = st.quantile_table(st.long_metrics(va, ["topic_id"], [m]), "topic_id")
-        out[f"quantiles_comments_{m}"] = st.quantile_table(st.long_metrics(ca, ["topic_id"], [m]), "topic_id")
+        out[f"quantiles_videos_{m}"] = st.quantile_table(st.long_metrics(va, ["topic_id"], [m]), "topic_id", spine=spine)
+        out[f"quantiles_comments_{m}"] = st.quantile_table(st.long_metrics(ca, ["topic_id"], [m]), "topic_id", spine=spine)
+    out["sentiment_medians_videos"] = (
+        st.group_medians(va, "topic_id", ["xlm_negative", "xlm_positive"]) if {"xlm_negative", "xlm_positive"} <= set(va.columns) else None
+    )
+    out = {k: v for k, v in out.items() if v is not None}
     out["kde_videos"] = st.kde_grid(va, "xlm_polarity")
     out["kde_comments"] = st.kde_grid(ca, "xlm_polarity")
     return out

@@ -24,11 +24,12 @@ def test_prepare_and_analysis(spark):
     assert sanity["unique_comment_id_video"] <= sanity["source_comment_rows"]
     assert sanity["comments_after_cap_3_per_video"] <= sanity["unique_comment_id_video"]
     assert sanity["videos_valid_non_outlier_topics"] <= sanity["videos_with_any_topic"] <= sanity["source_video_rows"]
-    out = run_analysis(tables, year=1996, kind_capped="comments_capped3")
+    out = run_analysis(tables, year=1996, kind_capped="comments_capped3", id2topics=fx.id2topics(spark, SF))
     shares = out["video_topic_fractions"].groupBy("year").agg(F.sum("fraction").alias("s")).collect()
     assert all(abs(r.s - 1.0) < 1e-9 for r in shares)
     tests = out["tests_videos"].collect()
     assert tests and all(r.q_value_bh_fdr is None or r.q_value_bh_fdr >= r.p_value - 1e-15 for r in tests)
+    assert {(r.topic_id, r.topic_label, r.topic_name) for r in tests} >= {(0, "1", "Sunset")}
     assert out["kde_videos"].count() == 500
     q = out["quantiles_videos_xlm_polarity"].collect()
     assert all(r.q01 <= r.q50 <= r.q99 for r in q if r.q01 is not None)
