@@ -51,7 +51,6 @@ FROM items
 def q_topic_table(spark: SparkSession, sf: str) -> DataFrame:
     docs = _docs_by_id(spark, sf)
     _, kmap = kw.log_odds_keywords(docs, "topic", "topic_text", 10)
-    kmap = kmap.persist()  # one row per topic; read twice below (names spine and keywords)
     id2 = kmap.select(F.col("topic").alias("topic_id"), F.col("keywords").alias("topic"))
     names = rel.topic_names(id2)
     return kw.topic_table(kmap, names)

@@ -114,11 +114,10 @@ WHERE n >= min_chars GROUP BY min_chars
 )
 def q_alnum_count(spark: SparkSession, sf: str) -> DataFrame:
     conv = table(spark, sf, "conversations").select(tx.alnum_count("text").alias("n"))
-    out = None
-    for k in (0, 20, 100, 1000):
-        part = conv.filter(F.col("n") >= k).agg(F.count(F.lit(1)).alias("n_kept")).select(F.lit(k).alias("min_chars"), "n_kept")
-        out = part if out is None else out.unionByName(part)
-    return out.filter(F.col("n_kept") > 0)
+    ks = (0, 20, 100, 1000)
+    row = conv.agg(*[F.count_if(F.col("n") >= k).alias(str(k)) for k in ks])  # one scan, FLT-2 per threshold
+    long = row.unpivot([], [str(k) for k in ks], "k", "n_kept")
+    return long.select(F.col("k").cast("int").alias("min_chars"), "n_kept").filter(F.col("n_kept") > 0)
 
 
 @register(

@@ -6,10 +6,10 @@ Plan shape for ``log_odds_keywords`` (one pass over the text):
 1. tokens are produced by built-in array expressions and exploded;
 2. ``groupBy(topic, term).count()`` — partial (map-side) aggregation, then one
    shuffle on (topic, term);
-3. term totals ``F`` by a window partitioned on ``term`` over the *aggregated*
-   counts (second, much smaller shuffle); topic sizes ``n_i`` and the grand total
-   ``N`` are aggregates with one row per topic / one row, joined back (AQE
-   broadcasts them after measuring them);
+3. the counts are materialised once (checkpoint folder); term totals ``F`` come
+   from a window partitioned on ``term`` over them (a much smaller shuffle); topic
+   sizes ``n_i`` and the grand total ``N`` are aggregates with one row per topic /
+   one row, joined back (AQE broadcasts them after measuring them);
 4. top-n per topic by ``row_number`` ≤ n: Spark inserts a map-side
    ``WindowGroupLimit`` so a topic holding a third of all terms ships only its
    local top-n per task.
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.constants import DEFAULT_MIN_TOPIC_TEXT_LEN, DEFAULT_TOP_N_KEYWORDS
+from skein.session import cut_lineage
 from skein.functions.text import (
     compute_once,
     explode_tokens,
@@ -68,8 +69,14 @@ def log_odds_z(f_i: Column, big_f: Column, n_i: Column, big_n: Column) -> Column
 
 
 def log_odds_scores(df: DataFrame, topic_col: str, text_col: str) -> DataFrame:
-    """All (topic, term, z) for terms seen in the topic."""
-    counts = term_counts(df, topic_col, text_col)
+    """All (topic, term, z) for terms seen in the topic.
+
+    The (topic, term) counts feed three branches (term totals, topic sizes, grand
+    total); identical exchanges are not reliably reused, so the counts are
+    materialised once in the checkpoint folder instead of re-tokenising the text
+    three times.
+    """
+    counts = cut_lineage(term_counts(df, topic_col, text_col))
     sizes = counts.groupBy("topic").agg(F.sum("f_i").alias("n_i"))
     total = counts.agg(F.sum("f_i").alias("big_n"))
     by_term = Window.partitionBy("term")
@@ -151,7 +158,7 @@ def class_tfidf_terms(df: DataFrame, topic_col: str, text_col: str, top_n: int =
         [F.col(topic_col).alias("topic")],
         F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), lambda w: w != F.lit("")),
     )
-    tf = words.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = cut_lineage(words.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("tf")))  # read twice below
     avg = tf.agg((F.sum("tf") / F.countDistinct("topic")).alias("avg_words"))
     scored = tf.withColumn("f_t", F.sum("tf").over(Window.partitionBy("term"))).crossJoin(avg)
     scored = scored.withColumn("z_score", F.col("tf") * F.ln(F.lit(1.0) + F.col("avg_words") / F.col("f_t")))

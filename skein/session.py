@@ -105,6 +105,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Tables whose rows carry long texts: CPU-heavy regex work per row.
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+
+
+def balance_partitions(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread CPU-heavy rows over all cores when the scan yields too few partitions.
+
+    A small file with one row group scans as one partition, and regex work on it
+    would run in one task.  Only then is a round-robin repartition added; a large
+    input already has at least as many splits as the cluster has cores, and is
+    left untouched (no extra shuffle at scale).
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one of the driver's parquet tables."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Read one of the driver's parquet tables (text tables balanced over the cores)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return balance_partitions(df) if name in TEXT_TABLES else df
