@@ -85,8 +85,8 @@ def topic_share_total(children_with_topics: DataFrame) -> DataFrame:
     """TS-3: (topic_num, count, fraction of all valid-topic children)."""
     v = children_with_topics.filter(valid_topic("topic_id")).select((F.col("topic_id") + 1).alias("topic_num"))
     counts = v.groupBy("topic_num").agg(F.count(F.lit(1)).alias("count"))
-    total = counts.agg(F.sum("count").alias("__total"))  # one-row aggregate
-    return counts.crossJoin(total).select("topic_num", "count", (F.col("count") / F.col("__total")).alias("fraction"))
+    # window over the aggregated table (one row per topic), not over rows
+    return counts.withColumn("fraction", F.col("count") / F.sum("count").over(Window.partitionBy()))
 
 
 def top_parents(

@@ -22,6 +22,7 @@ from skein.operators import relational as rel
 from skein.operators import stats as st
 from skein.operators import timeseries as ts
 from skein.operators.quality import assert_unique
+from skein.plans.preprocess import measures_table
 
 
 def _file_order(df: DataFrame):
@@ -98,15 +99,9 @@ def sanity_counts(
         ),
         comments_capped_with_topics.agg(F.count_if(valid).alias(f"comments_capped_{max_comments}_valid_non_outlier_topics")),
     ]
-    row = parts[0]
-    for p in parts[1:]:
-        row = row.crossJoin(p)  # one-row aggregates
-    row = row.select(
-        F.lit(PAPER_VIDEO_COUNT).cast("bigint").alias("paper_video_count"),
-        F.lit(PAPER_COMMENT_COUNT).cast("bigint").alias("paper_comment_count"),
-        *[F.col(c).cast("bigint").alias(c) for c in row.columns],
-    )
-    return row.unpivot([], row.columns, "measure", "value")
+    spark = videos_raw.sparkSession
+    paper = spark.createDataFrame([(PAPER_VIDEO_COUNT, PAPER_COMMENT_COUNT)], "paper_video_count BIGINT, paper_comment_count BIGINT")
+    return measures_table([paper, *parts])
 
 
 def _with_names(tests: DataFrame, names: DataFrame) -> DataFrame:

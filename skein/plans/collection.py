@@ -66,9 +66,9 @@ def collection_summary(raw: DataFrame, unique: DataFrame, eligible: DataFrame, i
     b = unique.agg(F.count(F.lit(1)).alias("videos_after_dedup"))
     c = eligible.agg(F.count(F.lit(1)).alias(f"videos_comment_count_ge_{min_count}"))
     d = ids.agg(F.count(F.lit(1)).alias("video_ids_for_comments"))
-    row = a.crossJoin(b).crossJoin(c).crossJoin(d)  # one-row aggregates
-    order = ["video_rows", "unique_video_ids", "videos_after_dedup", f"videos_comment_count_ge_{min_count}", "video_ids_for_comments"]
+    from skein.plans.preprocess import measures_table
+
+    parts = [a.select("video_rows", "unique_video_ids"), b, c, d]
     if "source_file" in raw.columns:
-        order.append("source_files")
-    row = row.select(*[F.col(x).cast("bigint").alias(x) for x in order])
-    return row.unpivot([], row.columns, "measure", "value")
+        parts.append(a.select("source_files"))
+    return measures_table(parts)

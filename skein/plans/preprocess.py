@@ -52,6 +52,15 @@ def preprocess_summary(videos_in: DataFrame, videos_out: DataFrame, comments_in:
     c = comments_in.agg(F.count(F.lit(1)).alias("comment_rows_in"))
     d = comments_out.agg(F.count(F.lit(1)).alias("comment_rows_out"))
     e = comments_out.select("id", "video_id").distinct().agg(F.count(F.lit(1)).alias("unique_comment_id_video_out"))
-    row = a.crossJoin(b).crossJoin(c).crossJoin(d).crossJoin(e)  # one-row aggregates
-    row = row.select(*[F.col(x).cast("bigint").alias(x) for x in row.columns])
-    return row.unpivot([], row.columns, "measure", "value")
+    return measures_table([a, b, c, d, e])
+
+
+def measures_table(parts: list[DataFrame]) -> DataFrame:
+    """(measure, value) rows from one-row aggregates, in order (unpivot + union, no joins)."""
+    out = None
+    for i, part in enumerate(parts):
+        cols = part.columns
+        long = part.select(*[F.col(c).cast("bigint").alias(c) for c in cols]).unpivot([], cols, "measure", "value")
+        long = long.withColumn("__part", F.lit(i))
+        out = long if out is None else out.unionByName(long)
+    return out.drop("__part")
