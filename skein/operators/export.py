@@ -54,7 +54,7 @@ def filter_sparse_dates(
     for n_pass in range(1, max_passes + 1):
         per_date = vk.select("date", "n").unionAll(ck.select("date", "n")).filter(F.col("date").isNotNull())
         dates = per_date.groupBy("date").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_entries).select("date")
-        vk2 = vk.join(dates, "date", "left_semi")
+        vk2 = vk.join(dates, "date", "left_semi")  # FLT-8 membership as semi joins
         ck2 = ck.join(dates, "date", "left_semi").join(vk2.select(F.col("id").alias("video_id")), "video_id", "left_semi")
         vk2, ck2 = cut_lineage(vk2), cut_lineage(ck2)
         nv2, nc2 = _total(vk2), _total(ck2)
@@ -96,13 +96,16 @@ def build_exports(
         raise ValueError(f"{orphans} comments reference videos outside the parent table")
     ci = dense_index(c, list(comment_order), "comment_index")
     ci = ci.join(vi.select(F.col("id").alias("video_id"), "video_index"), "video_id")  # JN-8
+    # PRJ-3: rename and fixed column order
     video_export = vi.select(F.col("topic_name").alias("topic"), "video_index", "date", *scores).select(*PARENT_EXPORT_COLUMNS)
     comment_export = ci.select(*CHILD_EXPORT_COLUMNS)
     return video_export, comment_export, passes
 
 
 def validate_exports(video_export: DataFrame, comment_export: DataFrame, min_entries: int = DEFAULT_MIN_ENTRIES_PER_DATE) -> DataFrame:
-    """DQ-3 … DQ-7 as a DataFrame (check, failures); schema checks need no job."""
+    """DQ-3 … DQ-7 as a DataFrame (check, failures); schema checks need no job.
+
+    SET-3 leak check (disallowed ∩ columns), DQ-4 exact ordered column lists."""
     spark = video_export.sparkSession
     leaked_v = sorted(set(DISALLOWED_EXPORT_COLUMNS) & set(video_export.columns))
     leaked_c = sorted(set(DISALLOWED_EXPORT_COLUMNS) & set(comment_export.columns))

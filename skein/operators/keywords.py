@@ -117,7 +117,9 @@ def topic_documents(
     min_len: int = DEFAULT_MIN_TOPIC_TEXT_LEN,
     text_col: str | None = None,
 ) -> DataFrame:
-    """TXT-2: (id, source_text, topic_text[, create_time]) with short topic texts removed."""
+    """TXT-2: (id, source_text, topic_text[, create_time]) with short topic texts removed (FLT-3).
+
+    PRJ-6: ``processed_text`` when present, else ``text``."""
     if text_col is None:
         text_col = "processed_text" if "processed_text" in df.columns else "text"
     keep = [F.col(id_col).alias("id"), F.col(text_col).alias("source_text")]

@@ -134,10 +134,15 @@ def seeded_shuffle(df: DataFrame, id_col: str, seed: int = DEFAULT_SEED) -> Data
 
 
 def first_n(df: DataFrame, key: str, n: int) -> DataFrame:
-    """SRC-9: deterministic smoke limit (top-n by key; TakeOrderedAndProject)."""
+    """SRC-9 / SO-4: deterministic limit or bounded page (top-n by key; TakeOrderedAndProject)."""
     return df.orderBy(F.col(key)).limit(n) if n > 0 else df
 
 
+def sorted_topic_ids(df: DataFrame, topic_col: str = "topic_id") -> DataFrame:
+    """SO-3: distinct valid topic ids in order (a small range-partitioned sort)."""
+    return df.select(F.col(topic_col).alias("topic_id")).filter(valid_topic("topic_id")).distinct().orderBy("topic_id")
+
+
 def finite(c: Column | str) -> Column:
     """FLT-10: value is not null, not NaN and not ±infinity."""
     x = F.col(c) if isinstance(c, str) else c

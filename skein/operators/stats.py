@@ -184,7 +184,7 @@ def quantile_table(
 
 
 def group_medians(df: DataFrame, group_col: str, cols: Sequence[str]) -> DataFrame:
-    """AG-9: per-group medians of several columns after a joint null drop."""
+    """AG-9: per-group medians of several columns after a joint null drop (FLT-12)."""
     clean = df.select(group_col, *[F.col(c).cast("string").try_cast("double").alias(c) for c in cols]).na.drop()
     long = clean.unpivot([group_col], list(cols), "metric", "value")
     q = exact_quantiles(long, [group_col, "metric"], [0.5])
@@ -289,7 +289,9 @@ def topic_vs_rest(
     with_p: bool = True,
 ) -> DataFrame:
     """STAT-1 (+ STAT-2, STAT-5, SC-17): per topic × metric, Mann-Whitney U of the topic's
-    finite values against all other rows' finite values.
+    finite values against all other rows' finite values.  JN-10 "topic vs rest" is
+    derived from totals minus the topic (no join); WN-5 mid-ranks from the ranked
+    histogram; AG-10 means/medians of both sides.
 
     Columns: kind, topic, metric, n_topic, n_rest, median_topic, median_rest,
     mean_topic, mean_rest, u_stat, tie_term, z, [p_value, q_value_bh_fdr, significance].
@@ -389,7 +391,7 @@ def two_sample_u(a: DataFrame, b: DataFrame, metric: str, names: tuple[str, str]
 def bh_fdr(df: DataFrame, p_col: str, partition_cols: Sequence[str], q_col: str = "q_value_bh_fdr") -> DataFrame:
     """STAT-5: BH q-values within each partition; non-finite p stay null and do not count in m.
 
-    q_(i) = min_{j ≥ i} p_(j)·m / j, clipped to [0, 1].  The windows are
+    q_(i) = min_{j ≥ i} p_(j)·m / j, clipped to [0, 1] (WN-6: running minimum from the largest p).  The windows are
     partitioned by (kind, metric): one partition holds the tests of one family
     (topics × metrics rows), never data rows.
     """

@@ -40,6 +40,7 @@ def daily_activity(
     """TS-1: per year and UTC day of the window: distinct posts, distinct authors, distinct
     children.  A child counts in its **parent's** year and only inside the window
     (half-open at the end); days without activity are zero; ``username`` is optional.
+    AG-5 distinct counts per day; FLT-6 half-open range; JN-11 spine fill.
     """
     spark = parents.sparkSession
     spine = _spine(spark, years, window)
@@ -71,7 +72,9 @@ def daily_activity(
 
 
 def topic_share_by_year(parents_with_topics: DataFrame) -> DataFrame:
-    """TS-2: (year, topic_num, count, fraction of the year's valid-topic posts); all years kept."""
+    """TS-2: (year, topic_num, count, fraction of the year's valid-topic posts); all years kept.
+
+    AG-4 counts per (year, topic); WN-1 share of the year's total."""
     v = parents_with_topics.filter(valid_topic("topic_id")).select(
         F.year(epoch_to_ts("create_time")).alias("year"), (F.col("topic_id") + 1).alias("topic_num")
     )
@@ -82,7 +85,7 @@ def topic_share_by_year(parents_with_topics: DataFrame) -> DataFrame:
 
 
 def topic_share_total(children_with_topics: DataFrame) -> DataFrame:
-    """TS-3: (topic_num, count, fraction of all valid-topic children)."""
+    """TS-3: (topic_num, count, fraction of all valid-topic children) — AG-4 counts, WN-2 share of the grand total."""
     v = children_with_topics.filter(valid_topic("topic_id")).select((F.col("topic_id") + 1).alias("topic_num"))
     counts = v.groupBy("topic_num").agg(F.count(F.lit(1)).alias("count"))
     # window over the aggregated table (one row per topic), not over rows
@@ -97,7 +100,7 @@ def top_parents(
     text_col: str | None = None,
 ) -> DataFrame:
     """SO-1 + JN-5: the year's top-n parents by collected children, with raw and text-deduped
-    counts (missing → 0); ties broken by id."""
+    counts (missing → 0); ties broken by id.  PRJ-6: ``processed_text`` else ``text``."""
     if text_col is None:
         text_col = "processed_text" if "processed_text" in children.columns else "text"
     numeric = dict(parents.dtypes).get("create_time") in ("bigint", "int", "double")

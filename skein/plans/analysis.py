@@ -77,7 +77,7 @@ def sanity_counts(
     comments_capped_with_topics: DataFrame,
     max_comments: int,
 ) -> DataFrame:
-    """AG-15: the 14 sanity measures as (measure, value), one aggregate per input."""
+    """AG-15: the 14 sanity measures as (measure, value), one aggregate per input (AG-6 whole-table distinct counts)."""
     text_col = "processed_text" if "processed_text" in comments_unique.columns else "text"
     valid = rel.valid_topic()
     parts = [
@@ -132,6 +132,7 @@ def run_analysis(
         "comment_topic_fractions": ts.topic_share_total(tables["comments_raw_topic_valid"]),
         "top_videos": ts.top_parents(tables["videos_unique"], tables["comments_unique"], year),
     }
+    # STAT-4: metric presence check, then videos and capped comments tested on every metric
     present = [m for m in metrics if m in va.columns and m in ca.columns]
     if len(present) != len(list(metrics)):
         missing = sorted(set(metrics) - set(present))

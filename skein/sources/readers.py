@@ -58,7 +58,7 @@ def read_json_payloads(spark: SparkSession, path: str, pattern: str = "*.json")
         spark.read.option("wholetext", True)
         .option("pathGlobFilter", pattern)
         .text(path)
-        .select(F.col("value").alias("payload"), F.col("_metadata.file_name").alias("source_file"))
+        .select(F.col("value").alias("payload"), F.col("_metadata.file_name").alias("source_file"))  # PRJ-7 lineage
     )
 
 
@@ -118,7 +118,7 @@ def read_child_batches(
         return normalize_id_columns(jsonl)
     payloads = read_json_payloads(spark, path, json_pattern)
     js = explode_records(payloads, "payload", schema).withColumn("file_kind", F.lit(1)).withColumn("pos_block", F.lit(0).cast("bigint"))
-    both = jsonl.unionByName(js, allowMissingColumns=True)
+    both = jsonl.unionByName(js, allowMissingColumns=True)  # SET-1 union of differing columns
     return normalize_id_columns(both)
 
 
