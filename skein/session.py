@@ -100,9 +100,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the reliable checkpoint folder (survives executor loss)."""
+    """Materialise ``df`` into the reliable checkpoint folder (survives executor loss).
+
+    An eager checkpoint runs one job to compute the data and another to write
+    the files; persisting first lets the second job read the cached blocks
+    instead of recomputing the lineage (Spark's documented recommendation).
+    """
+    from pyspark import StorageLevel
+
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
 
 
 # Tables whose rows carry long texts: CPU-heavy regex work per row.
