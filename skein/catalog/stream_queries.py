@@ -75,11 +75,11 @@ def q_stream_latest_status(spark: SparkSession, sf: str) -> DataFrame:
         part = ev.filter((F.col("ts") >= F.lit(lo).cast("timestamp")) & (F.col("ts") < F.lit(hi).cast("timestamp")))
         part.coalesce(1).write.mode("overwrite").parquet(f"{landing}/slice={i}")
     schema = spark.read.parquet(f"{landing}/slice=0").schema
-    stream = si.read_table_stream(spark, landing, schema, max_files=1).select(
-        "user_id", "event_id", "event_type", F.struct("ts", "event_id").alias("seq")
-    )
-    si.run_available_now(stream, "", f"{root}/ckpt", foreach_batch=si.latest_status(f"{root}/state", "user_id", "seq", "event_type"))
-    return si.read_latest_status(spark, f"{root}/state", "event_type", "error").select("user_id", "event_id", "event_type")
+    stream = si.read_table_stream(spark, landing, schema, max_files=1)
+    latest = si.latest_status_stateful(stream, "user_id", ["ts", "event_id"], ["event_type"])
+    si.run_available_now(latest, "", f"{root}/ckpt", mode="update", foreach_batch=si.append_each_batch(f"{root}/changes"))
+    current = si.fold_changes(spark.read.parquet(f"{root}/changes"), "user_id", ["ts", "event_id"])
+    return current.filter(F.col("event_type") == "error").select("user_id", "event_id", "event_type")
 
 
 @register(
