@@ -121,3 +121,23 @@ def test_driver_contract(spark):
     df = entry.entry(spark)
     assert df.columns == ["topic", "rank", "term", "z_score"]
     assert df.count() >= 0
+
+
+def test_latest_status_stateful_out_of_order(spark, tmpdir_path):
+    from skein.streaming import ingest as si
+
+    land = os.path.join(tmpdir_path, "land")
+    schema = "user_id LONG, ts LONG, event_id LONG, event_type STRING"
+    batches = [
+        [(1, 10, 1, "error"), (2, 10, 2, "error"), (1, 5, 3, "ok")],  # user 1: latest is the error at ts 10
+        [(1, 7, 4, "ok"), (2, 20, 5, "ok")],  # older event for user 1 arrives late: ignored; user 2 recovers
+        [(3, 1, 6, "error")],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(land, f"b={i}"))
+    stream = si.read_table_stream(spark, land, spark.read.parquet(os.path.join(land, "b=0")).schema, max_files=1)
+    latest = si.latest_status_stateful(stream, "user_id", ["ts", "event_id"], ["event_type"])
+    out = os.path.join(tmpdir_path, "changes")
+    si.run_available_now(latest, "", os.path.join(tmpdir_path, "ck"), mode="update", foreach_batch=si.append_each_batch(out))
+    current = {r.user_id: r.event_type for r in si.fold_changes(spark.read.parquet(out), "user_id", ["ts", "event_id"]).collect()}
+    assert current == {1: "error", 2: "ok", 3: "error"}
