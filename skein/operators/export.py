@@ -28,8 +28,13 @@ def date_counts(videos: DataFrame, comments: DataFrame) -> DataFrame:
     return both.filter(F.col("date").isNotNull()).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _total(df: DataFrame) -> int:
-    return int(df.agg(F.sum("n")).first()[0] or 0)
+def _totals(a: DataFrame, b: DataFrame) -> tuple[int, int]:
+    """Row totals of two narrow (…, n) tables in one job."""
+    row = a.agg(F.sum("n").alias("t")).select(F.lit(0).alias("k"), "t").unionByName(
+        b.agg(F.sum("n").alias("t")).select(F.lit(1).alias("k"), "t")
+    ).collect()
+    got = {r["k"]: int(r["t"] or 0) for r in row}
+    return got.get(0, 0), got.get(1, 0)
 
 
 def filter_sparse_dates(
@@ -50,14 +55,14 @@ def filter_sparse_dates(
     """
     vk = cut_lineage(videos.groupBy("id", "date").agg(F.count(F.lit(1)).alias("n")))
     ck = cut_lineage(comments.groupBy("video_id", "date").agg(F.count(F.lit(1)).alias("n")))
-    nv, nc = _total(vk), _total(ck)
+    nv, nc = _totals(vk, ck)
     for n_pass in range(1, max_passes + 1):
         per_date = vk.select("date", "n").unionAll(ck.select("date", "n")).filter(F.col("date").isNotNull())
         dates = per_date.groupBy("date").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_entries).select("date")
         vk2 = vk.join(dates, "date", "left_semi")  # FLT-8 membership as semi joins
         ck2 = ck.join(dates, "date", "left_semi").join(vk2.select(F.col("id").alias("video_id")), "video_id", "left_semi")
         vk2, ck2 = cut_lineage(vk2), cut_lineage(ck2)
-        nv2, nc2 = _total(vk2), _total(ck2)
+        nv2, nc2 = _totals(vk2, ck2)
         vk, ck = vk2, ck2
         if nv2 == nv and nc2 == nc:
             break
@@ -88,8 +93,8 @@ def build_exports(
     c = c.withColumn("video_id", F.col("video_id").cast("string")).withColumn("date", epoch_to_date_str("create_time"))
     # read three times below (fixed point, indices, orphan check): dedupe once.  A lost
     # cached block is recomputed from deterministic lineage.
-    v, c = v.persist(StorageLevel.MEMORY_AND_DISK), c.persist(StorageLevel.MEMORY_AND_DISK)
-    v, c, passes = filter_sparse_dates(v, c, min_entries)
+    v_cached, c_cached = v.persist(StorageLevel.MEMORY_AND_DISK), c.persist(StorageLevel.MEMORY_AND_DISK)
+    v, c, passes = filter_sparse_dates(v_cached, c_cached, min_entries)
     vi = dense_index(v, list(video_order), "video_index")
     orphans = count_orphans(c, vi.select("id"), "video_id", "id").first()["orphans"]
     if orphans:
@@ -99,6 +104,9 @@ def build_exports(
     # PRJ-3: rename and fixed column order
     video_export = vi.select(F.col("topic_name").alias("topic"), "video_index", "date", *scores).select(*PARENT_EXPORT_COLUMNS)
     comment_export = ci.select(*CHILD_EXPORT_COLUMNS)
+    # both indexed tables come from checkpoints now: the cached inputs can go
+    for cached in (v_cached, c_cached):
+        cached.unpersist()
     return video_export, comment_export, passes
 
 
