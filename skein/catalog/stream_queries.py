@@ -122,13 +122,13 @@ SELECT 'jsonl', event_id, user_id, event_type, value FROM events
 """,
 )
 def q_file_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """SRC-1 + SRC-3 through real files: events land as JSON envelopes of at most 100
+    """SRC-1 + SRC-3 through real files: events land as JSON envelopes of at most 1,000
     records (one file each, read whole) and as JSONL lines; both are read back."""
     from skein.sources.readers import read_child_batches, read_parent_envelopes
 
     root = _scratch(spark, "files")
     ev = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
-    env = ev.groupBy(F.floor(F.col("event_id") / 100).alias("b")).agg(
+    env = ev.groupBy(F.floor(F.col("event_id") / 1000).alias("b")).agg(
         F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("event_id", "user_id", "event_type", "value"))).alias("results"))).alias("v")
     )
     env.select("v").write.option("maxRecordsPerFile", 1).mode("overwrite").text(f"{root}/envelopes")
