@@ -25,6 +25,8 @@ LOCAL_DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "8g",
     "spark.sql.ansi.enabled": "true",
+    # delete checkpoint files once their DataFrames are garbage collected
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
