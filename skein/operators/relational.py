@@ -2,8 +2,8 @@
 
 Scale notes (1000 executors, one key may hold a third of all rows):
 
-* ``dedupe_keep_first`` is a ``min_by`` hash aggregate per key: partial
-  aggregation leaves one row per key per task, so a hot key costs nothing extra.
+* ``dedupe_keep_first`` is a ``min_by`` aggregate per key: partial aggregation
+  leaves one row per key per task, so a hot key costs nothing extra.
 * ``cap_per_parent`` is a salted two-step top-N (within (key, salt), then within
   key); Spark also inserts a map-side ``WindowGroupLimit`` so each task ships
   ≤ N rows per key, and the final step sees ≤ N × salts rows of a hot key.
@@ -75,9 +75,10 @@ def dedupe_keep_first(
     ``order`` defaults to all non-key columns, which is total when whole rows are
     distinct (the ingest readers add ``source_file``/``pos`` for file order).
 
-    Plan: ``min_by(struct(row), struct(order))`` per key — a hash aggregate with
-    map-side partial aggregation, so a key repeated by a third of all rows
-    leaves each task as one row, through one shuffle and without any sort.
+    Plan: ``min_by(struct(row), struct(order))`` per key with map-side partial
+    aggregation (planned as a sort-based aggregate: struct buffers are not
+    hash-aggregated), so a key repeated by a third of all rows leaves each task
+    as one row, through one shuffle and without a window over whole keys.
     """
     keys = list(keys)
     cols = order or [c for c in df.columns if c not in keys]
