@@ -205,6 +205,14 @@ def q_cluster_topics(spark: SparkSession, sf: str) -> DataFrame:
     return topics
 
 
+@register("density_topics")
+def q_density_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-8 (b): density-connected micro-clusters over the reduced embeddings, outliers −1."""
+    emb = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    feats, _ = tp.reduce_dimensions(emb, "vec_id", "embedding", k=10)
+    return tp.density_topics(feats, "vec_id", micro_k=40, min_points=3, min_size=10)
+
+
 @register("map_2d")
 def q_map_2d(spark: SparkSession, sf: str) -> DataFrame:
     """ML-11: 2-D coordinates joined to topics by key."""

@@ -99,6 +99,65 @@ def cluster_topics(
     return out, model
 
 
+def density_topics(
+    feats: DataFrame,
+    id_col: str,
+    micro_k: int = 100,
+    min_points: int = 3,
+    min_size: int = 10,
+    link_factor: float = 1.0,
+    seed: int = DEFAULT_SEED,
+) -> DataFrame:
+    """ML-8 (b): density-connected topics with outliers, without pairing data rows.
+
+    1. KMeans with ``micro_k`` micro-clusters (distributed MLlib training);
+    2. per micro-cluster size and radius (90th-percentile distance to the centre) —
+       a table bounded by ``micro_k``;
+    3. micro-clusters whose centres lie within ``link_factor × (r_i + r_j)`` are
+       density-connected; pairs are formed among the ≤ ``micro_k`` centres only;
+    4. connected components (union-find on that bounded graph); micro-clusters
+       with fewer than ``min_points`` rows and components below ``min_size``
+       are outliers (−1); topic ids are renumbered by size, largest first.
+    Returns (id, topic_id).
+    """
+    import numpy as np
+
+    km = KMeans(k=micro_k, seed=seed, featuresCol="features", predictionCol="micro", maxIter=20).fit(feats)
+    centres = np.array(km.clusterCenters())  # micro_k × dim: bounded by the parameter
+    assigned = km.transform(feats).withColumn("__f", vector_to_array("features"))
+    centre_list = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres])
+    own = F.element_at(centre_list, F.col("micro") + 1)
+    dist = F.sqrt(F.aggregate(F.zip_with("__f", own, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, v: a + v))
+    # extent of a micro-cluster: 90th-percentile distance to its centre (bounded-memory sketch)
+    stats = assigned.groupBy("micro").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(dist, 0.9).alias("r")).collect()  # ≤ micro_k rows
+    size = {r["micro"]: r["n"] for r in stats}
+    radius = {r["micro"]: float(r["r"] or 0.0) for r in stats}
+    dense = sorted(m for m in size if size[m] >= min_points)
+    parent = {m: m for m in dense}
+
+    def find(m):
+        while parent[m] != m:
+            parent[m] = parent[parent[m]]
+            m = parent[m]
+        return m
+
+    for i, a in enumerate(dense):
+        for b in dense[i + 1:]:
+            if np.linalg.norm(centres[a] - centres[b]) <= link_factor * (radius[a] + radius[b]):
+                ra, rb = find(a), find(b)
+                if ra != rb:
+                    parent[max(ra, rb)] = min(ra, rb)
+    comp_size: dict[int, int] = {}
+    for m in dense:
+        comp_size[find(m)] = comp_size.get(find(m), 0) + size[m]
+    kept = sorted((c for c in comp_size if comp_size[c] >= min_size), key=lambda c: (-comp_size[c], c))
+    topic_of_comp = {c: i for i, c in enumerate(kept)}
+    mapping = [(m, topic_of_comp.get(find(m), -1) if m in parent else -1) for m in range(micro_k)]
+    spark = feats.sparkSession
+    mdf = spark.createDataFrame(mapping, "micro INT, topic_id INT")  # ≤ micro_k rows
+    return assigned.join(F.broadcast(mdf), "micro").select(id_col, "topic_id")
+
+
 def map_2d(emb: DataFrame, id_col: str, topics: DataFrame, vec_col: str = "embedding", exclude_topics=()) -> DataFrame:
     """ML-11: (id, x, y, topic_id) from PCA(2), joined by key; DQ-8 is ``key_mismatch``.
 

@@ -91,3 +91,23 @@ def test_scoring_plan_reuse(spark, tmpdir_path):
     mtime = os.path.getmtime(out_p)
     b = process_table(spark, src, out_p, red_p, reuse=True, sentiment_factory=hashed_linear_model(3, seed=1), lexicon=lex)
     assert os.path.getmtime(out_p) == mtime and b.count() == a.count()
+
+
+def test_density_topics_separates_planted_blobs(spark):
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+
+    from skein.operators.topics import density_topics
+
+    rng = np.random.default_rng(0)
+    a = rng.normal(0, 0.05, size=(150, 3))
+    b = rng.normal(5, 0.05, size=(150, 3))
+    noise = np.array([[20.0, -20.0, 20.0]])
+    pts = np.vstack([a, b, noise])
+    df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(pts)], "id INT, v ARRAY<DOUBLE>")
+    feats = df.select("id", array_to_vector("v").alias("features"))
+    got = {r.id: r.topic_id for r in density_topics(feats, "id", micro_k=12, min_points=3, min_size=20).collect()}
+    ta = {got[i] for i in range(150)}
+    tb = {got[i] for i in range(150, 300)}
+    assert len(ta) == 1 and len(tb) == 1 and ta != tb and -1 not in ta | tb
+    assert got[300] == -1  # isolated point: outlier
