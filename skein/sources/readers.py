@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from skein.constants import DEFAULT_TERMS
 from skein.functions.scalar import normalize_id_columns
-from skein.schemas import CHILD_SCHEMA, PARENT_SCHEMA, envelope_schema
+from skein.schemas import CHILD_SCHEMA, PARENT_SCHEMA
 
 
 def _objects(items: Column, record: T.StructType) -> Column:
