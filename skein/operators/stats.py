@@ -287,6 +287,7 @@ def topic_vs_rest(
     metrics: Sequence[str],
     kind: str = "videos",
     with_p: bool = True,
+    with_fdr: bool = True,
 ) -> DataFrame:
     """STAT-1 (+ STAT-2, STAT-5, SC-17): per topic × metric, Mann-Whitney U of the topic's
     finite values against all other rows' finite values.  JN-10 "topic vs rest" is
@@ -358,7 +359,8 @@ def topic_vs_rest(
     )
     if with_p:
         out = out.withColumn("p_value", F.when(F.col("u_stat").isNotNull(), mwu_p_udf("u_stat", "n_topic", "n_rest", "tie_term")))
-        out = bh_fdr(out, "p_value", ["kind", "metric"]).withColumn("significance", significance("q_value_bh_fdr"))
+        if with_fdr:
+            out = bh_fdr(out, "p_value", ["kind", "metric"]).withColumn("significance", significance("q_value_bh_fdr"))
     return out
 
 
@@ -366,7 +368,8 @@ def two_sample_u(a: DataFrame, b: DataFrame, metric: str, names: tuple[str, str]
     """STAT-3: sample ``a`` vs sample ``b`` on one metric; q = p (a single test)."""
     side = "__side"
     both = a.select(F.lit(names[0]).alias(side), F.col(metric)).unionByName(b.select(F.lit(names[1]).alias(side), F.col(metric)))
-    res = topic_vs_rest(both, side, [metric], kind="two_sample", with_p=True).filter(F.col(side) == names[0])
+    # a single test: q = p, so no FDR windows
+    res = topic_vs_rest(both, side, [metric], kind="two_sample", with_p=True, with_fdr=False).filter(F.col(side) == names[0])
     return res.select(
         F.lit(metric).alias("metric"),
         F.col("n_topic").alias(f"n_{names[0]}"),
