@@ -157,3 +157,22 @@ def test_two_sample(spark):
     assert r.u_stat == pytest.approx(brute_u(np.array([1, 2, 3, 4, 10.0]), np.array([5, 6, 7, 8, 9, 11.0])))
     assert r.median_videos == 3 and r.median_comments == 7.5
     assert r.q_value_bh_fdr == r.p_value
+
+
+def test_ranked_histogram_hot_group_across_small_batches(spark):
+    """A group with a third of all rows spans many Arrow batches and partitions."""
+    rng = np.random.default_rng(8)
+    n = 6000
+    grp = np.where(rng.random(n) < 0.34, 0, rng.integers(1, 4, n))
+    vals = rng.integers(0, 2500, n).astype(float)
+    df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(grp, vals)], "g INT, value DOUBLE")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        rows = st.ranked_histogram(df, ["g"], partitions=5).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for r in rows:
+        sel = vals[grp == r.g]
+        assert r.below == int((sel < r.value).sum()), (r.g, r.value)
+        assert r.c == int((sel == r.value).sum())
