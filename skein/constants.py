@@ -234,6 +234,9 @@ REDACT_COLUMNS = [
     "source_file",
 ]
 
+# Published headers of the topic table CSV, in order.
+TOPIC_TABLE_HEADERS = ["ID", "topic_id", "Topic label", "Top tags (first 6)", "Top tags (all)"]
+
 # Three-class sentiment labels (value keeps the column prefix).
 SENTIMENT_LABELS = ["xlm_negative", "xlm_neutral", "xlm_positive"]
 

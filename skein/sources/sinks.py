@@ -67,6 +67,15 @@ def redact(df: DataFrame, columns: Sequence[str] = REDACT_COLUMNS) -> DataFrame:
     return df.drop(*[c for c in columns if c in df.columns])
 
 
+def write_topic_table_csv(topic_table: DataFrame, path: str) -> None:
+    """SNK-2 for TXT-3: one small CSV with the published headers, in topic order."""
+    from skein.constants import TOPIC_TABLE_HEADERS
+
+    cols = ["ID", "topic_id", "topic_label", "top_tags_first6", "top_tags_all"]
+    renamed = topic_table.select(*[F.col(c).alias(h) for c, h in zip(cols, TOPIC_TABLE_HEADERS)])
+    write_csv(renamed.orderBy("topic_id"), path, single_file=True)  # one row per topic: small
+
+
 def write_tables(tables: dict[str, DataFrame], base: str, suffix: str = "") -> None:
     """SNK-8: write several analysis tables (caller persists shared ancestors first)."""
     for name, df in tables.items():

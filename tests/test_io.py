@@ -156,3 +156,13 @@ def test_split_sinks_and_inputs(spark, tmpdir_path):
     f1 = sk.fingerprint(df).first()
     f2 = sk.fingerprint(df.orderBy(F.col("id").desc())).first()
     assert (f1.rows, f1.hash_sum) == (f2.rows, f2.hash_sum)  # order-free
+
+
+def test_topic_table_csv_headers(spark, tmpdir_path):
+    from skein.constants import TOPIC_TABLE_HEADERS
+
+    t = spark.createDataFrame([(1, 0, "Sunset", "a, b", "a, b, c")], "ID INT, topic_id INT, topic_label STRING, top_tags_first6 STRING, top_tags_all STRING")
+    out = os.path.join(tmpdir_path, "topics_csv")
+    sk.write_topic_table_csv(t, out)
+    back = spark.read.option("header", True).csv(out)
+    assert back.columns == TOPIC_TABLE_HEADERS and back.first()["Topic label"] == "Sunset"
