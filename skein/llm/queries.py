@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe_codec, quality, secrets, token_counts, toxicity
+from skein.llm import ann_forest, bpe_codec, exact_topk, jaccard_join, quality, secrets, token_counts, toxicity
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.op2_query(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_forest.op4_query(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op5_query(_table(spark, sf_dir, "documents"))
 
@@ -28,6 +36,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.op6_query(_table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.op7_query(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op8_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -41,6 +53,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {
-    f.__name__: f for f in (op5_secret_scan, op6_token_counts, op8_toxicity, op9_bpe_codec, op10_quality)
+    f.__name__: f
+    for f in (
+        op2_exact_topk,
+        op4_ann_forest,
+        op5_secret_scan,
+        op6_token_counts,
+        op7_jaccard_join,
+        op8_toxicity,
+        op9_bpe_codec,
+        op10_quality,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
