@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import bpe, transducer
-from skein.llm.common import Worker, map_texts, prepare, text_slices
+from skein.llm.common import Worker, least_count, map_texts, prepare, text_slices, write_shared
 
 LEXICON_WORDS = 65_536  # words compiled into the transducer
 LEXICON_WORD_BYTES = 64  # longer words are merged when they occur
@@ -61,11 +61,15 @@ def word_counts(docs: DataFrame, text_col: str = "text", vocabulary: str | None
 def frequent_words(
     docs: DataFrame, text_col: str = "text", words: int = LEXICON_WORDS, vocabulary: str | None = None
 ) -> bytes:
-    """Transducer file of the ``words`` most frequent pre-tokens (ties: smaller bytes first).
+    """Transducer file of the most frequent pre-tokens, ``words`` of them at most.
 
-    At most ``words`` entries of at most 64 bytes reach the driver.
+    The counts' own distribution gives the least count at which no more than
+    ``words`` pre-tokens are left; only those, of at most 64 bytes each, reach
+    the driver.
     """
-    top = word_counts(docs, text_col, vocabulary).orderBy(F.desc("n"), "word").limit(words).collect()
+    counts = write_shared(word_counts(docs, text_col, vocabulary).where("n > 1"), "word-counts")
+    least = least_count(counts, words)
+    top = counts.where(F.col("n") >= least).select("word").collect()
     own = bpe.load(bpe.vocabulary_path(vocabulary))
     return transducer.build((bytes(r["word"]), own.merge_word(bytes(r["word"]))) for r in top)
 
@@ -92,17 +96,20 @@ class Encoder:
         self.bpe = bpe.load(vocabulary)
         self.lexicon = transducer.load(lexicon)
         self._pieces: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
 
     def _learn(self, new: set[str]) -> None:
         """Ids of new pieces (each stands for a space and the piece)."""
-        cut = {piece: self.bpe.pretokens(" " + piece) for piece in new}
-        words = list({w for own in cut.values() for w in own})
+        cut = [(piece, self.bpe.pretokens(" " + piece)) for piece in new]
+        if len(self._words) > MEMO_PIECES:
+            self._words.clear()
+        words = list({w for _, own in cut for w in own}.difference(self._words))
         data = [w.encode() for w in words]
-        ids = {}
         for word, raw, number in zip(words, data, self.lexicon.numbers(data).tolist()):
-            ids[word] = self.lexicon.ids(number) if number >= 0 else bpe.pack(self.bpe.merge_word(raw))
-        for piece, own in cut.items():
-            self._pieces[piece] = b"".join(map(ids.__getitem__, own))
+            self._words[word] = self.lexicon.ids(number) if number >= 0 else bpe.pack(self.bpe.merge_word(raw))
+        ids = self._words
+        for piece, own in cut:
+            self._pieces[piece] = ids[own[0]] if len(own) == 1 else b"".join([ids[w] for w in own])
 
     def _head(self, text: str) -> bytes:
         return b"".join(bpe.pack(self.bpe.merge_word(w.encode())) for w in self.bpe.pretokens(text))

@@ -42,6 +42,31 @@ def write_shared(df: DataFrame, name: str, partition_by: str | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def least_count(counts: DataFrame, rows: int) -> int:
+    """The least value of ``n`` such that at most ``rows`` rows of ``counts`` have it or more.
+
+    Reads one row per power-of-two step and then one per value within a step, so
+    what reaches the driver doesn't grow with the rows.
+    """
+    step = F.floor(F.log2("n")).cast("int")
+    left, by_step = rows, counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()
+    for r in by_step:
+        if r["count"] > left:
+            low, high = 1 << r["step"], 2 << r["step"]
+            width = max(1, (high - low) // 1024)  # values of a step in at most 1024 bins
+            bins = counts.where((F.col("n") >= low) & (F.col("n") < high))
+            bins = bins.groupBy(F.floor((F.col("n") - low) / width).cast("long").alias("bin")).count()
+            least = high
+            for b in bins.orderBy(F.desc("bin")).collect():
+                left -= b["count"]
+                if left < 0:
+                    return least
+                least = low + b["bin"] * width
+            return least
+        left -= r["count"]
+    return 1
+
+
 def text_slices(batch: pa.RecordBatch, chars: int, column: int = 1) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """(rows, texts) in runs of about ``chars`` characters; a null text is ''."""
     values = [t or "" for t in batch.column(column).to_pylist()]

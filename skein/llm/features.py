@@ -33,9 +33,14 @@ def labelled_sample(
         .groupBy(F.col(id_col).alias("id"))
         .agg(F.max(label).cast("int").alias("y"))
     )
-    order = F.xxhash64("id")
-    chosen = own.where("y = 1").orderBy(order, "id").limit(rows // 2)
-    chosen = chosen.unionByName(own.where("y = 0").orderBy(order, "id").limit(rows // 2))
+    of = {r["y"]: r["n"] for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = None
+    for y in (0, 1):
+        # by the hash alone about one and a half times the bound is left, whatever the number of rows
+        share = min(1.0, 1.5 * (rows // 2) / max(of.get(y, 0), 1))
+        order = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+        some = own.where((F.col("y") == y) & (order < int(share * (1 << 40)))).orderBy(order, "id").limit(rows // 2)
+        chosen = some if chosen is None else chosen.unionByName(some)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # bounded: ``rows`` ids
     return texts.join(F.broadcast(chosen), "id")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import Worker, map_texts, prepare, text_slices, write_shared
+from skein.llm.common import Worker, least_count, map_texts, prepare, text_slices, write_shared
 from skein.llm.components import connected_components
 from skein.llm.shingles import digest, shingle_sets
 
@@ -106,7 +106,8 @@ def spread_shingles(docs: DataFrame, width: int, text_col: str = "text") -> tupl
 
     parts = docs.select(F.col(text_col).alias("t")).mapInArrow(count, "range int, shingles binary, counts binary")
     merged = parts.repartition(partitions, "range").mapInArrow(merge, "shingle long, n long")
-    top = merged.orderBy(F.desc("n"), "shingle").limit(SPREAD_SHINGLES).toArrow()
+    merged = write_shared(merged, "shingle-counts")
+    top = merged.where(F.col("n") >= least_count(merged, SPREAD_SHINGLES)).toArrow()
     shingle, n = top.column("shingle").to_numpy(), top.column("n").to_numpy()
     order = np.argsort(shingle)
     return shingle[order].astype(np.uint32), n[order].astype(np.uint32)
@@ -321,5 +322,25 @@ def similarity_components(
     )
 
 
+def representatives(
+    docs: DataFrame,
+    width: int = 5,
+    least: Fraction = Fraction(4, 5),
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Rows of ``docs`` without those whose component has a smaller id.
+
+    Rows with a null id and rows without words stay; rows that repeat an id are
+    one document and stay or go together.
+    """
+    found = similarity_components(docs, width, least, id_col, text_col)
+    later = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("id")).distinct()
+    later = write_shared(later, "later-ids").withColumnRenamed("id", id_col)
+    return docs.join(F.broadcast(later) if later.count() <= BROADCAST_IDS else later, id_col, "left_anti").select(
+        *docs.columns
+    )
+
+
 def op7_query(docs: DataFrame) -> DataFrame:
     return similarity_components(docs, width=3, least=Fraction(9, 10))

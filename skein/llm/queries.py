@@ -11,7 +11,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import ann_forest, bpe_codec, exact_topk, jaccard_join, quality, secrets, token_counts, toxicity
+from skein.llm import (
+    ann_forest,
+    bpe_codec,
+    exact_topk,
+    jaccard_join,
+    mixing,
+    quality,
+    secrets,
+    token_counts,
+    toxicity,
+    warc_audit,
+)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -20,10 +31,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op1_query(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.op2_query(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_audit.op3_query(_table(spark, sf_dir, "pages"))
+
+
 def op4_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_forest.op4_query(_table(spark, sf_dir, "embeddings"))
 
@@ -55,7 +74,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, QueryFn] = {
     f.__name__: f
     for f in (
+        op1_mixing,
         op2_exact_topk,
+        op3_warc_audit,
         op4_ann_forest,
         op5_secret_scan,
         op6_token_counts,
@@ -65,4 +86,4 @@ QUERIES: dict[str, QueryFn] = {
         op10_quality,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op3_warc_audit": warc_audit.OP3_SQL}
