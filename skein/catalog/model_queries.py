@@ -90,7 +90,7 @@ def _lex_case(var: str) -> str:
 @register(
     "lexicon_sentiment",
     f"""
-WITH t AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\pL'']+'), lambda w: w <> ''),
+WITH t AS (SELECT CASE WHEN doc_id % 7 = 0 THEN NULL ELSE doc_id // 2 END AS doc_id, list_transform(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\pL'']+'), lambda w: w <> ''),
                 lambda w: {_lex_case('w')}) AS v FROM documents),
 s AS (SELECT doc_id,
         coalesce(list_sum(v), 0) AS s,
@@ -108,7 +108,9 @@ FROM s
 )
 def q_lexicon_sentiment(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    out = scr.lexicon_sentiment(docs, "text", _LEXICON, ["doc_id"])
+    # rows are scored on their own: repeated and null ids change nothing
+    ids = F.when(F.col("doc_id") % 7 == 0, None).otherwise(F.floor(F.col("doc_id") / 2).cast("bigint"))
+    out = scr.lexicon_sentiment(docs.withColumn("doc_id", ids), "text", _LEXICON)
     return out.select("doc_id", *[F.round(c, 9).alias(c) for c in ("vader_neg", "vader_neu", "vader_pos", "vader_compound")])
 
 
@@ -139,7 +141,7 @@ def q_batch_score(spark: SparkSession, sf: str) -> DataFrame:
     """ML-1 + ML-4: three-class sentiment by batched inference (hashed stand-in model) on every document."""
     docs = table(spark, sf, "documents").select("doc_id", tx.normalize_social_text("text").alias("processed_text"))
     out = scr.score_frame(
-        docs, "processed_text", sentiment_factory=scr.hashed_linear_model(3, seed=7), lexicon=_LEXICON, key_cols=["doc_id"]
+        docs, "processed_text", sentiment_factory=scr.hashed_linear_model(3, seed=7), lexicon=_LEXICON
     )
     return out.drop("processed_text")
 

@@ -21,19 +21,18 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 
 def _landed_twice(spark: SparkSession, sf: str, root: str) -> str:
-    """Land the events as two batches, the second a full replay (duplicates on purpose)."""
+    """Land the events as two batches, the second a full replay: every repetition is late, most by weeks."""
     ev = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     landing = f"{root}/landing"
-    ev.coalesce(1).write.mode("overwrite").parquet(f"{landing}/batch=1")
-    ev.coalesce(1).write.mode("overwrite").parquet(f"{landing}/batch=2")
+    ev.write.parquet(f"{landing}/batch=1")
+    ev.write.parquet(f"{landing}/batch=2")
     return landing
 
 
 def _deduped_stream(spark: SparkSession, sf: str, root: str) -> DataFrame:
     landing = _landed_twice(spark, sf, root)
     schema = spark.read.parquet(f"{landing}/batch=1").schema
-    stream = si.read_table_stream(spark, landing, schema, max_files=1)
-    return si.dedupe_stream(stream, ["event_id"], "ts", "31 days")
+    return si.dedupe_stream(si.read_table_stream(spark, landing, schema, max_files=1), ["event_id"])
 
 
 @register(
@@ -67,18 +66,15 @@ WHERE rn = 1 AND event_type = 'error'
 """,
 )
 def q_stream_latest_status(spark: SparkSession, sf: str) -> DataFrame:
+    """STR-3 fed by JSONL batches that arrive in any order, over several micro-batches."""
     root = _scratch(spark, "status")
-    ev = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    landing = f"{root}/landing"
-    # land in three time slices so the fold runs over several micro-batches
-    for i, (lo, hi) in enumerate([("2000-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2100-01-01")]):
-        part = ev.filter((F.col("ts") >= F.lit(lo).cast("timestamp")) & (F.col("ts") < F.lit(hi).cast("timestamp")))
-        part.coalesce(1).write.mode("overwrite").parquet(f"{landing}/slice={i}")
-    schema = spark.read.parquet(f"{landing}/slice=0").schema
-    stream = si.read_table_stream(spark, landing, schema, max_files=1)
-    latest = si.latest_status_stateful(stream, "user_id", ["ts", "event_id"], ["event_type"])
+    ev = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    ev.repartition("event_id").select(F.to_json(F.struct("*"))).write.text(f"{root}/landing")
+    record = T.StructType([*_EV_RECORD.fields[:3], T.StructField("at", T.LongType())])
+    stream = si.read_child_stream(spark, f"{root}/landing", record, max_files=3, pattern="*.txt")
+    latest = si.latest_status(stream, "user_id", ["at", "event_id"], ["event_type"])
     si.run_available_now(latest, "", f"{root}/ckpt", mode="update", foreach_batch=si.append_each_batch(f"{root}/changes"))
-    current = si.fold_changes(spark.read.parquet(f"{root}/changes"), "user_id", ["ts", "event_id"])
+    current = si.fold_changes(spark.read.parquet(f"{root}/changes"), "user_id", ["at", "event_id"])
     return current.filter(F.col("event_type") == "error").select("user_id", "event_id", "event_type")
 
 
@@ -113,27 +109,82 @@ _EV_RECORD = T.StructType(
 )
 
 
+_TAGGED = """SELECT event_id, user_id, event_type, value, event_type || ' b' AS tags FROM events"""
+
+
 @register(
     "file_ingest",
-    """
-SELECT 'envelope' AS via, event_id, user_id, event_type, value FROM events
+    f"""
+SELECT 'envelope' AS via, * FROM ({_TAGGED})
 UNION ALL
-SELECT 'jsonl', event_id, user_id, event_type, value FROM events
+SELECT 'batch', * FROM ({_TAGGED}) WHERE event_id % 3 > 0
+UNION ALL
+SELECT 'jsonl', * FROM ({_TAGGED}) WHERE event_id % 3 = 0
 """,
 )
 def q_file_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """SRC-1 + SRC-3 through real files: events land as JSON envelopes of at most 1,000
-    records (one file each, read whole) and as JSONL lines; both are read back."""
-    from skein.sources.readers import read_child_batches, read_parent_envelopes
+    """SRC-1 + SRC-3 + SET-1 through real files.
+
+    Events land as JSON envelopes of at most 1,000 records (one file each, read
+    whole) and as child batches, partly JSONL lines, partly JSON lists and
+    ``comments`` envelopes.  Their tags are lists, text with commas, list
+    literals in Python's quotes or JSON lists in text.  Between the lines stand
+    blank ones, lists, numbers and malformed ones.
+    """
+    from skein.sources.readers import SKIP, read_child_batches, read_parent_envelopes
+
+    root = _landed_files(spark, sf)
+    record = T.StructType([*_EV_RECORD.fields, T.StructField("hashtag_names", T.StringType())])
+    a = read_parent_envelopes(spark, f"{root}/envelopes", "*.txt", record)
+    b = read_child_batches(spark, f"{root}/batches", record, "*.txt.gz", "*.txt", on_malformed=SKIP)
+    cols = ["event_id", "user_id", "event_type", "value", F.array_join("hashtag_names", " ").alias("tags")]
+    via = F.when(F.col("file_kind") == 0, "jsonl").otherwise("batch").alias("via")
+    return a.select(F.lit("envelope").alias("via"), *cols).unionByName(b.select(via, *cols))
 
+
+@register(
+    "file_ingest_errors",
+    """SELECT '{"event_id": ' || event_id || ', ' AS value FROM events WHERE event_id % 50 = 0
+UNION ALL SELECT 'no JSON ' || event_id FROM events WHERE event_id % 50 = 1""",
+)
+def q_file_ingest_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Error output of the JSONL reader: every malformed line, and nothing else."""
+    from skein.sources.readers import malformed_lines
+
+    return malformed_lines(spark, f"{_landed_files(spark, sf)}/batches", "*.txt.gz").select("value")
+
+
+def _landed_files(spark: SparkSession, sf: str) -> str:
     root = _scratch(spark, "files")
     ev = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
-    env = ev.groupBy(F.floor(F.col("event_id") / 1000).alias("b")).agg(
-        F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("event_id", "user_id", "event_type", "value"))).alias("results"))).alias("v")
+    kind = F.col("event_id") % 4
+    tags = F.array("event_type", F.lit("b"))
+    own = [F.col(c) for c in ev.columns]
+    text = (
+        F.when(kind == 1, F.concat("event_type", F.lit(", #b")))
+        .when(kind == 2, F.concat(F.lit("['"), "event_type", F.lit("', None, \"#b\"]")))
+        .otherwise(F.to_json(tags))
+    )
+    as_list = F.to_json(F.struct(*own, tags.alias("hashtag_names")))
+    ev = ev.withColumn("v", F.when(kind == 0, as_list).otherwise(F.to_json(F.struct(*own, text.alias("hashtag_names")))))
+    grouped = ev.groupBy(F.floor(F.col("event_id") / 1000).alias("b"), (F.col("event_id") % 3).alias("part"))
+    lists = grouped.agg(F.array_join(F.collect_list("v"), ",").alias("v"))
+    one = {"maxRecordsPerFile": 1}
+    envelopes = lists.select(F.concat(F.lit('{"error": null, "results": ['), "v", F.lit("]}")).alias("v"))
+    envelopes.write.options(**one).text(f"{root}/envelopes")
+    shape = F.when(F.col("part") == 1, F.concat(F.lit("[17, "), "v", F.lit("]"))).otherwise(
+        F.concat(F.lit('{"comments": ['), "v", F.lit("]}"))
+    )
+    batches = lists.where("part > 0").select(shape.alias("v"))
+    batches.write.options(**one).text(f"{root}/batches")
+    odd = F.col("event_id") % 50
+    line = (
+        F.when(odd == 0, F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(", ")))
+        .when(odd == 1, F.concat(F.lit("no JSON "), F.col("event_id").cast("string")))
+        .when(odd == 2, F.lit("  "))
+        .when(odd == 3, F.lit("[1, 2]"))
+        .when(odd == 4, F.lit("12"))
     )
-    env.select("v").write.option("maxRecordsPerFile", 1).mode("overwrite").text(f"{root}/envelopes")
-    ev.select(F.to_json(F.struct("*")).alias("v")).write.mode("overwrite").text(f"{root}/lines")
-    a = read_parent_envelopes(spark, f"{root}/envelopes", "*.txt", _EV_RECORD)
-    b = read_child_batches(spark, f"{root}/lines", _EV_RECORD, jsonl_pattern="*.txt", json_pattern=None)
-    cols = ["event_id", "user_id", "event_type", "value"]
-    return a.select(F.lit("envelope").alias("via"), *cols).unionByName(b.select(F.lit("jsonl").alias("via"), *cols))
+    lines = ev.where("event_id % 3 = 0").select("v").unionByName(ev.select(line.alias("v")).where("v is not null"))
+    lines.write.mode("append").option("compression", "gzip").text(f"{root}/batches")
+    return root

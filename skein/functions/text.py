@@ -23,6 +23,10 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# An item of a list literal: a string in either quote, or None.
+QUOTED_ITEM = r"""(?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|None)"""
+
+
 def split_words(text: Column | str) -> Column:
     """Split on any run of whitespace, dropping empty pieces (Python ``str.split()``)."""
     return F.filter(F.split(F.coalesce(_col(text), F.lit("")), WS), lambda w: w != F.lit(""))
@@ -42,16 +46,22 @@ def normalize_social_text(text: Column | str) -> Column:
 def parse_tags(value: Column | str, is_array: bool = True) -> Column:
     """SC-3: hashtag list → clean ``ARRAY<STRING>`` (trim, strip leading ``#``, drop empties).
 
-    ``is_array=False`` handles string input: a list literal ``['a', 'b']`` is
-    parsed as JSON after quote normalisation, other strings split on ``[, ]+``.
+    ``is_array=False`` handles string input: a list literal (JSON, or quoted
+    items and ``None`` between brackets, either quote, backslash escapes) gives
+    its items, any other text in brackets itself, all else splits on ``[, ]+``.
     """
     v = _col(value)
     if is_array:
         raw = F.coalesce(v, F.array().cast("array<string>"))
     else:
         s = strip_ws(F.coalesce(v, F.lit("")))
-        as_json = F.from_json(F.regexp_replace(s, "'", '"'), "array<string>")
-        listed = F.when(s.startswith("[") & s.endswith("]"), F.coalesce(as_json, F.array(s)))
+        quoted = F.regexp_extract_all(s, F.lit(QUOTED_ITEM), F.lit(0))
+        items = F.transform(
+            F.filter(quoted, lambda x: x != "None"),
+            lambda x: F.regexp_replace(x.substr(F.lit(2), F.length(x) - 2), r"\\(.)", "$1"),
+        )
+        literal = F.when(s.rlike(rf"^\[\s*({QUOTED_ITEM}\s*(,\s*|(?=\])))*\]$"), items)
+        listed = F.when(s.startswith("[") & s.endswith("]"), F.coalesce(F.from_json(s, "array<string>"), literal, F.array(s)))
         raw = F.when(s == F.lit(""), F.array().cast("array<string>")).otherwise(
             F.coalesce(listed, F.filter(F.split(s, r"[, ]+"), lambda x: strip_ws(x) != F.lit("")))
         )

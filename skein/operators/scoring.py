@@ -4,18 +4,19 @@ trained offline toxicity/quality scorer.
 * ``batch_score`` wraps any model behind ``pyspark.ml.functions.predict_batch_udf``:
   the model is built once per Python worker and fed Arrow batches of
   ``batch_size`` texts; no row-at-a-time Python.
-* ``lexicon_sentiment`` explodes tokens against the size-checked, broadcast
-  lexicon (a hash join: O(1) per token whatever the lexicon size) and folds the
-  hits per row key with map-side partial aggregation.
+* ``lexicon_sentiment`` loads the lexicon once per worker, like model weights,
+  and scores each Arrow batch as flat arrays; no shuffle.
 * ``train_text_classifier`` fits an MLlib pipeline (tokens → hashed TF → IDF →
   logistic regression) on labelled rows; ``apply_text_classifier`` scores any table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
+import pandas as pd
+import regex
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
@@ -26,10 +27,9 @@ from pyspark.sql import types as T
 
 from skein.constants import SENTIMENT_LABELS, TOXICITY_COLUMNS, VADER_COLUMNS, XLM_COLUMNS
 from skein.functions.scalar import argmax_label, softmax3
-from skein.functions.text import explode_tokens, text_or_empty
+from skein.functions.text import text_or_empty
 
 DEFAULT_BATCH = 128
-MAX_LEXICON_ENTRIES = 200_000
 VADER_ALPHA = 15.0  # normaliser of the published compound score
 
 
@@ -119,7 +119,6 @@ def score_frame(
     batch_size: int = DEFAULT_BATCH,
     limit_rows: int = 0,
     order_key: str | None = None,
-    key_cols: Sequence[str] | None = None,
 ) -> DataFrame:
     """ML-4: check the text column, optional deterministic limit, run the enabled scorers."""
     if text_col not in df.columns:
@@ -131,7 +130,7 @@ def score_frame(
     elif {"xlm_positive", "xlm_negative"} <= set(out.columns) and "xlm_polarity" not in out.columns:
         out = out.withColumn("xlm_polarity", F.col("xlm_positive") - F.col("xlm_negative"))  # PRJ-5
     if lexicon is not None:
-        out = lexicon_sentiment(out, text_col, lexicon, key_cols)
+        out = lexicon_sentiment(out, text_col, lexicon)
     if toxicity_factory is not None:
         st = T.StructType([T.StructField(k, T.FloatType()) for k in toxicity_keys])
         out = toxicity_columns(batch_score(out, text_col, toxicity_factory, st, "__tox", batch_size), "__tox")
@@ -143,70 +142,50 @@ def score_frame(
 # ---------------------------------------------------------------------------
 
 
-def lexicon_tokens(text: Column | str) -> Column:
-    """Lower-cased words (letters and apostrophes)."""
-    c = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}']+"), lambda w: w != F.lit(""))
+def lexicon_sentiment(df: DataFrame, text_col: str, lexicon: Mapping[str, float]) -> DataFrame:
+    """ML-2: vader_neg/neu/pos/compound from word valences, row by row.
 
+    Words are runs of letters and apostrophes in lower case.  Every word scores
+    its valence (0 when unknown); positive valences add v + 1, negative add
+    v − 1, zeros count as neutral; neg/neu/pos are shares of their total and
+    compound = s / sqrt(s² + 15).  Texts without words score 0.  Negation,
+    booster and punctuation rules are not applied.
 
-def _lexicon_df(spark, lexicon: Mapping[str, float] | DataFrame) -> DataFrame:
-    if isinstance(lexicon, DataFrame):
-        lex = lexicon.toDF("__w", "__v").select("__w", F.col("__v").cast("double"))
-        n = lex.count()
-    else:
-        n = len(lexicon)
-        lex = spark.createDataFrame([(k, float(v)) for k, v in sorted(lexicon.items())], "__w STRING, __v DOUBLE")
-    if n > MAX_LEXICON_ENTRIES:
-        raise ValueError(f"lexicon has {n} entries, more than {MAX_LEXICON_ENTRIES}")
-    return F.broadcast(lex)  # size checked above
-
-
-def lexicon_sentiment(
-    df: DataFrame,
-    text_col: str,
-    lexicon: Mapping[str, float] | DataFrame,
-    key_cols: Sequence[str] | None = None,
-) -> DataFrame:
-    """ML-2: vader_neg/neu/pos/compound from word valences.
-
-    Every token scores its valence (0 when unknown); positive valences add
-    v + 1, negative add v − 1, zeros count as neutral; neg/neu/pos are shares of
-    their total and compound = s / sqrt(s² + 15).  Texts without tokens score 0.
-    Negation, booster and punctuation rules are not applied.
-
-    Plan: tokens are exploded and inner-joined with the (size-checked,
-    broadcast) lexicon, so only lexicon hits survive; a per-key aggregate with
-    map-side partial aggregation collapses them; neutral = tokens − hits with a
-    non-zero valence.  ``key_cols`` must identify rows (default: ``id`` and
-    ``video_id`` when present, else the text itself).
+    The lexicon goes to the workers like the weights of a model, once per
+    worker; an Arrow batch is scored as one flat array of valences.  No key, no
+    shuffle, no join back; rows with repeated or null ids are rows like others.
     """
-    if key_cols is None:
-        key_cols = [c for c in ("id", "video_id") if c in df.columns] or [text_col]
-    key_cols = list(key_cols)
-    lex = _lexicon_df(df.sparkSession, lexicon)
-    base = df.drop(*[c for c in VADER_COLUMNS if c in df.columns])
-    tokens = explode_tokens(base, key_cols, lexicon_tokens(text_col), "__w")
-    hits = tokens.join(lex, "__w").groupBy(*key_cols).agg(
-        F.sum("__v").alias("__s"),
-        F.sum(F.when(F.col("__v") > 0, F.col("__v") + 1).otherwise(0.0)).alias("__pos"),
-        F.sum(F.when(F.col("__v") < 0, F.col("__v") - 1).otherwise(0.0)).alias("__neg"),
-        F.count_if(F.col("__v") != 0).alias("__nz"),
-    )
-    joined = base.withColumn("__n", F.size(lexicon_tokens(text_col))).join(hits, key_cols, "left")
-    zero = F.lit(0.0)
-    s, pos, neg = (F.coalesce(F.col(c), zero) for c in ("__s", "__pos", "__neg"))
-    neu = (F.col("__n") - F.coalesce(F.col("__nz"), F.lit(0))).cast("double")
-    total = pos + F.abs(neg) + neu
-    has = total > 0
-    out = joined.withColumns(
-        {
-            "vader_neg": F.when(has, F.abs(neg) / total).otherwise(zero),
-            "vader_neu": F.when(has, neu / total).otherwise(zero),
-            "vader_pos": F.when(has, pos / total).otherwise(zero),
-            "vader_compound": F.when(s != 0, s / F.sqrt(s * s + VADER_ALPHA)).otherwise(zero),
-        }
-    )
-    return out.drop("__n", "__s", "__pos", "__neg", "__nz")
+    shared = df.sparkSession.sparkContext.broadcast(dict(lexicon))
+    fields = T.StructType([T.StructField(c, T.DoubleType()) for c in VADER_COLUMNS])
+
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        word, valence = regex.compile(r"[\p{L}']+"), shared.value
+        for texts in batches:
+            words = [word.findall(t.lower()) if t else [] for t in texts]
+            lengths = np.fromiter(map(len, words), np.int64, len(words))
+            flat = np.array([valence.get(w, 0.0) for own in words for w in own] + [0.0])
+            starts = np.minimum(np.cumsum(lengths) - lengths, len(flat) - 1)
+
+            def total(values: np.ndarray) -> np.ndarray:
+                return np.where(lengths > 0, np.add.reduceat(values, starts), 0.0) if len(lengths) else np.zeros(0)
+
+            positive, negative = flat > 0, flat < 0
+            pos = total(np.where(positive, flat + 1, 0.0))
+            neg = np.abs(total(np.where(negative, flat - 1, 0.0)))
+            neu = lengths - total((positive | negative).astype(np.float64))
+            s, whole = total(flat), np.maximum(pos + neg + neu, 1e-300)
+            yield pd.DataFrame(
+                {
+                    "vader_neg": neg / whole,
+                    "vader_neu": neu / whole,
+                    "vader_pos": pos / whole,
+                    "vader_compound": s / np.sqrt(s * s + VADER_ALPHA),
+                }
+            )[list(VADER_COLUMNS)]
+
+    scored = F.pandas_udf(score, fields)(F.col(text_col))
+    base = df.drop(*(c for c in VADER_COLUMNS if c in df.columns))
+    return base.withColumn("__lex", scored).select(*base.columns, *(F.col(f"__lex.{c}").alias(c) for c in VADER_COLUMNS))
 
 
 # ---------------------------------------------------------------------------

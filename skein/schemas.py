@@ -20,7 +20,7 @@ PARENT_SCHEMA = T.StructType(
         T.StructField("like_count", L),
         T.StructField("comment_count", L),
         T.StructField("music_id", S),
-        T.StructField("hashtag_names", T.ArrayType(S)),
+        T.StructField("hashtag_names", S),  # raw JSON: records have a list or text; readers make it a list
         T.StructField("username", S),
         T.StructField("effect_ids", T.ArrayType(S)),
         T.StructField("playlist_id", S),
@@ -40,38 +40,3 @@ CHILD_SCHEMA = T.StructType(
         T.StructField("create_time", L),
     ]
 )
-
-QUERY_SCHEMA = T.StructType(
-    [
-        T.StructField("dataset", S),
-        T.StructField("query", S),
-        T.StructField("terms", T.ArrayType(S)),
-        T.StructField("regions", T.ArrayType(S)),
-        T.StructField("year", T.IntegerType()),
-        T.StructField("start_date", S),
-        T.StructField("end_date", S),
-        T.StructField("run_index", T.IntegerType()),
-        T.StructField("runs", T.IntegerType()),
-        T.StructField("is_random", T.BooleanType()),
-        T.StructField("max_count", T.IntegerType()),
-        T.StructField("count_per_page", T.IntegerType()),
-        T.StructField("fields", T.ArrayType(S)),
-    ]
-)
-
-TOPICS_SCHEMA = T.StructType([T.StructField("id", S), T.StructField("topic", T.IntegerType())])
-ID2TOPICS_SCHEMA = T.StructType([T.StructField("topic_id", T.IntegerType()), T.StructField("topic", S)])
-
-
-def envelope_schema(record: T.StructType) -> T.StructType:
-    """Object payload: records under ``results`` / ``comments`` / ``data``, plus metadata."""
-    arr = T.ArrayType(record)
-    return T.StructType(
-        [
-            T.StructField("results", arr),
-            T.StructField("comments", arr),
-            T.StructField("data", arr),
-            T.StructField("error", S),
-            T.StructField("query", QUERY_SCHEMA),
-        ]
-    )

@@ -17,9 +17,34 @@ from pyspark.sql import types as T
 
 from skein.constants import DEFAULT_TERMS
 from skein.functions.scalar import normalize_id_columns
+from skein.functions.text import parse_tags
 from skein.schemas import CHILD_SCHEMA, PARENT_SCHEMA
 
 
+FAIL, SKIP = "fail", "skip"  # what a reader does with malformed JSON
+
+
+def json_state(text: Column) -> Column:
+    """'blank', 'malformed', 'object' or 'other' (valid JSON that is no object)."""
+    kind = F.schema_of_variant(F.try_parse_json(text))
+    return (
+        F.when(F.coalesce(text, F.lit("")).rlike(r"^[\s\x{FEFF}]*$"), "blank")
+        .when(kind.isNull(), "malformed")
+        .when(kind.startswith("OBJECT"), "object")
+        .otherwise("other")
+    )
+
+
+def checked_state(state: Column, where: Column, on_malformed: str) -> Column:
+    """``state``, or an error that names the place of a malformed record when readers are to fail."""
+    if on_malformed == SKIP:
+        return state
+    if on_malformed != FAIL:
+        raise ValueError(f"on_malformed is {on_malformed!r}; it must be {FAIL!r} or {SKIP!r}")
+    message = F.concat(F.lit("malformed JSON in "), where)
+    return F.when(state == "malformed", F.raise_error(message).cast("string")).otherwise(state)
+
+
 def _objects(items: Column, record: T.StructType) -> Column:
     """Parse the JSON-object elements of an ``ARRAY<STRING>``; other elements are skipped."""
     objs = F.filter(items, lambda x: F.ltrim(x).startswith("{"))
@@ -36,20 +61,23 @@ def records_from_payload(
 
     A list gives its object elements (scalars skipped); an object gives the
     object elements of the first list found under ``keys``; any other object is
-    one record when ``single_object``.  Malformed text gives no records.
-    Lists are first parsed as ``ARRAY<STRING>`` (objects stay raw JSON text), so
-    one bad element never voids its neighbours.
+    one record when ``single_object``.  Malformed text gives null, so that the
+    caller can tell it from an empty payload.  Lists are first parsed as
+    ``ARRAY<STRING>`` (objects stay raw JSON text), so one bad element never
+    voids its neighbours.
     """
-    head = F.substring(F.regexp_replace(payload, r"^[\s\x{FEFF}]+", ""), 1, 1)
+    state, none = json_state(payload), F.array().cast(T.ArrayType(record))
     as_list = _objects(F.from_json(payload, "array<string>"), record)
-    env_schema = T.StructType([T.StructField(k, T.ArrayType(T.StringType())) for k in keys])
-    env = F.from_json(payload, env_schema)
+    env = F.from_json(payload, T.StructType([T.StructField(k, T.ArrayType(T.StringType())) for k in keys]))
     from_keys = F.coalesce(*[env[k] for k in keys])
-    valid_object = F.json_object_keys(payload).isNotNull()
-    fallback = F.array(F.from_json(payload, record)) if single_object else F.array().cast(T.ArrayType(record))
-    obj = F.when(valid_object, F.when(from_keys.isNotNull(), _objects(from_keys, record)).otherwise(fallback))
-    out = F.when(head == "[", as_list).when(head == "{", obj)
-    return F.filter(F.coalesce(out, F.array().cast(T.ArrayType(record))), lambda r: r.isNotNull())
+    fallback = F.array(F.from_json(payload, record)) if single_object else none
+    listed = F.regexp_replace(payload, r"^[\s\x{FEFF}]+", "").startswith("[")
+    return (
+        F.when(state == "malformed", F.lit(None))
+        .when(state == "object", F.when(from_keys.isNotNull(), _objects(from_keys, record)).otherwise(fallback))
+        .when(listed, as_list)
+        .otherwise(none)
+    )
 
 
 def read_json_payloads(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
@@ -68,37 +96,78 @@ def explode_records(
     record: T.StructType,
     keys: Sequence[str] = ("results", "comments", "data"),
     single_object: bool = True,
+    on_malformed: str = FAIL,
 ) -> DataFrame:
-    """posexplode the records of a payload column; keeps ``source_file`` and adds ``pos``."""
+    """posexplode the records of a payload column; keeps ``source_file`` and adds ``pos``.
+
+    A malformed payload is an error that names its file, or with
+    ``on_malformed="skip"`` gives no row (see ``malformed_payloads``).
+    """
     extra = [c for c in df.columns if c != payload]
     recs = records_from_payload(F.col(payload), record, keys, single_object)
+    if on_malformed == FAIL:
+        where = F.col("source_file") if "source_file" in extra else F.lit("a payload")
+        error = F.raise_error(F.concat(F.lit("malformed JSON in "), where)).cast(T.ArrayType(record))
+        recs = F.coalesce(recs, F.when(F.col(payload).isNotNull(), error))
     out = df.select(*extra, F.posexplode(recs).alias("pos", "r"))
     return out.select(*extra, F.col("pos").cast("bigint").alias("pos"), "r.*")
 
 
-def read_parent_envelopes(spark: SparkSession, path: str, pattern: str = "*.json", schema: T.StructType = PARENT_SCHEMA) -> DataFrame:
+def malformed_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
+    """Error output of payload reads: the rows whose payload isn't JSON."""
+    return df.where(json_state(F.col(payload)) == "malformed")
+
+
+def _tags_as_array(df: DataFrame) -> DataFrame:
+    """Hashtags are read as raw JSON, as records have them as lists or as text; SC-3 makes both a list."""
+    if dict(df.dtypes).get("hashtag_names") != "string":
+        return df
+    return df.withColumn("hashtag_names", F.when(F.col("hashtag_names").isNotNull(), parse_tags("hashtag_names", False)))
+
+
+def read_parent_envelopes(
+    spark: SparkSession,
+    path: str,
+    pattern: str = "*.json",
+    schema: T.StructType = PARENT_SCHEMA,
+    on_malformed: str = FAIL,
+) -> DataFrame:
     """SRC-1: parent envelopes → one row per record of ``results`` with ``source_file``/``pos``;
-    files without results are skipped; a bare list is accepted too (D-1); ids normalised."""
+    files without results are skipped; a bare list is accepted too (D-1); ids normalised,
+    hashtags a list whether the record has a list or text."""
     payloads = read_json_payloads(spark, path, pattern)
-    return normalize_id_columns(explode_records(payloads, "payload", schema, keys=("results",), single_object=False))
+    rows = explode_records(payloads, "payload", schema, ("results",), False, on_malformed)
+    return normalize_id_columns(_tags_as_array(rows))
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*.jsonl") -> DataFrame:
-    """JSONL lines: blank lines and non-objects skipped (a line holding a list is skipped too)."""
+def _jsonl_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     lines = spark.read.option("pathGlobFilter", pattern).text(path).select(
         "value",
         F.col("_metadata.file_name").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
+        F.col("_metadata.file_block_start").alias("pos_block"),
+        F.monotonically_increasing_id().alias("pos"),
     )
-    objects = lines.filter(F.ltrim(F.col("value")).startswith("{"))
-    parsed = objects.select(
-        "source_file",
-        F.col("_block").alias("pos_block"),
-        F.col("_row").alias("pos"),
-        F.from_json("value", schema).alias("r"),
-    ).filter(F.col("r").isNotNull())
-    return parsed.select("source_file", "pos_block", "pos", "r.*")
+    return lines.withColumn("state", json_state(F.col("value")))
+
+
+def read_jsonl(
+    spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*.jsonl", on_malformed: str = FAIL
+) -> DataFrame:
+    """JSONL lines: blank lines and valid non-objects skipped (a line holding a list is skipped too).
+
+    A line that isn't JSON is an error that names its file, or with
+    ``on_malformed="skip"`` goes to ``malformed_lines`` alone.
+    """
+    lines = _jsonl_lines(spark, path, pattern)
+    objects = lines.where(checked_state(F.col("state"), F.col("source_file"), on_malformed) == "object")
+    parsed = objects.select("source_file", "pos_block", "pos", F.from_json("value", schema).alias("r"))
+    return _tags_as_array(parsed.select("source_file", "pos_block", "pos", "r.*"))
+
+
+def malformed_lines(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
+    """Error output of JSONL reads: (source_file, pos_block, pos, value) of lines that aren't JSON."""
+    lines = _jsonl_lines(spark, path, pattern)
+    return lines.where(F.col("state") == "malformed").select("source_file", "pos_block", "pos", "value")
 
 
 def read_child_batches(
@@ -107,17 +176,19 @@ def read_child_batches(
     schema: T.StructType = CHILD_SCHEMA,
     jsonl_pattern: str = "*.jsonl",
     json_pattern: str | None = "*.json",
+    on_malformed: str = FAIL,
 ) -> DataFrame:
     """SRC-3: JSONL batches then JSON batches (lists or envelopes), ids normalised.
 
     JSONL files sort before JSON files in the reference order; the file order key
     is (``file_kind`` 0 = jsonl / 1 = json, ``source_file``, ``pos_block``, ``pos``).
     """
-    jsonl = read_jsonl(spark, path, schema, jsonl_pattern).withColumn("file_kind", F.lit(0))
+    jsonl = read_jsonl(spark, path, schema, jsonl_pattern, on_malformed).withColumn("file_kind", F.lit(0))
     if json_pattern is None:
         return normalize_id_columns(jsonl)
     payloads = read_json_payloads(spark, path, json_pattern)
-    js = explode_records(payloads, "payload", schema).withColumn("file_kind", F.lit(1)).withColumn("pos_block", F.lit(0).cast("bigint"))
+    js = explode_records(payloads, "payload", schema, on_malformed=on_malformed)
+    js = _tags_as_array(js).withColumn("file_kind", F.lit(1)).withColumn("pos_block", F.lit(0).cast("bigint"))
     both = jsonl.unionByName(js, allowMissingColumns=True)  # SET-1 union of differing columns
     return normalize_id_columns(both)
 
@@ -151,6 +222,14 @@ def first_existing(spark: SparkSession, paths: Sequence[str]) -> str | None:
     return None
 
 
+def read_first(spark: SparkSession, paths: Sequence[str], schema: T.StructType | None = None) -> DataFrame:
+    """SRC-5: the table at the first path that exists (raw, then enriched, then collected); none is an error."""
+    found = first_existing(spark, paths)
+    if found is None:
+        raise FileNotFoundError(f"none of these inputs exists: {', '.join(paths)}")
+    return read_table(spark, found, schema)
+
+
 def read_id_list(spark: SparkSession, path: str, column: str = "video_id") -> DataFrame:
     """SRC-6: id list from CSV: ``video_id`` column else the first; nulls dropped, distinct, strings."""
     df = spark.read.option("header", True).option("inferSchema", False).csv(path)

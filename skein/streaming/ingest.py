@@ -2,12 +2,12 @@
 
 * STR-1 ``read_child_stream`` / ``read_table_stream``: file-source streams; the
   checkpoint location is the resume state, so a restart reads only new files.
-* STR-2 ``dedupe_stream``: ``dropDuplicatesWithinWatermark`` on the record key —
-  state is bounded by the watermark delay.
-* STR-3 ``latest_status_stateful``: ``applyInPandasWithState`` keeps the latest
-  row per id in the state store and emits changes (an error overwrites the
-  entry, a later success clears it); ``latest_status`` is a simpler
-  ``foreachBatch`` fold into a versioned table for small state.
+* STR-2 ``dedupe_stream``: ``dropDuplicates`` on the record key without a time
+  bound, so a first-time row is never late; the seen keys live in the state
+  store (use the RocksDB provider for many of them).
+* STR-3 ``latest_status``: a streaming ``max_by`` per id in update mode; an error
+  overwrites the entry, a later success clears it; ``fold_changes`` reads the
+  change log.
 * STR-4 ``inherit_topics_stream``: stream–static left join with the topic table.
 * STR-5 ``daily_counts_stream``: tumbling one-day windows; complete output via
   ``foreachBatch`` overwrite so the streamed table equals the batch table.
@@ -27,16 +27,28 @@ from pyspark.sql import types as T
 
 from skein.operators.relational import attach_child_topics
 from skein.schemas import CHILD_SCHEMA
+from skein.sources.readers import FAIL, checked_state, json_state
 
 
-def read_child_stream(spark: SparkSession, path: str, schema: T.StructType = CHILD_SCHEMA, max_files: int | None = None) -> DataFrame:
-    """STR-1: JSONL child batches as a stream (blank lines and non-objects skipped)."""
-    reader = spark.readStream.format("text").option("pathGlobFilter", "*.jsonl")
+def read_child_stream(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType = CHILD_SCHEMA,
+    max_files: int | None = None,
+    pattern: str = "*.jsonl",
+    on_malformed: str = FAIL,
+) -> DataFrame:
+    """STR-1: JSONL child batches as a stream (blank lines and valid non-objects skipped).
+
+    A line that isn't JSON ends the stream with an error, or with
+    ``on_malformed="skip"`` is left to ``malformed_lines``.
+    """
+    reader = spark.readStream.format("text").option("pathGlobFilter", pattern)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     lines = reader.load(path)
-    objects = lines.filter(F.ltrim("value").startswith("{"))
-    return objects.select(F.from_json("value", schema).alias("r")).filter(F.col("r").isNotNull()).select("r.*")
+    state = checked_state(json_state(F.col("value")), F.lit(path), on_malformed)
+    return lines.where(state == "object").select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
 def read_table_stream(
@@ -51,9 +63,9 @@ def read_table_stream(
     return reader.load(path)
 
 
-def dedupe_stream(df: DataFrame, keys: Sequence[str], ts_col: str, delay: str = "1 day") -> DataFrame:
-    """STR-2: duplicate-safe ingest; rows later than the watermark are dropped."""
-    return df.withWatermark(ts_col, delay).dropDuplicatesWithinWatermark(list(keys))
+def dedupe_stream(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """STR-2: the first row of each key, however late it or its repetitions arrive."""
+    return df.dropDuplicates(list(keys))
 
 
 def daily_counts_stream(df: DataFrame, ts_col: str, by: Sequence[str] = ()) -> DataFrame:
@@ -96,69 +108,15 @@ def overwrite_each_batch(path: str):
     return write
 
 
-def latest_status(state_path: str, key: str, seq_col: str, status_col: str):
-    """STR-3 foreachBatch: fold a batch into the latest-row-per-key table.
+def latest_status(stream: DataFrame, key: str, order_cols: Sequence[str], value_cols: Sequence[str]) -> DataFrame:
+    """STR-3: per key the latest row by ``order_cols``, as a streaming aggregate (update mode).
 
-    Versions are written to ``state_path/v=<epoch>`` (a retried epoch rewrites
-    the same version), so reading never races with writing.
+    One state row per key in the state store; a micro-batch emits the keys that
+    it contains.  The emitted rows are a change log (see ``fold_changes``).
     """
-
-    def upsert(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        latest_new = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.col(seq_col)).alias("r")).select("r.*")
-        prev = _latest_version(spark, state_path, before=epoch_id)
-        merged = latest_new if prev is None else spark.read.parquet(prev).unionByName(latest_new)
-        folded = merged.groupBy(key).agg(F.max_by(F.struct(*merged.columns), F.col(seq_col)).alias("r")).select("r.*")
-        folded.write.mode("overwrite").parquet(f"{state_path}/v={epoch_id:012d}")
-
-    return upsert
-
-
-def latest_status_stateful(
-    stream: DataFrame,
-    key: str,
-    order_cols: Sequence[str],
-    value_cols: Sequence[str],
-) -> DataFrame:
-    """STR-3 as a stateful operator: per key, keep only the latest row by ``order_cols``.
-
-    ``applyInPandasWithState`` holds one small state row per key in the state
-    store (checkpointed, fault tolerant); each micro-batch touches only the keys
-    it contains and emits a row when a key's latest entry changes (update mode).
-    The emitted rows are a change log: the current table is the last change per
-    key (see ``fold_changes``).
-    """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    order_cols, value_cols = list(order_cols), list(value_cols)
-    cols = [*order_cols, *value_cols]
-    in_schema = stream.select(key, *cols).schema
-    out_schema = in_schema
-    state_schema = T.StructType([f for f in in_schema.fields if f.name in cols])
-
-    def step(key_tuple, batches, state):
-        import pandas as pd
-
-        best = None  # running latest row: memory bounded by one Arrow batch, even for a hot key
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            cand = pdf.sort_values(order_cols, kind="mergesort").iloc[-1]
-            if best is None or tuple(cand[c] for c in order_cols) >= tuple(best[c] for c in order_cols):
-                best = cand
-        if best is None:
-            return
-        new = tuple(best[c] for c in cols)
-        if state.exists:
-            old = state.get
-            if tuple(old[: len(order_cols)]) >= tuple(new[: len(order_cols)]):
-                return  # nothing newer for this key
-        state.update(tuple(v.to_pydatetime() if hasattr(v, "to_pydatetime") else v for v in new))
-        yield pd.DataFrame([{key: key_tuple[0], **{c: best[c] for c in cols}}])
-
-    return stream.select(key, *cols).groupBy(key).applyInPandasWithState(
-        step, out_schema, state_schema, "update", GroupStateTimeout.NoTimeout
-    )
+    order = F.struct(*order_cols)
+    latest = F.max_by(F.struct(*order_cols, *value_cols), order).alias("r")
+    return stream.groupBy(key).agg(latest).select(key, "r.*")
 
 
 def append_each_batch(path: str):
@@ -175,28 +133,3 @@ def fold_changes(changes: DataFrame, key: str, order_cols: Sequence[str]) -> Dat
     rest = [c for c in changes.columns if c not in (key, "_epoch")]
     order = F.struct(*[F.col(c) for c in order_cols])
     return changes.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
-
-
-def _latest_version(spark: SparkSession, state_path: str, before: int | None = None) -> str | None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(state_path)
-    fs = root.getFileSystem(conf)
-    if not fs.exists(root):
-        return None
-    versions = []
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            v = int(name[2:])
-            if before is None or v < before:
-                versions.append((v, st.getPath().toString()))
-    return max(versions)[1] if versions else None
-
-
-def read_latest_status(spark: SparkSession, state_path: str, status_col: str, keep: str = "error") -> DataFrame:
-    """Entries whose latest status is ``keep`` (a success removes the entry)."""
-    latest = _latest_version(spark, state_path)
-    if latest is None:
-        raise FileNotFoundError(f"no state under {state_path}")
-    return spark.read.parquet(latest).filter(F.col(status_col) == keep)

@@ -30,14 +30,29 @@ def test_parent_envelopes(spark, tmpdir_path):
 
 
 def test_child_batches(spark, tmpdir_path):
-    lines = ['{"id": "1", "video_id": "v", "text": "hi"}', "", "[1, 2]", "not json", '{"id": 2, "video_id": 5.0}']
+    lines = ['{"id": "1", "video_id": "v", "text": "hi"}', "", "[1, 2]", "not json", '{"id": 2, "video_id": 5.0}', '{"id": 7']
     _write(tmpdir_path, "comments_batch_00001.jsonl", "\n".join(lines) + "\n")
     _write(tmpdir_path, "x.json", json.dumps({"comments": [{"id": "3", "video_id": "w"}]}))
     _write(tmpdir_path, "y.json", json.dumps([{"id": "4", "video_id": "w"}, 5]))
     _write(tmpdir_path, "z.json", "{broken")
-    df = rd.read_child_batches(spark, tmpdir_path, CHILD_SCHEMA)
+    df = rd.read_child_batches(spark, tmpdir_path, CHILD_SCHEMA, on_malformed=rd.SKIP)
     got = sorted((r.id, r.video_id) for r in df.collect())
     assert got == [("1", "v"), ("2", "5"), ("3", "w"), ("4", "w")]
+    # nothing is lost in silence: reading fails by default, and the bad lines and files can be listed
+    with pytest.raises(Exception, match="malformed JSON in comments_batch_00001.jsonl"):
+        rd.read_jsonl(spark, tmpdir_path, CHILD_SCHEMA).collect()
+    with pytest.raises(Exception, match="malformed JSON in z.json"):
+        rd.read_child_batches(spark, tmpdir_path, CHILD_SCHEMA, jsonl_pattern="none*").collect()
+    assert sorted(r.value for r in rd.malformed_lines(spark, tmpdir_path).collect()) == ["not json", '{"id": 7']
+    bad = rd.malformed_payloads(rd.read_json_payloads(spark, tmpdir_path))
+    assert [r.source_file for r in bad.collect()] == ["z.json"]
+
+
+def test_hashtags_as_list_and_text(spark, tmpdir_path):
+    tags = [["a", "#b"], "a, #b", "['a', None, \"#b\"]", None, "[\"don't\", 'x']", "[odd", []]
+    _write(tmpdir_path, "a.json", json.dumps({"results": [{"id": str(i), "hashtag_names": t} for i, t in enumerate(tags)]}))
+    got = {r.id: r.hashtag_names for r in rd.read_parent_envelopes(spark, tmpdir_path).collect()}
+    assert got == {"0": ["a", "b"], "1": ["a", "b"], "2": ["a", "b"], "3": None, "4": ["don't", "x"], "5": ["[odd"], "6": []}
 
 
 def test_read_table_by_suffix(spark, tmpdir_path):
@@ -82,15 +97,15 @@ def test_stream_resume_adds_nothing(spark, tmpdir_path):
     _write(land, "b1.jsonl", '{"id": "1", "video_id": "v", "create_time": 1}\n{"id": "1", "video_id": "v", "create_time": 1}\n')
     ts = F.timestamp_seconds("create_time")
     stream = si.read_child_stream(spark, land).withColumn("ts", ts)
-    deduped = si.dedupe_stream(stream, ["id", "video_id"], "ts", "1 hour").drop("ts")
+    deduped = si.dedupe_stream(stream, ["id", "video_id"]).drop("ts")
     out, ck = os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ck")
     si.run_available_now(deduped, out, ck)
     assert spark.read.parquet(out).count() == 1
-    stream2 = si.dedupe_stream(si.read_child_stream(spark, land).withColumn("ts", ts), ["id", "video_id"], "ts", "1 hour").drop("ts")
+    stream2 = si.dedupe_stream(si.read_child_stream(spark, land).withColumn("ts", ts), ["id", "video_id"]).drop("ts")
     si.run_available_now(stream2, out, ck)
     assert spark.read.parquet(out).count() == 1
     _write(land, "b2.jsonl", '{"id": "2", "video_id": "v", "create_time": 2}\n')
-    stream3 = si.dedupe_stream(si.read_child_stream(spark, land).withColumn("ts", ts), ["id", "video_id"], "ts", "1 hour").drop("ts")
+    stream3 = si.dedupe_stream(si.read_child_stream(spark, land).withColumn("ts", ts), ["id", "video_id"]).drop("ts")
     si.run_available_now(stream3, out, ck)
     assert spark.read.parquet(out).count() == 2
 
@@ -123,7 +138,7 @@ def test_driver_contract(spark):
     assert df.count() >= 0
 
 
-def test_latest_status_stateful_out_of_order(spark, tmpdir_path):
+def test_latest_status_out_of_order(spark, tmpdir_path):
     from skein.streaming import ingest as si
 
     land = os.path.join(tmpdir_path, "land")
@@ -136,7 +151,7 @@ def test_latest_status_stateful_out_of_order(spark, tmpdir_path):
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(land, f"b={i}"))
     stream = si.read_table_stream(spark, land, spark.read.parquet(os.path.join(land, "b=0")).schema, max_files=1)
-    latest = si.latest_status_stateful(stream, "user_id", ["ts", "event_id"], ["event_type"])
+    latest = si.latest_status(stream, "user_id", ["ts", "event_id"], ["event_type"])
     out = os.path.join(tmpdir_path, "changes")
     si.run_available_now(latest, "", os.path.join(tmpdir_path, "ck"), mode="update", foreach_batch=si.append_each_batch(out))
     current = {r.user_id: r.event_type for r in si.fold_changes(spark.read.parquet(out), "user_id", ["ts", "event_id"]).collect()}
