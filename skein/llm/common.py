@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skein.session import ensure_checkpoint_dir, ship_package
 
-BATCH_BYTES = 16 << 20  # text bytes per Arrow batch sent to a Python worker
+BATCH_BYTES = 8 << 20  # text bytes per Arrow batch sent to a Python worker
 SLICE_CHARS = 2_000_000  # characters that a worker handles at a time
 
 

@@ -39,7 +39,8 @@ from skein.llm.shingles import digest, shingle_sets
 
 SPREAD = 32  # documents from which a shingle is put last
 SPREAD_SHINGLES = 1 << 18  # at most so many, the most frequent ones; 12 bytes each
-COUNT_SHINGLES = 4_000_000  # shingles that a worker sums up before it hands counts on
+COUNT_SHINGLES = 1_000_000  # shingles that a worker sums up before it hands counts on
+TEXT_CHARS = 400_000  # characters whose shingles a worker hashes at a time
 BROADCAST_IDS = 1_000_000  # ids up to which a table of ids is broadcast; beyond, it is joined by a shuffle
 _HIGH = np.uint64(32)
 
@@ -58,7 +59,7 @@ def spread_shingles(docs: DataFrame, width: int, text_col: str = "text") -> tupl
 
     def packets(runs: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(runs), return_counts=True)
-        cuts = np.searchsorted(values, np.arange(1 << bits, dtype=np.uint64) << np.uint64(32 - bits))
+        cuts = np.searchsorted(values, (np.arange(1 << bits, dtype=np.uint64) << np.uint64(32 - bits)).astype(np.uint32))
         packet, own = [], np.append(cuts, len(values))
         for k in range(1 << bits):
             a, b = own[k], own[k + 1]
@@ -71,9 +72,9 @@ def spread_shingles(docs: DataFrame, width: int, text_col: str = "text") -> tupl
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, size = [], 0
         for batch in batches:
-            for _, texts in text_slices(batch, 2_000_000, 0):
+            for _, texts in text_slices(batch, TEXT_CHARS, 0):
                 for own in shingle_sets(texts, width):
-                    runs.append(own >> _HIGH)
+                    runs.append((own >> _HIGH).astype(np.uint32))
                     size += len(own)
                 if size >= COUNT_SHINGLES:
                     yield packets(runs)
@@ -150,7 +151,7 @@ def prefix_table(
         return run
 
     schema = "n bigint, h1 bigint, h2 bigint, g1 bigint, g2 bigint, prefix array<bigint>"
-    return map_texts(docs, worker, schema, id_col, text_col).withColumnRenamed(id_col, "id")
+    return map_texts(docs, worker, schema, id_col, text_col, chars=TEXT_CHARS).withColumnRenamed(id_col, "id")
 
 
 def _only(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
@@ -181,7 +182,7 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, id_col: str, text_col:
 
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = _only(docs.select(id_col, text_col), write_shared(ids, "pair-ids"), id_col)
-    sets = map_texts(wanted, worker, "shingles binary", id_col, text_col).withColumnRenamed(id_col, "id")
+    sets = map_texts(wanted, worker, "shingles binary", id_col, text_col, chars=TEXT_CHARS).withColumnRenamed(id_col, "id")
     sets = write_shared(sets, "pair-sets")
     joined = (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a")
