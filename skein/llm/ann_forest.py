@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from skein.llm.common import write_shared
 from skein.llm.vector_blocks import CANDIDATE_ROWS, QUERY_ROWS, best, cells, packed, usable
 
-TREES = 48
+TREES = 96
 BITS = 24  # length of the hash strings
 SEED = 20_240_501
 #: Candidates that a query gathers in each block before it stops ascending: a floor, and a share of the block's rows.
-LEAST_CANDIDATES, CANDIDATE_SHARE = 1_024, 0.35
+LEAST_CANDIDATES, CANDIDATE_SHARE = 1_024, 0.3
 
 
 @functools.lru_cache(maxsize=4)
@@ -55,30 +55,40 @@ def indexed(matrix: np.ndarray, trees: int = TREES) -> list[bytes]:
     ]
 
 
-def gather(asked: np.ndarray, sorted_strings: np.ndarray, rows: np.ndarray, enough: int) -> np.ndarray:
-    """Mark of the rows that share with the query, in some tree, a prefix of the length reached.
+def descend(asked: np.ndarray, sorted_strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, behind) of the run that shares a prefix with each query: levels × trees × queries.
 
-    ``asked``: the query's string in each tree.
+    ``asked`` are the queries' strings, trees × queries; level k stands for a
+    prefix of k bits.  One binary search per tree and level for all queries.
     """
-    trees, n = sorted_strings.shape
-    seen = np.zeros(n, bool)
-    low = np.array([np.searchsorted(s, a) for s, a in zip(sorted_strings, asked)])
-    high = low.copy()
-    for level in range(BITS, -1, -1):
+    trees, n = asked.shape
+    first = np.empty((BITS + 1, trees, n), np.int32)
+    behind = np.empty_like(first)
+    for level in range(BITS + 1):
         shift = np.uint32(BITS - level)
-        first = (asked >> shift) << shift
-        last = first | np.uint32((1 << (BITS - level)) - 1)
+        least = (asked >> shift) << shift
+        most = least | np.uint32((1 << (BITS - level)) - 1)
         for t in range(trees):
-            own = sorted_strings[t]
-            a = np.searchsorted(own[: low[t]], first[t], "left")
-            b = high[t] + np.searchsorted(own[high[t] :], last[t], "right")
-            if a < low[t]:
-                seen[rows[t, a : low[t]]] = True
-            if b > high[t]:
-                seen[rows[t, high[t] : b]] = True
-            low[t], high[t] = a, b
-        if seen.sum() >= enough:
-            break
+            first[level, t] = np.searchsorted(sorted_strings[t], least[t], "left")
+            behind[level, t] = np.searchsorted(sorted_strings[t], most[t], "right")
+    return first, behind
+
+
+def gather(first: np.ndarray, behind: np.ndarray, rows: np.ndarray, enough: int) -> np.ndarray:
+    """Mark of the rows that share with one query, in some tree, a prefix of the length reached.
+
+    ``first`` and ``behind`` are levels × trees.  All trees ascend together from
+    the longest prefixes until ``enough`` different rows are marked; levels whose
+    runs are too short even without overlaps are passed at once.
+    """
+    seen = np.zeros(rows.shape[1], bool)
+    sizes = (behind - first).sum(1)
+    for level in range(BITS, -1, -1):
+        if sizes[level] >= min(enough, rows.shape[1]) or not level:
+            for t in np.flatnonzero(behind[level] > first[level]):
+                seen[rows[t, first[level, t] : behind[level, t]]] = True
+            if seen.sum() >= enough:
+                break
     return seen
 
 
@@ -102,8 +112,8 @@ def nearest(
     """
     rows = usable(embeddings, id_col, vector_col).where(F.exists("vector", lambda x: x != 0.0))
     rows = write_shared(rows, "vectors")
-    index = packed(rows.repartition("id"), CANDIDATE_ROWS, lambda m: indexed(m, trees), ["data", "strings", "order"])
-    queries = packed(rows.where(is_query).repartition("id"), QUERY_ROWS, lambda m: [m.astype("<f8").tobytes()], ["data"])
+    index = packed(rows, CANDIDATE_ROWS, lambda m: indexed(m, trees), ["data", "strings", "order"])
+    queries = packed(rows.where(is_query), QUERY_ROWS, lambda m: [m.astype("<f8").tobytes()], ["data"])
     met = cells(queries, index).select("q_dim", "q_ids", "q_data", "c_ids", "c_data", "c_strings", "c_order")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,11 +123,11 @@ def nearest(
                 q, c = (np.frombuffer(p, "<f8").reshape(-1, dim) for p in (parts[1], parts[3]))
                 sorted_strings = np.frombuffer(parts[4], "<u4").reshape(trees, -1)
                 order = np.frombuffer(parts[5], "<u2").reshape(trees, -1)
-                asked = strings(q, trees)
+                first, behind = descend(strings(q, trees), sorted_strings)
                 norms = np.array([np.sqrt(np.dot(v, v)) for v in c])
                 enough = max(least_candidates, int(candidate_share * len(c)))
                 for j, own in enumerate(q_ids.tolist()):
-                    seen = gather(asked[:, j], sorted_strings, order, enough) & (c_ids != own)
+                    seen = gather(first[:, :, j], behind[:, :, j], order, enough) & (c_ids != own)
                     at = np.flatnonzero(seen)
                     score = (c[at] @ q[j]) / (norms[at] * np.sqrt(np.dot(q[j], q[j])))
                     if len(at) > k + 8:  # a few more, as products in blocks may round otherwise than one by one

@@ -91,8 +91,8 @@ def top_k(
         rows.select("id", F.transform("vector", lambda x: F.floor(x * float(scale)).cast("long")).alias("vector")),
         "vectors",
     )
-    queries = packed(rows.where(is_query).repartition("id"), QUERY_ROWS, vertical, ["data"])
-    candidates = packed(rows.repartition("id"), CANDIDATE_ROWS, vertical, ["data"])
+    queries = packed(rows.where(is_query), QUERY_ROWS, vertical, ["data"])
+    candidates = packed(rows, CANDIDATE_ROWS, vertical, ["data"])
     met = cells(queries, candidates).select("q_dim", "q_ids", "q_data", "c_ids", "c_data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

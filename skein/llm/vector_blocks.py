@@ -37,39 +37,45 @@ def usable(embeddings: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def packed(rows: DataFrame, size: int, pack: Callable[[np.ndarray], list[bytes]], names: list[str]) -> DataFrame:
-    """(dim, rows, ids, ``names``...): blocks of at most ``size`` vectors of the same length.
+    """(dim, rows, ids, ``names``...): blocks of about ``size`` vectors of the same length.
 
-    ``pack`` turns a matrix (rows × dim) into one binary per name.  Rows are
-    dealt out by their id, so blocks are alike in size whatever the vectors are.
+    ``pack`` turns a matrix (rows × dim) into one binary per name.  The number of
+    blocks follows from the number of rows; rows are dealt out by a hash of
+    their id, so blocks are alike in size whatever the vectors and however many
+    partitions there are.
     """
+    blocks = max(1, -(-rows.count() // size))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    dealt = dealt.repartition("block").sortWithinPartitions("block", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[list[int], list[np.ndarray]]] = {}
 
-        def block(dim: int, ids: list[int], vectors: list[np.ndarray]) -> pa.RecordBatch:
-            order = np.argsort(np.array(ids, np.int64))
-            columns = [[dim], [len(ids)], [np.array(ids, "<i8")[order].tobytes()]]
-            columns += [[b] for b in pack(np.stack(vectors)[order])]
-            kinds = [pa.int32(), pa.int32()] + [pa.binary()] * (len(columns) - 2)
-            arrays = [pa.array(c, t) for c, t in zip(columns, kinds)]
-            return pa.RecordBatch.from_arrays(arrays, names=["dim", "rows", "ids", *names])
+        def out() -> Iterator[pa.RecordBatch]:
+            for dim, (ids, vectors) in held.items():
+                columns = [[dim], [len(ids)], [np.array(ids, "<i8").tobytes()]]
+                columns += [[b] for b in pack(np.stack(vectors))]
+                kinds = [pa.int32(), pa.int32()] + [pa.binary()] * (len(columns) - 2)
+                arrays = [pa.array(c, t) for c, t in zip(columns, kinds)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["dim", "rows", "ids", *names])
+            held.clear()
 
+        now = None
         for batch in batches:
             vectors = batch.column(1)
             flat, offsets = vectors.values.to_numpy(), vectors.offsets.to_numpy()
-            for k, own in enumerate(batch.column(0).to_pylist()):
+            for k, (own, block) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                if block != now:
+                    yield from out()
+                    now = block
                 vector = flat[offsets[k] : offsets[k + 1]]
                 ids, parts = held.setdefault(len(vector), ([], []))
                 ids.append(own)
                 parts.append(vector)
-                if len(ids) == size:
-                    yield block(len(vector), ids, parts)
-                    del held[len(vector)]
-        for dim, (ids, parts) in held.items():
-            yield block(dim, ids, parts)
+        yield from out()
 
     binaries = ", ".join(f"{n} binary" for n in names)
-    return rows.mapInArrow(run, f"dim int, rows int, ids binary, {binaries}")
+    return dealt.mapInArrow(run, f"dim int, rows int, ids binary, {binaries}")
 
 
 def cells(queries: DataFrame, candidates: DataFrame) -> DataFrame:

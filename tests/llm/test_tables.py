@@ -198,7 +198,8 @@ def test_gather_finds_the_longest_prefixes_first():
     own = rng.integers(0, 1 << ann_forest.BITS, (1, 500)).astype(np.uint32)
     order = np.argsort(own, axis=1)
     asked = np.array([own[0, 17] ^ 1], np.uint32)
-    seen = ann_forest.gather(asked, np.take_along_axis(own, order, 1), order, 9)
+    first, behind = ann_forest.descend(asked[:, None], np.take_along_axis(own, order, 1))
+    seen = ann_forest.gather(first[:, :, 0], behind[:, :, 0], order, 9)
     common = [ann_forest.BITS - int(x ^ asked[0]).bit_length() for x in own[0].tolist()]
     level = min(c for c, s in zip(common, seen) if s)
     assert seen.sum() >= 9 and all(s == (c >= level) for c, s in zip(common, seen))
