@@ -6,11 +6,9 @@ Submodules hold the details; the names below are the stable surface.
 
 from skein.constants import (
     ALL_STOPWORDS,
-    CHILD_FIELDS,
     DEFAULT_TERMS,
     DOMAIN_STOPWORDS,
     ID_COLUMNS,
-    PARENT_FIELDS,
     SOCIAL_STOPWORDS,
 )
 from skein.functions.scalar import (
@@ -56,6 +54,7 @@ from skein.operators.topics import cluster_topics, embed_batched, embed_document
 from skein.plans.analysis import prepare_data, run_analysis
 from skein.plans.collection import collection_plan, prepare_child_ids
 from skein.plans.preprocess import preprocess_children, preprocess_parents
+from skein.schemas import CHILD_FIELDS, PARENT_FIELDS
 from skein.session import get_session
 from skein.sources.readers import read_child_batches, read_parent_envelopes, read_table, read_terms
 from skein.sources.sinks import redact, write_csv, write_table

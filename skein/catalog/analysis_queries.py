@@ -252,15 +252,48 @@ def q_indexed_export_children(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(ce, CHILD_EXPORT_COLUMNS)
 
 
+_VIDEO_SQL = """SELECT o_orderkey % 500 AS i, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS day FROM orders"""
+_COMMENT_SQL = """SELECT l_orderkey % 700 AS i, l_orderkey % 500 + (CASE WHEN l_linenumber = 7 THEN 400 ELSE 0 END) AS v,
+  strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d') AS day FROM lineitem"""
+
+
 @register(
     "export_checks",
+    f"""
+WITH v AS ({_VIDEO_SQL}), c AS ({_COMMENT_SQL})
+SELECT 'disallowed_columns' AS "check", CAST(2 AS BIGINT) AS failures
+UNION ALL SELECT 'video_columns', 1 UNION ALL SELECT 'comment_columns', 1
+UNION ALL SELECT 'video_index_unique', count(*) FROM (SELECT i FROM v GROUP BY i HAVING count(*) > 1)
+UNION ALL SELECT 'comment_index_unique', count(*) FROM (SELECT i FROM c GROUP BY i HAVING count(*) > 1)
+UNION ALL SELECT 'comment_parent_exists', count(*) FROM c WHERE v NOT IN (SELECT i FROM v)
+UNION ALL SELECT 'dates_above_threshold', count(*) FROM (
+  SELECT day FROM (SELECT day FROM v UNION ALL SELECT day FROM c) WHERE day IS NOT NULL GROUP BY day HAVING count(*) < 30)
+""",
+)
+def q_export_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """The checks on tables with planted faults of every kind; SQL counts them."""
+    day = lambda c: F.date_format(F.col(c).cast("date"), "yyyy-MM-dd").alias("date")
+    v = table(spark, sf, "orders").select((F.col("o_orderkey") % 500).alias("video_index"), day("o_orderdate"), F.lit("u").alias("username"))
+    far = F.when(F.col("l_linenumber") == 7, 400).otherwise(0)
+    c = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") % 700).alias("comment_index"),
+        (F.col("l_orderkey") % 500 + far).alias("video_index"),
+        day("l_shipdate"),
+        F.lit("u").alias("username"),
+    )
+    return ex.validate_exports(v, c, 30).select("check", F.col("failures").cast("bigint").alias("failures"))
+
+
+@register(
+    "export_checks_pass",
     """
 SELECT "check", CAST(n AS BIGINT) AS failures FROM (VALUES ('disallowed_columns', 0), ('video_columns', 0), ('comment_columns', 0), ('video_index_unique', 0),
   ('comment_index_unique', 0), ('comment_parent_exists', 0), ('dates_above_threshold', 0)) AS x("check", n)
 WHERE (SELECT count(*) FROM orders) >= 0
 """,
 )
-def q_export_checks(spark: SparkSession, sf: str) -> DataFrame:
+def q_export_checks_pass(spark: SparkSession, sf: str) -> DataFrame:
+    """The built exports pass every check."""
     v, c = _export_inputs(spark, sf)
     ve, ce, _ = ex.build_exports(v, c, _EXPORT_K)
     return ex.validate_exports(ve, ce, _EXPORT_K).select("check", F.col("failures").cast("bigint").alias("failures"))

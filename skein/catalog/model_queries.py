@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.catalog import register
@@ -13,20 +15,19 @@ from skein.operators import keywords as kw
 from skein.operators import relational as rel
 from skein.operators import scoring as scr
 from skein.operators import topics as tp
-from skein.session import table
+from skein.session import ensure_checkpoint_dir, table
 
 # topic id of a document = position of its language in alphabetical order
-_LANGS = ["de", "en", "es", "fr"]
-
-
 def _docs_by_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    lang_id = F.array_position(F.array(*[F.lit(x) for x in _LANGS]), F.col("lang")).cast("int") - 1
-    out = tx.compute_once(docs, ["doc_id", lang_id.alias("topic")], topic_text=tx.topic_preprocess_text("text"))
+    number = (F.dense_rank().over(Window.orderBy("lang")) - 1).cast("int").alias("topic")
+    topics = docs.select("lang").distinct().select("lang", number)  # one row per language
+    docs = docs.join(F.broadcast(topics), "lang")
+    out = tx.compute_once(docs, ["doc_id", "topic"], topic_text=tx.topic_preprocess_text("text"))
     return out.filter(F.length(F.trim("topic_text")) >= 3)
 
 
-_LANG_ID_SQL = "CAST(list_position(['de', 'en', 'es', 'fr'], lang) AS INTEGER) - 1"
+_LANG_ID_SQL = "CAST(dense_rank() OVER (ORDER BY lang) AS INTEGER) - 1"
 _DOCS_BY_ID_SQL = f"""
 SELECT topic, topic_text FROM (SELECT {_LANG_ID_SQL} AS topic, {topic_text('text')} AS topic_text FROM documents)
 WHERE length(trim(topic_text)) >= 3
@@ -186,27 +187,43 @@ def q_embed_docs(spark: SparkSession, sf: str) -> DataFrame:
     return tp.embed_batched(docs, "doc_id", "text", scr.hashed_linear_model(64, seed=3), batch_size=64)
 
 
-@register("embed_word2vec")
-def q_embed_word2vec(spark: SparkSession, sf: str) -> DataFrame:
-    """ML-5 (offline trained encoder): Word2Vec document vectors of the topic texts."""
+@register("embed_hashed")
+def q_embed_hashed(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-5 (without a model): hashed word sums of the topic texts."""
     docs = _docs_by_id(spark, sf)
     return tp.embed_documents(docs, "doc_id", "topic_text", dim=32)
 
 
 def _clustered(spark: SparkSession, sf: str):
     emb = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    feats, _ = tp.reduce_dimensions(emb, "vec_id", "embedding", k=10)
-    topics, _ = tp.cluster_topics(feats, "vec_id", k=10, min_size=5)
+    topics, _ = tp.cluster_topics(emb, "vec_id", k=10, reduce_k=10, min_size=5)
     return emb, topics
 
 
 @register("cluster_topics")
 def q_cluster_topics(spark: SparkSession, sf: str) -> DataFrame:
-    """ML-7 + ML-8 + ML-10: PCA(10) of normalised embeddings, KMeans, outliers −1, ids by size."""
+    """ML-7 + ML-8 + ML-10: PCA(10) of normalised embeddings, KMeans, ids by size."""
     _, topics = _clustered(spark, sf)
     return topics
 
 
+@register("topic_model_reuse", "SELECT vec_id, true AS known_topic, true AS as_before FROM embeddings WHERE vec_id % 2 = 1")
+def q_topic_model_reuse(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-9: fit on the even half, save, load, assign the odd half; the loaded model must assign as the fitted one."""
+    emb = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    model = tp.fit_topics(emb.filter("vec_id % 2 = 0"), k=10, reduce_k=10, min_size=5)
+    path = f"{ensure_checkpoint_dir(spark)}/topic-model-{uuid.uuid4().hex}"
+    tp.save_model(model, path)
+    new = emb.filter("vec_id % 2 = 1")
+    before = model.assign(new, "vec_id").select("vec_id", F.col("topic_id").alias("before"), F.col("topic_probability").alias("p"))
+    after = tp.load_model(path).assign(new, "vec_id").join(before, "vec_id")
+    return after.select(
+        "vec_id",
+        F.col("topic_id").between(-1, 9).alias("known_topic"),
+        ((F.col("topic_id") == F.col("before")) & (F.abs(F.col("topic_probability") - F.col("p")) < 1e-12)).alias("as_before"),
+    )
+
+
 @register("density_topics")
 def q_density_topics(spark: SparkSession, sf: str) -> DataFrame:
     """ML-8 (b): density-connected micro-clusters over the reduced embeddings, outliers −1."""
@@ -223,10 +240,26 @@ def q_map_2d(spark: SparkSession, sf: str) -> DataFrame:
     return tp.map_2d(emb, "vec_id", topics)
 
 
-@register("embedding_topic_keys")
-def q_embedding_topic_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """DQ-8: embeddings and topic assignments must share their keys (0 / 0)."""
+@register("map_2d_axes", "SELECT count(*) AS n, true AS uncorrelated, true AS ordered FROM embeddings")
+def q_map_2d_axes(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-11 by its properties: every key once, axes without covariance, the first of more variance."""
     emb, topics = _clustered(spark, sf)
-    return tp.key_mismatch(emb, topics, "vec_id")
+    xy = tp.map_2d(emb, "vec_id", topics)
+    return xy.agg(
+        F.count_distinct("vec_id").alias("n"),
+        (F.abs(F.covar_samp("x", "y")) < 1e-9).alias("uncorrelated"),
+        (F.var_samp("x") >= F.var_samp("y")).alias("ordered"),
+    )
 
 
+@register(
+    "embedding_topic_keys",
+    """
+SELECT 'left_only' AS side, count(*) AS n FROM embeddings WHERE vec_id % 10 = 3
+UNION ALL SELECT 'right_only', count(*) FROM embeddings WHERE vec_id % 10 = 4
+""",
+)
+def q_embedding_topic_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """DQ-8: keys on one side only, with planted ones on both."""
+    emb, topics = _clustered(spark, sf)
+    return tp.key_mismatch(emb.filter("vec_id % 10 <> 4"), topics.filter("vec_id % 10 <> 3"), "vec_id")

@@ -27,9 +27,12 @@ long AS (
   SELECT event_type AS topic, metric, v AS value FROM (
     SELECT event_type, 'value' AS metric, value AS v FROM events
     UNION ALL
-    SELECT event_type, 'k', CAST(json_extract_string(props, '$.k') AS DOUBLE) FROM events)
+    SELECT event_type, 'k', CAST(json_extract_string(props, '$.k') AS DOUBLE) FROM events
+    UNION ALL
+    SELECT event_type, 'partial', value FROM events WHERE event_type <> 'error')
   WHERE v IS NOT NULL AND isfinite(v)
-)"""
+), spine AS (SELECT topic, metric FROM (SELECT DISTINCT event_type AS topic FROM events WHERE event_type IS NOT NULL)
+             CROSS JOIN (VALUES ('value'), ('k'), ('partial')) AS m(metric))"""
 
 
 @register(
@@ -69,23 +72,26 @@ pt AS (SELECT l.metric, l.topic, count(*) AS n_topic, sum(l.value) AS sum_topic,
               sum(r.below + (r.c + 1) / 2.0) AS rank_sum, median(l.value) AS median_topic
        FROM long l JOIN ranks r ON l.metric = r.metric AND l.value = r.value GROUP BY l.metric, l.topic),
 rm AS (SELECT t.metric, t.topic, median(l.value) AS median_rest
-       FROM (SELECT DISTINCT metric, topic FROM long) t JOIN long l ON l.metric = t.metric AND l.topic <> t.topic
+       FROM spine t JOIN long l ON l.metric = t.metric AND l.topic <> t.topic
        GROUP BY t.metric, t.topic),
-s AS (SELECT pt.*, tot.n - pt.n_topic AS n_rest, tot.tie_term, sall.sum_all, rm.median_rest,
+s AS (SELECT spine.topic, spine.metric, coalesce(pt.n_topic, 0) AS n_topic, pt.sum_topic, pt.median_topic,
+             tot.n - coalesce(pt.n_topic, 0) AS n_rest, tot.tie_term, sall.sum_all, rm.median_rest,
              pt.rank_sum - pt.n_topic * (pt.n_topic + 1) / 2.0 AS u1
-      FROM pt JOIN tot USING (metric) JOIN sall USING (metric) LEFT JOIN rm USING (metric, topic))
+      FROM spine LEFT JOIN pt USING (metric, topic) JOIN tot USING (metric) JOIN sall USING (metric)
+        LEFT JOIN rm USING (metric, topic))
 SELECT 'events' AS kind, topic AS event_type, metric, CAST(n_topic AS BIGINT) AS n_topic, CAST(n_rest AS BIGINT) AS n_rest,
   round(median_topic, 6) AS median_topic, round(median_rest, 6) AS median_rest,
-  round(sum_topic / n_topic, 6) AS mean_topic, round((sum_all - sum_topic) / n_rest, 6) AS mean_rest,
+  round(sum_topic / n_topic, 6) AS mean_topic, round((sum_all - coalesce(sum_topic, 0)) / n_rest, 6) AS mean_rest,
   round(u1, 6) AS u_stat, round(tie_term, 6) AS tie_term,
   round((greatest(u1, n_topic * n_rest - u1) - n_topic * n_rest / 2.0 - 0.5)
-        / sqrt(n_topic * n_rest / 12.0 * ((n_topic + n_rest + 1) - tie_term / ((n_topic + n_rest) * (n_topic + n_rest - 1)))), 6) AS z
+        / nullif(sqrt(n_topic * n_rest / 12.0 * ((n_topic + n_rest + 1) - tie_term / ((n_topic + n_rest) * (n_topic + n_rest - 1)))), 0), 6) AS z
 FROM s
 """
 
 
 def _mwu(spark: SparkSession, sf: str, with_p: bool) -> DataFrame:
-    return st.topic_vs_rest(_events(spark, sf), "event_type", ["value", "k"], kind="events", with_p=with_p)
+    ev = _events(spark, sf).withColumn("partial", F.when(F.col("event_type") != "error", F.col("value")))
+    return st.topic_vs_rest(ev, "event_type", ["value", "k", "partial"], kind="events", with_p=with_p)
 
 
 @register("mann_whitney_u", _MWU_SQL)

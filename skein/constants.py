@@ -29,36 +29,6 @@ DEFAULT_TERMS = [
     "emotionalwellbeing",
 ]
 
-# Parent record fields.
-PARENT_FIELDS = [
-    "id",
-    "video_description",
-    "create_time",
-    "region_code",
-    "share_count",
-    "view_count",
-    "like_count",
-    "comment_count",
-    "music_id",
-    "hashtag_names",
-    "username",
-    "effect_ids",
-    "playlist_id",
-    "voice_to_text",
-    "favorites_count",
-]
-
-# Child record fields.
-CHILD_FIELDS = [
-    "id",
-    "video_id",
-    "text",
-    "like_count",
-    "reply_count",
-    "parent_comment_id",
-    "create_time",
-]
-
 # Identifier columns (kept as strings).
 ID_COLUMNS = ["id", "video_id", "music_id", "parent_comment_id", "playlist_id"]
 
@@ -262,3 +232,14 @@ DEFAULT_MIN_TOPIC_TEXT_LEN = 3
 DEFAULT_MIN_COMMENT_COUNT = 1
 
 ALL_STOPWORDS = sorted(set(DOMAIN_STOPWORDS) | set(SOCIAL_STOPWORDS))
+
+# Columns of the table of most-commented parents, in order.
+TOP_PARENT_COLUMNS = [
+    "id",
+    "username",
+    "collected_comments_raw_unique",
+    "collected_comments_text_dedup",
+    "comment_count",
+    "view_count",
+    "like_count",
+]

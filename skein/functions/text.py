@@ -181,23 +181,10 @@ def term_words(text: Column | str) -> Column:
 def term_tokens(text: Column | str) -> Column:
     """SC-6: alphabetic words longer than one char, plus ``_``-joined bigrams and trigrams of them.
 
-    For large inputs prefer ``with_term_tokens``: as one expression the word array
-    is re-evaluated at every reference inside the n-gram expression.
     """
     return ngrams_of(term_words(text))
 
 
-def with_term_tokens(df, text_col: str, out_col: str = "tokens", keep=None):
-    """SC-6 as two projections: the word array is computed once, then n-grams reference it.
-
-    Catalyst does not collapse a non-trivial expression referenced several times
-    into its consumer, so the split/filter runs once per row.
-    """
-    keep = [c for c in (keep if keep is not None else df.columns) if c != text_col]
-    staged = df.select(*keep, term_words(text_col).alias("__words"))
-    return staged.select(*keep, ngrams_of(F.col("__words")).alias(out_col))
-
-
 def ngrams_of(words: Column) -> Column:
     """Unigrams + bigrams + trigrams of a word array (consecutive, ``_``-joined)."""
     n = F.size(words)

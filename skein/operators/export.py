@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +17,7 @@ from skein.constants import (
     TOXICITY_COLUMNS,
 )
 from skein.functions.scalar import epoch_to_date_str
-from skein.operators.relational import count_orphans, dedupe_keep_first, dense_index, require_columns
+from skein.operators.relational import count_orphans, dedupe_keep_first, dense_index, file_order, require_columns
 from skein.session import cut_lineage
 
 
@@ -41,24 +40,26 @@ def filter_sparse_dates(
     videos: DataFrame,
     comments: DataFrame,
     min_entries: int = DEFAULT_MIN_ENTRIES_PER_DATE,
-    max_passes: int = 1000,
 ) -> tuple[DataFrame, DataFrame, int]:
     """SET-4: drop dates with fewer than ``min_entries`` rows over both tables, then children
     whose date or parent is gone; repeat until neither count changes.
 
     The loop runs on narrow aggregates — parents as (id, date, n), children as
     (video_id, date, n) — because survival depends on nothing else; the wide
-    tables are semi-joined once at the end.  Each pass is materialised in the
-    reliable checkpoint folder (lineage stays one pass long and survives
-    executor loss); the stop test compares two sums on the driver.
+    tables are semi-joined once at the end.  Each pass is written
+    to the shared folder (lineage stays one pass long and survives executor
+    loss); the stop test compares two sums on the driver.
     Returns (videos, comments, passes incl. the confirming one).
     """
     vk = cut_lineage(videos.groupBy("id", "date").agg(F.count(F.lit(1)).alias("n")))
     ck = cut_lineage(comments.groupBy("video_id", "date").agg(F.count(F.lit(1)).alias("n")))
     nv, nc = _totals(vk, ck)
-    for n_pass in range(1, max_passes + 1):
+    n_pass = 0
+    while True:  # every pass but the last removes rows
+        n_pass += 1
         per_date = vk.select("date", "n").unionAll(ck.select("date", "n")).filter(F.col("date").isNotNull())
         dates = per_date.groupBy("date").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_entries).select("date")
+        dates = F.broadcast(dates)  # days of the calendar
         vk2 = vk.join(dates, "date", "left_semi")  # FLT-8 membership as semi joins
         ck2 = ck.join(dates, "date", "left_semi").join(vk2.select(F.col("id").alias("video_id")), "video_id", "left_semi")
         vk2, ck2 = cut_lineage(vk2), cut_lineage(ck2)
@@ -67,8 +68,6 @@ def filter_sparse_dates(
         if nv2 == nv and nc2 == nc:
             break
         nv, nc = nv2, nc2
-    else:
-        raise RuntimeError(f"sparse-date filter did not converge in {max_passes} passes")
     keep_v = vk.select(F.col("id").alias("__id"), F.col("date").alias("__date"))
     v_out = videos.join(keep_v, F.col("id").eqNullSafe(F.col("__id")) & (F.col("date") == F.col("__date")), "left_semi")
     c_out = comments.join(ck.select("video_id", "date"), ["video_id", "date"], "left_semi")
@@ -87,14 +86,12 @@ def build_exports(
     scores = [*TOXICITY_COLUMNS, *SENTIMENT_COLUMNS]
     require_columns(videos, ["id", "topic_name", "create_time", *scores], "videos")
     require_columns(comments, ["id", "video_id", "create_time", *scores], "comments")
-    v = dedupe_keep_first(videos, ["id"], [c for c in ("source_file", "pos") if c in videos.columns] or None)
-    c = dedupe_keep_first(comments, ["id", "video_id"], [x for x in ("source_file", "pos") if x in comments.columns] or None)
+    v = dedupe_keep_first(videos, ["id"], file_order(videos))
+    c = dedupe_keep_first(comments, ["id", "video_id"], file_order(comments))
     v = v.withColumn("id", F.col("id").cast("string")).withColumn("date", epoch_to_date_str("create_time"))
     c = c.withColumn("video_id", F.col("video_id").cast("string")).withColumn("date", epoch_to_date_str("create_time"))
-    # read three times below (fixed point, indices, orphan check): dedupe once.  A lost
-    # cached block is recomputed from deterministic lineage.
-    v_cached, c_cached = v.persist(StorageLevel.MEMORY_AND_DISK), c.persist(StorageLevel.MEMORY_AND_DISK)
-    v, c, passes = filter_sparse_dates(v_cached, c_cached, min_entries)
+    # read three times below (fixed point, indices, orphan check): deduped once, as Parquet in the shared folder
+    v, c, passes = filter_sparse_dates(cut_lineage(v), cut_lineage(c), min_entries)
     vi = dense_index(v, list(video_order), "video_index")
     orphans = count_orphans(c, vi.select("id"), "video_id", "id").first()["orphans"]
     if orphans:
@@ -104,9 +101,6 @@ def build_exports(
     # PRJ-3: rename and fixed column order
     video_export = vi.select(F.col("topic_name").alias("topic"), "video_index", "date", *scores).select(*PARENT_EXPORT_COLUMNS)
     comment_export = ci.select(*CHILD_EXPORT_COLUMNS)
-    # both indexed tables come from checkpoints now: the cached inputs can go
-    for cached in (v_cached, c_cached):
-        cached.unpersist()
     return video_export, comment_export, passes
 
 

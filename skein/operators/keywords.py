@@ -81,7 +81,7 @@ def log_odds_scores(df: DataFrame, topic_col: str, text_col: str) -> DataFrame:
     # grand total N by a window over the sizes table (one row per topic)
     sizes = sizes.withColumn("big_n", F.sum("n_i").over(Window.partitionBy()))
     by_term = Window.partitionBy("term")
-    scored = counts.withColumn("big_f", F.sum("f_i").over(by_term)).join(sizes, "topic")
+    scored = counts.withColumn("big_f", F.sum("f_i").over(by_term)).join(F.broadcast(sizes), "topic")  # one row per topic
     return scored.select(
         "topic", "term", "f_i", "big_f", "n_i", "big_n",
         log_odds_z(F.col("f_i"), F.col("big_f"), F.col("n_i"), F.col("big_n")).alias("z_score"),
@@ -161,7 +161,7 @@ def class_tfidf_terms(df: DataFrame, topic_col: str, text_col: str, top_n: int =
     per_topic = tf.groupBy("topic").agg(F.sum("tf").alias("__t"))
     # A = mean tokens per class, by a window over the per-topic table (one row per topic)
     avg = per_topic.select("topic", (F.sum("__t").over(Window.partitionBy()) / F.count(F.lit(1)).over(Window.partitionBy())).alias("avg_words"))
-    scored = tf.withColumn("f_t", F.sum("tf").over(Window.partitionBy("term"))).join(avg, "topic")
+    scored = tf.withColumn("f_t", F.sum("tf").over(Window.partitionBy("term"))).join(F.broadcast(avg), "topic")  # one row per topic
     scored = scored.withColumn("z_score", F.col("tf") * F.ln(F.lit(1.0) + F.col("avg_words") / F.col("f_t")))
     return top_terms(scored, top_n).select("topic", "rank", "term", "z_score")
 

@@ -11,14 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.operators.relational import require_columns  # DQ-1, re-exported
+from skein.operators.relational import count_orphans, require_columns  # DQ-1, re-exported
 
 __all__ = [
     "require_columns",
     "require_not_empty",
     "duplicate_keys",
     "assert_unique",
-    "orphans",
     "assert_no_orphans",
 ]
 
@@ -44,14 +43,8 @@ def assert_unique(df: DataFrame, keys: Sequence[str], source: str = "input") ->
     return df
 
 
-def orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    """DQ-6: one-row (failures) = children whose parent key is missing."""
-    miss = children.join(parents.select(F.col(parent_key).alias(child_key)), child_key, "left_anti")
-    return miss.agg(F.count(F.lit(1)).alias("failures"))
-
-
 def assert_no_orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> None:
     """DQ-6 eager form."""
-    n = orphans(children, parents, child_key, parent_key).first()["failures"]
+    n = count_orphans(children, parents, child_key, parent_key).first()["orphans"]
     if n:
         raise ValueError(f"{n} children reference parents that do not exist")

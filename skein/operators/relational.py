@@ -34,10 +34,15 @@ def require_columns(df: DataFrame, cols: Sequence[str], source: str = "input") -
     """FLT-11 / DQ-1: raise listing the missing column names (schema only, no job)."""
     missing = [c for c in cols if c not in df.columns]
     if missing:
-        raise ValueError(f"{source} is missing required columns: {missing}")
+        raise ValueError(f"{source} lacks the columns {', '.join(missing)}")
     return df
 
 
+def file_order(df: DataFrame) -> list[str] | None:
+    """The readers' order of rows (JSONL before JSON, then file, split and line), as far as ``df`` has it."""
+    return [c for c in ("file_kind", "source_file", "pos_block", "pos") if c in df.columns] or None
+
+
 def _salt(cols: Sequence[str], salts: int) -> Column:
     return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(salts))
 
@@ -157,17 +162,6 @@ def valid_topic(c: Column | str = "topic_id") -> Column:
     return x.isNotNull() & (x >= 0)
 
 
-def half_open_range(ts: Column | str, start: str, end_inclusive: str) -> Column:
-    """FLT-6: ``start ≤ ts < end + 1 day`` (pushes down as a range predicate)."""
-    x = F.col(ts) if isinstance(ts, str) else ts
-    return (x >= F.to_timestamp(F.lit(start))) & (x < F.to_timestamp(F.lit(end_inclusive)) + F.expr("INTERVAL 1 DAY"))
-
-
-def year_range(ts: Column | str, year: int) -> Column:
-    """FLT-7 as a range so Parquet statistics can prune."""
-    return half_open_range(ts, f"{year}-01-01", f"{year}-12-31")
-
-
 def search_filter(
     df: DataFrame,
     terms: Sequence[str],
@@ -181,7 +175,7 @@ def search_filter(
     """FLT-9: (any term as a whole word in text, case-insensitive) OR (any term among tags)
     AND region in list.  Word characters are letters, digits and ``_``."""
     if not (include_keyword or include_hashtag):
-        raise ValueError("At least one of include_keyword/include_hashtag must be true.")
+        raise ValueError("search_filter has nothing to search: both text and hashtags are off")
     lowered = [t.lower() for t in terms]
     clauses = []
     if include_keyword and lowered:
@@ -216,7 +210,7 @@ def topic_names(id2topics: DataFrame, topic_col: str = "topic_id") -> DataFrame:
     spine = top.select(
         F.explode(F.sequence(F.lit(0), F.coalesce(F.col("m"), F.lit(len(PAPER_TOPIC_NAMES) - 1)))).alias("topic_id")
     )
-    return spine.join(fixed, "topic_id", "left").select(
+    return spine.join(F.broadcast(fixed), "topic_id", "left").select(
         "topic_id",
         F.coalesce(F.col("fixed_name"), F.concat(F.lit("Topic "), (F.col("topic_id") + 1).cast("string"))).alias("topic_name"),
     )
@@ -234,7 +228,9 @@ def add_topic_metadata(df: DataFrame, id2topics: DataFrame, names: DataFrame) ->
         F.col("topic_id").cast("string").try_cast("int").alias("topic_id"), F.col("topic").alias("topic_keywords")
     )
     out = df.withColumn("topic_id", F.col("topic_id").cast("string").try_cast("int"))
-    out = out.join(kw, "topic_id", "left").join(names.withColumnRenamed("topic_name", "_name"), "topic_id", "left")
+    # one row per topic each: broadcast, so that rows never meet by topic in a few partitions
+    out = out.join(F.broadcast(kw), "topic_id", "left")
+    out = out.join(F.broadcast(names.withColumnRenamed("topic_name", "_name")), "topic_id", "left")
     return out.withColumn("topic_keywords", F.coalesce("topic_keywords", F.lit("Outlier"))).withColumn(
         "topic_label", topic_label("topic_id")
     ).withColumn("topic_name", F.coalesce(F.col("_name"), F.lit("Outlier"))).drop("_name")
@@ -262,9 +258,7 @@ def attach_child_topics(children: DataFrame, topics: DataFrame, id2topics: DataF
 def with_polarity(df: DataFrame, force: bool = True) -> DataFrame:
     """PRJ-5: ``xlm_polarity = positive − negative`` when both inputs exist."""
     if {"xlm_positive", "xlm_negative"} <= set(df.columns) and (force or "xlm_polarity" not in df.columns):
-        pos = F.col("xlm_positive").cast("string").try_cast("double")
-        neg = F.col("xlm_negative").cast("string").try_cast("double")
-        return df.withColumn("xlm_polarity", pos - neg)
+        return df.withColumn("xlm_polarity", F.col("xlm_positive").try_cast("double") - F.col("xlm_negative").try_cast("double"))
     return df
 
 
@@ -326,17 +320,7 @@ def dense_index(
     return out.withColumn(name, (F.col("__off") + F.col("__pos")).cast("bigint")).drop("__pid", "__pos", "__off")
 
 
-def lookup_index(children: DataFrame, index: DataFrame, key: str, index_col: str) -> DataFrame:
-    """JN-8: replace a key by its dense index (inner join); call ``count_orphans`` first."""
-    return children.join(index.select(F.col(key), F.col(index_col)), key, "inner")
-
-
 def count_orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
     """DQ-6: number of children whose parent key is absent (one-row result)."""
     orphans = children.join(parents.select(F.col(parent_key).alias(child_key)), child_key, "left_anti")
     return orphans.agg(F.count(F.lit(1)).alias("orphans"))
-
-
-def spine_fill(spine: DataFrame, counts: DataFrame, on: Sequence[str], fill: dict[str, int | float]) -> DataFrame:
-    """JN-11: spine ⟕ counts with missing measures filled."""
-    return spine.join(counts, list(on), "left").na.fill(fill)

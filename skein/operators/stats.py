@@ -27,22 +27,22 @@ partition ids used for offsets and rows come from one materialisation.
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.constants import KDE_GRID, QUANTILES
-from skein.functions.scalar import significance
+from skein.functions.scalar import significance, to_number
 from skein.operators.relational import finite
 from skein.session import cut_lineage
 
-MAX_BROADCAST_TARGETS = 2_000_000
-
 # ---------------------------------------------------------------------------
 # Long format and the ranked histogram
 # ---------------------------------------------------------------------------
@@ -50,7 +50,7 @@ MAX_BROADCAST_TARGETS = 2_000_000
 
 def long_metrics(df: DataFrame, keep: Sequence[str], metrics: Sequence[str]) -> DataFrame:
     """(keep…, metric, value) with non-finite values removed (FLT-10, PRJ-2)."""
-    cols = [F.col(m).cast("string").try_cast("double").alias(m) for m in metrics]
+    cols = [to_number(m).alias(m) for m in metrics]
     wide = df.select(*keep, *cols)
     long = wide.unpivot(list(keep), list(metrics), "metric", "value")
     return long.filter(finite("value"))
@@ -101,10 +101,16 @@ def ranked_histogram(
     value_col: str = "value",
     partitions: int | None = None,
     materialize: bool = True,
+    counts: str | None = None,
 ) -> DataFrame:
-    """(group…, value, c, below): exact per-group value counts and count of smaller values."""
+    """(group…, value, c, below): exact per-group value counts and count of smaller values.
+
+    ``counts`` names a column that holds how often each row counts, so a
+    histogram can be made from a finer one without reading the data again.
+    """
     group_cols = list(group_cols)
-    hist = df.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("c"))
+    times = F.sum(counts) if counts else F.count(F.lit(1))
+    hist = df.groupBy(*group_cols, value_col).agg(times.alias("c"))
     # without an explicit count AQE may coalesce neighbouring ranges (order is kept)
     by_range = hist.repartitionByRange(partitions, *group_cols, value_col) if partitions else hist.repartitionByRange(*group_cols, value_col)
     ranged = (
@@ -119,8 +125,9 @@ def ranked_histogram(
     totals = local.groupBy("pid", *group_cols).agg(F.sum("c").alias("ptotal"))
     w = Window.partitionBy(*group_cols).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("pid", *group_cols, F.coalesce(F.sum("ptotal").over(w), F.lit(0)).alias("offset"))
-    # one row per (partition, group): bounded by partitions + groups
-    out = local.join(offsets, ["pid", *group_cols])
+    # one row per (partition, group) that meet, partitions + groups at most: broadcast, never a
+    # shuffle of the histogram on a handful of group keys
+    out = local.join(F.broadcast(offsets), ["pid", *group_cols])
     return out.select(*group_cols, value_col, "c", (F.col("offset") + F.col("lbelow")).alias("below"))
 
 
@@ -131,9 +138,9 @@ def _lookup(hist: DataFrame, group_cols: Sequence[str], targets: DataFrame, valu
     the group keys with the position range as a residual condition.
     """
     h = hist.alias("h")
-    # a few targets per group: broadcast after checking the size, so no task ever
+    # a few targets per group, and groups are topics × metrics: broadcast, so no task ever
     # receives a whole group's histogram (a shuffle join on the group key would)
-    t = (F.broadcast(targets) if targets.count() <= MAX_BROADCAST_TARGETS else targets).alias("t")
+    t = F.broadcast(targets).alias("t")
     cond = [F.col(f"h.{g}").eqNullSafe(F.col(f"t.{g}")) for g in group_cols]
     cond.append(F.col("h.below") < F.col("t.pos"))
     cond.append(F.col("t.pos") <= F.col("h.below") + F.col("h.c"))
@@ -185,7 +192,7 @@ def quantile_table(
 
 def group_medians(df: DataFrame, group_col: str, cols: Sequence[str]) -> DataFrame:
     """AG-9: per-group medians of several columns after a joint null drop (FLT-12)."""
-    clean = df.select(group_col, *[F.col(c).cast("string").try_cast("double").alias(c) for c in cols]).na.drop()
+    clean = df.select(group_col, *[to_number(c).alias(c) for c in cols]).na.drop()
     long = clean.unpivot([group_col], list(cols), "metric", "value")
     q = exact_quantiles(long, [group_col, "metric"], [0.5])
     return q.groupBy(group_col).pivot("metric", list(cols)).agg(F.first("value"))
@@ -196,22 +203,55 @@ def group_medians(df: DataFrame, group_col: str, cols: Sequence[str]) -> DataFra
 # ---------------------------------------------------------------------------
 
 
+_PERIOD = 840  # least common multiple of 1 … 8
+
+
+def _sums_up_to(limit: int, parts: int) -> int:
+    """Number of ways to write a number of at most ``limit`` as a sum of parts 1 … ``parts`` (≤ 8), order aside.
+
+    For limits of one residue modulo the period the numbers follow a polynomial
+    of degree ``parts``; it is fixed by its first values, so any limit takes the
+    same time and memory.
+    """
+    if limit < 0:
+        return 0
+    at, rest = divmod(limit, _PERIOD)
+    known = _first_sums(parts)[rest::_PERIOD][: parts + 1]
+    if at <= parts:
+        return known[at]
+    # Lagrange through 0 … parts; the factors are integers up to the common denominator
+    total, whole = 0, math.factorial(parts)
+    span = math.prod(at - j for j in range(parts + 1))
+    for i, value in enumerate(known):
+        total += (-1) ** (parts - i) * math.comb(parts, i) * value * (span // (at - i))
+    return total // whole
+
+
+@functools.lru_cache(maxsize=8)
+def _first_sums(parts: int) -> list[int]:
+    ways = [1] * (_PERIOD * (parts + 1))  # limits 0 …: the unused remainder is one more part of size 1
+    for size in range(1, parts + 1):
+        for k in range(size, len(ways)):
+            ways[k] += ways[k - size]
+    return ways
+
+
 def _exact_sf(u: float, n1: int, n2: int) -> float:
-    """P(U ≥ u) under H0 without ties, by the generating function
-    ∏_{i=1..m} (1 − q^{N+i}) / (1 − q^i), m = min(n1, n2), N = max(n1, n2)."""
+    """P(U ≥ u) under H0 without ties, in constant memory for min(n1, n2) ≤ 8.
+
+    U has the generating function ∏ (1 − q^(N+i)) / (1 − q^i) for i = 1 … m; its
+    numerator has at most 2^m terms, each of which shifts the count of sums.
+    """
     m, big = min(n1, n2), max(n1, n2)
-    deg = m * big
-    poly = np.zeros(deg + 1)
-    poly[0] = 1.0
-    for i in range(1, m + 1):
-        shifted = np.zeros_like(poly)
-        shifted[big + i:] = poly[: deg + 1 - (big + i)]
-        poly = poly - shifted
-        for r in range(i):  # divide by (1 − q^i): prefix sums with stride i
-            poly[r::i] = np.cumsum(poly[r::i])
-    poly = poly / poly.sum()
-    k = int(math.ceil(u - 1e-9))
-    return float(poly[k:].sum()) if k <= deg else 0.0
+    below = math.ceil(u - 1e-9) - 1
+    if below < 0:
+        return 1.0
+    count = 0
+    for chosen in range(1 << m):
+        shift = sum(big + i + 1 for i in range(m) if chosen >> i & 1)
+        count += (-1) ** chosen.bit_count() * _sums_up_to(below - shift, m)
+    total = math.comb(n1 + n2, m)
+    return max(0, total - count) / total
 
 
 def mwu_p_value(u1: float, n1: int, n2: int, tie_term: float, exact_limit: int = 8) -> float:
@@ -275,7 +315,7 @@ def _rest_positions(
             )
         ).alias("t"),
     ).select(*group_cols, topic_col, "t.side", "t.k").filter(F.col("k") >= 1)
-    cand = th.join(ks, [*group_cols, topic_col]).filter(F.col("rest_below") < F.col("k"))
+    cand = th.join(F.broadcast(ks), [*group_cols, topic_col]).filter(F.col("rest_below") < F.col("k"))
     best = cand.groupBy(*group_cols, topic_col, "side", "k").agg(F.max_by("ct", "value").alias("ct_star"))
     ks = ks.join(best, [*group_cols, topic_col, "side", "k"], "left")
     return ks.select(*group_cols, topic_col, "side", (F.col("k") + F.coalesce("ct_star", F.lit(0))).alias("pos"))
@@ -296,12 +336,13 @@ def topic_vs_rest(
 
     Columns: kind, topic, metric, n_topic, n_rest, median_topic, median_rest,
     mean_topic, mean_rest, u_stat, tie_term, z, [p_value, q_value_bh_fdr, significance].
-    Sides with fewer than two values give null U / p.
+    A topic without finite values of a metric has a row with n_topic = 0; sides
+    with fewer than two values give null U / p.
     """
     long = long_metrics(df.filter(F.col(topic_col).isNotNull()), [topic_col], metrics)
     group_cols = ["metric"]
-    ghist = ranked_histogram(long, group_cols)
     thist = ranked_histogram(long, [*group_cols, topic_col])
+    ghist = ranked_histogram(thist, group_cols, counts="c")
 
     totals = ghist.groupBy("metric").agg(
         F.sum("c").alias("n"),
@@ -314,7 +355,12 @@ def topic_vs_rest(
         F.sum(F.col("c") * F.col("value")).alias("sum_topic"),
         F.sum(F.col("c") * F.col("midrank")).alias("rank_sum"),
     )
-    stats = per_topic.join(totals, "metric").withColumn("n_rest", F.col("n") - F.col("n_topic"))
+    # every topic with every metric, also where it has no finite value (topics × metrics rows)
+    spine = df.filter(F.col(topic_col).isNotNull()).select(topic_col).distinct()
+    spine = spine.withColumn("metric", F.explode(F.array(*map(F.lit, metrics))))
+    stats = spine.join(F.broadcast(totals), "metric", "left").join(F.broadcast(per_topic), ["metric", topic_col], "left")
+    stats = stats.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "n_topic")})
+    stats = cut_lineage(stats.withColumn("n_rest", F.col("n") - F.col("n_topic")))
 
     # medians: topic from its own histogram, rest from global positions
     tpos = stats.select(
@@ -325,7 +371,7 @@ def topic_vs_rest(
                 F.struct(F.lit("hi").alias("tag"), F.ceil((F.col("n_topic") + 1) / 2).cast("long").alias("pos")),
             )
         ).alias("t"),
-    ).select("metric", topic_col, "t.tag", "t.pos")
+    ).select("metric", topic_col, "t.tag", "t.pos").filter(F.col("pos") >= 1)
     tmed = _lookup(thist, ["metric", topic_col], tpos).groupBy("metric", topic_col).agg((F.sum("v") / 2.0).alias("median_topic"))
     rpos = _rest_positions(thist, ghist, stats, group_cols, topic_col)
     rtargets = rpos.select("metric", F.concat_ws("|", F.col(topic_col).cast("string"), "side").alias("tag"), "pos", topic_col)
@@ -350,8 +396,8 @@ def topic_vs_rest(
             F.col("n_rest").cast("bigint").alias("n_rest"),
             "median_topic",
             F.when(F.col("n_rest") > 0, F.col("median_rest")).alias("median_rest"),
-            (F.col("sum_topic") / n1).alias("mean_topic"),
-            F.when(F.col("n_rest") > 0, (F.col("sum_all") - F.col("sum_topic")) / n2).alias("mean_rest"),
+            F.when(F.col("n_topic") > 0, F.col("sum_topic") / n1).alias("mean_topic"),
+            F.when(F.col("n_rest") > 0, (F.col("sum_all") - F.coalesce("sum_topic", F.lit(0.0))) / n2).alias("mean_rest"),
             F.when(ok, u1).alias("u_stat"),
             "tie_term",
             F.when(ok, mwu_z(u1, n1, n2, F.col("tie_term"))).alias("z"),
@@ -416,17 +462,12 @@ def bh_fdr(df: DataFrame, p_col: str, partition_cols: Sequence[str], q_col: str
 # Kernel density
 # ---------------------------------------------------------------------------
 
-# exp(-x²/2) is exactly 0.0 in double precision beyond this many bandwidths
-_KDE_CUTOFF = 38.7
-
-
 def kde_grid(df: DataFrame, value_col: str, grid: tuple[float, float, int] = KDE_GRID) -> DataFrame:
     """STAT-6: Gaussian KDE (Scott bandwidth, sample std) on an even grid: (idx, x, density).
 
-    Distinct values are counted first; each distinct value contributes only to
-    grid points within 38.7 bandwidths (beyond that the kernel underflows to
-    exactly 0), so the work shrinks as the data grows (h ∝ n^(-1/5)).  The two
-    scalars n and h come from a one-row aggregate read on the driver.
+    Distinct values are counted first; each partition adds its values up into one
+    vector over the grid, and the vectors are summed.  The two scalars n and h
+    come from a one-row aggregate read on the driver.
     Empty when n < 3 or the standard deviation is 0.
     """
     lo, hi, npts = grid
@@ -439,14 +480,22 @@ def kde_grid(df: DataFrame, value_col: str, grid: tuple[float, float, int] = KDE
         return spark.createDataFrame([], schema)
     n = int(stats["n"])
     h = float(stats["sd"]) * n ** -0.2
+    grid_x = lo + step * np.arange(npts)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(npts)
+        for batch in batches:
+            x, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for k in range(0, len(x), 2_000):
+                near = (grid_x[:, None] - x[None, k : k + 2_000]) / h
+                total += np.exp(-near * near / 2.0) @ c[k : k + 2_000].astype(np.float64)
+        arrays = [pa.array(np.arange(npts, dtype=np.int32)), pa.array(total)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["idx", "part"])
+
+    # one vector of grid sums per partition, whatever its number of values
     hist = vals.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    reach = h * _KDE_CUTOFF
-    first = F.greatest(F.lit(0), F.ceil((F.col("x") - F.lit(reach) - lo) / step).cast("int"))
-    last = F.least(F.lit(npts - 1), F.floor((F.col("x") + F.lit(reach) - lo) / step).cast("int"))
-    pts = hist.filter(first <= last).select("x", "c", F.explode(F.sequence(first, last)).alias("idx"))
-    g = F.lit(lo) + F.col("idx") * F.lit(step)
-    contrib = F.col("c") * F.exp(-F.pow((g - F.col("x")) / F.lit(h), 2) / 2.0)
-    dens = pts.groupBy("idx").agg((F.sum(contrib) / F.lit(n * h * math.sqrt(2 * math.pi))).alias("density"))
+    parts = hist.select("x", "c").mapInArrow(partial, "idx int, part double")
+    dens = parts.groupBy("idx").agg((F.sum("part") / F.lit(n * h * math.sqrt(2 * math.pi))).alias("density"))
     spine = spark.range(npts).select(F.col("id").cast("int").alias("idx"))
     return spine.join(dens, "idx", "left").select(
         "idx", (F.lit(lo) + F.col("idx") * F.lit(step)).alias("x"), F.coalesce("density", F.lit(0.0)).alias("density")

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+import calendar
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.constants import DEFAULT_TOP_PARENTS, SERIES_WINDOW, SERIES_YEARS
-from skein.functions.scalar import epoch_to_ts
+from skein.constants import DEFAULT_TOP_PARENTS, SERIES_WINDOW, SERIES_YEARS, TOP_PARENT_COLUMNS
+from skein.functions.scalar import epoch_to_ts, to_number
 from skein.functions.text import comment_text_key
 from skein.operators.relational import valid_topic
+from skein.session import cut_lineage
 
 
 def _epoch_year_range(col: str, first_year: int, last_year: int):
     """FLT-7 on epoch seconds as a range predicate (pushes down to the Parquet scan)."""
-    import calendar
-
     lo = calendar.timegm((first_year, 1, 1, 0, 0, 0))
     hi = calendar.timegm((last_year + 1, 1, 1, 0, 0, 0))
     return (F.col(col) >= F.lit(lo)) & (F.col(col) < F.lit(hi))
@@ -56,9 +56,15 @@ def daily_activity(
         .groupBy("year", F.to_date("ts").alias("date"))
         .agg(F.count_distinct("id").alias("unique_posts"), F.count_distinct("username").alias("unique_users_posts"))
     )
-    parent_year = p.select(F.col("id").alias("video_id"), F.col("year").alias("year"))
-    c = children.select("id", "video_id", epoch_to_ts("create_time").alias("ts")).join(parent_year, "video_id")  # JN-4
-    c = c.join(bounds, "year")  # years × 2 dates: tiny
+    parent_year = p.filter(F.col("year").isin(list(years))).select(F.col("id").alias("video_id"), "year")
+    # children outside all windows never reach the join
+    (sm, sd), (em, ed) = window
+    first = calendar.timegm((min(years), sm, sd, 0, 0, 0))
+    last = calendar.timegm((max(years), em, ed, 0, 0, 0)) + 86_400
+    at = to_number("create_time")
+    inside = children.filter((at >= first) & (at < last))
+    c = inside.select("id", "video_id", epoch_to_ts("create_time").alias("ts")).join(parent_year, "video_id")  # JN-4
+    c = c.join(F.broadcast(bounds), "year")  # years × 2 dates
     c = c.filter((F.col("ts") >= F.col("d0").cast("timestamp")) & (F.col("ts") < F.date_add("d1", 1).cast("timestamp")))
     comments = c.groupBy("year", F.to_date("ts").alias("date")).agg(F.count_distinct("id").alias("comments"))
     out = spine.join(posts, ["year", "date"], "left").join(comments, ["year", "date"], "left")
@@ -106,19 +112,19 @@ def top_parents(
     numeric = dict(parents.dtypes).get("create_time") in ("bigint", "int", "double")
     p = parents.filter(_epoch_year_range("create_time", year, year)) if numeric else parents
     p = p.filter(F.year(epoch_to_ts("create_time")) == year)
-    raw = children.groupBy(F.col("video_id").alias("id")).agg(F.count(F.lit(1)).alias("collected_comments_raw_unique"))
+    # only the year's children are counted, and only the chosen parents' texts are normalised
+    own = children.join(p.select(F.col("id").alias("video_id")), "video_id", "left_semi")
+    raw = own.groupBy(F.col("video_id").alias("id")).agg(F.count(F.lit(1)).alias("collected_comments_raw_unique"))
+    top = p.join(raw, "id", "left").na.fill({"collected_comments_raw_unique": 0})
+    top = cut_lineage(top.orderBy(F.col("collected_comments_raw_unique").desc(), F.col("id")).limit(n))
+    chosen = F.broadcast(top.select(F.col("id").alias("video_id")))  # n rows
     dedup = (
-        children.select("video_id", comment_text_key(text_col).alias("_k"))
+        children.join(chosen, "video_id", "left_semi")
+        .select("video_id", comment_text_key(text_col).alias("_k"))
         .dropDuplicates(["video_id", "_k"])
         .groupBy(F.col("video_id").alias("id"))
         .agg(F.count(F.lit(1)).alias("collected_comments_text_dedup"))
     )
-    out = p.join(raw, "id", "left").join(dedup, "id", "left").na.fill(
-        {"collected_comments_raw_unique": 0, "collected_comments_text_dedup": 0}
-    )
-    keep = [
-        c
-        for c in ["id", "username", "collected_comments_raw_unique", "collected_comments_text_dedup", "comment_count", "view_count", "like_count"]
-        if c in out.columns
-    ]
-    return out.orderBy(F.col("collected_comments_raw_unique").desc(), F.col("id")).limit(n).select(*keep)
+    out = top.join(dedup, "id", "left").na.fill({"collected_comments_text_dedup": 0})
+    out = out.orderBy(F.col("collected_comments_raw_unique").desc(), F.col("id"))
+    return out.select(*(c for c in TOP_PARENT_COLUMNS if c in out.columns))

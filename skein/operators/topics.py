@@ -3,24 +3,27 @@
 The published pipeline uses UMAP + HDBSCAN on one machine; here the same roles
 are played by MLlib stages that train and score in parallel:
 
-* ML-5  ``embed_documents``: Word2Vec document vectors (offline), or any
-  ``predict_batch_udf`` encoder through ``scoring.batch_score``;
+* ML-5  ``embed_documents``: hashed word sums, or any ``predict_batch_udf``
+  encoder through ``embed_batched``; ``embed_new`` skips known ids;
 * ML-7  ``reduce_dimensions``: L2-normalise + PCA(k);
-* ML-8  ``cluster_topics``: KMeans; points beyond a distance quantile of their
-  cluster and clusters below the minimum size become outliers (−1); topic ids
-  are renumbered by size, largest first (the published convention);
-* ML-9  ``save_model`` / ``load_model``: ``PipelineModel`` persistence;
+* ML-8  ``cluster_topics``: KMeans; clusters below the minimum size become
+  outliers (−1); topic ids are renumbered by size, largest first (the published
+  convention);
+* ML-9  ``save_model`` / ``load_model``: the stages and the topic map, which
+  assign new documents too;
 * ML-10 topic probability = softmax of negative centre distances, max entry;
 * ML-11 ``map_2d``: PCA(2) joined to topics by key (never by position).
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, Normalizer, Word2Vec
+from pyspark.ml.feature import PCA, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_SEED = 42
@@ -37,15 +40,20 @@ def embed_batched(docs: DataFrame, id_col: str, text_col: str, encoder_factory,
     return out.select(id_col, "embedding")
 
 
-def embed_documents(docs: DataFrame, id_col: str, text_col: str, dim: int = 64, min_count: int = 2, seed: int = DEFAULT_SEED) -> DataFrame:
-    """ML-5 (offline trained form): (id, embedding ARRAY<FLOAT>) as the mean Word2Vec vector of the words."""
+def embed_documents(docs: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
+    """ML-5 (without a model): (id, embedding ARRAY<FLOAT>) by hashing words into ``dim`` sums, L2-normalised.
+
+    Needs no vocabulary, so nothing grows on the driver; a map in the JVM.
+    """
     words = docs.select(id_col, F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), lambda w: w != "").alias("__w"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # numPartitions > 1 trains on all executors (the default 1 trains in one task)
-    w2v = Word2Vec(vectorSize=dim, minCount=min_count, inputCol="__w", outputCol="__v", seed=seed, maxIter=1, numPartitions=parts)
-    model = w2v.fit(words)
-    out = model.transform(words)
-    return out.select(id_col, vector_to_array("__v", "float32").alias("embedding"))
+    hashed = HashingTF(numFeatures=dim, inputCol="__w", outputCol="__v").transform(words)
+    unit = Normalizer(inputCol="__v", outputCol="__u", p=2.0).transform(hashed)
+    return unit.select(id_col, vector_to_array("__u", "float32").alias("embedding"))
+
+
+def embed_new(docs: DataFrame, known: DataFrame, id_col: str, embed) -> DataFrame:
+    """ML-5 reuse: ``known`` (id, embedding) plus ``embed`` of the documents whose id it lacks (anti join)."""
+    return known.select(id_col, "embedding").unionByName(embed(docs.join(known.select(id_col), id_col, "left_anti")))
 
 
 def reduce_dimensions(emb: DataFrame, id_col: str, vec_col: str = "embedding", k: int = 10) -> tuple[DataFrame, PipelineModel]:
@@ -56,47 +64,76 @@ def reduce_dimensions(emb: DataFrame, id_col: str, vec_col: str = "embedding", k
     return model.transform(base).select(id_col, "features"), model
 
 
-def cluster_topics(
-    feats: DataFrame,
-    id_col: str,
+@dataclass
+class TopicModel:
+    """A fitted topic model: MLlib stages from the embedding to the cluster, and the clusters' topic ids.
+
+    ``topics`` maps a cluster to (topic_id, cut); topic −1 are clusters below the
+    minimum size, ``cut`` the largest distance to the centre that still belongs
+    (null: all).
+    """
+
+    pipeline: PipelineModel
+    topics: dict[int, tuple[int, float | None]]
+
+    def assign(self, emb: DataFrame, id_col: str, vec_col: str = "embedding") -> DataFrame:
+        """ML-8 + ML-10: (id, topic_id, topic_probability) of any embeddings, the training ones or new ones."""
+        centres = self.pipeline.stages[-1].clusterCenters()  # k × dim: bounded by k
+        centre_list = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres])
+        found = self.pipeline.transform(emb.select(id_col, array_to_vector(vec_col).alias("__raw")))
+        found = found.withColumn("__f", vector_to_array("features"))
+        sq = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+        found = found.withColumn("__d", F.transform(centre_list, lambda c: F.sqrt(sq(F.col("__f"), c))))
+        ex = F.transform("__d", lambda d: F.exp(F.array_min("__d") - d))
+        prob = F.array_max(ex) / F.aggregate(ex, F.lit(0.0), lambda s, v: s + v)
+        rows = [(c, t, cut) for c, (t, cut) in sorted(self.topics.items())]  # ≤ k
+        mapping = emb.sparkSession.createDataFrame(rows, "cluster INT, __topic INT, __cut DOUBLE")
+        inside = F.coalesce(F.element_at("__d", F.col("cluster") + 1) <= F.col("__cut"), F.lit(True))
+        topic = F.when(inside, F.coalesce("__topic", F.lit(-1))).otherwise(F.lit(-1)).cast("int")
+        return found.join(F.broadcast(mapping), "cluster", "left").select(
+            id_col, topic.alias("topic_id"), prob.alias("topic_probability")
+        )
+
+
+def fit_topics(
+    emb: DataFrame,
+    vec_col: str = "embedding",
     k: int = 15,
+    reduce_k: int = 10,
     min_size: int = 2,
-    outlier_quantile: float = 0.95,
+    outlier_quantile: float | None = None,
     seed: int = DEFAULT_SEED,
-) -> tuple[DataFrame, object]:
-    """ML-8 (a) + ML-10: (id, topic_id, topic_probability).
+) -> TopicModel:
+    """ML-7 + ML-8 (a): L2-normalise, PCA, KMeans; topics numbered 0.. by size, largest first.
 
-    Outliers (−1): distance to the centre above the cluster's ``outlier_quantile``
-    (``percentile_approx`` per cluster: bounded memory) or a cluster smaller
-    than ``min_size``.  Remaining clusters are renumbered 0.. by size desc.
+    Clusters smaller than ``min_size`` are outliers (−1).  With an
+    ``outlier_quantile`` rows beyond that quantile of their cluster's distances
+    are too; without one (the default) no row is an outlier for its rank alone.
     """
-    km = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=30)
-    model = km.fit(feats)
-    centres = model.clusterCenters()  # k × dim: bounded by k
+    stages = [
+        Normalizer(inputCol="__raw", outputCol="__norm", p=2.0),
+        PCA(k=reduce_k, inputCol="__norm", outputCol="features"),
+        KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=30),
+    ]
+    base = emb.select(array_to_vector(vec_col).alias("__raw"))
+    model = PipelineModel(Pipeline(stages=stages).fit(base).stages)
+    centres = model.stages[-1].clusterCenters()
     centre_list = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centres])
-    assigned = model.transform(feats).withColumn("__f", vector_to_array("features"))
-    sq = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-    dists = F.transform(centre_list, lambda c: F.sqrt(sq(F.col("__f"), c)))
-    assigned = assigned.withColumn("__d", dists)
-    assigned = assigned.withColumn("dist", F.element_at("__d", F.col("cluster") + 1))
-    m = F.array_min("__d")
-    ex = F.transform("__d", lambda d: F.exp(m - d))
-    prob = F.array_max(ex) / F.aggregate(ex, F.lit(0.0), lambda s, v: s + v)
-    assigned = assigned.withColumn("topic_probability", prob)
-    cuts = assigned.groupBy("cluster").agg(
-        F.percentile_approx("dist", outlier_quantile).alias("cut"), F.count(F.lit(1)).alias("size")
-    )
-    j = assigned.join(cuts, "cluster")
-    keep = (F.col("dist") <= F.col("cut")) & (F.col("size") >= min_size)
-    j = j.withColumn("__keep", keep)
-    sizes = j.filter("__keep").groupBy("cluster").agg(F.count(F.lit(1)).alias("kept"))
-    order = sizes.withColumn("topic_id", F.row_number().over(Window.orderBy(F.col("kept").desc(), F.col("cluster"))) - 1)  # ≤ k rows
-    out = j.join(order.select("cluster", "topic_id"), "cluster", "left").select(
-        id_col,
-        F.when(F.col("__keep"), F.col("topic_id")).otherwise(F.lit(-1)).cast("int").alias("topic_id"),
-        "topic_probability",
-    )
-    return out, model
+    own = F.element_at(centre_list, F.col("cluster") + 1)
+    pairs = F.zip_with(vector_to_array("features"), own, lambda x, y: (x - y) * (x - y))
+    dist = F.sqrt(F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v))
+    cut = F.percentile_approx(dist, outlier_quantile) if outlier_quantile else F.lit(None).cast("double")
+    sizes = model.transform(base).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), cut.alias("cut")).collect()  # ≤ k rows
+    kept = sorted((r for r in sizes if r["n"] >= min_size), key=lambda r: (-r["n"], r["cluster"]))
+    topics = {r["cluster"]: (-1, None) for r in sizes}
+    topics.update({r["cluster"]: (i, r["cut"]) for i, r in enumerate(kept)})
+    return TopicModel(model, topics)
+
+
+def cluster_topics(emb: DataFrame, id_col: str, vec_col: str = "embedding", **fit) -> tuple[DataFrame, TopicModel]:
+    """ML-8 (a) + ML-10: (id, topic_id, topic_probability) and the fitted model (see ``fit_topics``)."""
+    model = fit_topics(emb, vec_col, **fit)
+    return model.assign(emb, id_col, vec_col), model
 
 
 def density_topics(
@@ -179,11 +216,15 @@ def key_mismatch(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return left.unionByName(right)
 
 
-def save_model(model, path: str) -> None:
-    """ML-9: persist a fitted model (overwrite)."""
-    model.write().overwrite().save(path)
+def save_model(model: TopicModel, path: str) -> None:
+    """ML-9: persist a fitted topic model (overwrite): its stages and its topic map."""
+    model.pipeline.write().overwrite().save(f"{path}/pipeline")
+    rows = [(c, t, cut) for c, (t, cut) in sorted(model.topics.items())]
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame(rows, "cluster INT, topic_id INT, cut DOUBLE").write.mode("overwrite").parquet(f"{path}/topics")
 
 
-def load_model(path: str) -> PipelineModel:
-    """ML-9: load a saved pipeline model."""
-    return PipelineModel.load(path)
+def load_model(path: str) -> TopicModel:
+    """ML-9: load a saved topic model."""
+    rows = SparkSession.getActiveSession().read.parquet(f"{path}/topics").collect()  # ≤ k rows
+    return TopicModel(PipelineModel.load(f"{path}/pipeline"), {r["cluster"]: (r["topic_id"], r["cut"]) for r in rows})

@@ -25,11 +25,6 @@ from skein.operators.quality import assert_unique
 from skein.plans.preprocess import measures_table
 
 
-def _file_order(df: DataFrame):
-    cols = [c for c in ("file_kind", "source_file", "pos_block", "pos") if c in df.columns]
-    return cols or None
-
-
 def prepare_data(
     videos_raw: DataFrame,
     comments_raw: DataFrame,
@@ -43,9 +38,9 @@ def prepare_data(
     assert_unique(topics, ["id"], "topics")  # D-17: a repeated key would multiply joined rows
     v = videos_raw.withColumn("id", F.col("id").cast("string"))
     c = comments_raw.withColumn("id", F.col("id").cast("string")).withColumn("video_id", F.col("video_id").cast("string"))
-    comments_unique = rel.dedupe_keep_first(c, ["id", "video_id"], _file_order(c))
+    comments_unique = rel.dedupe_keep_first(c, ["id", "video_id"], rel.file_order(c))
     comments_capped = rel.cap_per_parent(comments_unique, "video_id", "id", max_comments, seed)
-    videos_unique = rel.dedupe_keep_first(v, ["id"], _file_order(v))
+    videos_unique = rel.dedupe_keep_first(v, ["id"], rel.file_order(v))
     names = rel.topic_names(id2topics)
     videos_with_topics = rel.attach_parent_topics(videos_unique, topics, id2topics, names)
     comments_raw_with_topics = rel.attach_child_topics(comments_unique, topics, id2topics, names)

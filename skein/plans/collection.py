@@ -47,8 +47,7 @@ def prepare_child_ids(
     """PIPE-4: dedupe parents (keep first in file order), keep eligible ones, distinct ids
     (optionally in seeded shuffle order) and a (measure, value) summary."""
     rel.require_columns(parents, ["id", "comment_count"], "parents")
-    order = [c for c in ("source_file", "pos") if c in parents.columns] or None
-    unique = rel.dedupe_keep_first(parents, ["id"], order)
+    unique = rel.dedupe_keep_first(parents, ["id"], rel.file_order(parents))
     eligible = rel.eligible_parents(unique, "comment_count", min_count)
     ids = rel.distinct_ids(eligible.select(F.col("id").alias("video_id")), "video_id")
     if shuffle:

@@ -11,11 +11,6 @@ from skein.functions.text import alnum_count, compose_text, normalize_social_tex
 from skein.operators import relational as rel
 
 
-def _order(df: DataFrame):
-    cols = [c for c in ("file_kind", "source_file", "pos_block", "pos") if c in df.columns]
-    return cols or None
-
-
 def preprocess_parents(videos: DataFrame, include_hashtags: bool = True, dedupe: bool = True) -> DataFrame:
     """PIPE-2: ids → composed ``text`` → ``processed_text`` → keep first per id."""
     rel.require_columns(videos, ["id"], "videos")
@@ -32,7 +27,7 @@ def preprocess_parents(videos: DataFrame, include_hashtags: bool = True, dedupe:
         tags_are_array,
     )
     v = v.withColumn("text", text).withColumn("processed_text", normalize_social_text("text"))
-    return rel.dedupe_keep_first(v, ["id"], _order(v)) if dedupe else v
+    return rel.dedupe_keep_first(v, ["id"], rel.file_order(v)) if dedupe else v
 
 
 def preprocess_children(comments: DataFrame, dedupe: bool = True, min_chars: int = 0) -> DataFrame:
@@ -42,7 +37,7 @@ def preprocess_children(comments: DataFrame, dedupe: bool = True, min_chars: int
     c = normalize_id_columns(comments).withColumn("processed_text", normalize_social_text("text"))
     if min_chars > 0:
         c = c.filter(alnum_count("processed_text") >= min_chars)  # FLT-2
-    return rel.dedupe_keep_first(c, ["id", "video_id"], _order(c)) if dedupe else c
+    return rel.dedupe_keep_first(c, ["id", "video_id"], rel.file_order(c)) if dedupe else c
 
 
 def preprocess_summary(videos_in: DataFrame, videos_out: DataFrame, comments_in: DataFrame, comments_out: DataFrame) -> DataFrame:

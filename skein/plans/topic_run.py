@@ -21,14 +21,18 @@ def run_topics(
     min_cluster: int = 2,
     top_n: int = DEFAULT_TOP_N_KEYWORDS,
     embeddings: DataFrame | None = None,
+    model: tp.TopicModel | None = None,
 ) -> dict[str, DataFrame]:
-    """Returns topic_docs, embeddings, topic_assignments, topics (id, topic), topic_info,
+    """With ``model`` (``topics.load_model``) documents are assigned to its topics without fitting.
+
+    Returns topic_docs, embeddings, topic_assignments, topics (id, topic), topic_info,
     keyword_scores (topic_id, rank, term, z_score), id2topics (topic_id, topic)."""
     docs = kw.topic_documents(parents, "id", min_len)
     require_not_empty(docs, "topic documents")
     emb = embeddings if embeddings is not None else tp.embed_documents(docs, "id", "topic_text", dim=embed_dim)
-    feats, _ = tp.reduce_dimensions(emb, "id", "embedding", k=reduce_k)
-    assign, _ = tp.cluster_topics(feats, "id", k=n_topics, min_size=min_cluster)
+    if model is None:
+        model = tp.fit_topics(emb, k=n_topics, reduce_k=reduce_k, min_size=min_cluster)
+    assign = model.assign(emb, "id")
     with_text = assign.join(docs.select("id", "topic_text"), "id")
     terms, id2 = kw.log_odds_keywords(with_text, "topic_id", "topic_text", top_n)
     return {

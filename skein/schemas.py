@@ -40,3 +40,6 @@ CHILD_SCHEMA = T.StructType(
         T.StructField("create_time", L),
     ]
 )
+
+PARENT_FIELDS = PARENT_SCHEMA.fieldNames()
+CHILD_FIELDS = CHILD_SCHEMA.fieldNames()

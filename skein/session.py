@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -102,33 +103,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the reliable checkpoint folder (survives executor loss).
+    """Materialise ``df`` as Parquet below the reliable checkpoint folder and read it back.
 
-    Not persisted first: the write job that follows the eager count reuses the
-    shuffle files of the count job's lineage, and measured at sf0.1 the
-    persist-then-checkpoint form was 2-3x slower (caching cost > recompute).
+    The plan runs once, the copy is columnar (later reads prune it) and every
+    executor sees it, so a lost executor costs only its running tasks.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-# Tables whose rows carry long texts: CPU-heavy regex work per row.
-TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
-
-
-def balance_partitions(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread CPU-heavy rows over all cores when the scan yields too few partitions.
-
-    A small file with one row group scans as one partition, and regex work on it
-    would run in one task.  Only then is a round-robin repartition added; a large
-    input already has at least as many splits as the cluster has cores, and is
-    left untouched (no extra shuffle at scale).
-    """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one of the driver's parquet tables (text tables balanced over the cores)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return balance_partitions(df) if name in TEXT_TABLES else df
+    """Read one of the driver's parquet tables."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

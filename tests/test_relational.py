@@ -127,12 +127,6 @@ def test_sparse_dates_cascade(spark):
         assert (v3.count(), c3.count(), p3) == (v2.count(), c2.count(), 1)
 
 
-def test_sorted_topic_ids_and_balance(spark):
-    from skein.session import balance_partitions
-
+def test_sorted_topic_ids(spark):
     df = spark.createDataFrame([(3,), (1,), (-1,), (None,), (1,)], "topic_id INT")
     assert [r.topic_id for r in rel.sorted_topic_ids(df).collect()] == [1, 3]
-    one = spark.range(100).coalesce(1)
-    assert balance_partitions(one, 4).rdd.getNumPartitions() == 4
-    many = spark.range(100).repartition(6)
-    assert balance_partitions(many, 4).rdd.getNumPartitions() == 6  # already spread: untouched
