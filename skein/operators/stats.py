@@ -182,7 +182,22 @@ def quantile_table(
     spine: DataFrame | None = None,
 ) -> DataFrame:
     """AG-8: wide table, one row per group (``spine`` completes missing groups), columns q01…q99."""
-    q = exact_quantiles(long, [group_col], probs)
+    return _widened(exact_quantiles(long, [group_col], probs), group_col, probs, spine)
+
+
+def quantile_tables(
+    df: DataFrame,
+    group_col: str,
+    metrics: Sequence[str],
+    probs: Sequence[float] = QUANTILES,
+    spine: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """AG-8 for several metrics: metric → wide table, all from one histogram of the data."""
+    q = cut_lineage(exact_quantiles(long_metrics(df, [group_col], metrics), ["metric", group_col], probs))
+    return {m: _widened(q.filter(F.col("metric") == m), group_col, probs, spine) for m in metrics}
+
+
+def _widened(q: DataFrame, group_col: str, probs: Sequence[float], spine: DataFrame | None) -> DataFrame:
     names = {float(p): f"q{int(round(p * 100)):02d}" for p in probs}
     wide = q.groupBy(group_col).agg(
         *[F.max(F.when(F.abs(F.col("q") - p) < 1e-12, F.col("value"))).alias(names[float(p)]) for p in probs]

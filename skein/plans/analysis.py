@@ -18,11 +18,14 @@ from skein.constants import (
     TEST_METRICS,
 )
 from skein.functions.text import comment_text_key
+from skein.operators import keywords as kw
 from skein.operators import relational as rel
 from skein.operators import stats as st
 from skein.operators import timeseries as ts
 from skein.operators.quality import assert_unique
 from skein.plans.preprocess import measures_table
+from skein.session import cut_lineage
+from skein.sources.sinks import write_tables
 
 
 def prepare_data(
@@ -34,13 +37,16 @@ def prepare_data(
     seed: int = DEFAULT_SEED,
 ) -> dict[str, DataFrame]:
     """PIPE-1: string keys → dedupe → content-dedupe count → cap → topic joins → valid-topic
-    filters; returns the nine tables plus ``sanity`` (measure, value)."""
+    filters; returns the nine tables plus ``sanity`` (measure, value).
+
+    The deduped and capped tables, which everything else is made from, are
+    written to the shared folder once and read back."""
     assert_unique(topics, ["id"], "topics")  # D-17: a repeated key would multiply joined rows
     v = videos_raw.withColumn("id", F.col("id").cast("string"))
     c = comments_raw.withColumn("id", F.col("id").cast("string")).withColumn("video_id", F.col("video_id").cast("string"))
-    comments_unique = rel.dedupe_keep_first(c, ["id", "video_id"], rel.file_order(c))
-    comments_capped = rel.cap_per_parent(comments_unique, "video_id", "id", max_comments, seed)
-    videos_unique = rel.dedupe_keep_first(v, ["id"], rel.file_order(v))
+    comments_unique = cut_lineage(rel.dedupe_keep_first(c, ["id", "video_id"], rel.file_order(c)))
+    comments_capped = cut_lineage(rel.cap_per_parent(comments_unique, "video_id", "id", max_comments, seed))
+    videos_unique = cut_lineage(rel.dedupe_keep_first(v, ["id"], rel.file_order(v)))
     names = rel.topic_names(id2topics)
     videos_with_topics = rel.attach_parent_topics(videos_unique, topics, id2topics, names)
     comments_raw_with_topics = rel.attach_child_topics(comments_unique, topics, id2topics, names)
@@ -113,10 +119,15 @@ def run_analysis(
     metrics=TEST_METRICS,
     kind_capped: str = "comments_capped500",
     id2topics: DataFrame | None = None,
+    max_comments: int = DEFAULT_MAX_CHILDREN_PER_PARENT,
+    output: str | None = None,
 ) -> dict[str, DataFrame]:
-    """PIPE-10: topic shares, top parents, daily series, rank tests, quantiles and density
-    tables from the prepared tables (all lazy DataFrames).  ``id2topics`` sizes the
-    topic-name list (SC-18); without it the valid topic ids of the parents do."""
+    """PIPE-10: topic shares, topic table, top parents, daily series, rank tests, quantiles,
+    density tables and the audit from the prepared tables.  ``id2topics`` sizes the
+    topic-name list (SC-18); without it the valid topic ids of the parents do.
+
+    Histograms and top parents are made eagerly.  With ``output`` every table is
+    written below that folder and the written ones are returned."""
     va, ca = tables["videos_analysis"], tables["comments_analysis"]
     if id2topics is None:
         id2topics = va.select("topic_id").distinct()
@@ -136,16 +147,24 @@ def run_analysis(
     out["tests_comments"] = _with_names(st.topic_vs_rest(ca, "topic_id", list(metrics), kind=kind_capped), names)
     out["videos_vs_comments"] = st.two_sample_u(va, ca, "xlm_polarity", ("videos", kind_capped))
     spine = names.select("topic_id")  # tables completed to every named topic (AG-8)
-    for m in metrics:
-        out[f"quantiles_videos_{m}"] = st.quantile_table(st.long_metrics(va, ["topic_id"], [m]), "topic_id", spine=spine)
-        out[f"quantiles_comments_{m}"] = st.quantile_table(st.long_metrics(ca, ["topic_id"], [m]), "topic_id", spine=spine)
+    for kind, df in (("videos", va), ("comments", ca)):
+        for m, wide in st.quantile_tables(df, "topic_id", list(metrics), spine=spine).items():
+            out[f"quantiles_{kind}_{m}"] = wide
     out["sentiment_medians_videos"] = (
         st.group_medians(va, "topic_id", ["xlm_negative", "xlm_positive"]) if {"xlm_negative", "xlm_positive"} <= set(va.columns) else None
     )
     out = {k: v for k, v in out.items() if v is not None}
     out["kde_videos"] = st.kde_grid(va, "xlm_polarity")
     out["kde_comments"] = st.kde_grid(ca, "xlm_polarity")
-    return out
+    if "topic" in id2topics.columns:
+        keywords = id2topics.select(F.col("topic_id").cast("int").alias("topic"), F.col("topic").alias("keywords"))
+        out["topic_table"] = kw.topic_table(keywords, names)
+    if "sanity" in tables:
+        out["audit"] = audit_table(tables["sanity"], out["videos_vs_comments"], out["top_videos"], max_comments)
+    if output is None:
+        return out
+    write_tables(out, output)
+    return {name: va.sparkSession.read.parquet(f"{output.rstrip('/')}/{name}") for name in out}
 
 
 def audit_table(sanity: DataFrame, vidcom: DataFrame, top: DataFrame, max_comments: int) -> DataFrame:

@@ -77,6 +77,6 @@ def write_topic_table_csv(topic_table: DataFrame, path: str) -> None:
 
 
 def write_tables(tables: dict[str, DataFrame], base: str, suffix: str = "") -> None:
-    """SNK-8: write several analysis tables (caller persists shared ancestors first)."""
+    """SNK-8: write several analysis tables (their shared ancestors are written tables, see ``prepare_data``)."""
     for name, df in tables.items():
         write_table(df, f"{base.rstrip('/')}/{name}{suffix}")

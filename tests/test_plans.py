@@ -15,8 +15,8 @@ from skein.operators.relational import count_orphans
 SF = "/root/testdata/sf0.001"
 
 
-def test_prepare_and_analysis(spark):
-    from skein.plans.analysis import audit_table, prepare_data, run_analysis
+def test_prepare_and_analysis(spark, tmpdir_path):
+    from skein.plans.analysis import prepare_data, run_analysis
 
     parents = fx.scored(fx.parents(spark, SF), "parents")
     children = fx.scored(fx.children(spark, SF), "children")
@@ -25,7 +25,11 @@ def test_prepare_and_analysis(spark):
     assert sanity["unique_comment_id_video"] <= sanity["source_comment_rows"]
     assert sanity["comments_after_cap_3_per_video"] <= sanity["unique_comment_id_video"]
     assert sanity["videos_valid_non_outlier_topics"] <= sanity["videos_with_any_topic"] <= sanity["source_video_rows"]
-    out = run_analysis(tables, year=1996, kind_capped="comments_capped3", id2topics=fx.id2topics(spark, SF))
+    written = os.path.join(tmpdir_path, "analysis")
+    out = run_analysis(
+        tables, year=1996, kind_capped="comments_capped3", id2topics=fx.id2topics(spark, SF), max_comments=3, output=written
+    )
+    assert set(os.listdir(written)) == set(out) >= {"audit", "topic_table", "top_videos", "quantiles_videos_xlm_polarity"}
     shares = out["video_topic_fractions"].groupBy("year").agg(F.sum("fraction").alias("s")).collect()
     assert all(abs(r.s - 1.0) < 1e-9 for r in shares)
     tests = out["tests_videos"].collect()
@@ -34,7 +38,7 @@ def test_prepare_and_analysis(spark):
     assert out["kde_videos"].count() == 500
     q = out["quantiles_videos_xlm_polarity"].collect()
     assert all(r.q01 <= r.q50 <= r.q99 for r in q if r.q01 is not None)
-    audit = {r.measure: r.value for r in audit_table(tables["sanity"], out["videos_vs_comments"], out["top_videos"], 3).collect()}
+    audit = {r.measure: r.value for r in out["audit"].collect()}
     assert "top5_raw" in audit and audit["max_comments_per_video"] == "3"
 
 
