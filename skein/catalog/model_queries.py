@@ -29,7 +29,7 @@ def _docs_by_id(spark: SparkSession, sf: str) -> DataFrame:
 
 _LANG_ID_SQL = "CAST(dense_rank() OVER (ORDER BY lang) AS INTEGER) - 1"
 _DOCS_BY_ID_SQL = f"""
-SELECT topic, topic_text FROM (SELECT {_LANG_ID_SQL} AS topic, {topic_text('text')} AS topic_text FROM documents)
+SELECT doc_id, topic, topic_text FROM (SELECT doc_id, {_LANG_ID_SQL} AS topic, {topic_text('text')} AS topic_text FROM documents)
 WHERE length(trim(topic_text)) >= 3
 """
 
@@ -60,7 +60,7 @@ def q_topic_table(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "topic_info",
     f"""
-WITH docs AS ({_DOCS_BY_ID_SQL}),
+WITH docs AS (SELECT CASE WHEN doc_id % 9 = 0 THEN -1 ELSE topic END AS topic, topic_text FROM ({_DOCS_BY_ID_SQL})),
 w AS (SELECT topic, unnest(list_filter(regexp_split_to_array(topic_text, '\\s+'), lambda x: x <> '')) AS term FROM docs),
 tf AS (SELECT topic, term, count(*) AS tf FROM w GROUP BY topic, term),
 a AS (SELECT sum(tf) / count(DISTINCT topic) AS avg_words FROM tf),
@@ -69,11 +69,15 @@ sc AS (SELECT topic, term, tf * ln(1 + avg_words / f_t) AS s FROM tf JOIN ft USI
 rk AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(s, 9) DESC, term) AS r FROM sc),
 rep AS (SELECT topic, string_agg(term, ', ' ORDER BY r) AS representation FROM rk WHERE r <= 10 GROUP BY topic),
 sz AS (SELECT topic, count(*) AS n FROM docs GROUP BY topic)
-SELECT sz.topic, CAST(sz.n AS BIGINT) AS count, rep.representation FROM sz LEFT JOIN rep USING (topic)
+SELECT sz.topic, CAST(sz.n AS BIGINT) AS count, rep.representation,
+  sz.topic || '_' || array_to_string(string_split(rep.representation, ', ')[1:4], '_') AS name
+FROM sz LEFT JOIN rep USING (topic)
 """,
 )
 def q_topic_info(spark: SparkSession, sf: str) -> DataFrame:
-    return kw.topic_info(_docs_by_id(spark, sf), "topic", "topic_text", 10)
+    docs = _docs_by_id(spark, sf)
+    outlier = docs.withColumn("topic", F.when(F.col("doc_id") % 9 == 0, -1).otherwise(F.col("topic")))
+    return kw.topic_info(outlier, "topic", "topic_text", 10)
 
 
 # Fixture lexicon (word → valence) for the lexicon scorer; a real run passes a full lexicon table.

@@ -146,14 +146,17 @@ def topic_table(keyword_map: DataFrame, names: DataFrame) -> DataFrame:
     )
 
 
-def class_tfidf_terms(df: DataFrame, topic_col: str, text_col: str, top_n: int = DEFAULT_TOP_N_KEYWORDS) -> DataFrame:
+def class_tfidf_terms(
+    df: DataFrame, topic_col: str, text_col: str, top_n: int = DEFAULT_TOP_N_KEYWORDS, outliers: bool = False
+) -> DataFrame:
     """TXT-4: class-based TF-IDF representative words per topic.
 
     weight(t, c) = tf(t, c) · ln(1 + A / f_t), A = mean tokens per class,
-    f_t = frequency of t over all classes.  Unigrams only.
+    f_t = frequency of t over all classes.  Unigrams only.  ``outliers`` makes the
+    outlier topic (−1) a class too.
     """
     words = explode_tokens(
-        df.filter(_valid_topic(df, topic_col)),
+        df.filter(F.col(topic_col).isNotNull() if outliers else _valid_topic(df, topic_col)),
         [F.col(topic_col).alias("topic")],
         F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), lambda w: w != F.lit("")),
     )
@@ -167,7 +170,10 @@ def class_tfidf_terms(df: DataFrame, topic_col: str, text_col: str, top_n: int =
 
 
 def topic_info(df: DataFrame, topic_col: str, text_col: str, top_n: int = DEFAULT_TOP_N_KEYWORDS) -> DataFrame:
-    """TXT-4: per topic: size and representative words (class TF-IDF)."""
+    """TXT-4: per topic, the outlier topic included: size, representative words (class TF-IDF) and a
+    name made of the topic and its first four words."""
     sizes = df.groupBy(F.col(topic_col).alias("topic")).agg(F.count(F.lit(1)).alias("count"))
-    words = topic_term_map(class_tfidf_terms(df, topic_col, text_col, top_n)).withColumnRenamed("keywords", "representation")
-    return sizes.join(words, "topic", "left")
+    words = topic_term_map(class_tfidf_terms(df, topic_col, text_col, top_n, outliers=True))
+    first = F.slice(F.split(F.coalesce("representation", F.lit("")), ", "), 1, 4)
+    out = sizes.join(F.broadcast(words.withColumnRenamed("keywords", "representation")), "topic", "left")  # topics
+    return out.withColumn("name", F.concat_ws("_", F.col("topic").cast("string"), F.array_join(first, "_")))
