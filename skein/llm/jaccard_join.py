@@ -33,7 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import Worker, least_count, map_texts, prepare, text_slices, write_shared
+from skein.llm.common import (
+    Worker,
+    drop_shared,
+    least_count,
+    map_texts,
+    prepare,
+    release_shuffles,
+    text_slices,
+    write_shared,
+)
 from skein.llm.components import connected_components
 from skein.llm.shingles import digest, shingle_sets
 
@@ -42,6 +51,7 @@ SPREAD_SHINGLES = 1 << 18  # at most so many, the most frequent ones; 12 bytes e
 COUNT_SHINGLES = 1_000_000  # shingles that a worker sums up before it hands counts on
 TEXT_CHARS = 400_000  # characters whose shingles a worker hashes at a time
 BROADCAST_IDS = 1_000_000  # ids up to which a table of ids is broadcast; beyond, it is joined by a shuffle
+SURPLUS = 3  # shingles that the short form may take for common; four in one pair are out of reach
 _HIGH = np.uint64(32)
 
 
@@ -110,6 +120,8 @@ def spread_shingles(docs: DataFrame, width: int, text_col: str = "text") -> tupl
     merged = write_shared(merged, "shingle-counts")
     top = merged.where(F.col("n") >= least_count(merged, SPREAD_SHINGLES)).toArrow()
     shingle, n = top.column("shingle").to_numpy(), top.column("n").to_numpy()
+    drop_shared(merged)
+    release_shuffles(spark)
     order = np.argsort(shingle)
     return shingle[order].astype(np.uint32), n[order].astype(np.uint32)
 
@@ -160,21 +172,29 @@ def _only(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, "left_semi")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b, both, n_a, n_b) with the exact sizes of intersection and sets for ``pairs`` (a, b), both written tables.
+def verify(docs: DataFrame, pairs: DataFrame, width: int, id_col: str, text_col: str, kind: str = "<u4") -> DataFrame:
+    """(a, b, both, n_a, n_b) with the sizes of intersection and sets for ``pairs`` (a, b), a written table.
 
-    The sets are computed again from the texts of the documents in question.
+    The sets are computed again from the texts of the documents in question and
+    travel as the leading 32 bits of each shingle ("<u4") or whole ("<u8").  The
+    short form may count a few shingles too many as common, never too few.
     """
+    spark = docs.sparkSession
+    shift = np.uint64(64 - 8 * np.dtype(kind).itemsize)
 
     def worker() -> Worker:
-        return lambda texts: [pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())]
+        def run(texts: list[str]) -> list[pa.Array]:
+            sets = shingle_sets(texts, width)
+            return [pa.array([(s >> shift if shift else s).astype(kind).tobytes() for s in sets], pa.binary())]
+
+        return run
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, left, right = batch.columns
             rows = []
             for x, y in zip(left, right):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
                 place = np.minimum(np.searchsorted(x, y), len(x) - 1)
                 rows.append((int((x[place] == y).sum()), len(x), len(y)))
             counts = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 3
@@ -189,9 +209,13 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, id_col: str, text_col:
         .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
         .select("a", "b", "left", "right")
     )
-    kind = dict(docs.dtypes)[id_col]
-    checked = joined.mapInArrow(intersect, f"a {kind}, b {kind}, both long, n_a long, n_b long")
-    return write_shared(checked, "pairs-verified")
+    own = dict(docs.dtypes)[id_col]
+    checked = joined.mapInArrow(intersect, f"a {own}, b {own}, both long, n_a long, n_b long")
+    # a document may have several texts: any of them may link
+    checked = write_shared(checked, "pairs-verified")
+    drop_shared(sets)
+    release_shuffles(spark)
+    return checked
 
 
 def similarity_components(
@@ -230,7 +254,8 @@ def similarity_components(
     in_groups = write_shared(grouped.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
 
     similar = F.expr(f"both * {p + q} >= {p} * (n_a + n_b)")  # both / (n_a + n_b - both) >= p / q
-    reach = float(1 - least) + 1e-9  # the largest distance of a link; the small term covers rounding
+    # the largest distance of a link; the small term covers rounding and the short form of the sets
+    reach = float(1 - least) + 0.002
     kind = f"{dict(docs.dtypes)[id_col]}"
     none = spark.createDataFrame([], f"a {kind}, b {kind}, far double")
 
@@ -239,8 +264,15 @@ def similarity_components(
         if pairs.isEmpty():
             return none.select("a", "b"), none
         checked = verify(docs, pairs, width, id_col, text_col)
+        # a few common shingles decide: those pairs are verified again with whole shingles
+        close = checked.where(similar).where(f"(both - {SURPLUS}) * {p + q} < {p} * (n_a + n_b)").select("a", "b").distinct()
+        close = write_shared(close, "pairs")
+        links = checked.where(similar).select("a", "b").distinct()
+        if not close.isEmpty():
+            exact = verify(docs, close, width, id_col, text_col, "<u8").where(similar).select("a", "b")
+            links = links.join(close, ["a", "b"], "left_anti").unionByName(exact)
         far = checked.select("a", "b", (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("far"))
-        return checked.where(similar).select("a", "b"), far
+        return write_shared(links, "links"), far
 
     def joined(before: DataFrame, *links: DataFrame) -> DataFrame:
         """Components (node, component) of the links and the components found before."""
