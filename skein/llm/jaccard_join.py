@@ -14,8 +14,9 @@ sizes differ by no more than that ratio.
    only the smallest group of each of its shingles (the hub), which is linear in
    the postings and joins the bulk of any large family.
 4. What is still apart: groups under one shingle whose components differ are
-   compared pairwise, unless their distances to the hub already rule a link out
-   (triangle inequality of the Jaccard distance).
+   compared pairwise, unless the places of the shingle in both sets or their
+   distances to the hub (triangle inequality of the Jaccard distance) already
+   rule a link out.
 5. Where two groups are apart but their pivots' distance leaves room for a link
    between members, the groups are expanded and their members verified.
 6. Components over all verified links, expanded to the members of each class.
@@ -296,12 +297,16 @@ def similarity_components(
         .dropDuplicates(["unit", "n"])
         .join(behind.select(F.col("b").alias("unit")), "unit", "left_anti")
     )
-    postings = units.select("unit", "n", F.explode("prefix").alias("shingle"))
-    hubs = postings.groupBy("shingle").agg(F.min(F.struct("unit", "n")).alias("hub"), F.count(F.lit(1)).alias("m"))
-    hubs = hubs.where("m > 1").select("shingle", F.col("hub.unit").alias("hub"), F.col("hub.n").alias("hub_n"))
+    postings = units.select("unit", "n", F.posexplode("prefix").alias("pos", "shingle"))
+    least_unit = F.min(F.struct("unit", "n", "pos")).alias("hub")
+    hubs = postings.groupBy("shingle").agg(least_unit, F.count(F.lit(1)).alias("m")).where("m > 1")
+    hubs = hubs.select("shingle", *(F.col(f"hub.{c}").alias(name) for c, name in (("unit", "hub"), ("n", "hub_n"), ("pos", "hub_pos"))))
     hubs = write_shared(hubs, "hubs")
     shared = write_shared(postings.join(hubs, "shingle"), "postings")  # under shingles of two groups or more
-    sizes = F.expr(f"{q} * least(n, hub_n) >= {p} * greatest(n, hub_n)")
+    # sizes, and places: before their first common shingle two sets have nothing in common, so what is
+    # behind it bounds the intersection (for a whole group, as its members share size and prefix)
+    room = "{q} * least(n, {n}) >= {p} * greatest(n, {n}) and {s} * least(n - pos, {n} - {pos}) >= {p} * (n + {n})"
+    sizes = F.expr(room.format(p=p, q=q, s=p + q, n="hub_n", pos="hub_pos"))
     to_hub = shared.where(F.col("unit") != F.col("hub")).where(sizes)
     to_hub = write_shared(to_hub.select(F.col("hub").alias("a"), F.col("unit").alias("b")).distinct(), "pairs")
     hub_links, hub_far = distances(to_hub)
@@ -315,10 +320,10 @@ def similarity_components(
     several = write_shared(several.where("x < y").select("shingle"), "shingles")
     distance = hub_far.select(F.col("a").alias("hub"), F.col("b").alias("unit"), "far")
     rest = apart.where("unit <> hub").join(several, "shingle", "left_semi").join(distance, ["hub", "unit"], "left")
-    rest = write_shared(rest.select("shingle", "unit", "n", "component", "radius", "far"), "postings")
+    rest = write_shared(rest.select("shingle", "unit", "n", "pos", "component", "radius", "far"), "postings")
     other = rest.select("shingle", *(F.col(c).alias(f"{c}_b") for c in rest.columns if c != "shingle"))
     pairs = rest.join(other, "shingle").where(
-        f"unit < unit_b and component <> component_b and {q} * least(n, n_b) >= {p} * greatest(n, n_b)"
+        f"unit < unit_b and component <> component_b and {room.format(p=p, q=q, s=p + q, n='n_b', pos='pos_b')}"
         f" and coalesce(abs(far - far_b) <= {reach!r} + radius + radius_b, true)"
     )
     pairs = write_shared(pairs.select(F.col("unit").alias("a"), F.col("unit_b").alias("b")).distinct(), "pairs")
