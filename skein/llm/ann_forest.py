@@ -28,6 +28,7 @@ BITS = 24  # length of the hash strings
 SEED = 20_240_501
 #: Candidates that a query gathers in each block before it stops ascending: a floor, and a share of the block's rows.
 LEAST_CANDIDATES, CANDIDATE_SHARE = 1_024, 0.3
+ROUNDING = 1e-9  # by which cosines from a product in blocks may differ from those made row by row
 
 
 @functools.lru_cache(maxsize=4)
@@ -130,9 +131,9 @@ def nearest(
                     seen = gather(first[:, :, j], behind[:, :, j], order, enough) & (c_ids != own)
                     at = np.flatnonzero(seen)
                     score = (c[at] @ q[j]) / (norms[at] * np.sqrt(np.dot(q[j], q[j])))
-                    if len(at) > k + 8:  # a few more, as products in blocks may round otherwise than one by one
-                        at = at[np.argpartition(-score, k + 7)[: k + 8]]
-                    score = np.array([float(np.dot(c[i], q[j])) for i in at])
+                    if len(at) > k:  # all ties of the k-th best
+                        at = at[score >= np.partition(score, len(at) - k)[len(at) - k] - ROUNDING]
+                    score = (c[at] * q[j]).sum(1)  # row by row, so that equal vectors have equal scores
                     score /= norms[at] * np.sqrt(np.dot(q[j], q[j]))
                     top = np.lexsort((c_ids[at], -score))[:k]
                     arrays = [pa.array(np.full(len(top), own)), pa.array(c_ids[at[top]]), pa.array(score[top])]

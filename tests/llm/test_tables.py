@@ -193,6 +193,18 @@ def test_forest_recall_and_exact_scores(spark):
     assert ann_forest.op4_query(table.limit(0)).count() == 0
 
 
+def test_forest_gives_ties_to_the_smallest_ids(spark):
+    table, _ = vector_table(spark)
+    found = [r for r in ann_forest.op4_query(table.repartition(4)).collect() if r["query_id"] == 100]
+    assert sorted((r["rank"], r["vec_id"]) for r in found) == [(k, 8000 + k) for k in range(1, 6)]
+    # ties at the k-th place, with better ones before them and ids that are not in the order of the table
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors(200, 8, 2))]
+    rows += [(1000 - i, rows[50][1]) for i in range(2)] + [(900 - i, [2 * rows[50][1][0], *rows[50][1][1:]]) for i in range(60)]
+    found = ann_forest.op4_query(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [r["vec_id"] for r in sorted(found.where("query_id = 50").collect(), key=lambda r: r["rank"])]
+    assert got[:2] == [999, 1000] and got[2:] == [841, 842, 843]
+
+
 def test_gather_finds_the_longest_prefixes_first():
     rng = np.random.default_rng(3)
     own = rng.integers(0, 1 << ann_forest.BITS, (1, 500)).astype(np.uint32)
