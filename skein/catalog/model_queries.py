@@ -20,9 +20,9 @@ from skein.session import ensure_checkpoint_dir, table
 # topic id of a document = position of its language in alphabetical order
 def _docs_by_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    number = (F.dense_rank().over(Window.orderBy("lang")) - 1).cast("int").alias("topic")
-    topics = docs.select("lang").distinct().select("lang", number)  # one row per language
-    docs = docs.join(F.broadcast(topics), "lang")
+    number = (F.dense_rank().over(Window.orderBy(F.asc_nulls_last("lang"))) - 1).cast("int").alias("topic")
+    topics = docs.select("lang").distinct().select(F.col("lang").alias("known"), number)  # one row per language, null too
+    docs = docs.join(F.broadcast(topics), F.col("lang").eqNullSafe(F.col("known")))
     out = tx.compute_once(docs, ["doc_id", "topic"], topic_text=tx.topic_preprocess_text("text"))
     return out.filter(F.length(F.trim("topic_text")) >= 3)
 
