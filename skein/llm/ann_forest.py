@@ -8,6 +8,8 @@ share a prefix with the query.  Candidates are ranked by exact cosine.
 
 The index is made block by block (every row is in one block, with all trees over
 that block), written to the shared folder, and a query searches every block.
+Equal vectors of a block are one entry of its trees, so copies of one vector
+don't count as found candidates more than once.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from skein.llm.vector_blocks import CANDIDATE_ROWS, QUERY_ROWS, best, cells, pac
 TREES = 96
 BITS = 24  # length of the hash strings
 SEED = 20_240_501
-#: Candidates that a query gathers in each block before it stops ascending: a floor, and a share of the block's rows.
+#: Different vectors that a query gathers in each block before it stops ascending: a floor, and a share of the block's.
 LEAST_CANDIDATES, CANDIDATE_SHARE = 1_024, 0.3
 ROUNDING = 1e-9  # by which cosines from a product in blocks may differ from those made row by row
 
@@ -46,13 +48,15 @@ def strings(matrix: np.ndarray, trees: int) -> np.ndarray:
 
 
 def indexed(matrix: np.ndarray, trees: int = TREES) -> list[bytes]:
-    """Vectors, sorted strings of each tree, and the rows they belong to."""
+    """Different vectors, sorted strings of each tree, the vectors they belong to, and the vector of each row."""
+    matrix, kind_of = np.unique(matrix.astype("<f8") + 0.0, axis=0, return_inverse=True)  # -0.0 equals 0.0
     own = strings(matrix, trees)
     order = np.argsort(own, axis=1, kind="stable")
     return [
-        matrix.astype("<f8").tobytes(),
+        matrix.tobytes(),
         np.take_along_axis(own, order, 1).tobytes(),
         order.astype("<u2").tobytes(),
+        kind_of.astype("<u2").tobytes(),
     ]
 
 
@@ -113,9 +117,9 @@ def nearest(
     """
     rows = usable(embeddings, id_col, vector_col).where(F.exists("vector", lambda x: x != 0.0))
     rows = write_shared(rows, "vectors")
-    index = packed(rows, CANDIDATE_ROWS, lambda m: indexed(m, trees), ["data", "strings", "order"])
+    index = packed(rows, CANDIDATE_ROWS, lambda m: indexed(m, trees), ["data", "strings", "order", "kind_of"])
     queries = packed(rows.where(is_query), QUERY_ROWS, lambda m: [m.astype("<f8").tobytes()], ["data"])
-    met = cells(queries, index).select("q_dim", "q_ids", "q_data", "c_ids", "c_data", "c_strings", "c_order")
+    met = cells(queries, index).select("q_dim", "q_ids", "q_data", "c_ids", "c_data", "c_strings", "c_order", "c_kind_of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,17 +128,29 @@ def nearest(
                 q, c = (np.frombuffer(p, "<f8").reshape(-1, dim) for p in (parts[1], parts[3]))
                 sorted_strings = np.frombuffer(parts[4], "<u4").reshape(trees, -1)
                 order = np.frombuffer(parts[5], "<u2").reshape(trees, -1)
+                kind_of = np.frombuffer(parts[6], "<u2")
+                # the rows of vector v, by id: rows[start[v] : start[v + 1]]
+                rows = np.lexsort((c_ids, kind_of))
+                start = np.searchsorted(kind_of[rows], np.arange(len(c) + 1))
+                place = {own: int(v) for own, v in zip(c_ids.tolist(), kind_of)}
                 first, behind = descend(strings(q, trees), sorted_strings)
                 norms = np.array([np.sqrt(np.dot(v, v)) for v in c])
                 enough = max(least_candidates, int(candidate_share * len(c)))
                 for j, own in enumerate(q_ids.tolist()):
-                    seen = gather(first[:, :, j], behind[:, :, j], order, enough) & (c_ids != own)
+                    seen = gather(first[:, :, j], behind[:, :, j], order, enough)
+                    if own in place and start[place[own] + 1] - start[place[own]] == 1:
+                        seen[place[own]] = False  # no other row has the query's vector
                     at = np.flatnonzero(seen)
                     score = (c[at] @ q[j]) / (norms[at] * np.sqrt(np.dot(q[j], q[j])))
                     if len(at) > k:  # all ties of the k-th best
                         at = at[score >= np.partition(score, len(at) - k)[len(at) - k] - ROUNDING]
                     score = (c[at] * q[j]).sum(1)  # row by row, so that equal vectors have equal scores
                     score /= norms[at] * np.sqrt(np.dot(q[j], q[j]))
+                    # the k smallest ids of each vector suffice, and one more for the query's own
+                    meant = [rows[start[v] : min(start[v + 1], start[v] + k + 1)] for v in at.tolist()]
+                    score = np.repeat(score, [len(m) for m in meant])
+                    at = np.concatenate([*meant, np.zeros(0, np.int64)])
+                    score, at = score[c_ids[at] != own], at[c_ids[at] != own]
                     top = np.lexsort((c_ids[at], -score))[:k]
                     arrays = [pa.array(np.full(len(top), own)), pa.array(c_ids[at[top]]), pa.array(score[top])]
                     yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "id", "score"])

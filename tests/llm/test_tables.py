@@ -205,6 +205,19 @@ def test_forest_gives_ties_to_the_smallest_ids(spark):
     assert got[:2] == [999, 1000] and got[2:] == [841, 842, 843]
 
 
+def test_copies_of_one_vector_do_not_end_the_search(spark):
+    own = vectors(1_200, 16, 5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(own)]
+    near = [float(x) for x in own[50] + vectors(1, 16, 6)[0] / 8]  # shares long prefixes with query 50
+    rows += [(10_000 + i, near) for i in range(1_000)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann_forest.nearest(table, "id = 50", 1_100, least_candidates=100).collect()
+    assert sum(r["vec_id"] >= 10_000 for r in found) == 1_000
+    assert sum(r["vec_id"] < 10_000 for r in found) == 100
+    found = ann_forest.nearest(table, "id = 50", 2_300, least_candidates=100).collect()
+    assert sum(r["vec_id"] < 10_000 for r in found) >= 0.3 * 1_200 - 2
+
+
 def test_gather_finds_the_longest_prefixes_first():
     rng = np.random.default_rng(3)
     own = rng.integers(0, 1 << ann_forest.BITS, (1, 500)).astype(np.uint32)
