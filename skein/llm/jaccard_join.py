@@ -7,8 +7,8 @@ sizes differ by no more than that ratio.
 
 1. The order: shingles of many documents last (their document counts are summed
    over the whole corpus), all others by hash.  Any order gives the same links.
-2. Documents with equal sets become one class; classes with equal prefix and
-   size become one group.  Members are verified against the group's pivot; those
+2. Texts with equal sets become one class, whatever ids they have; classes with
+   equal prefix and size become one group.  Members are verified against the group's pivot; those
    that don't link to it go on as groups of their own.
 3. Groups that share a prefix shingle are candidates.  First every group meets
    only the smallest group of each of its shingles (the hub), which is linear in
@@ -19,7 +19,11 @@ sizes differ by no more than that ratio.
    rule a link out.
 5. Where two groups are apart but their pivots' distance leaves room for a link
    between members, the groups are expanded and their members verified.
-6. Components over all verified links, expanded to the members of each class.
+6. Components over all verified links and over the classes that share a
+   document, expanded to the members of each class.
+
+Steps 2 to 5 know classes only: a document with several texts has a class for
+each of them, and every one is posted, absorbed and verified on its own.
 
 No step lists all pairs of a family, and no link between components is lost.
 """
@@ -173,23 +177,50 @@ def _only(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, "left_semi")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, width: int, id_col: str, text_col: str, kind: str = "<u4") -> DataFrame:
-    """(a, b, both, n_a, n_b) with the sizes of intersection and sets for ``pairs`` (a, b), a written table.
+def class_sets(docs: DataFrame, classes: DataFrame, width: int, id_col: str, text_col: str, kind: str) -> DataFrame:
+    """(class, shingles) of ``classes`` (class, id, h1, h2, copies), one row each, computed from the text of ``id``.
 
-    The sets are computed again from the texts of the documents in question and
-    travel as the leading 32 bits of each shingle ("<u4") or whole ("<u8").  The
-    short form may count a few shingles too many as common, never too few.
+    A document may have several texts: the one whose set has the hash (h1, h2)
+    counts.  Only classes with ``copies`` > 1, rows with that id and that set,
+    have to be reduced to one row.
     """
-    spark = docs.sparkSession
     shift = np.uint64(64 - 8 * np.dtype(kind).itemsize)
 
     def worker() -> Worker:
         def run(texts: list[str]) -> list[pa.Array]:
             sets = shingle_sets(texts, width)
-            return [pa.array([(s >> shift if shift else s).astype(kind).tobytes() for s in sets], pa.binary())]
+            hashes = [digest(s) if len(s) else (None, None) for s in sets]  # an empty set is of no class
+            data = [(s >> shift if shift else s).astype(kind).tobytes() for s in sets]
+            return [*(pa.array(h, pa.int64()) for h in zip(*hashes)), pa.array(data, pa.binary())]
 
         return run
 
+    def computed(own: DataFrame) -> DataFrame:
+        wanted = _only(docs.select(id_col, text_col), own.select("id").distinct(), id_col)
+        schema = "h1 bigint, h2 bigint, shingles binary"
+        sets = map_texts(wanted, worker, schema, id_col, text_col, chars=TEXT_CHARS).withColumnRenamed(id_col, "id")
+        own = own.select("class", "id", "h1", "h2")
+        own = F.broadcast(own) if own.count() <= BROADCAST_IDS else own
+        return sets.join(own, ["id", "h1", "h2"]).select("class", "shingles")
+
+    sets = computed(classes.where("copies = 1"))
+    repeated = classes.where("copies > 1")
+    if not repeated.isEmpty():
+        sets = sets.unionByName(computed(repeated).dropDuplicates(["class"]))
+    return sets
+
+
+def verify(
+    docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, id_col: str, text_col: str, kind: str = "<u4"
+) -> DataFrame:
+    """(a, b, both, n_a, n_b) with the sizes of intersection and sets for ``pairs`` (a, b) of classes, a written table.
+
+    The sets are computed again from the texts of the classes in question and
+    travel as the leading 32 bits of each shingle ("<u4") or whole ("<u8").  The
+    short form may count a few shingles too many as common, never too few.
+    """
+    spark = docs.sparkSession
+
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, left, right = batch.columns
@@ -201,18 +232,15 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, id_col: str, text_col:
             counts = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 3
             yield pa.RecordBatch.from_arrays([a, b, *counts], names=["a", "b", "both", "n_a", "n_b"])
 
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = _only(docs.select(id_col, text_col), write_shared(ids, "pair-ids"), id_col)
-    sets = map_texts(wanted, worker, "shingles binary", id_col, text_col, chars=TEXT_CHARS).withColumnRenamed(id_col, "id")
-    sets = write_shared(sets, "pair-sets")
+    meant = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    meant = write_shared(classes.join(meant, "class"), "pair-classes")
+    sets = write_shared(class_sets(docs, meant, width, id_col, text_col, kind), "pair-sets")
     joined = (
-        pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a")
-        .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
+        pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("left")), "a")
+        .join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("right")), "b")
         .select("a", "b", "left", "right")
     )
-    own = dict(docs.dtypes)[id_col]
-    checked = joined.mapInArrow(intersect, f"a {own}, b {own}, both long, n_a long, n_b long")
-    # a document may have several texts: any of them may link
+    checked = joined.mapInArrow(intersect, "a long, b long, both long, n_a long, n_b long")
     checked = write_shared(checked, "pairs-verified")
     drop_shared(sets)
     release_shuffles(spark)
@@ -235,7 +263,7 @@ def similarity_components(
 
     A null or empty text has no shingles and links with nothing; a row with a
     null id has a null component and takes no part; rows that repeat an id are
-    the same document.  An empty table gives no row.  Other columns are not
+    the same document, and any of its texts may link.  An empty table gives no row.  Other columns are not
     read.
     """
     spark = docs.sparkSession
@@ -245,32 +273,34 @@ def similarity_components(
     table = write_shared(prefix_table(docs, width, least, spread, id_col, text_col), "prefixes")
     rows = table.where("n > 0 and id is not null")
 
-    # classes of equal sets, groups of equal prefix and size
-    classes = write_shared(rows.groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
+    # classes of equal sets, numbered; groups of equal prefix and size
+    classes = rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
+    classes = write_shared(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     members = rows.select("id", "n", "h1", "h2", "g1", "g2").join(classes, ["h1", "h2"])
-    members = write_shared(members.distinct(), "members")
-    reps = members.where("id = rep").select("rep", "n", "g1", "g2")
-    groups = write_shared(reps.groupBy("n", "g1", "g2").agg(F.min("rep").alias("pivot")), "groups")
-    grouped = reps.join(groups, ["n", "g1", "g2"]).where("rep <> pivot")
-    in_groups = write_shared(grouped.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    members = members.groupBy(*members.columns).agg(F.count(F.lit(1)).alias("copies"))
+    members = write_shared(members, "members")
+    reps = members.where("id = rep").select("class", "id", "n", "h1", "h2", "g1", "g2", "copies")
+    texts = reps.select("class", "id", "h1", "h2", "copies")
+    groups = write_shared(reps.groupBy("n", "g1", "g2").agg(F.min("class").alias("pivot")), "groups")
+    grouped = reps.join(groups, ["n", "g1", "g2"]).where("class <> pivot")
+    in_groups = write_shared(grouped.select(F.col("pivot").alias("a"), F.col("class").alias("b")), "pairs")
 
     similar = F.expr(f"both * {p + q} >= {p} * (n_a + n_b)")  # both / (n_a + n_b - both) >= p / q
     # the largest distance of a link; the small term covers rounding and the short form of the sets
     reach = float(1 - least) + 0.002
-    kind = f"{dict(docs.dtypes)[id_col]}"
-    none = spark.createDataFrame([], f"a {kind}, b {kind}, far double")
+    none = spark.createDataFrame([], "a long, b long, far double")
 
     def distances(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(links, all) of ``pairs`` (a, b): written tables (a, b) and (a, b, far) with the Jaccard distance."""
         if pairs.isEmpty():
             return none.select("a", "b"), none
-        checked = verify(docs, pairs, width, id_col, text_col)
+        checked = verify(docs, texts, pairs, width, id_col, text_col)
         # a few common shingles decide: those pairs are verified again with whole shingles
         close = checked.where(similar).where(f"(both - {SURPLUS}) * {p + q} < {p} * (n_a + n_b)").select("a", "b").distinct()
         close = write_shared(close, "pairs")
         links = checked.where(similar).select("a", "b").distinct()
         if not close.isEmpty():
-            exact = verify(docs, close, width, id_col, text_col, "<u8").where(similar).select("a", "b")
+            exact = verify(docs, texts, close, width, id_col, text_col, "<u8").where(similar).select("a", "b")
             links = links.join(close, ["a", "b"], "left_anti").unionByName(exact)
         far = checked.select("a", "b", (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("far"))
         return write_shared(links, "links"), far
@@ -291,10 +321,10 @@ def similarity_components(
 
     # postings of the groups: pivots, and members that don't link to theirs
     units = (
-        rows.join(classes.select("h1", "h2", "rep"), ["h1", "h2"])
+        rows.join(classes, ["h1", "h2"])
         .where("id = rep")
-        .select(F.col("rep").alias("unit"), "n", "prefix")
-        .dropDuplicates(["unit", "n"])
+        .select(F.col("class").alias("unit"), "n", "prefix")
+        .dropDuplicates(["unit"])
         .join(behind.select(F.col("b").alias("unit")), "unit", "left_anti")
     )
     postings = units.select("unit", "n", F.posexplode("prefix").alias("pos", "shingle"))
@@ -348,11 +378,16 @@ def similarity_components(
     near = write_shared(near.select(F.col("x_a").alias("a"), F.col("x_b").alias("b")).distinct(), "pairs")
     member_links, _ = distances(near)
 
-    # one document may have several texts
-    texts = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
-    components = joined(found, member_links, texts.select("a", "b"))
-    label = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    label = write_shared(label.select("h1", "h2", F.coalesce("component", "rep").alias("component_id")), "labels")
+    # one document may have several texts: its classes are linked, and a component bears its smallest id
+    several = members.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z")
+    same = members.join(several.select("id", "a"), "id").where("class > a").select("a", F.col("class").alias("b"))
+    components = joined(found, member_links, same.distinct())
+    components = components.select(F.col("node").alias("class"), "component")
+    least_id = classes.join(components, "class").groupBy("component").agg(F.min("rep").alias("component_id"))
+    least_id = write_shared(least_id, "component-ids")
+    named = components.join(F.broadcast(least_id) if least_id.count() <= BROADCAST_IDS else least_id, "component")
+    label = classes.join(named, "class", "left")
+    label = write_shared(label.select("h1", "h2", F.coalesce("component_id", "rep").alias("component_id")), "labels")
     linked = rows.select("id", "n", "h1", "h2").join(label, ["h1", "h2"]).select("id", "n", "component_id")
     alone = table.where("n = 0 or id is null").select("id", "n", F.when(F.lit(True), F.col("id")).alias("component_id"))
     return linked.unionByName(alone).select(

@@ -116,6 +116,37 @@ def test_jaccard_with_spread_shingles_and_small_packets(spark, monkeypatch):
     assert len(shingles) <= 300 and (np.diff(shingles.astype(np.int64)) > 0).all() and counts.min() >= 2
 
 
+def several_texts():
+    """Texts of ids that are repeated: edited copies of equal size, texts without words, and three families in a chain."""
+    rng = random.Random(21)
+    bases = [[f"b{k}w{j}" for j in range(60)] for k in range(9)]
+
+    def edited(k):
+        words = list(bases[k])
+        words[rng.randrange(5, 55)] = f"e{rng.randint(0, 10**6)}"
+        return " ".join(words)
+
+    rows = [(100 + 10 * k + i, edited(k)) for k in range(9) for i in range(4)]
+    rows += [(0, edited(0)), (0, edited(1)), (0, edited(0))]  # two of family 0: one may be absorbed by the other
+    rows += [(1, edited(2)), (1, None), (1, ""), (1, edited(2))]  # the smallest id: left in every pair
+    rows += [(500, edited(3)), (500, edited(4)), (500, edited(5)), (500, "alone in the world")]
+    rows += [(501, bases_end(bases[6], "x")), (501, edited(7)), (502, bases_end(bases[6], "y")), (502, edited(7))]
+    return rows + [(503, edited(8))] * 3 + [(504, edited(8)), (504, edited(8)), (504, None)]
+
+
+def bases_end(words, end):
+    return " ".join([*words[:-1], end])  # most of its prefix is its family's
+
+
+@pytest.mark.parametrize(("width", "p", "q"), [(3, 9, 10), (5, 4, 5), (2, 19, 20)])
+def test_jaccard_of_ids_with_several_texts(spark, width, p, q):
+    rows = several_texts()
+    random.Random(width).shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.similarity_components(docs.repartition(3), width, Fraction(p, q)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_components(rows, width, p, q)
+
+
 def test_jaccard_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.op7_query(empty).count() == 0
