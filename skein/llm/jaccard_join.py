@@ -56,8 +56,15 @@ SPREAD_SHINGLES = 1 << 18  # at most so many, the most frequent ones; 12 bytes e
 COUNT_SHINGLES = 1_000_000  # shingles that a worker sums up before it hands counts on
 TEXT_CHARS = 400_000  # characters whose shingles a worker hashes at a time
 BROADCAST_IDS = 1_000_000  # ids up to which a table of ids is broadcast; beyond, it is joined by a shuffle
-SURPLUS = 3  # shingles that the short form may take for common; four in one pair are out of reach
 _HIGH = np.uint64(32)
+#: Shingles that the short form may take for common: n_a * n_b / 2**32 are expected at most, more than eight standard
+#: deviations and three above that are out of reach (four in one pair of small sets).
+SURPLUS = f"(3 + n_a * double(n_b) / {1 << 32}L + 8 * sqrt(n_a * double(n_b) / {1 << 32}L))"
+
+
+def doubtful(p: int, q: int) -> str:
+    """SQL condition on (both, n_a, n_b): without what the short form may add, the pair might be no link."""
+    return f"(both - {SURPLUS}) * {p + q} < {p} * (n_a + n_b)"
 
 
 def spread_shingles(docs: DataFrame, width: int, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -273,8 +280,8 @@ def similarity_components(
     table = write_shared(prefix_table(docs, width, least, spread, id_col, text_col), "prefixes")
     rows = table.where("n > 0 and id is not null")
 
-    # classes of equal sets, numbered; groups of equal prefix and size
-    classes = rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
+    # classes of equal sets, numbered in the order of their smallest ids; groups of equal prefix and size
+    classes = rows.groupBy("h1", "h2").agg(F.min("id").alias("rep")).orderBy("rep", "h1", "h2")
     classes = write_shared(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
     members = rows.select("id", "n", "h1", "h2", "g1", "g2").join(classes, ["h1", "h2"])
     members = members.groupBy(*members.columns).agg(F.count(F.lit(1)).alias("copies"))
@@ -295,8 +302,8 @@ def similarity_components(
         if pairs.isEmpty():
             return none.select("a", "b"), none
         checked = verify(docs, texts, pairs, width, id_col, text_col)
-        # a few common shingles decide: those pairs are verified again with whole shingles
-        close = checked.where(similar).where(f"(both - {SURPLUS}) * {p + q} < {p} * (n_a + n_b)").select("a", "b").distinct()
+        # common shingles that the short form may have added decide: those pairs are verified again with whole shingles
+        close = checked.where(similar).where(doubtful(p, q)).select("a", "b").distinct()
         close = write_shared(close, "pairs")
         links = checked.where(similar).select("a", "b").distinct()
         if not close.isEmpty():

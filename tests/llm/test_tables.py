@@ -147,6 +147,21 @@ def test_jaccard_of_ids_with_several_texts(spark, width, p, q):
     assert sorted(map(tuple, got), key=repr) == brute_components(rows, width, p, q)
 
 
+def test_margin_of_the_short_form_grows_with_the_sets(spark):
+    """Pairs just below the threshold, with as many false matches of 32-bit halves as a draw may have."""
+    rng, rows = np.random.default_rng(9), []
+    for n in (100, 20_000, 500_000, 1_000_000, 10_000_000):
+        apart = -(-n // 19) + 1  # of n shingles each: (n - apart) / (n + apart) is just below 9 / 10
+        assert 10 * (n - apart) < 9 * (n + apart)
+        rows += [(n - apart + int(more), n, n) for more in rng.poisson(apart * n / 2**32, 300)]
+    pairs = spark.createDataFrame(rows, "both long, n_a long, n_b long")
+    linked = pairs.where("both * 19 >= 9 * (n_a + n_b)")
+    assert linked.where("n_a = 1000000").count() > 200  # by the short form alone
+    assert linked.where(f"not {jaccard_join.doubtful(9, 10)}").count() == 0
+    clear = spark.createDataFrame([(98, 100, 100), (19_900, 20_000, 20_000), (990_000, 10**6, 10**6)], pairs.schema)
+    assert clear.where(jaccard_join.doubtful(9, 10)).count() == 0
+
+
 def test_jaccard_of_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard_join.op7_query(empty).count() == 0
