@@ -26,7 +26,7 @@ def labelled_sample(
     Half of the bound goes to each label, in the order of a hash of the id, so
     the sample is the same on every run.  Only the chosen ids (a bounded set)
     are broadcast; an id that is repeated in ``labels`` with different values
-    has the larger one, repeated documents count once.
+    has the larger one; of an id with several documents the smallest text counts.
     """
     own = (
         labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
@@ -43,7 +43,7 @@ def labelled_sample(
         chosen = some if chosen is None else chosen.unionByName(some)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # bounded: ``rows`` ids
-    return texts.join(F.broadcast(chosen), "id")
+    return texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "text", "y")
 
 
 def hashed(names: list[str], bits: int) -> np.ndarray:

@@ -16,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.llm import bpe, bpe_codec, quality, secrets, token_counts, toxicity, transducer
+from skein.llm.features import labelled_sample
 
 SF001 = "/root/testdata/sf0.001"
 SF01 = "/root/testdata/sf0.01"
@@ -235,6 +236,17 @@ def test_classifiers_on_awkward_rows(spark, awkward, query, label):
     assert query(awkward.limit(0), labels).count() == 0
 
 
+def test_sample_has_one_row_per_id(spark):
+    """A chosen id may hold any share of the rows; the bound of the sample is one of rows."""
+    ids = [i for i in range(40) if fold(i) != 2][:20]
+    rows = [(i, f"text {i}") for i in ids] + [(ids[0], f"another text {k}") for k in range(300)] + [(ids[0], None)] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    got = by_id(labelled_sample(docs, labels, "toxic", 40), "id", "text", "y")
+    want = [(i, "another text 0" if i == ids[0] else f"text {i}", k % 2) for k, i in enumerate(ids)]
+    assert got == sorted(want, key=repr)
+
+
 def test_offending_sentences_are_located(spark):
     rng = random.Random(2)
     words = ["alpha", "beta", "gamma", "delta", "kappa", "sigma"]
