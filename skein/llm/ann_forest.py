@@ -23,7 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import write_shared
-from skein.llm.vector_blocks import CANDIDATE_ROWS, QUERY_ROWS, best, cells, packed, usable
+from skein.llm.vector_blocks import (
+    CANDIDATE_ROWS,
+    QUERY_ROWS,
+    best,
+    cells,
+    enough_rows,
+    first_of_each,
+    packed,
+    usable,
+)
 
 TREES = 96
 BITS = 24  # length of the hash strings
@@ -112,8 +121,9 @@ def nearest(
     Queries are the rows for which the SQL condition ``is_query`` on ``id``
     holds, candidates all rows but the query's own; ties go to the smaller id.
     Null, empty, zero, null-holding and non-finite vectors take no part;
-    vectors meet only vectors of the same length; of rows that repeat an id the
-    smallest vector counts.  An empty table gives no row.
+    vectors meet only vectors of the same length; an id with several vectors
+    counts with the best pair of its own and the other's.  An empty table gives
+    no row.
     """
     rows = usable(embeddings, id_col, vector_col).where(F.exists("vector", lambda x: x != 0.0))
     rows = write_shared(rows, "vectors")
@@ -132,18 +142,23 @@ def nearest(
                 # the rows of vector v, by id: rows[start[v] : start[v + 1]]
                 rows = np.lexsort((c_ids, kind_of))
                 start = np.searchsorted(kind_of[rows], np.arange(len(c) + 1))
-                place = {own: int(v) for own, v in zip(c_ids.tolist(), kind_of)}
+                need = enough_rows(c_ids, k)
+                asked, place = set(q_ids.tolist()), {}
+                for own, v in zip(c_ids.tolist(), kind_of.tolist()):
+                    if own in asked:
+                        place.setdefault(own, []).append(v)
                 first, behind = descend(strings(q, trees), sorted_strings)
                 norms = np.array([np.sqrt(np.dot(v, v)) for v in c])
                 enough = max(least_candidates, int(candidate_share * len(c)))
                 for j, own in enumerate(q_ids.tolist()):
                     seen = gather(first[:, :, j], behind[:, :, j], order, enough)
-                    if own in place and start[place[own] + 1] - start[place[own]] == 1:
-                        seen[place[own]] = False  # no other row has the query's vector
+                    for v in place.get(own, []):
+                        if (c_ids[rows[start[v] : start[v + 1]]] == own).all():
+                            seen[v] = False  # no other id has this vector
                     at = np.flatnonzero(seen)
                     score = (c[at] @ q[j]) / (norms[at] * np.sqrt(np.dot(q[j], q[j])))
-                    if len(at) > k:  # all ties of the k-th best
-                        at = at[score >= np.partition(score, len(at) - k)[len(at) - k] - ROUNDING]
+                    if len(at) > need:  # all ties of the k-th best
+                        at = at[score >= np.partition(score, len(at) - need)[len(at) - need] - ROUNDING]
                     score = (c[at] * q[j]).sum(1)  # row by row, so that equal vectors have equal scores
                     score /= norms[at] * np.sqrt(np.dot(q[j], q[j]))
                     # the k smallest ids of each vector suffice, and one more for the query's own
@@ -151,7 +166,8 @@ def nearest(
                     score = np.repeat(score, [len(m) for m in meant])
                     at = np.concatenate([*meant, np.zeros(0, np.int64)])
                     score, at = score[c_ids[at] != own], at[c_ids[at] != own]
-                    top = np.lexsort((c_ids[at], -score))[:k]
+                    top = np.lexsort((c_ids[at], -score))
+                    top = top[first_of_each(c_ids[at[top]], k)]
                     arrays = [pa.array(np.full(len(top), own)), pa.array(c_ids[at[top]]), pa.array(score[top])]
                     yield pa.RecordBatch.from_arrays(arrays, names=["query_id", "id", "score"])
 

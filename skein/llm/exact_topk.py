@@ -19,7 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import write_shared
-from skein.llm.vector_blocks import CANDIDATE_ROWS, QUERY_ROWS, best, cells, packed, usable
+from skein.llm.vector_blocks import (
+    CANDIDATE_ROWS,
+    QUERY_ROWS,
+    best,
+    cells,
+    enough_rows,
+    first_of_each,
+    packed,
+    usable,
+)
 
 DIMENSIONS_AT_ONCE = 8
 EXACT = 2.0**53
@@ -31,7 +40,7 @@ def vertical(matrix: np.ndarray) -> list[bytes]:
 
 
 def search(queries: np.ndarray, candidates: np.ndarray, q_ids: np.ndarray, c_ids: np.ndarray, k: int):
-    """For each query: (index into candidates, score) of its ``k`` best, ties to the smaller id.
+    """For each query: (index into candidates, score) of its ``k`` best ids, ties to the smaller id.
 
     ``queries`` and ``candidates`` are dimensions × rows of whole numbers;
     ``c_ids`` ascends.  A query's own id is no candidate.
@@ -49,23 +58,25 @@ def search(queries: np.ndarray, candidates: np.ndarray, q_ids: np.ndarray, c_ids
     for own, q in zip(blocks[:0:-1], asked[:0:-1]):
         rest.insert(0, np.sqrt(rest[0] ** 2 + (own.astype(np.float64) ** 2).sum(0)) * (1 + 1e-12))
         rest_q.insert(0, np.sqrt(rest_q[0] ** 2 + (q.astype(np.float64) ** 2).sum(0)) * (1 + 1e-12))
+    need = enough_rows(c_ids, k)
     for j, own_id in enumerate(q_ids.tolist()):
         alive = np.flatnonzero(c_ids != own_id)
         score = np.zeros(len(alive), kind)
         for block, q, tail, tail_q in zip(blocks, asked, rest, rest_q):
             part = block if len(alive) == block.shape[1] else block[:, alive]
             score = score + q[:, j] @ part
-            if len(alive) > 4 * k and tail_q[j] > 0:
+            if len(alive) > 4 * need and tail_q[j] > 0:
                 room = tail[alive] * tail_q[j] + 1
-                lower = np.partition(score - room, len(alive) - k)[len(alive) - k]
+                lower = np.partition(score - room, len(alive) - need)[len(alive) - need]
                 kept = score + room >= lower
                 if 2 * kept.sum() < len(alive):  # worth moving together
                     alive, score = alive[kept], score[kept]
-        if len(alive) > k:
-            least = np.partition(score, len(alive) - k)[len(alive) - k]
+        if len(alive) > need:
+            least = np.partition(score, len(alive) - need)[len(alive) - need]
             kept = score >= least
             alive, score = alive[kept], score[kept]
-        top = np.lexsort((c_ids[alive], -score))[:k]
+        top = np.lexsort((c_ids[alive], -score))
+        top = top[first_of_each(c_ids[alive[top]], k)]
         yield alive[top], score[top].astype(np.int64)
 
 
@@ -83,8 +94,8 @@ def top_k(
     holds, candidates all rows but the query's own, components
     floor(``scale`` * x).  Ties go to the smaller id.  Null, empty, null-holding
     and non-finite vectors take no part; vectors meet only vectors of the same
-    length; of rows that repeat an id the smallest vector counts.  An empty
-    table gives no row.  Scores are exact below 2**63.
+    length; an id with several vectors counts with the best pair of its own and
+    the other's.  An empty table gives no row.  Scores are exact below 2**63.
     """
     rows = usable(embeddings, id_col, vector_col)
     rows = write_shared(

@@ -22,18 +22,17 @@ CANDIDATE_ROWS = 8_192
 
 
 def usable(embeddings: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id long, vector array<double>) of the rows that take part, one per id.
+    """(id long, vector array<double>) of the different rows that take part.
 
     Left out: null ids, null or empty vectors, vectors that hold a null, NaN or
-    an infinity.  Of rows that repeat an id the smallest vector stays.
+    an infinity.  An id stays with all its vectors.
     """
     prepare(embeddings.sparkSession)
     rows = embeddings.select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")
     )
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = rows.where(F.col("id").isNotNull() & (F.size("vector") > 0) & finite)
-    return rows.groupBy("id").agg(F.min("vector").alias("vector"))
+    return rows.where(F.col("id").isNotNull() & (F.size("vector") > 0) & finite).distinct()
 
 
 def packed(rows: DataFrame, size: int, pack: Callable[[np.ndarray], list[bytes]], names: list[str]) -> DataFrame:
@@ -41,11 +40,11 @@ def packed(rows: DataFrame, size: int, pack: Callable[[np.ndarray], list[bytes]]
 
     ``pack`` turns a matrix (rows × dim) into one binary per name.  The number of
     blocks follows from the number of rows; rows are dealt out by a hash of
-    their id, so blocks are alike in size whatever the vectors and however many
-    partitions there are.
+    id and vector, so blocks are alike in size whatever id or vector is repeated
+    and however many partitions there are.
     """
     blocks = max(1, -(-rows.count() // size))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)))
     dealt = dealt.repartition("block").sortWithinPartitions("block", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +92,19 @@ def cells(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     return left.join(right, "block")
 
 
+def enough_rows(ids: np.ndarray, k: int) -> int:
+    """Of rows with these ids, so many best ones hold ``k`` different ids (or all there are): ``k`` if none is repeated."""
+    times = np.sort(np.unique(ids, return_counts=True)[1])[::-1]
+    return 1 + int(times[: k - 1].sum()) if len(times) >= k else max(len(ids), 1)
+
+
+def first_of_each(ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the first ``k`` different values, in order."""
+    return np.sort(np.unique(ids, return_index=True)[1])[:k]
+
+
 def best(found: DataFrame, k: int, order: list[Column]) -> DataFrame:
-    """The first ``k`` rows of each query_id in ``order``, with their rank from 1."""
+    """The first ``k`` ids of each query_id in ``order``, each with its best score, and their rank from 1."""
+    found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     return ranked.where(F.col("rank") <= k)

@@ -208,6 +208,41 @@ def test_exact_top_k_equals_brute_force(spark):
     assert exact_topk.op2_query(table.limit(0)).count() == 0
 
 
+def test_ids_with_several_vectors_count_with_the_best(spark, monkeypatch):
+    """Every row is a candidate, whatever id it shares; a zero vector doesn't hide the others of its id."""
+    monkeypatch.setattr(exact_topk, "CANDIDATE_ROWS", 100)
+    monkeypatch.setattr(ann_forest, "CANDIDATE_ROWS", 100)
+    own = np.round(vectors(400, 6, 8), 3)
+    rows = [(i // 2 if i < 300 else 7, [float(x) for x in v]) for i, v in enumerate(own)]  # a quarter is id 7
+    rows += [(900, [0.0] * 6), (900, rows[4][1]), (901, rows[200][1]), (901, rows[200][1]), (100, [0.0] * 6)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+
+    def brute(score, queries, k):
+        out = []
+        for q in queries:
+            top = {}
+            for x in (v for i, v in rows if i == q):
+                for i, v in rows:
+                    if i != q and (s := score(np.array(x), np.array(v))) is not None:
+                        top[i] = max(top.get(i, s), s)
+            order = sorted(top, key=lambda i: (-round(top[i], 12), i))[:k]
+            out += [(q, r + 1, i, top[i]) for r, i in enumerate(order)]
+        return sorted(out)
+
+    def whole(x, v):
+        return int(np.floor(1024 * x).astype(int) @ np.floor(1024 * v).astype(int))
+
+    def cosine(x, v):
+        return float(x @ v / np.linalg.norm(x) / np.linalg.norm(v)) if x.any() and v.any() else None
+
+    got = sorted(tuple(r) for r in exact_topk.op2_query(table).collect())
+    assert got == brute(whole, (0, 100, 900), 10)
+    got = sorted(tuple(r) for r in ann_forest.nearest(table, "id in (7, 100, 900)", candidate_share=1.0).collect())
+    want = brute(cosine, (7, 100, 900), 5)
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert all(abs(a[3] - b[3]) < 1e-12 for a, b in zip(got, want))
+
+
 def test_branch_and_bound_is_exact_for_large_numbers():
     rng = np.random.default_rng(7)
     for top in (10, 1 << 28):  # doubles, then 64-bit integers
