@@ -16,8 +16,11 @@ from skein.llm import (
     bpe_codec,
     exact_topk,
     jaccard_join,
+    line_dedup,
     mixing,
+    periodic_runs,
     quality,
+    ranked_search,
     secrets,
     token_counts,
     toxicity,
@@ -71,6 +74,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op10_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.op11_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.op12_query(_table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.op13_query(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, QueryFn] = {
     f.__name__: f
     for f in (
@@ -84,6 +99,14 @@ QUERIES: dict[str, QueryFn] = {
         op8_toxicity,
         op9_bpe_codec,
         op10_quality,
+        op11_ranked_search,
+        op12_periodic_runs,
+        op13_line_dedup,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_mixing": mixing.OP1_SQL, "op3_warc_audit": warc_audit.OP3_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": mixing.OP1_SQL,
+    "op3_warc_audit": warc_audit.OP3_SQL,
+    "op11_ranked_search": ranked_search.OP11_SQL,
+    "op13_line_dedup": line_dedup.OP13_SQL,
+}
