@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from skein.catalog import register
 from skein.catalog.sqlparts import log_odds_sql, topic_text
 from skein.functions import scalar as sc
 from skein.functions import text as tx
+from skein.operators import density
+from skein.operators import graph
 from skein.operators import keywords as kw
 from skein.operators import relational as rel
 from skein.operators import scoring as scr
@@ -237,6 +240,50 @@ def q_density_topics(spark: SparkSession, sf: str) -> DataFrame:
     return tp.density_topics(feats, "vec_id", micro_k=40, min_points=3, min_size=10, link_factor=0.5)
 
 
+_CUT = 1.2  # distance at which the hierarchy is cut; neighbours of a row are 1.0 to 1.25 away
+
+
+@register(
+    "density_cut",
+    f"""
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+d AS (SELECT a.vec_id AS u, b.vec_id AS v, list_distance(a.x, b.x) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+near AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY d, v) AS k FROM d QUALIFY k <= 5),
+cores AS (SELECT u, max(d) AS core FROM near GROUP BY u),
+one_way AS (SELECT n.u, n.v, greatest(n.d, a.core, b.core) AS w FROM near n JOIN cores a ON a.u = n.u JOIN cores b ON b.u = n.v),
+edges AS (SELECT u, v, w FROM one_way UNION SELECT v, u, w FROM one_way),
+spread AS (
+  SELECT 0 AS n, u AS node, u AS component FROM cores
+  UNION ALL
+  SELECT n + 1, node, min(other) FROM (
+    SELECT n, node, component AS other FROM spread WHERE n < 40
+    UNION ALL SELECT s.n, e.u, s.component FROM spread s JOIN edges e ON e.v = s.node WHERE s.n < 40 AND e.w <= {_CUT})
+  GROUP BY n, node
+)
+SELECT c.u AS vec_id, round(c.core, 9) AS core, round(min(e.w), 9) AS joins_at, s.component
+FROM cores c JOIN edges e ON e.u = c.u JOIN spread s ON s.node = c.u AND s.n = 40 GROUP BY ALL
+""",
+)
+def q_density_cut(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-8: core distances, the weight at which a row first joins another, and the clusters of a cut, by the forest."""
+    nodes, _ = density.vector_nodes(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    near = density.neighbours(nodes, 5)
+    cores = density.core_distances(nodes, near, 5)
+    forest, _ = graph.spanning_forest(density.reachability_edges(near, cores))
+    ends = forest.select(F.col("u").alias("node"), "w").unionByName(forest.select(F.col("v").alias("node"), "w"))
+    first = ends.groupBy("node").agg(F.min("w").alias("joins_at"))
+    found = cores.join(first, "node").join(density.cut_components(nodes, forest, _CUT), "node")
+    return found.select(F.col("node").alias("vec_id"), F.round("core", 9).alias("core"), F.round("joins_at", 9).alias("joins_at"), "component")
+
+
+@register("density_hierarchy")
+def q_density_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
+    """ML-7 + ML-8: the density hierarchy of the reduced embeddings, clusters of 10 to 200 rows, outliers −1."""
+    feats, _ = tp.reduce_dimensions(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", k=10)
+    feats = feats.select("vec_id", vector_to_array("features").alias("features"))
+    return density.density_hierarchy(feats, "vec_id", "features", min_size=10, max_size=200, min_samples=5)
+
+
 @register("map_2d")
 def q_map_2d(spark: SparkSession, sf: str) -> DataFrame:
     """ML-11: 2-D coordinates joined to topics by key."""
