@@ -154,6 +154,28 @@ def q_file_ingest_errors(spark: SparkSession, sf: str) -> DataFrame:
     return malformed_lines(spark, f"{_landed_files(spark, sf)}/batches", "*.txt.gz").select("value")
 
 
+@register(
+    "split_ingest",
+    """SELECT CAST(row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) - 1 AS BIGINT) AS pos, event_id, user_id, event_type, value
+FROM events""",
+)
+def q_split_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-1/2: four large envelopes, each one JSON document over many lines, read by byte ranges."""
+    from skein.sources.readers import read_payload_records
+
+    root = _scratch(spark, "envelopes")
+    ev = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    part = (F.col("event_id") % 4).alias("part")
+    rows = ev.select(part, F.col("event_id").alias("at"), F.concat(F.lit(", "), F.to_json(F.struct(*ev.columns))).alias("value"))
+    ends = ev.select(part).distinct()
+    head = ends.select("part", F.lit(-1).cast("bigint").alias("at"), F.lit('{"error": null, "results": [17').alias("value"))
+    foot = ends.select("part", F.lit((1 << 62)).alias("at"), F.lit("]}").alias("value"))
+    lines = rows.unionByName(head).unionByName(foot).repartition("part").sortWithinPartitions("part", "at")
+    lines.select("part", "value").write.partitionBy("part").text(root)
+    found = read_payload_records(spark, root, _EV_RECORD, "*.txt", split_bytes=1)
+    return found.select("pos", "event_id", "user_id", "event_type", "value")
+
+
 def _landed_files(spark: SparkSession, sf: str) -> str:
     root = _scratch(spark, "files")
     ev = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")

@@ -25,12 +25,17 @@ FAIL, SKIP = "fail", "skip"  # what a reader does with malformed JSON
 
 
 def json_state(text: Column) -> Column:
-    """'blank', 'malformed', 'object' or 'other' (valid JSON that is no object)."""
-    kind = F.schema_of_variant(F.try_parse_json(text))
+    """'blank', 'malformed', 'object' or 'other' (valid JSON that is no object).
+
+    A parser stops behind the first value, so the text is parsed as a value
+    inside a list and an object, where anything behind it is an error.
+    """
+    bare = F.rtrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\s\x{FEFF}]+", ""), F.lit(" \t\r\n"))
+    sound = F.try_parse_json(F.concat(F.lit('[{"x":'), bare, F.lit("}]"))).isNotNull()
     return (
-        F.when(F.coalesce(text, F.lit("")).rlike(r"^[\s\x{FEFF}]*$"), "blank")
-        .when(kind.isNull(), "malformed")
-        .when(kind.startswith("OBJECT"), "object")
+        F.when(bare == "", "blank")
+        .when(~sound | (bare.startswith("{") != bare.endswith("}")), "malformed")
+        .when(bare.startswith("{"), "object")
         .otherwise("other")
     )
 
@@ -80,14 +85,46 @@ def records_from_payload(
     )
 
 
-def read_json_payloads(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
-    """Whole-file text scan: one row per file (fine at ≤ 100,000 records per file)."""
-    return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", pattern)
-        .text(path)
-        .select(F.col("value").alias("payload"), F.col("_metadata.file_name").alias("source_file"))  # PRJ-7 lineage
-    )
+def read_json_payloads(spark: SparkSession, path: str, pattern: str = "*.json", below_bytes: int | None = None) -> DataFrame:
+    """Whole-file text scan: one row per file, of the files below ``below_bytes`` where that is given."""
+    rows = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
+    if below_bytes is not None:
+        rows = rows.where(F.col("_metadata.file_size") < below_bytes)  # prunes files, none of the others is opened
+    payload = F.regexp_replace("value", r"^\x{FEFF}", "")  # a byte order mark, as line readers drop it too
+    return rows.select(payload.alias("payload"), F.col("_metadata.file_name").alias("source_file"))  # PRJ-7 lineage
+
+
+def read_payload_records(
+    spark: SparkSession,
+    path: str,
+    record: T.StructType,
+    pattern: str = "*.json",
+    keys: Sequence[str] = ("results", "comments", "data"),
+    single_object: bool = True,
+    on_malformed: str = FAIL,
+    split_bytes: int | None = None,
+) -> DataFrame:
+    """SRC-1/2: (source_file, pos, record columns) of JSON payload files of any size.
+
+    Files below ``split_bytes`` (default: ``split_json.LEAST_BYTES``) are read
+    whole, one task each; larger ones by byte ranges (see ``split_json``), with
+    the same rows and errors.
+    """
+    from skein.sources import split_json
+
+    least = split_json.LEAST_BYTES if split_bytes is None else split_bytes
+    payloads = read_json_payloads(spark, path, pattern, least)
+    rows = explode_records(payloads, "payload", record, keys, single_object, on_malformed)
+    if not _has_files(spark, path, pattern, least):
+        return rows
+    large = split_json.read_split_payloads(spark, path, record, pattern, keys, single_object, on_malformed, least)
+    return rows.unionByName(large)
+
+
+def _has_files(spark: SparkSession, path: str, pattern: str, least_bytes: int) -> bool:
+    """Whether a file of ``least_bytes`` or more is there; only names and sizes are read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return not files.where(F.col("length") >= least_bytes).select("path").isEmpty()
 
 
 def explode_records(
@@ -131,12 +168,13 @@ def read_parent_envelopes(
     pattern: str = "*.json",
     schema: T.StructType = PARENT_SCHEMA,
     on_malformed: str = FAIL,
+    split_bytes: int | None = None,
 ) -> DataFrame:
     """SRC-1: parent envelopes → one row per record of ``results`` with ``source_file``/``pos``;
     files without results are skipped; a bare list is accepted too (D-1); ids normalised,
-    hashtags a list whether the record has a list or text."""
-    payloads = read_json_payloads(spark, path, pattern)
-    rows = explode_records(payloads, "payload", schema, ("results",), False, on_malformed)
+    hashtags a list whether the record has a list or text.  Files of ``split_bytes`` and more
+    are read by many tasks (see ``read_payload_records``)."""
+    rows = read_payload_records(spark, path, schema, pattern, ("results",), False, on_malformed, split_bytes)
     return normalize_id_columns(_tags_as_array(rows))
 
 
@@ -177,6 +215,7 @@ def read_child_batches(
     jsonl_pattern: str = "*.jsonl",
     json_pattern: str | None = "*.json",
     on_malformed: str = FAIL,
+    split_bytes: int | None = None,
 ) -> DataFrame:
     """SRC-3: JSONL batches then JSON batches (lists or envelopes), ids normalised.
 
@@ -186,8 +225,7 @@ def read_child_batches(
     jsonl = read_jsonl(spark, path, schema, jsonl_pattern, on_malformed).withColumn("file_kind", F.lit(0))
     if json_pattern is None:
         return normalize_id_columns(jsonl)
-    payloads = read_json_payloads(spark, path, json_pattern)
-    js = explode_records(payloads, "payload", schema, on_malformed=on_malformed)
+    js = read_payload_records(spark, path, schema, json_pattern, on_malformed=on_malformed, split_bytes=split_bytes)
     js = _tags_as_array(js).withColumn("file_kind", F.lit(1)).withColumn("pos_block", F.lit(0).cast("bigint"))
     both = jsonl.unionByName(js, allowMissingColumns=True)  # SET-1 union of differing columns
     return normalize_id_columns(both)

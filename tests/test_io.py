@@ -48,6 +48,17 @@ def test_child_batches(spark, tmpdir_path):
     assert [r.source_file for r in bad.collect()] == ["z.json"]
 
 
+def test_json_states(spark):
+    cases = {
+        "": "blank", " \t\ufeff\n": "blank", None: "blank", "{}": "object", ' {"a": [1, "}"]} \n': "object", "\ufeff{}": "object",
+        "[1, {}]": "other", "12": "other", '"x"': "other", "null": "other", "{": "malformed", "{} x": "malformed", "{}}": "malformed",
+        "{}]": "malformed", "{}]}": "malformed", "{}, {}": "malformed", "1, 2": "malformed", "[1]]": "malformed", '"a": 1': "malformed",
+        "no": "malformed", '{"a": 1': "malformed", "[1": "malformed", "{}{}": "malformed",
+    }
+    found = spark.createDataFrame([(c,) for c in cases], "v string").select("v", rd.json_state(F.col("v")).alias("s")).collect()
+    assert {r.v: r.s for r in found} == cases
+
+
 def test_hashtags_as_list_and_text(spark, tmpdir_path):
     tags = [["a", "#b"], "a, #b", "['a', None, \"#b\"]", None, "[\"don't\", 'x']", "[odd", []]
     _write(tmpdir_path, "a.json", json.dumps({"results": [{"id": str(i), "hashtag_names": t} for i, t in enumerate(tags)]}))
