@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.session import ensure_checkpoint_dir, ship_package
 
@@ -129,3 +130,28 @@ def map_texts(
     inputs = docs.select(F.col(id_col).alias("c0"), F.col(text_col).alias("c1"), *kept)
     out = inputs.mapInArrow(run, f"{own}, {schema}")
     return out.select(F.col("c0").alias(id_col), *(F.col(f"k{i}").alias(k) for i, k in enumerate(keep)), *names)
+
+
+def map_rows(
+    docs: DataFrame, make_worker: Callable[[], Worker], schema: str, text_col: str, chars: int = SLICE_CHARS
+) -> DataFrame:
+    """(row, found): every row of ``docs`` as a struct, with the worker's columns for its text as another.
+
+    As ``map_texts``, for operators that hand whole rows on: columns travel by
+    position, so those of ``docs`` may have any names.
+    """
+    prepare(docs.sparkSession)
+    place, found = docs.columns.index(text_col), T.StructType.fromDDL(schema)
+    own = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)]
+    made = [T.StructField(f"r{i}", f.dataType) for i, f in enumerate(found)]
+    names = [f.name for f in own + made]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker = make_worker()
+        for batch in batches:
+            for rows, texts in text_slices(batch, chars, place):
+                yield pa.RecordBatch.from_arrays([*rows.columns, *worker(texts)], names=names)
+
+    out = docs.toDF(*(f.name for f in own)).mapInArrow(run, T.StructType(own + made))
+    row = F.struct(*(F.col(f.name).alias(c) for f, c in zip(own, docs.columns)))
+    return out.select(row.alias("row"), F.struct(*(F.col(f"r{i}").alias(f.name) for i, f in enumerate(found))).alias("found"))

@@ -124,12 +124,15 @@ def mixed(
     cells = write_shared(rows.groupBy(*MARGINALS).agg(F.sum("tokens").alias("tokens")), "cells")
     targets = {column: smoothed(cells, column, powers[column]) for column in MARGINALS}
     chosen = write_shared(probabilities(rake(cells, targets, rounds), budget).select(*MARGINALS, "p"), "cells")
-    side = chosen.select(*(F.col(c).alias(f"__{c}") for c in MARGINALS), "p")
+    apart = "_"  # before the cells' names, so that no column of ``docs`` begins with it
+    while any(c.lower().startswith(apart) for c in docs.columns):
+        apart += "_"
+    side = chosen.select(*(F.col(c).alias(f"{apart}{c}") for c in MARGINALS), "p")
     same = F.lit(True)
     for c in MARGINALS:
-        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+        same = same & F.col(c).eqNullSafe(F.col(f"{apart}{c}"))
     joined = rows.join(F.broadcast(side) if side.count() <= BROADCAST_CELLS else side, same)
-    joined = joined.drop(*(f"__{c}" for c in MARGINALS))
+    joined = joined.drop(*(f"{apart}{c}" for c in MARGINALS))
     return joined.withColumn("kept", F.coalesce(draw(id_col) < F.col("p"), F.lit(False)))
 
 

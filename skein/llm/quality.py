@@ -11,7 +11,7 @@ nearest neighbours vote with their similarity as weight.
 from __future__ import annotations
 
 import operator
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import Worker, map_texts
+from skein.llm.common import Worker, map_rows, map_texts
 from skein.llm.features import held_out, labelled_sample
 
 SAMPLE_ROWS = 4_000  # labelled documents that are learnt from, half of each label
@@ -76,20 +76,27 @@ class Model:
     prior: float  # share of label 1 among all labelled rows outside the held-out fold
 
     def project(self, counts: np.ndarray) -> np.ndarray:
-        """Latent vectors of length 1 (0 for texts without terms)."""
+        """Latent vectors of length 1 (0 for texts without terms), in doubles."""
+        counts = counts.astype(np.float64)
         tf = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1)) * self.weights
-        latent = tf @ self.basis
+        latent = tf @ self.basis.astype(np.float64)
         return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
-        """Share of label 1 in the neighbours' votes, each weighted by its similarity."""
+        """Share of label 1 in the neighbours' votes, each weighted by its similarity.
+
+        Similarities count to nine digits and ties go to the vector that comes
+        first, so a text's score does not depend on the texts beside it.
+        """
         if not len(self.labels):
             return np.full(len(counts), self.prior)
-        similar = self.project(counts) @ self.vectors.T
-        k = min(NEIGHBOURS, similar.shape[1])
-        near = np.argpartition(-similar, k - 1, axis=1)[:, :k]
+        similar = np.round(self.project(counts) @ self.vectors.T.astype(np.float64), 9)
+        n = similar.shape[1]
+        k = min(NEIGHBOURS, n)
+        order = np.round(similar * 1e9).astype(np.int64) * n - np.arange(n)  # no two are equal
+        near = np.sort(np.argpartition(-order, k - 1, axis=1)[:, :k], axis=1)
         # similarities of near texts all lie close to 1; the power spreads them
-        votes = np.maximum(np.take_along_axis(similar, near, 1), 0).astype(np.float64) ** 16
+        votes = np.maximum(np.take_along_axis(similar, near, 1), 0) ** 16
         total = votes.sum(1)
         return np.where(total > 1e-12, (votes * self.labels[near]).sum(1) / np.maximum(total, 1e-12), self.prior)
 
@@ -127,38 +134,45 @@ def fit(
     return model
 
 
-def score(
-    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()
-) -> DataFrame:
-    """Per row of ``docs``: (id, ``keep``, score), the whole text scored against every labelled vector.
-
-    A null or empty text has no terms, hence the prior as its score; repeated
-    rows and null ids give one row each; an empty table gives no row; other
-    columns are not read.  No shuffle; the model (at most ``SAMPLE_ROWS``
-    vectors and the basis) is broadcast.
-    """
+def _scorer(docs: DataFrame, model: Model) -> Callable[[], Worker]:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def worker() -> Worker:
         own = shared.value
 
         def run(texts: list[str]) -> list[pa.Array]:
-            blocks = [texts[i : i + BLOCK] for i in range(0, len(texts), BLOCK)]
-            scores = [own.scores(np.stack([terms(t) for t in block])) for block in blocks]
+            counts, scores = np.zeros((BLOCK, TERMS), np.float32), []
+            for i in range(0, len(texts), BLOCK):  # blocks of one shape, the last one filled up
+                block = texts[i : i + BLOCK]
+                counts[: len(block)] = [terms(t) for t in block]
+                scores.append(own.scores(counts)[: len(block)])
             return [pa.array(np.concatenate(scores), pa.float64())]
 
         return run
 
-    return map_texts(docs, worker, "score double", id_col, text_col, keep)
+    return worker
+
+
+def score(
+    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()
+) -> DataFrame:
+    """Per row of ``docs``: (id, ``keep``, score), the whole text scored against every labelled vector.
+
+    A null or empty text has no terms, hence the prior as its score; repeated
+    rows and null ids give one row each; an empty table gives no row; other
+    columns are not read.  No shuffle; the model (at most ``SAMPLE_ROWS``
+    vectors and the basis) is broadcast.
+    """
+    return map_texts(docs, _scorer(docs, model), "score double", id_col, text_col, keep)
 
 
 ACCEPT = 0.7
 
 
-def accepted(docs: DataFrame, model: Model, least: float = ACCEPT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose score is ``least`` or more."""
-    others = [c for c in docs.columns if c != id_col]
-    return score(docs, model, id_col, text_col, keep=others).where(F.col("score") >= least).select(*docs.columns)
+def accepted(docs: DataFrame, model: Model, least: float = ACCEPT, text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose score is ``least`` or more; their columns pass through, whatever their names."""
+    scored = map_rows(docs, _scorer(docs, model), "score double", text_col)
+    return scored.where(F.col("found.score") >= least).select("row.*")
 
 
 def op10_query(docs: DataFrame, labels: DataFrame) -> DataFrame:

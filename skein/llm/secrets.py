@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import Worker, map_texts
+from skein.llm.common import Worker, map_rows, map_texts
 
 # Kinds in order, their patterns, and the strings they start with (lower case).
 KINDS = ("assign", "access", "hex", "crc_token", "extended_key")
@@ -122,6 +122,21 @@ def redact(text: str, spans: list[tuple[int, int, str]], mark: str = "[SECRET]")
     return "".join([*out, text[at:]]) if out else text
 
 
+_FOUND = "spans array<struct<kind:string,start:bigint,end:bigint>>, redacted string"
+
+
+def _scanner() -> Worker:
+    span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+
+    def run(texts: list[str]) -> list[pa.Array]:
+        found = [find(t) for t in texts]
+        spans = [[{"kind": k, "start": a, "end": b} for a, b, k in own] for own in found]
+        clean = [redact(t, own) if own else None for t, own in zip(texts, found)]
+        return [pa.array(spans, pa.list_(span)), pa.array(clean, pa.string())]
+
+    return run
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """Per row of ``docs``: (id, ``keep``, spans array<struct<kind, start, end>>, redacted text).
 
@@ -130,32 +145,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     other columns are not read.  No shuffle, whole texts, memory bounded by the
     Arrow batch.
     """
-    span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+    return map_texts(docs, lambda: _scanner(), _FOUND, id_col, text_col, keep)
+
 
-    def worker() -> Worker:
-        def run(texts: list[str]) -> list[pa.Array]:
-            found = [find(t) for t in texts]
-            spans = [[{"kind": k, "start": a, "end": b} for a, b, k in own] for own in found]
-            clean = [redact(t, own) if own else None for t, own in zip(texts, found)]
-            return [pa.array(spans, pa.list_(span)), pa.array(clean, pa.string())]
-
-        return run
-
-    schema = "spans array<struct<kind:string,start:bigint,end:bigint>>, redacted string"
-    return map_texts(docs, worker, schema, id_col, text_col, keep)
-
-
-def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """``docs`` with a mark in place of every secret, and the length column recomputed where that changed a text."""
-    others = [c for c in docs.columns if c != id_col]
-    found = scan(docs, id_col, text_col, keep=others)
-    changed = F.col("redacted").isNotNull()
-    return found.withColumns(
-        {
-            length_col: F.when(changed, F.length("redacted").cast("long")).otherwise(F.col(length_col)),
-            text_col: F.coalesce("redacted", text_col),
-        }
-    ).select(*docs.columns)
+def redacted(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with a mark in place of every secret, and the length column, if any, recomputed where that changed a text.
+
+    All other columns pass through, whatever their names.
+    """
+    clean = F.col("found.redacted")
+    new = {text_col: clean, length_col: F.length(clean).cast("long")}
+    done = map_rows(docs, lambda: _scanner(), _FOUND, text_col)
+    return done.select(*(F.coalesce(new[c], f"row.{c}").alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 BASE_KINDS = KINDS[:3]

@@ -449,3 +449,62 @@ def test_run_equals_the_stages_one_after_the_other(spark):
     got = corpus_pipeline.run(spark, SF001)
     assert got.columns == docs.columns
     assert sorted(r["ids_sha256"] for r in got.collect()) == sorted(r["ids_sha256"] for r in docs.collect())
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, redacted int, topic string, _source string, __source string, ids int, row string, found int, key string, body string, c0 string, r0 int"
+
+
+def clashing_rows():
+    """Documents with columns that bear names of results and internal columns, repeated rows, null ids, awkward texts."""
+    rng = random.Random(12)
+    prose = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(2, 7) for _ in range(n))
+    texts = [prose(60) for _ in range(20)] + [f"{prose(20)} password = hunter{'2' * 9} end"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(i, t) for i, t in rows[:12]] + rows[:3]  # repeated rows
+    rows += [(None, texts[4]), (None, texts[4]), (None, prose(50)), (50, None), (50, None), (51, ""), (None, None)]
+    rows += [(60, rows[7][1] + " end"), (61, "x " * 30_000), (62, "x " * 30_000)]
+    lone = prose(55)
+    rows += [(None, lone), (None, lone), (None, lone + " more")]
+    return [(i, t, "en", f"s{n % 3}", len(t or ""), 0.5, "s", 1, "t", "u", "v", 2, "w", 3, "k", "b", "c", 4) for n, (i, t) in enumerate(rows)]
+
+
+def test_stages_pass_clashing_columns_and_collapse_repeated_rows(spark):
+    rows = clashing_rows()
+    docs = spark.createDataFrame(rows, CLASHING)
+    from skein.llm import quality, secrets
+
+    def values(df):
+        assert df.columns == docs.columns
+        return Counter(tuple(r) for r in df.collect())
+
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    assert values(quality.accepted(docs, model, 0.0)) == Counter(rows)
+    kept = jaccard_join.representatives(docs)
+    got = values(kept)
+    # all repeats are gone, null ids among them; near copies go to the smaller id, a null one last
+    assert max(Counter((r[0], r[1]) for r in got.elements()).values()) == 1
+    texts = Counter(r[1] for r in got.elements())
+    assert texts[rows[4][1]] == 1 and {r[0] for r in got.elements() if r[1] == rows[4][1]} == {4}
+    ids = {r[0] for r in got.elements()}
+    assert ids == {*range(21), 50, 51, 61, None}
+    nameless = sorted(len((r[1] or "").split()) for r in got.elements() if r[0] is None)
+    assert nameless in ([0, 50, 55], [0, 50, 56])  # of near copies without ids either stays
+    clean = secrets.redacted(kept)
+    changed = {r[0]: r for r in values(clean).elements()}
+    assert "hunter" not in changed[20][1] and changed[20][4] == len(changed[20][1])
+    assert sum(r[1] == changed[r[0]][1] for r in got.elements() if r[0] is not None) == len(ids) - 2
+    mixed = mixing.mixed(clean, mixing.POWERS, mixing.BUDGET)
+    assert set(docs.columns) <= set(mixed.columns) and mixed.count() == sum(got.values())
+    empty = docs.limit(0)
+    assert jaccard_join.representatives(empty).collect() == secrets.redacted(empty).collect() == []
+
+
+def test_pipeline_of_an_empty_table_and_of_null_ids(spark, tmp_path):
+    for name, rows in (("empty", []), ("odd", clashing_rows())):
+        folder = tmp_path / name
+        spark.createDataFrame(rows, CLASHING).write.parquet(f"{folder}/documents.parquet")
+        labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+        labels.where("true" if rows else "false").write.parquet(f"{folder}/labels.parquet")
+        got = corpus_pipeline.run(spark, str(folder))
+        assert "n_tokens" in got.columns and (got.count() > 0) == bool(rows)

@@ -263,3 +263,24 @@ def test_offending_sentences_are_located(spark):
     for r in toxicity.score(docs, toxicity.fit(docs, labels)).join(docs, "doc_id").collect():
         found = [r["text"][s["start"] : s["end"]] for s in r["offending"]]
         assert len(found) == r["doc_id"] % 2 and all("vexling" in f for f in found)
+
+
+def test_quality_scores_equal_a_plain_vote(spark):
+    """Every score against doubles and a sort over all labelled vectors, text by text, however the rows are dealt."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{SF001}/labels.parquet"))
+    vectors = model.vectors.astype(np.float64)
+
+    def plain(text):
+        counts = quality.terms(text or "").astype(np.float64)
+        latent = (np.sqrt(counts / max(counts.sum(), 1)) * model.weights) @ model.basis.astype(np.float64)
+        similar = np.round(vectors @ (latent / max(np.linalg.norm(latent), 1e-12)), 9)
+        near = sorted(range(len(similar)), key=lambda i: (-similar[i], i))[: quality.NEIGHBOURS]
+        votes = [max(similar[i], 0.0) ** 16 for i in near]
+        return sum(v * model.labels[i] for v, i in zip(votes, near)) / sum(votes) if sum(votes) > 1e-12 else model.prior
+
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    first = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    again = {r["doc_id"]: r["score"] for r in quality.score(docs.repartition(7), model).collect()}
+    assert first == again
+    assert all(abs(first[i] - plain(t)) < 1e-6 for i, t in rows.items())
