@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from skein.session import ensure_checkpoint_dir, ship_package
 
-BATCH_BYTES = 8 << 20  # text bytes per Arrow batch sent to a Python worker
-SLICE_CHARS = 2_000_000  # characters that a worker handles at a time
+BATCH_BYTES = 4 << 20  # text bytes per Arrow batch sent to a Python worker
+SLICE_CHARS = 1_000_000  # characters that a worker handles at a time
 
 
 def prepare(spark: SparkSession) -> None:
@@ -125,6 +125,7 @@ def map_texts(
             for rows, texts in text_slices(batch, chars):
                 columns = [rows.column(0), *rows.columns[2:], *worker(texts)]
                 yield pa.RecordBatch.from_arrays(columns, names=["c0", *(f"k{i}" for i in range(len(keep))), *names])
+            pa.default_memory_pool().release_unused()  # else a worker holds on to its largest batch
 
     kept = [F.col(k).alias(f"k{i}") for i, k in enumerate(keep)]
     inputs = docs.select(F.col(id_col).alias("c0"), F.col(text_col).alias("c1"), *kept)
@@ -151,6 +152,7 @@ def map_rows(
         for batch in batches:
             for rows, texts in text_slices(batch, chars, place):
                 yield pa.RecordBatch.from_arrays([*rows.columns, *worker(texts)], names=names)
+            pa.default_memory_pool().release_unused()
 
     out = docs.toDF(*(f.name for f in own)).mapInArrow(run, T.StructType(own + made))
     row = F.struct(*(F.col(f.name).alias(c) for f, c in zip(own, docs.columns)))

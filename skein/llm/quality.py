@@ -130,7 +130,8 @@ def fit(
     basis = np.zeros((TERMS, len(top)), np.float32)
     basis[used] = vectors[:, top]
     model = Model(idf, basis, np.zeros((0, len(top)), np.float32), y, prior)
-    model.vectors = model.project(counts).astype(np.float32)
+    parts = [model.project(counts[i : i + BLOCK]) for i in range(0, len(counts), BLOCK)]
+    model.vectors = np.concatenate(parts).astype(np.float32)
     return model
 
 
