@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from skein.catalog import register
 from skein.session import ensure_checkpoint_dir, table
+from skein.streaming import committed as sc
 from skein.streaming import ingest as si
 
 
@@ -57,6 +58,36 @@ def q_stream_daily_counts(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out")
 
 
+def _taken_in(spark: SparkSession, sf: str, name: str) -> str:
+    """Root of the tables that four micro-batches, the last two a full replay, have been committed to."""
+    root = _scratch(spark, name)
+    ev = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    for i in range(4):
+        ev.where(F.col("event_id") % 2 == i % 2).coalesce(1).write.parquet(f"{root}/landing/batch={i}")
+    schema = ev.schema
+    stream = si.read_table_stream(spark, f"{root}/landing", schema, max_files=1)
+    take = sc.take_in(f"{root}/table", ["event_id"], "ts", ["event_type"])
+    si.run_available_now(stream.select(*schema.names), "", f"{root}/ckpt", foreach_batch=take)
+    return f"{root}/table"
+
+
+@register("stream_keyed_ingest", "SELECT event_id, user_id, event_type, value FROM events")
+def q_stream_keyed_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """STR-2 without stream state: replays are dropped against the committed keys of their buckets."""
+    found = sc.read_rows(spark, _taken_in(spark, sf, "keyed"))
+    return found.select("event_id", "user_id", "event_type", "value")
+
+
+@register(
+    "stream_daily_merge",
+    "SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
+)
+def q_stream_daily_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """STR-5 without rewriting the table: each batch merges its counts into the days it touches."""
+    found = sc.read_daily(spark, _taken_in(spark, sf, "merged"))
+    return found.select(F.col("day").cast("string").alias("day"), "event_type", "n")
+
+
 @register(
     "stream_latest_status",
     """
