@@ -9,6 +9,7 @@ import re
 import struct
 import unicodedata
 
+import numpy as np
 import regex
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -168,9 +169,24 @@ class ByteBpe:
             offer(i)
         return [p for p in parts if p >= 0]
 
+    @functools.cached_property
+    def _flat_bytes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first place, length, bytes) of all tokens, one after the other by id."""
+        tokens = [self.token_bytes.get(i, b"") for i in range(max(self.token_bytes) + 1)]
+        length = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        return np.cumsum(length) - length, length, np.frombuffer(b"".join(tokens), "u1")
+
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        """The tokens' bytes, one after the other."""
+        start, length, flat = self._flat_bytes
+        size = length[ids]
+        end = np.cumsum(size)
+        place = np.arange(end[-1] if len(end) else 0) + np.repeat(start[ids] + size - end, size)
+        return flat[place].tobytes()
+
     def decode(self, ids: list[int]) -> str:
         """Text of ``ids``; bytes that aren't UTF-8 become U+FFFD."""
-        return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
+        return self.bytes_of(np.asarray(ids, np.int64)).decode("utf-8", "replace")
 
 
 @functools.lru_cache(maxsize=4096)

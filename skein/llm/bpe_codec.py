@@ -29,6 +29,7 @@ from skein.llm.common import Worker, least_count, map_texts, prepare, text_slice
 LEXICON_WORDS = 65_536  # words compiled into the transducer
 LEXICON_WORD_BYTES = 64  # longer words are merged when they occur
 COUNT_CHARS = 4_000_000  # characters whose words are counted before they are handed on
+ENCODE_CHARS = 2_000_000  # characters that are encoded at a time; new pieces are merged once among them
 MEMO_PIECES = 600_000  # pieces whose ids a worker remembers
 
 
@@ -118,9 +119,11 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [[(self.bpe.chunks(t), special) for t, special in self.bpe.segments(text)] for text in texts]
         new = {p for own in cut for pieces, _ in own for p in pieces[1:]}
-        if len(self._pieces) + len(new.difference(self._pieces)) > MEMO_PIECES:
+        unknown = new.difference(self._pieces)
+        if len(self._pieces) + len(unknown) > MEMO_PIECES:
             self._pieces.clear()
-        self._learn(new.difference(self._pieces))
+            unknown = new
+        self._learn(unknown)
         out = []
         for own in cut:
             parts = []
@@ -159,14 +162,16 @@ def encode(
 
     def worker() -> Worker:
         own = _encoder(bpe.vocabulary_path(vocabulary), SparkFiles.get(lexicon))
-        token_bytes = own.bpe.token_bytes
 
         def run(texts: list[str]) -> list[pa.Array]:
             rows = []
             for data in own.encode(texts):
                 numbers = np.frombuffer(data, "<u4")
-                decoded = b"".join(map(token_bytes.__getitem__, numbers.tolist())).decode("utf-8", "replace")
-                digests = (hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+                raw = own.bpe.bytes_of(numbers)
+                decoded = raw.decode("utf-8", "replace")
+                if "\ufffd" in decoded:  # bytes that were no UTF-8, or that character itself
+                    raw = decoded.encode()
+                digests = (hashlib.sha256(data).hexdigest(), hashlib.sha256(raw).hexdigest())
                 kept = (None, None) if digests_only else (numbers.astype(np.int32), decoded)
                 rows.append((len(numbers), *kept, *digests))
             kinds = (pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.string())
@@ -175,7 +180,7 @@ def encode(
         return run
 
     schema = "n_tokens bigint, ids array<int>, decoded string, ids_sha256 string, decoded_sha256 string"
-    return map_texts(docs, worker, schema, id_col, text_col, keep)
+    return map_texts(docs, worker, schema, id_col, text_col, keep, chars=ENCODE_CHARS)
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
