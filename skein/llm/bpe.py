@@ -141,6 +141,86 @@ class ByteBpe:
                 ranks[i - 1] = rank((parts[i - 1], parts[i]), NEVER)
         return parts
 
+    @functools.cached_property
+    def _made(self) -> np.ndarray:
+        return np.array(self.made, np.int64)
+
+    @functools.cached_property
+    def _byte_id(self) -> np.ndarray:
+        return np.array(self.byte_id, np.int64)
+
+    @functools.cached_property
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys of the pairs that merge in ascending order, their ranks, ranks of the pairs of bytes).
+
+        A rank of ``len(made)`` means that the pair is not merged.
+        """
+        pairs = np.array(list(self.rank), np.int64).reshape(-1, 2)
+        key = pairs[:, 0] << 32 | pairs[:, 1]
+        order = np.argsort(key)
+        keys, ranks = key[order], np.fromiter(self.rank.values(), np.int32, len(key))[order]
+        first = np.repeat(self._byte_id, 256) << 32 | np.tile(self._byte_id, 256)
+        return keys, ranks, self._ranks(keys, ranks, first)
+
+    def _ranks(self, keys: np.ndarray, ranks: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.full(len(wanted), len(self.made), np.int32)
+        place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[place] == wanted, ranks[place], np.int32(len(self.made)))
+
+    def merge_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token as ``pack`` gives them: ``merge_word`` for many at once.
+
+        All words step together: a round looks up the lowest-ranked pair of every
+        word (the leftmost of equal ones) and merges it; words without such a pair
+        leave.  Words of more than ``LONG`` bytes go one by one.
+        """
+        out = [b""] * len(words)
+        own = []
+        for i, word in enumerate(words):
+            if len(word) > self.LONG:
+                out[i] = pack(self.merge_word(word))
+            elif word:
+                own.append(i)
+        keys, ranks, byte_ranks = self._pairs
+        never, made = len(self.made), self._made
+        raw = np.frombuffer(b"".join([words[i] for i in own]), "u1").astype(np.int64)
+        size = np.fromiter((len(words[i]) for i in own), np.int64, len(own))
+        word = np.array(own, np.int64)
+        parts = self._byte_id[raw]
+        last = np.cumsum(size) - 1
+        # rank of each part with the next one of its word
+        rank = np.full(len(parts), never, np.int32)
+        rank[:-1] = byte_ranks[raw[:-1] << 8 | raw[1:]]
+        rank[last] = never
+        while len(word):
+            start = np.cumsum(size) - size
+            lowest = np.minimum.reduceat(rank, start)
+            open_ = lowest < never
+            if not open_.all():  # hand out the words that are done
+                inside = np.repeat(open_, size)
+                data, at = parts[~inside].astype("<u4").tobytes(), 0
+                for i, n in zip(word[~open_].tolist(), (4 * size[~open_]).tolist()):
+                    out[i] = data[at : at + n]
+                    at += n
+                parts, rank, word, size, lowest = parts[inside], rank[inside], word[open_], size[open_], lowest[open_]
+                if not len(word):
+                    break
+                start = np.cumsum(size) - size
+            hits = np.flatnonzero(rank == np.repeat(lowest, size))
+            left = hits[np.searchsorted(hits, start)]  # the first hit of each word
+            parts[left] = made[lowest]
+            keep = np.ones(len(parts), bool)
+            keep[left + 1] = False
+            rank[left] = rank[left + 1]  # never, where the pair ended its word
+            parts, rank = parts[keep], rank[keep]
+            left = left - np.arange(len(left))  # one part fewer for every word before
+            size = size - 1
+            start = np.cumsum(size) - size
+            for at in (left[left + 1 < start + size], left[left > start] - 1):
+                rank[at] = self._ranks(keys, ranks, parts[at] << 32 | parts[at + 1])
+        return out
+
     def _merge_long(self, parts: list[int]) -> list[int]:
         """The same order of merges in O(n log n): a heap of pairs over a linked list."""
         n = len(parts)

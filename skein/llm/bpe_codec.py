@@ -30,7 +30,7 @@ LEXICON_WORDS = 65_536  # words compiled into the transducer
 LEXICON_WORD_BYTES = 64  # longer words are merged when they occur
 COUNT_CHARS = 4_000_000  # characters whose words are counted before they are handed on
 ENCODE_CHARS = 2_000_000  # characters that are encoded at a time; new pieces are merged once among them
-MEMO_PIECES = 600_000  # pieces whose ids a worker remembers
+MEMO_PIECES = 400_000  # pieces whose ids a task remembers
 
 
 def word_counts(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -91,29 +91,51 @@ _SHIPPED: dict[str, set[str]] = {}
 
 
 class Encoder:
-    """Encodes texts in a worker: remembered pieces, then the lexicon, then exact merges."""
+    """Encodes texts in a worker: remembered pieces, then the lexicon, then exact merges.
+
+    A task has its own, so what it remembers goes with it.
+    """
 
     def __init__(self, vocabulary: str, lexicon: str) -> None:
         self.bpe = bpe.load(vocabulary)
         self.lexicon = transducer.load(lexicon)
-        self._pieces: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {}  # a piece also stands for the pre-token of a space and the piece
+        self._words: dict[str, bytes] = {}  # pre-tokens without a space before them
 
     def _learn(self, new: set[str]) -> None:
         """Ids of new pieces (each stands for a space and the piece)."""
-        cut = [(piece, self.bpe.pretokens(" " + piece)) for piece in new]
         if len(self._words) > MEMO_PIECES:
             self._words.clear()
-        words = list({w for _, own in cut for w in own}.difference(self._words))
-        data = [w.encode() for w in words]
-        for word, raw, number in zip(words, data, self.lexicon.numbers(data).tolist()):
-            self._words[word] = self.lexicon.ids(number) if number >= 0 else bpe.pack(self.bpe.merge_word(raw))
-        ids = self._words
-        for piece, own in cut:
-            self._pieces[piece] = ids[own[0]] if len(own) == 1 else b"".join([ids[w] for w in own])
+        several = []  # pieces of more than one pre-token
+        unknown: set[str] = set()
+        for piece in new:
+            if piece.isascii() and piece.isalpha():
+                unknown.add(" " + piece)
+            elif len(own := self.bpe.pretokens(" " + piece)) == 1:
+                unknown.add(own[0])
+            else:
+                several.append((piece, own))
+                for w in own:
+                    if w[1:] not in self._pieces if w[0] == " " else w not in self._words:
+                        unknown.add(w)
+        words = list(unknown)
+        ids = self._merged([w.encode() for w in words])
+        for word, data in zip(words, ids):
+            if word[0] == " ":
+                self._pieces[word[1:]] = data
+            else:
+                self._words[word] = data
+        for piece, own in several:
+            self._pieces[piece] = b"".join([self._pieces[w[1:]] if w[0] == " " else self._words[w] for w in own])
+
+    def _merged(self, words: list[bytes]) -> list[bytes]:
+        """Ids of pre-tokens: from the lexicon, or merged where it lacks them."""
+        numbers = self.lexicon.numbers(words).tolist()
+        merged = iter(self.bpe.merge_words([w for w, number in zip(words, numbers) if number < 0]))
+        return [self.lexicon.ids(number) if number >= 0 else next(merged) for number in numbers]
 
     def _head(self, text: str) -> bytes:
-        return b"".join(bpe.pack(self.bpe.merge_word(w.encode())) for w in self.bpe.pretokens(text))
+        return b"".join([bpe.pack(self.bpe.merge_word(w.encode())) for w in self.bpe.pretokens(text)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -161,7 +183,7 @@ def encode(
     lexicon = ship(spark, frequent_words(docs, text_col, lexicon_words, vocabulary))
 
     def worker() -> Worker:
-        own = _encoder(bpe.vocabulary_path(vocabulary), SparkFiles.get(lexicon))
+        own = Encoder(bpe.vocabulary_path(vocabulary), SparkFiles.get(lexicon))
 
         def run(texts: list[str]) -> list[pa.Array]:
             rows = []
@@ -183,16 +205,5 @@ def encode(
     return map_texts(docs, worker, schema, id_col, text_col, keep, chars=ENCODE_CHARS)
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
-def _encoder(vocabulary: str, lexicon: str) -> Encoder:
-    """One encoder per worker process; a new lexicon replaces the last."""
-    if (vocabulary, lexicon) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[vocabulary, lexicon] = Encoder(vocabulary, lexicon)
-    return _ENCODERS[vocabulary, lexicon]
-
-
 def op9_query(docs: DataFrame) -> DataFrame:
     return encode(docs, digests_only=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -178,6 +178,27 @@ def test_long_words_merge_like_short_ones(library):
         assert own.merge_word(word.encode()) == ids_of(library, word)
 
 
+def test_words_merged_together_equal_words_merged_alone():
+    own = bpe.load(bpe.vocabulary_path())
+    rng = random.Random(2)
+    letters = "aaabbcdeeeehiilnooorsttu  \n.,019éß漢🙂"
+    lengths = (1, 2, 3, 5, 8, 13, 30, 64, 90)
+    words = [b"", b"a", b" ", *("".join(rng.choices(letters, k=rng.choice(lengths))).encode() for _ in range(4_000))]
+    assert own.merge_words(words) == [bpe.pack(own.merge_word(w)) for w in words]
+    assert own.merge_words([]) == [] and own.merge_words([b""]) == [b""]
+
+
+def test_encoder_forgets_and_learns_again(library, tmp_path, monkeypatch):
+    path = tmp_path / "lexicon.fst"
+    path.write_bytes(transducer.build([]))
+    own = bpe_codec.Encoder(bpe.vocabulary_path(), str(path))
+    monkeypatch.setattr(bpe_codec, "MEMO_PIECES", 3)
+    texts = ["one two, three", "two three. four\nfive, 'six'", "one, two seven\n\neight", ""]
+    for _ in range(2):
+        for text in texts:
+            assert own.encode([text]) == [bpe.pack(ids_of(library, text))]
+
+
 @pytest.mark.parametrize("lexicon_words", [1, 65_536])
 def test_codec_equals_the_library(spark, awkward, library, lexicon_words):
     got = by_id(bpe_codec.encode(awkward, lexicon_words=lexicon_words), "doc_id", "ids", "decoded", "ids_sha256", "decoded_sha256")
