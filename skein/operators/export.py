@@ -3,6 +3,7 @@ dense indices (WN-7), key → index lookup (JN-8) and validation (DQ-3 … DQ-7)
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -27,13 +28,25 @@ def date_counts(videos: DataFrame, comments: DataFrame) -> DataFrame:
     return both.filter(F.col("date").isNotNull()).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _totals(a: DataFrame, b: DataFrame) -> tuple[int, int]:
-    """Row totals of two narrow (…, n) tables in one job."""
-    row = a.agg(F.sum("n").alias("t")).select(F.lit(0).alias("k"), "t").unionByName(
-        b.agg(F.sum("n").alias("t")).select(F.lit(1).alias("k"), "t")
-    ).collect()
-    got = {r["k"]: int(r["t"] or 0) for r in row}
-    return got.get(0, 0), got.get(1, 0)
+def _date_links(videos: DataFrame, comments: DataFrame) -> DataFrame:
+    """(dates, date, n): children by their date and the sorted dates of their parent (null: no parent).
+
+    Survival of a row depends on dates alone, so this is all that the fixed point
+    reads of the children: with one date per parent at most days × days rows,
+    whatever the tables' size.  Children are counted per (parent, date) before
+    the one shuffle that meets their parents.
+    """
+    parents = videos.groupBy("id").agg(F.sort_array(F.collect_set("date")).alias("dates"))
+    children = comments.groupBy("video_id", "date").agg(F.count(F.lit(1)).alias("n"))
+    linked = children.join(parents.withColumnRenamed("id", "video_id"), "video_id", "left")
+    return linked.groupBy("dates", "date").agg(F.sum("n").alias("n"))
+
+
+def _living(links: DataFrame, dates: DataFrame) -> DataFrame:
+    """Links whose date, and one date at least of whose parent, is in ``dates``."""
+    own = links.join(dates, "date", "left_semi")
+    by_parent = own.withColumn("__parent", F.explode("dates")).join(dates.toDF("__parent"), "__parent", "left_semi")
+    return by_parent.groupBy("dates", "date").agg(F.max("n").alias("n"))
 
 
 def filter_sparse_dates(
@@ -44,34 +57,46 @@ def filter_sparse_dates(
     """SET-4: drop dates with fewer than ``min_entries`` rows over both tables, then children
     whose date or parent is gone; repeat until neither count changes.
 
-    The loop runs on narrow aggregates — parents as (id, date, n), children as
-    (video_id, date, n) — because survival depends on nothing else; the wide
-    tables are semi-joined once at the end.  Each pass is written
-    to the shared folder (lineage stays one pass long and survives executor
-    loss); the stop test compares two sums on the driver.
+    The wide tables are read once to count parents by date and children by
+    (parent's dates, date); both counts are written to the shared folder.  A pass
+    is one job over these small tables and neither writes nor reads rows again.
+    The loop's whole state is the set of living dates, one value per day of the
+    calendar on the driver.  At the end the wide tables are semi-joined once.
+    Null dates never live; a null parent key has no parent; a parent with rows on
+    several dates lives while one of them does.
     Returns (videos, comments, passes incl. the confirming one).
     """
-    vk = cut_lineage(videos.groupBy("id", "date").agg(F.count(F.lit(1)).alias("n")))
-    ck = cut_lineage(comments.groupBy("video_id", "date").agg(F.count(F.lit(1)).alias("n")))
-    nv, nc = _totals(vk, ck)
-    n_pass = 0
+    spark = videos.sparkSession
+    by_date = cut_lineage(videos.groupBy("date").agg(F.count(F.lit(1)).alias("n")))
+    links = cut_lineage(_date_links(videos, comments))
+    kind = by_date.select("date").schema
+
+    def counts(parents: DataFrame, children: DataFrame) -> list[tuple]:
+        """(children?, date, rows): two values per day at most."""
+        both = parents.select(F.lit(False).alias("child"), "date", "n").unionAll(children.select(F.lit(True), "date", "n"))
+        return both.groupBy("child", "date").agg(F.sum("n").alias("n")).collect()
+
+    def totals(rows: list[tuple]) -> tuple[int, int]:
+        return sum(n for child, _, n in rows if not child), sum(n for child, _, n in rows if child)
+
+    rows, n_pass = counts(by_date, links), 0
     while True:  # every pass but the last removes rows
         n_pass += 1
-        per_date = vk.select("date", "n").unionAll(ck.select("date", "n")).filter(F.col("date").isNotNull())
-        dates = per_date.groupBy("date").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_entries).select("date")
-        dates = F.broadcast(dates)  # days of the calendar
-        vk2 = vk.join(dates, "date", "left_semi")  # FLT-8 membership as semi joins
-        ck2 = ck.join(dates, "date", "left_semi").join(vk2.select(F.col("id").alias("video_id")), "video_id", "left_semi")
-        vk2, ck2 = cut_lineage(vk2), cut_lineage(ck2)
-        nv2, nc2 = _totals(vk2, ck2)
-        vk, ck = vk2, ck2
-        if nv2 == nv and nc2 == nc:
+        per_date: Counter = Counter()
+        for _, date, n in rows:
+            if date is not None:
+                per_date[date] += n
+        living = [(date,) for date, n in sorted(per_date.items()) if n >= min_entries]
+        dates = F.broadcast(spark.createDataFrame(living, kind))  # days of the calendar
+        left = counts(by_date.join(dates, "date", "left_semi"), _living(links, dates))
+        if totals(left) == totals(rows):
             break
-        nv, nc = nv2, nc2
-    keep_v = vk.select(F.col("id").alias("__id"), F.col("date").alias("__date"))
-    v_out = videos.join(keep_v, F.col("id").eqNullSafe(F.col("__id")) & (F.col("date") == F.col("__date")), "left_semi")
-    c_out = comments.join(ck.select("video_id", "date"), ["video_id", "date"], "left_semi")
-    return v_out, c_out, n_pass
+        rows = left
+    v_out = videos.join(dates, "date", "left_semi").select(*videos.columns)
+    c_out = comments.join(dates, "date", "left_semi").join(
+        v_out.select(F.col("id").alias("video_id")), "video_id", "left_semi"
+    )
+    return v_out, c_out.select(*comments.columns), n_pass
 
 
 def build_exports(
