@@ -477,12 +477,23 @@ def bh_fdr(df: DataFrame, p_col: str, partition_cols: Sequence[str], q_col: str
 # Kernel density
 # ---------------------------------------------------------------------------
 
+KDE_CELLS = 4  # cells per bandwidth
+KDE_ORDER = 10  # power sums kept per cell
+KDE_REACH = 39.0  # bandwidths from which a Gaussian kernel is 0 in doubles
+
+
 def kde_grid(df: DataFrame, value_col: str, grid: tuple[float, float, int] = KDE_GRID) -> DataFrame:
     """STAT-6: Gaussian KDE (Scott bandwidth, sample std) on an even grid: (idx, x, density).
 
-    Distinct values are counted first; each partition adds its values up into one
-    vector over the grid, and the vectors are summed.  The two scalars n and h
-    come from a one-row aggregate read on the driver.
+    One pass adds the values up in cells of a quarter bandwidth, each as the power
+    sums of the values' distances from its middle; partial sums leave every task
+    with one row per cell.  Expanding the kernel in these distances (Hermite
+    series) gives the density, so the kernels are evaluated per cell, not per
+    value.  With distances d of at most 1/8 and ten sums, the rest of a value's
+    series is below 1.1 · d¹⁰ / √10! / (1 − d), 1e-12 of its kernel's peak.
+    Cells reach 39 bandwidths beyond the grid (a kernel is 0 from there on), so
+    their number depends on the bandwidth alone.  n and h come from a one-row
+    aggregate read on the driver.
     Empty when n < 3 or the standard deviation is 0.
     """
     lo, hi, npts = grid
@@ -495,21 +506,32 @@ def kde_grid(df: DataFrame, value_col: str, grid: tuple[float, float, int] = KDE
         return spark.createDataFrame([], schema)
     n = int(stats["n"])
     h = float(stats["sd"]) * n ** -0.2
+    width, first = h / KDE_CELLS, lo - KDE_REACH * h
     grid_x = lo + step * np.arange(npts)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(npts)
         for batch in batches:
-            x, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for k in range(0, len(x), 2_000):
-                near = (grid_x[:, None] - x[None, k : k + 2_000]) / h
-                total += np.exp(-near * near / 2.0) @ c[k : k + 2_000].astype(np.float64)
+            cell, *sums = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1 + KDE_ORDER))
+            for k in range(0, len(cell), 2_000):
+                near = (grid_x[:, None] - (first + (cell[None, k : k + 2_000] + 0.5) * width)) / h
+                before, now = np.zeros_like(near), np.exp(-near * near / 2.0)  # Hermite polynomials times the kernel
+                for order, power_sum in enumerate(sums):
+                    total += now @ (power_sum[k : k + 2_000] / math.factorial(order))
+                    before, now = now, near * now - order * before
         arrays = [pa.array(np.arange(npts, dtype=np.int32)), pa.array(total)]
         yield pa.RecordBatch.from_arrays(arrays, names=["idx", "part"])
 
-    # one vector of grid sums per partition, whatever its number of values
-    hist = vals.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    parts = hist.select("x", "c").mapInArrow(partial, "idx int, part double")
+    cells = vals.where(F.col("x").between(first, hi + KDE_REACH * h)).select(
+        "x", F.floor((F.col("x") - first) / width).cast("bigint").alias("cell")
+    )
+    cells = cells.select("cell", ((F.col("x") - (F.lit(first) + (F.col("cell") + 0.5) * width)) / h).alias("d"))
+    powers = [F.lit(1.0)]
+    for _ in range(1, KDE_ORDER):
+        powers.append(powers[-1] * F.col("d"))
+    sums = cells.groupBy("cell").agg(*(F.sum(p).alias(f"s{k}") for k, p in enumerate(powers)))
+    # one vector of grid sums per partition, whatever its number of cells
+    parts = sums.mapInArrow(partial, "idx int, part double")
     dens = parts.groupBy("idx").agg((F.sum("part") / F.lit(n * h * math.sqrt(2 * math.pi))).alias("density"))
     spine = spark.range(npts).select(F.col("id").cast("int").alias("idx"))
     return spine.join(dens, "idx", "left").select(

@@ -176,3 +176,25 @@ def test_ranked_histogram_hot_group_across_small_batches(spark):
         sel = vals[grp == r.g]
         assert r.below == int((sel < r.value).sum()), (r.g, r.value)
         assert r.c == int((sel == r.value).sum())
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        [0.5] * 2_000 + [-0.3, 0.1, 0.7, None, float("nan")],  # nearly all rows hold one value
+        [1e200, -1e200, 0.0],  # a bandwidth far wider than the grid
+        [50.0 + i * 1e-3 for i in range(40)],  # everything lies beyond the grid's reach
+        [-1.2, 1.1, -1.2, 1.1, 0.0],  # on the grid's ends
+        [float(v) for v in np.random.default_rng(4).normal(-0.1, 0.4, 3_000)] + [900.0],
+    ],
+)
+def test_kde_cells_equal_the_direct_sum(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x DOUBLE")
+    got = np.array([r.density for r in st.kde_grid(df, "x").orderBy("idx").collect()])
+    x = np.array([v for v in values if v is not None and np.isfinite(v)])
+    h = np.sqrt(np.mean((x / np.abs(x).max() - (x / np.abs(x).max()).mean()) ** 2) * len(x) / (len(x) - 1)) * np.abs(x).max() * len(x) ** -0.2
+    grid = np.linspace(-1.2, 1.1, 500)
+    want = np.exp(-(((grid[:, None] - x) / h) ** 2) / 2).sum(1) / (len(x) * h * np.sqrt(2 * np.pi))
+    assert np.abs(got - want).max() <= 1e-9 * max(1.0, 1 / h)
+    if h < 1e100:
+        assert got.sum() == pytest.approx(want.sum(), rel=1e-9, abs=1e-12)
