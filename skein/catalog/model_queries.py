@@ -12,7 +12,7 @@ from skein.catalog import register
 from skein.catalog.sqlparts import log_odds_sql, topic_text
 from skein.functions import scalar as sc
 from skein.functions import text as tx
-from skein.operators import density
+from skein.operators import density, sentence_rules
 from skein.operators import graph
 from skein.operators import keywords as kw
 from skein.operators import relational as rel
@@ -122,6 +122,67 @@ def q_lexicon_sentiment(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", *[F.round(c, 9).alias(c) for c in ("vader_neg", "vader_neu", "vader_pos", "vader_compound")])
 
 
+# Fixture word lists for the sentence rules, from the documents' common words.
+_NEGATIONS = ("not", "from", "nicht", "pas", "una", "der")
+_BOOSTERS = {"the": 0.293, "les": 0.293, "das": 0.293, "del": 0.293, "this": -0.293, "dans": -0.293, "ist": -0.293, "con": -0.293}
+_CONTRASTS = ("but", "have", "sur", "sie", "por")
+
+
+def _names(words) -> str:
+    return ", ".join(f"'{w}'" for w in sorted(words))
+
+
+def _step_sql(k: int, damping: float) -> str:
+    """Valence after the word ``k`` before: boosted, then turned by a negation."""
+    step = f"(lag(boost, {k}) OVER o + CASE WHEN lag(boost, {k}) OVER o <> 0 AND lag(cap, {k}) OVER o AND mixed THEN 0.733 ELSE 0 END)"
+    turn = f"CASE WHEN lag(negates, {k}) OVER o THEN -0.74 ELSE 1 END"
+    return (
+        f"SELECT *, CASE WHEN v0 <> 0 AND NOT coalesce(lag(known, {k}) OVER o, true) "
+        f"THEN (v{k} + {damping} * {step} * sign(v{k})) * {turn} ELSE v{k} END AS v{k + 1} "
+        f"FROM s{k} WINDOW o AS (PARTITION BY doc_id ORDER BY pos)"
+    )
+
+
+_BOOST_CASE = " ".join(f"WHEN '{k}' THEN {v}" for k, v in sorted(_BOOSTERS.items()))
+_BARE = "trim(t, '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~')"
+
+
+@register(
+    "rule_sentiment",
+    f"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r\\f]+'), lambda x: x <> '') AS own FROM documents),
+u AS (SELECT doc_id, unnest(own) AS t, unnest(range(len(own))) AS pos FROM t),
+w AS (SELECT doc_id, pos, CASE WHEN length({_BARE}) > 2 THEN {_BARE} ELSE t END AS w FROM u),
+a AS (SELECT *, lower(w) AS l, regexp_matches(w, '\\p{{Lu}}') AND NOT regexp_matches(w, '\\p{{Ll}}') AS cap FROM w),
+b AS (SELECT *, CAST(CASE l {_BOOST_CASE} ELSE 0 END AS DOUBLE) AS boost, l IN ({_names(_NEGATIONS)}) OR suffix(l, 'n''t') AS negates,
+        l IN ({_names(_LEXICON)}) AS known, CAST(CASE WHEN l IN ({_names(_BOOSTERS)}) THEN 0 ELSE {_lex_case('l')} END AS DOUBLE) AS v0,
+        sum(CAST(cap AS INTEGER)) OVER d AS caps, count(*) OVER d AS n, min(CASE WHEN l IN ({_names(_CONTRASTS)}) THEN pos END) OVER d AS turn
+      FROM a WINDOW d AS (PARTITION BY doc_id)),
+m AS (SELECT *, caps > 0 AND caps < n AS mixed FROM b),
+s1 AS (SELECT *, v0 + CASE WHEN v0 <> 0 AND cap AND mixed THEN 0.733 * sign(v0) ELSE 0 END AS v1 FROM m),
+s2 AS ({_step_sql(1, 1.0)}), s3 AS ({_step_sql(2, 0.95)}), s4 AS ({_step_sql(3, 0.9)}),
+f AS (SELECT doc_id, v4 * CASE WHEN pos < turn THEN 0.5 WHEN pos > turn THEN 1.5 ELSE 1 END AS v FROM s4),
+g AS (SELECT doc_id, sum(v) AS s, sum(CASE WHEN v > 0 THEN v + 1 ELSE 0 END) AS p, sum(CASE WHEN v < 0 THEN 1 - v ELSE 0 END) AS q,
+        sum(CASE WHEN v = 0 THEN 1.0 ELSE 0 END) AS z FROM f GROUP BY doc_id),
+e AS (SELECT doc_id, length(coalesce(text, '')) - length(replace(coalesce(text, ''), '!', '')) AS x,
+        length(coalesce(text, '')) - length(replace(coalesce(text, ''), '?', '')) AS y FROM documents),
+h AS (SELECT doc_id, CAST(0.292 * least(x, 4) + CASE WHEN y > 3 THEN 0.96 WHEN y > 1 THEN 0.18 * y ELSE 0 END AS DOUBLE) AS loud FROM e),
+r AS (SELECT h.doc_id, coalesce(s, 0) + sign(coalesce(s, 0)) * loud AS s, coalesce(p, 0) + CASE WHEN p > q THEN loud ELSE 0 END AS p,
+        coalesce(q, 0) + CASE WHEN q > p THEN loud ELSE 0 END AS q, coalesce(z, 0) AS z FROM h LEFT JOIN g USING (doc_id))
+SELECT doc_id,
+  round(CASE WHEN p + q + z > 0 THEN q / (p + q + z) ELSE 0 END, 9) AS vader_neg,
+  round(CASE WHEN p + q + z > 0 THEN z / (p + q + z) ELSE 0 END, 9) AS vader_neu,
+  round(CASE WHEN p + q + z > 0 THEN p / (p + q + z) ELSE 0 END, 9) AS vader_pos,
+  round(s / sqrt(s * s + 15), 9) AS vader_compound
+FROM r
+""",
+)
+def q_rule_sentiment(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = sentence_rules.rule_sentiment(docs, "text", _LEXICON, _NEGATIONS, _BOOSTERS, _CONTRASTS)
+    return out.select("doc_id", *[F.round(c, 9).alias(c) for c in ("vader_neg", "vader_neu", "vader_pos", "vader_compound")])
+
+
 @register(
     "softmax_label",
     """

@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from skein.constants import SENTIMENT_LABELS, TOXICITY_COLUMNS, VADER_COLUMNS, XLM_COLUMNS
 from skein.functions.scalar import argmax_label, softmax3
 from skein.functions.text import text_or_empty
+from skein.operators.sentence_rules import rule_sentiment
 
 DEFAULT_BATCH = 128
 VADER_ALPHA = 15.0  # normaliser of the published compound score
@@ -119,8 +120,11 @@ def score_frame(
     batch_size: int = DEFAULT_BATCH,
     limit_rows: int = 0,
     order_key: str | None = None,
+    sentence_rules: bool = False,
 ) -> DataFrame:
-    """ML-4: check the text column, optional deterministic limit, run the enabled scorers."""
+    """ML-4: check the text column, optional deterministic limit, run the enabled scorers.
+
+    ``sentence_rules`` scores the lexicon's words in their context (``rule_sentiment``)."""
     if text_col not in df.columns:
         raise ValueError(f"input is missing text column {text_col!r}")
     out = df.orderBy(order_key or df.columns[0]).limit(limit_rows) if limit_rows > 0 else df
@@ -130,7 +134,7 @@ def score_frame(
     elif {"xlm_positive", "xlm_negative"} <= set(out.columns) and "xlm_polarity" not in out.columns:
         out = out.withColumn("xlm_polarity", F.col("xlm_positive") - F.col("xlm_negative"))  # PRJ-5
     if lexicon is not None:
-        out = lexicon_sentiment(out, text_col, lexicon)
+        out = (rule_sentiment if sentence_rules else lexicon_sentiment)(out, text_col, lexicon)
     if toxicity_factory is not None:
         st = T.StructType([T.StructField(k, T.FloatType()) for k in toxicity_keys])
         out = toxicity_columns(batch_score(out, text_col, toxicity_factory, st, "__tox", batch_size), "__tox")
@@ -149,7 +153,7 @@ def lexicon_sentiment(df: DataFrame, text_col: str, lexicon: Mapping[str, float]
     its valence (0 when unknown); positive valences add v + 1, negative add
     v − 1, zeros count as neutral; neg/neu/pos are shares of their total and
     compound = s / sqrt(s² + 15).  Texts without words score 0.  Negation,
-    booster and punctuation rules are not applied.
+    booster and punctuation rules are those of ``rule_sentiment``.
 
     The lexicon goes to the workers like the weights of a model, once per
     worker; an Arrow batch is scored as one flat array of valences.  No key, no
