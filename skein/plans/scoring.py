@@ -1,14 +1,18 @@
-"""Score one table end to end (PIPE-8): reuse check → read → score → write → redacted companion."""
+"""Score one table end to end (PIPE-8): reuse check → read → score → write → redacted companion;
+or score only the texts that no earlier run has scored (SNK-6 by row)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skein.constants import REDACT_COLUMNS, TOXICITY_COLUMNS, VADER_COLUMNS, XLM_COLUMNS
+from skein.functions.text import text_or_empty
 from skein.operators.scoring import score_frame
-from skein.sources.readers import read_table
+from skein.sources.readers import path_exists, read_table
 from skein.sources.sinks import fingerprint, has_columns, redact, write_table
 
 
@@ -51,3 +55,32 @@ def process_table(
     if redacted_path:
         write_table(redact(out, list(redact_columns)), redacted_path)
     return out
+
+
+def score_unseen(df: DataFrame, text_col: str, store: str, model_id: str, **scorers) -> DataFrame:
+    """SNK-6 by row: ``df`` with the scores of its texts, of which only new ones are scored.
+
+    Scores are kept below ``store`` (a shared folder) per ``model_id``, which must
+    name the scorers and their version, by the SHA-256 of the text.  Distinct texts
+    that the store lacks are scored once each and appended in one commit: a run
+    that dies before it leaves the store as it was, and the next one scores the
+    rest.  A text stored twice, by runs side by side, counts once.  Repeated texts
+    meet in a map-side aggregate before scoring; rows then take their scores by a
+    join on the digest, whose hot keys AQE splits.
+    A null text is an empty one; repeated and null ids are rows like others;
+    columns of the scores' names are replaced.  An empty table scores nothing.
+    """
+    spark = df.sparkSession
+    path = f"{store.rstrip('/')}/model={quote(model_id, safe='')}"
+    digest = F.sha2(text_or_empty(text_col), 256)
+    texts = df.select(digest.alias("__digest"), text_or_empty(text_col).alias(text_col))
+    texts = texts.groupBy("__digest").agg(F.min(text_col).alias(text_col))
+    if path_exists(spark, path):
+        texts = texts.join(spark.read.parquet(path).select("__digest"), "__digest", "left_anti")
+    score_frame(texts, text_col, **scorers).drop(text_col).write.mode("append").parquet(path)
+    stored = spark.read.parquet(path)
+    scores = [c for c in stored.columns if c != "__digest"]
+    stored = stored.groupBy("__digest").agg(F.any_value(F.struct(*scores)).alias("__scores"))
+    base = df.drop(*(c for c in scores if c in df.columns))
+    found = base.withColumn("__digest", digest).join(stored, "__digest", "left")
+    return found.select(*base.columns, "__scores.*")

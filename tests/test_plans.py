@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,41 @@ def test_scoring_plan_reuse(spark, tmpdir_path):
     assert os.path.getmtime(out_p) == mtime and b.count() == a.count()
 
 
+def test_only_unseen_texts_are_scored(spark, tmpdir_path):
+    from skein.operators.scoring import score_frame
+    from skein.plans.scoring import score_unseen
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def counting():
+        def predict(texts):
+            calls.add(len(texts))
+            return np.array([[len(t), 1.0, 0.0] for t in texts], np.float32)
+
+        return predict
+
+    def run(rows, model="m/1"):
+        before = calls.value
+        df = spark.createDataFrame(rows, "id INT, processed_text STRING, vader_pos DOUBLE, __scores2 INT")
+        out = score_unseen(df, "processed_text", store, model, sentiment_factory=counting, lexicon={"good": 1.0})
+        got = sorted(map(tuple, out.collect()), key=repr)
+        want = score_frame(df, "processed_text", sentiment_factory=lambda: lambda texts: np.array(
+            [[len(t), 1.0, 0.0] for t in texts], np.float32), lexicon={"good": 1.0}).select(*out.columns)
+        assert got == sorted(map(tuple, want.collect()), key=repr)
+        return calls.value - before
+
+    store = os.path.join(tmpdir_path, "scores")
+    rows = [(i, f"text {i % 10} good", 9.0, i) for i in range(30)] + [(None, None, None, None), (1, "", 1.0, 1), (1, "", 1.0, 1)]
+    assert run(rows) == 11  # ten texts and the empty one, once each
+    assert run(rows) == 0
+    assert run([*rows, (5, "new", 0.0, 0), (6, "new", 0.0, 0)]) == 1
+    assert run(rows, "m/2") == 11  # another model shares nothing
+    assert run([]) == 0
+    # a text that two runs have stored gives no row twice
+    spark.read.parquet(os.path.join(store, "model=m%2F1")).limit(5).write.mode("append").parquet(os.path.join(store, "model=m%2F1"))
+    assert run(rows) == 0
+
+
 def test_density_topics_separates_planted_blobs(spark):
     import numpy as np
     from pyspark.ml.functions import array_to_vector
