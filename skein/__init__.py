@@ -47,6 +47,7 @@ from skein.operators.relational import (
     search_filter,
     topic_names,
 )
+from skein.operators.sentence_rules import rule_sentiment
 from skein.operators.scoring import batch_score, lexicon_sentiment, score_frame, train_text_classifier
 from skein.operators.stats import bh_fdr, exact_quantiles, kde_grid, quantile_table, topic_vs_rest, two_sample_u
 from skein.operators.timeseries import daily_activity, top_parents, topic_share_by_year, topic_share_total
@@ -54,6 +55,7 @@ from skein.operators.topics import cluster_topics, embed_batched, embed_document
 from skein.plans.analysis import prepare_data, run_analysis
 from skein.plans.collection import collection_plan, prepare_child_ids
 from skein.plans.preprocess import preprocess_children, preprocess_parents
+from skein.plans.scoring import score_unseen
 from skein.schemas import CHILD_FIELDS, PARENT_FIELDS
 from skein.session import get_session
 from skein.sources.readers import read_child_batches, read_parent_envelopes, read_table, read_terms
@@ -69,7 +71,8 @@ __all__ = [
     "lexicon_sentiment", "log_odds_keywords", "map_2d", "normalize_id", "normalize_id_columns",
     "normalize_social_text", "parse_tags", "prepare_child_ids", "prepare_data", "preprocess_children",
     "preprocess_parents", "quantile_table", "read_child_batches", "read_parent_envelopes", "read_table",
-    "read_terms", "reduce_dimensions", "redact", "require_columns", "run_analysis", "score_frame",
+    "read_terms", "reduce_dimensions", "redact", "require_columns", "rule_sentiment", "run_analysis", "score_frame",
+    "score_unseen",
     "search_filter", "significance", "softmax3", "term_tokens", "to_number", "top_parents", "topic_documents",
     "topic_info", "topic_names", "topic_preprocess_text", "topic_share_by_year", "topic_share_total",
     "topic_table", "topic_vs_rest", "train_text_classifier", "two_sample_u", "validate_exports",
