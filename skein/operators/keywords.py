@@ -1,18 +1,19 @@
 """Topic keywords: log-odds with an informative prior (TXT-1), topic docs (TXT-2),
 topic table (TXT-3) and class-TF-IDF topic info (TXT-4).
 
-Plan shape for ``log_odds_keywords`` (one pass over the text):
+``log_odds_keywords`` finds the best terms by bounds (``term_bounds``): counts in a
+fixed number of hash buckets per topic say which terms can't be among the best, and
+only the others are counted as strings.  ``log_odds_scores`` gives all terms:
 
 1. tokens are produced by built-in array expressions and exploded;
 2. ``groupBy(topic, term).count()`` — partial (map-side) aggregation, then one
    shuffle on (topic, term);
 3. the counts are materialised once (checkpoint folder); term totals ``F`` come
-   from a window partitioned on ``term`` over them (a much smaller shuffle); topic
-   sizes ``n_i`` and the grand total ``N`` are aggregates with one row per topic /
-   one row, joined back (AQE broadcasts them after measuring them);
-4. top-n per topic by ``row_number`` ≤ n: Spark inserts a map-side
-   ``WindowGroupLimit`` so a topic holding a third of all terms ships only its
-   local top-n per task.
+   from a window partitioned on ``term`` over them; topic sizes ``n_i`` and the grand
+   total ``N`` are joined back (AQE broadcasts them after measuring them).
+
+Top-n per topic is ``row_number`` ≤ n: Spark inserts a map-side ``WindowGroupLimit``,
+so a topic holding a third of all terms ships only its local top-n per task.
 
 ``f_j = F − f_i`` and ``n_j = N − n_i`` replace the per-topic sums over all other
 topics, so the work is linear in the number of (topic, term) pairs.
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.constants import DEFAULT_MIN_TOPIC_TEXT_LEN, DEFAULT_TOP_N_KEYWORDS
+from skein.operators.term_bounds import bounded_top_terms
 from skein.session import cut_lineage
 from skein.functions.text import (
     compute_once,
@@ -45,10 +47,14 @@ def _valid_topic(df: DataFrame, topic_col: str) -> Column:
     return F.coalesce(F.col(topic_col).try_cast("int"), F.lit(-1)) >= 0
 
 
+def _topic_words(df: DataFrame, topic_col: str, text_col: str, out: str) -> DataFrame:
+    """(topic, words joined by spaces) of the rows with a valid topic."""
+    return df.filter(_valid_topic(df, topic_col)).select(F.col(topic_col).alias("topic"), term_word_string(text_col).alias(out))
+
+
 def term_counts(df: DataFrame, topic_col: str, text_col: str) -> DataFrame:
     """AG-12: (topic, term, f_i) — count of each n-gram token per topic (valid topics only)."""
-    base = df.filter(_valid_topic(df, topic_col)).select(F.col(topic_col).alias("topic"), term_word_string(text_col).alias("__ws"))
-    toks = explode_tokens(base, ["topic"], spaced_ngrams("__ws"), "term")
+    toks = explode_tokens(_topic_words(df, topic_col, text_col, "__ws"), ["topic"], spaced_ngrams("__ws"), "term")
     counts = toks.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("f_i"))
     return counts.select("topic", F.translate("term", " ", "_").alias("term"), "f_i")
 
@@ -81,7 +87,7 @@ def log_odds_scores(df: DataFrame, topic_col: str, text_col: str) -> DataFrame:
     # grand total N by a window over the sizes table (one row per topic)
     sizes = sizes.withColumn("big_n", F.sum("n_i").over(Window.partitionBy()))
     by_term = Window.partitionBy("term")
-    scored = counts.withColumn("big_f", F.sum("f_i").over(by_term)).join(F.broadcast(sizes), "topic")  # one row per topic
+    scored = counts.withColumn("big_f", F.sum("f_i").over(by_term)).join(sizes, "topic")
     return scored.select(
         "topic", "term", "f_i", "big_f", "n_i", "big_n",
         log_odds_z(F.col("f_i"), F.col("big_f"), F.col("n_i"), F.col("big_n")).alias("z_score"),
@@ -106,8 +112,12 @@ def log_odds_keywords(
     text_col: str,
     top_n: int = DEFAULT_TOP_N_KEYWORDS,
 ) -> tuple[DataFrame, DataFrame]:
-    """TXT-1: (terms[topic, rank, term, z_score], map[topic, keywords])."""
-    terms = top_terms(log_odds_scores(df, topic_col, text_col), top_n).select("topic", "rank", "term", "z_score")
+    """TXT-1: (terms[topic, rank, term, z_score], map[topic, keywords]).
+
+    The words are written once, because the bounds read them two or three times.
+    """
+    words = cut_lineage(_topic_words(df, topic_col, text_col, "words"))
+    terms = bounded_top_terms(words, top_n, log_odds_z, top_terms)
     return terms, topic_term_map(terms)
 
 
@@ -164,7 +174,7 @@ def class_tfidf_terms(
     per_topic = tf.groupBy("topic").agg(F.sum("tf").alias("__t"))
     # A = mean tokens per class, by a window over the per-topic table (one row per topic)
     avg = per_topic.select("topic", (F.sum("__t").over(Window.partitionBy()) / F.count(F.lit(1)).over(Window.partitionBy())).alias("avg_words"))
-    scored = tf.withColumn("f_t", F.sum("tf").over(Window.partitionBy("term"))).join(F.broadcast(avg), "topic")  # one row per topic
+    scored = tf.withColumn("f_t", F.sum("tf").over(Window.partitionBy("term"))).join(avg, "topic")
     scored = scored.withColumn("z_score", F.col("tf") * F.ln(F.lit(1.0) + F.col("avg_words") / F.col("f_t")))
     return top_terms(scored, top_n).select("topic", "rank", "term", "z_score")
 
@@ -175,5 +185,5 @@ def topic_info(df: DataFrame, topic_col: str, text_col: str, top_n: int = DEFAUL
     sizes = df.groupBy(F.col(topic_col).alias("topic")).agg(F.count(F.lit(1)).alias("count"))
     words = topic_term_map(class_tfidf_terms(df, topic_col, text_col, top_n, outliers=True))
     first = F.slice(F.split(F.coalesce("representation", F.lit("")), ", "), 1, 4)
-    out = sizes.join(F.broadcast(words.withColumnRenamed("keywords", "representation")), "topic", "left")  # topics
+    out = sizes.join(words.withColumnRenamed("keywords", "representation"), "topic", "left")
     return out.withColumn("name", F.concat_ws("_", F.col("topic").cast("string"), F.array_join(first, "_")))
