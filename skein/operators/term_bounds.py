@@ -67,7 +67,8 @@ def bounded_top_terms(words: DataFrame, top_n: int, score, rank, buckets: int =
     """
     counts = cut_lineage(_terms(words, buckets).groupBy("topic", "bucket").agg(F.count(F.lit(1)).alias("c")))
     big_n = F.lit(counts.agg(F.sum("c")).first()[0] or 0)
-    sizes = counts.groupBy("topic").agg(F.sum("c").alias("n_i"))
+    # written, so that Spark knows its size: joined by a broadcast where it is small, never dealt by topic then
+    sizes = cut_lineage(counts.groupBy("topic").agg(F.sum("c").alias("n_i")))
     totals = counts.groupBy("bucket").agg(F.sum("c").alias("total"))  # at most ``buckets`` rows
     known = counts.join(F.broadcast(totals), "bucket").join(sizes, "topic")
     # the heaviest term of a bucket, about: its count less what a bucket holds on average
@@ -75,7 +76,7 @@ def bounded_top_terms(words: DataFrame, top_n: int, score, rank, buckets: int =
     big_f = F.greatest(f, F.col("total") - big_n / F.lit(buckets))
     known = cut_lineage(
         known.select(
-            "topic", "bucket", "n_i",
+            "topic", "bucket",
             score_bound(F.col("c"), F.col("total"), F.col("n_i"), big_n).alias("bound"),
             score(f, big_f, F.col("n_i"), big_n).alias("guess"),
         )
@@ -87,8 +88,6 @@ def bounded_top_terms(words: DataFrame, top_n: int, score, rank, buckets: int =
         best = df.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top_n)
         return best.groupBy("topic").agg(F.when(F.count(F.lit(1)) == top_n, F.min(col)).alias("least"))
 
-    sizes = known.groupBy("topic").agg(F.first("n_i").alias("n_i"))
-
     def scored(exact: DataFrame) -> DataFrame:
         total = F.sum("f_i").over(Window.partitionBy("term"))
         rows = exact.withColumn("big_f", total).join(sizes, "topic")
