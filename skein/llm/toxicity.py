@@ -9,6 +9,7 @@ document toxic can then be pointed out.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import Worker, map_texts
+from skein.llm.common import Worker, drop_shared, map_texts, prepare, write_shared
 from skein.llm.features import hashed, held_out, labelled_sample
 
 SAMPLE_ROWS = 4_000  # labelled documents that are learnt from, half of each label
@@ -95,20 +96,50 @@ class Model:
         return [{"start": a, "end": b, "score": s} for (a, b), s in zip(spans, scores.tolist()) if s >= least]
 
 
-def _associated(per_bag: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Buckets that occur in clearly more documents of label 1 than of label 0."""
-    names, place = np.unique(np.concatenate(per_bag), return_inverse=True)
-    label = np.repeat(y, list(map(len, per_bag)))
-    n1, n0 = y.sum(), len(y) - y.sum()
-    in1 = np.bincount(place, label, len(names))
-    in0 = np.bincount(place, 1 - label, len(names))
-    share = (in1 + in0) / len(y)
-    spread = np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0)) + 1e-9
-    return names[(in1 + in0 >= MIN_DOCUMENTS) & ((in1 / n1 - in0 / n0) / spread >= MIN_Z)]
+def _associated(per_document: DataFrame, n1: int, n0: int) -> np.ndarray:
+    """Buckets that occur in clearly more documents of label 1 than of label 0, ascending.
 
+    ``per_document`` is (y, distinct buckets) of each sampled document.  Counted in
+    Spark; at most 2 ** BITS numbers reach the driver.
+    """
+    both, in1 = F.count(F.lit(1)), F.sum("y")
+    counts = per_document.select("y", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(both.alias("n"), in1.alias("in1"))
+    share = F.col("n") / (n1 + n0)
+    spread = F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0)) + 1e-9
+    z = (F.col("in1") / n1 - (F.col("n") - F.col("in1")) / n0) / spread
+    found = counts.where((F.col("n") >= MIN_DOCUMENTS) & (z >= MIN_Z)).select("bucket").collect()
+    return np.sort(np.array([r["bucket"] for r in found], np.int64))
+
+
+class Bags:
+    """A text's sentences as places of their features among the associated buckets.
+
+    Sentences with equal features count as one that occurs several times, so a
+    long text takes no more room than its different sentences with such features.
+    """
+
+    def __init__(self, names: np.ndarray):
+        self.place = {int(n): i for i, n in enumerate(names)}
+        self.memo: dict[str, tuple[int, ...]] = {}
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        found = self.memo.get(word)
+        if found is None:
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            places = map(self.place.get, hashed(word_features(word), BITS).tolist())
+            found = self.memo[word] = tuple(p for p in places if p is not None)
+        return found
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, places per different sentence, occurrences of each)."""
+        seen = Counter(tuple(sorted(p for w in s.split() for p in self._word(w))) for s in sentences(text))
+        flat = np.fromiter(chain.from_iterable(seen), np.int32)
+        return flat, np.array(list(map(len, seen)), np.int32), np.array(list(seen.values()), np.int32)
 
-def train(bags: list[tuple[int, np.ndarray, np.ndarray]], share: float) -> Model:
-    """Fit the sentence weights to (label, buckets, buckets per sentence) bags.
+
+def train(bags: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], names: np.ndarray, share: float) -> Model:
+    """Fit the sentence weights to (label, places, places per sentence, occurrences) bags.
 
     Maximises the noisy-or likelihood with Adam over all bags; labels weigh as
     often as they occur among all labelled rows (``share`` of label 1).
@@ -117,25 +148,19 @@ def train(bags: list[tuple[int, np.ndarray, np.ndarray]], share: float) -> Model
     if not len(y) or y.min() == y.max():
         rate = share if not len(y) else float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(np.expm1(-np.log1p(-rate)))))
-    names = _associated([np.unique(b[1]) for b in bags], y)
-    if not len(names):
-        names = np.array([-1])
-    flat = np.concatenate([b[1] for b in bags])
+    feature = np.concatenate([b[1] for b in bags])
     sentence = np.repeat(np.arange(sum(len(b[2]) for b in bags)), np.concatenate([b[2] for b in bags]))
-    place = np.minimum(np.searchsorted(names, flat), max(len(names) - 1, 0))
-    kept = names[place] == flat
-    feature, sentence = place[kept].astype(np.int32), sentence[kept].astype(np.int32)
+    times = np.concatenate([b[3] for b in bags]).astype(np.float64)
     bag = np.repeat(np.arange(len(bags)), [len(b[2]) for b in bags])
-    n_sentences = len(bag)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     w, bias = np.zeros(len(names)), -5.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, ROUNDS + 1):
-        z = bias + np.bincount(sentence, w[feature], n_sentences)
-        total = np.bincount(bag, _softplus(z), len(bags))
+        z = bias + np.bincount(sentence, w[feature], len(bag))
+        total = np.bincount(bag, times * _softplus(z), len(bags))
         # d log-likelihood / d total: -1 for label 0, 1 / (exp(total) - 1) for label 1
         slope = weight * np.where(y == 1, 1 / np.expm1(np.clip(total, 1e-6, 500)), -1.0)
-        g = slope[bag] / (1 + np.exp(np.clip(-z, -500, 500)))
+        g = times * slope[bag] / (1 + np.exp(np.clip(-z, -500, 500)))
         gradient = np.append(np.bincount(feature, g[sentence], len(names)) - 0.02 * w, g.sum())
         gradient /= len(bags)
         m = 0.9 * m + 0.1 * gradient
@@ -151,28 +176,40 @@ def fit(
 ) -> Model:
     """Learn from at most ``rows`` labelled documents outside the held-out fold.
 
-    Only the hashed features of those documents reach the driver.  Without
-    labels every sentence has the score of an even guess for a whole document.
+    The sample is written once and read twice: Spark counts the documents of each
+    feature and label, then only the occurrences of associated features reach the
+    driver, equal sentences of a document as one.  Without labels every sentence
+    has the score of an even guess for a whole document.
     """
-    sample = labelled_sample(docs, labels, label, rows, id_col)
-
-    def worker() -> Worker:
-        def run(texts: list[str]) -> list[pa.Array]:
-            flat, lengths = [], []
-            for text in texts:
-                parts = [[f for w in s.split() for f in word_features(w)] for s in sentences(text)]
-                flat.append(hashed(list(chain.from_iterable(parts)), BITS).astype("<i4").tobytes())
-                lengths.append(np.array(list(map(len, parts)), "<i4").tobytes())
-            return [pa.array(flat, pa.binary()), pa.array(lengths, pa.binary())]
-
-        return run
-
-    found = map_texts(sample, worker, "flat binary, lengths binary", "y", "text").collect()
+    prepare(docs.sparkSession)
+    sample = write_shared(labelled_sample(docs, labels, label, rows, id_col), "toxicity-sample")
+    of = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = labels.where(F.col(label).isNotNull() & ~held_out(id_col)).agg(F.avg(label)).first()[0]
-    return train(
-        [(r["y"], np.frombuffer(r["flat"], "<i4"), np.frombuffer(r["lengths"], "<i4")) for r in found],
-        0.5 if share is None else float(np.clip(share, 1e-3, 1 - 1e-3)),
-    )
+    share = 0.5 if share is None else float(np.clip(share, 1e-3, 1 - 1e-3))
+
+    def buckets_of() -> Worker:
+        def distinct(text: str) -> np.ndarray:
+            words = set(chain.from_iterable(s.split() for s in sentences(text)))
+            return np.unique(hashed([f for w in words for f in word_features(w)], BITS))
+
+        return lambda texts: [pa.array(list(map(distinct, texts)), pa.list_(pa.int64()))]
+
+    names = np.zeros(0, np.int64)
+    if of.get(0) and of.get(1):
+        names = _associated(map_texts(sample, buckets_of, "buckets array<bigint>", "y", "text"), of[1], of[0])
+    shared = docs.sparkSession.sparkContext.broadcast(names)  # at most 2 ** BITS
+
+    def bags_of() -> Worker:
+        own = Bags(shared.value)
+        kind = pa.list_(pa.int32())
+        return lambda texts: [pa.array(part, kind) for part in zip(*map(own.of, texts))]
+
+    schema = "flat array<int>, lengths array<int>, times array<int>"
+    found = map_texts(sample, bags_of, schema, "id", "text", keep=["y"]).collect()
+    found.sort(key=lambda r: r["id"])  # the same sums on every run
+    drop_shared(sample)
+    parts = ("flat", "lengths", "times")
+    return train([(r["y"], *(np.array(r[p], np.int32) for p in parts)) for r in found], names, share)
 
 
 def score(

@@ -305,3 +305,63 @@ def test_quality_scores_equal_a_plain_vote(spark):
     again = {r["doc_id"]: r["score"] for r in quality.score(docs.repartition(7), model).collect()}
     assert first == again
     assert all(abs(first[i] - plain(t)) < 1e-6 for i, t in rows.items())
+
+
+def test_toxicity_scores_equal_a_plain_noisy_or(spark):
+    """Score by score: sentences cut, hashed and weighed one at a time, whatever the partitioning."""
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(-1, ""), (-2, None), (-3, LONG), (-4, "no end\n\n. !?"), (-5, "İ A.B!c")], docs.schema)
+    docs = docs.unionByName(extra)
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF001}/labels.parquet"))
+    assert len(model.buckets)
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist()))
+
+    def plain(text):
+        clean = 1.0
+        for sentence in [s for s in re.split(r"[.!?\n]", text.lower()) if s] or [""]:
+            logit = model.bias
+            for word in sentence.split():
+                for name in toxicity.word_features(word):
+                    logit += weight.get(zlib.crc32(name.encode()) & ((1 << toxicity.BITS) - 1), 0.0)
+            clean *= 1 - 1 / (1 + np.exp(-logit))
+        return 1 - clean
+
+    want = {r["doc_id"]: plain(r["text"] or "") for r in docs.collect()}
+    for given in (docs, docs.repartition(7)):
+        got = {r["doc_id"]: r["score"] for r in toxicity.score(given, model).collect()}
+        assert got.keys() == want.keys()
+        assert max(abs(got[i] - want[i]) for i in want) < 1e-9
+
+
+def test_toxicity_features_and_bags_equal_plain_counts(spark):
+    """What reaches the driver: associated buckets by document counts, equal sentences as one."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(30)]
+    rows = [(i, ". ".join(" ".join(rng.choices(words[: 30 if i % 3 else 20], k=4)) for _ in range(5)), i % 3 > 0) for i in range(90)]
+    y = np.array([int(r[2]) for r in rows])
+    bucket = {w: [zlib.crc32(n.encode()) & ((1 << toxicity.BITS) - 1) for n in toxicity.word_features(w)] for w in words}
+    in_doc = [{b for w in r[1].replace(".", "").split() for b in bucket[w]} for r in rows]
+    want = []
+    for b in set().union(*in_doc):
+        has = np.array([b in d for d in in_doc])
+        p1, p0, p = has[y == 1].mean(), has[y == 0].mean(), has.mean()
+        z = (p1 - p0) / (np.sqrt(p * (1 - p) * (1 / (y == 1).sum() + 1 / (y == 0).sum())) + 1e-9)
+        if has.sum() >= toxicity.MIN_DOCUMENTS and z >= toxicity.MIN_Z:
+            want.append(b)
+    per_document = spark.createDataFrame([(int(k), sorted(d)) for k, d in zip(y, in_doc)], "y int, buckets array<bigint>")
+    names = toxicity._associated(per_document, int((y == 1).sum()), int((y == 0).sum()))
+    assert names.tolist() == sorted(want) and want
+    flat, lengths, times = toxicity.Bags(names).of("w1 x. w25, w0. . w25. w25 w26. q")
+    cut = np.split(flat, np.cumsum(lengths)[:-1])
+    place = {int(n): i for i, n in enumerate(names)}
+    own = [tuple(sorted(place[b] for w in s for b in bucket[w] if b in place)) for s in (["w1"], ["w25", "w0"], [], ["w25"], ["w25", "w26"], [])]
+    assert {tuple(c.tolist()): int(t) for c, t in zip(cut, times)} == {s: own.count(s) for s in own}
+
+
+@pytest.mark.parametrize("ys", [[], [1, 1, 1], [0, 1, 0, 1]])
+def test_toxicity_without_features(spark, ys):
+    """No labels, one label only, or no associated feature: every text still has a score."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)] + [(9, None)], "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(ys)), "doc_id long, toxic int")
+    got = [r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()]
+    assert len(got) == 7 and all(0 <= s <= 1 for s in got)
