@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.session import ensure_checkpoint_dir, ship_package
+from skein.session import bound_batches, ensure_checkpoint_dir, ship_package
 
-BATCH_BYTES = 4 << 20  # text bytes per Arrow batch sent to a Python worker
 SLICE_CHARS = 1_000_000  # characters that a worker handles at a time
 
 
@@ -25,8 +24,7 @@ def prepare(spark: SparkSession) -> None:
     """
     ensure_checkpoint_dir(spark)
     ship_package(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bound_batches(spark)
 
 
 def write_shared(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:

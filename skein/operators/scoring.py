@@ -12,6 +12,7 @@ trained offline toxicity/quality scorer.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -28,9 +29,11 @@ from pyspark.sql import types as T
 from skein.constants import SENTIMENT_LABELS, TOXICITY_COLUMNS, VADER_COLUMNS, XLM_COLUMNS
 from skein.functions.scalar import argmax_label, softmax3
 from skein.functions.text import text_or_empty
-from skein.operators.sentence_rules import rule_sentiment
+from skein.operators.sentence_rules import by_slices, rule_sentiment
+from skein.session import bound_batches
 
 DEFAULT_BATCH = 128
+_WORD = regex.compile(r"[\p{L}']+")
 VADER_ALPHA = 15.0  # normaliser of the published compound score
 
 
@@ -52,6 +55,7 @@ def batch_score(
     The factory returns ``predict(texts: np.ndarray[str]) -> np.ndarray`` (array
     or struct-like dict of arrays for ``StructType`` results).
     """
+    bound_batches(df.sparkSession)
     udf = predict_batch_udf(model_factory, return_type=return_type, batch_size=batch_size)
     return df.withColumn(out_col, udf(text_or_empty(text_col)))
 
@@ -156,37 +160,38 @@ def lexicon_sentiment(df: DataFrame, text_col: str, lexicon: Mapping[str, float]
     booster and punctuation rules are those of ``rule_sentiment``.
 
     The lexicon goes to the workers like the weights of a model, once per
-    worker; an Arrow batch is scored as one flat array of valences.  No key, no
-    shuffle, no join back; rows with repeated or null ids are rows like others.
+    worker; a slice of an Arrow batch, bounded in characters, is scored as one flat
+    array of valences.  No key, no shuffle, no join back; rows with repeated or null ids are rows like others.
     """
     shared = df.sparkSession.sparkContext.broadcast(dict(lexicon))
     fields = T.StructType([T.StructField(c, T.DoubleType()) for c in VADER_COLUMNS])
 
+    def frame(texts: Sequence[str | None]) -> pd.DataFrame:
+        valence = shared.value
+        lengths, values = np.zeros(len(texts), np.int64), array("d")
+        for i, t in enumerate(texts):  # no list of words outlives its text
+            own = _WORD.findall(t.lower()) if t else []
+            lengths[i] = len(own)
+            values.extend(valence.get(w, 0.0) for w in own)
+        flat = np.array([*values, 0.0])
+        starts = np.minimum(np.cumsum(lengths) - lengths, len(flat) - 1)
+
+        def total(values: np.ndarray) -> np.ndarray:
+            return np.where(lengths > 0, np.add.reduceat(values, starts), 0.0) if len(lengths) else np.zeros(0)
+
+        positive, negative = flat > 0, flat < 0
+        pos = total(np.where(positive, flat + 1, 0.0))
+        neg = np.abs(total(np.where(negative, flat - 1, 0.0)))
+        neu = lengths - total((positive | negative).astype(np.float64))
+        s, whole = total(flat), np.maximum(pos + neg + neu, 1e-300)
+        columns = (neg / whole, neu / whole, pos / whole, s / np.sqrt(s * s + VADER_ALPHA))
+        return pd.DataFrame(dict(zip(("vader_neg", "vader_neu", "vader_pos", "vader_compound"), columns)))[list(VADER_COLUMNS)]
+
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        word, valence = regex.compile(r"[\p{L}']+"), shared.value
         for texts in batches:
-            words = [word.findall(t.lower()) if t else [] for t in texts]
-            lengths = np.fromiter(map(len, words), np.int64, len(words))
-            flat = np.array([valence.get(w, 0.0) for own in words for w in own] + [0.0])
-            starts = np.minimum(np.cumsum(lengths) - lengths, len(flat) - 1)
-
-            def total(values: np.ndarray) -> np.ndarray:
-                return np.where(lengths > 0, np.add.reduceat(values, starts), 0.0) if len(lengths) else np.zeros(0)
-
-            positive, negative = flat > 0, flat < 0
-            pos = total(np.where(positive, flat + 1, 0.0))
-            neg = np.abs(total(np.where(negative, flat - 1, 0.0)))
-            neu = lengths - total((positive | negative).astype(np.float64))
-            s, whole = total(flat), np.maximum(pos + neg + neu, 1e-300)
-            yield pd.DataFrame(
-                {
-                    "vader_neg": neg / whole,
-                    "vader_neu": neu / whole,
-                    "vader_pos": pos / whole,
-                    "vader_compound": s / np.sqrt(s * s + VADER_ALPHA),
-                }
-            )[list(VADER_COLUMNS)]
+            yield by_slices(texts, frame)
 
+    bound_batches(df.sparkSession)
     scored = F.pandas_udf(score, fields)(F.col(text_col))
     base = df.drop(*(c for c in VADER_COLUMNS if c in df.columns))
     return base.withColumn("__lex", scored).select(*base.columns, *(F.col(f"__lex.{c}").alias(c) for c in VADER_COLUMNS))

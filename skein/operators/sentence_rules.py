@@ -9,7 +9,7 @@ cases of "least" and "never so" are not applied.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.constants import VADER_COLUMNS
+from skein.session import bound_batches
 
 # The published weights of the rules.
 COMPOUND_ALPHA = 15.0
@@ -35,6 +36,7 @@ BOOSTERS = {
     **dict.fromkeys(("very", "really", "extremely", "absolutely", "completely", "so", "totally", "especially", "most"), BOOST),
     **dict.fromkeys(("slightly", "somewhat", "barely", "hardly", "almost", "partly", "marginally", "less"), -BOOST),
 }
+SLICE_CHARS = 500_000  # characters of texts that a worker splits into words at a time
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -44,6 +46,21 @@ def _word(token: str) -> str:
     return bare if len(bare) > 2 else token
 
 
+def by_slices(texts: pd.Series, frame: Callable[[list], pd.DataFrame], chars: int = SLICE_CHARS) -> pd.DataFrame:
+    """``frame`` of all texts (null: None), in slices of about ``chars`` characters, so that the
+    words in memory don't grow with the rows of a batch; no slice splits a text."""
+    parts, own, size = [], [], 0
+    for t in texts:
+        own.append(t if isinstance(t, str) else None)
+        size += len(own[-1] or "")
+        if size >= chars:
+            parts.append(frame(own))
+            own, size = [], 0
+    if own or not parts:
+        parts.append(frame(own))
+    return parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+
+
 def score_texts(
     texts: Sequence[str | None],
     lexicon: Mapping[str, float],
@@ -124,8 +141,9 @@ def rule_sentiment(
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
         for texts in batches:
-            yield pd.DataFrame(score_texts([t if isinstance(t, str) else None for t in texts], *own))[list(VADER_COLUMNS)]
+            yield by_slices(texts, lambda some: pd.DataFrame(score_texts(some, *own))[list(VADER_COLUMNS)])
 
+    bound_batches(df.sparkSession)
     scored = F.pandas_udf(score, fields)(F.col(text_col))
     base = df.drop(*(c for c in VADER_COLUMNS if c in df.columns))
     return base.withColumn("__rules", scored).select(*base.columns, *(F.col(f"__rules.{c}").alias(c) for c in VADER_COLUMNS))
