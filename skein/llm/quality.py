@@ -67,6 +67,21 @@ def terms(text: str) -> np.ndarray:
     return out
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """The terms that occur (16 bits each), then their counts."""
+    own = np.flatnonzero(counts)
+    return own.astype("<u2").tobytes() + counts[own].astype("<f4").tobytes()
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    """Term counts of every row of ``packed``."""
+    out = np.zeros((len(rows), TERMS), np.float32)
+    for i, row in enumerate(rows):
+        n = len(row) // 6
+        out[i, np.frombuffer(row, "<u2", n)] = np.frombuffer(row[2 * n :], "<f4", n)
+    return out
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # inverse document frequency by term
@@ -106,31 +121,40 @@ def fit(
 ) -> Model:
     """Learn from at most ``rows`` labelled documents outside the held-out fold.
 
-    The term counts of those documents (``rows`` × a fixed number of terms) are
-    the only thing that reaches the driver.  Without labels every score is the
+    The terms that occur in those documents, with their counts (``rows`` × a fixed
+    number of terms at most), are the only thing that reaches the driver.  Without labels every score is the
     prior, 0.5.
     """
     sample = labelled_sample(docs, labels, label, rows, id_col)
 
     def worker() -> Worker:
-        return lambda texts: [pa.array([terms(t).tobytes() for t in texts], pa.binary())]
+        return lambda texts: [pa.array([packed(terms(t)) for t in texts], pa.binary())]
 
     found = map_texts(sample, worker, "terms binary", "y", "text").collect()
     share = labels.where(F.col(label).isNotNull() & ~held_out(id_col)).agg(F.avg(label)).first()[0]
     prior = 0.5 if share is None else float(share)
     if not found:
         return Model(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), prior)
-    counts = np.stack([np.frombuffer(r["terms"], np.float32) for r in found])
     y = np.array([r["y"] for r in found], np.float64)
+    found = [bytes(r["terms"]) for r in found]
+    counts = unpacked(found)
     idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
-    tf = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1)) * idf
+    counts /= np.maximum(counts.sum(1, keepdims=True), 1)
+    tf = np.multiply(np.sqrt(counts, out=counts), idf, out=counts)
     used = np.flatnonzero(tf.any(0))
-    values, vectors = np.linalg.eigh((tf[:, used].T @ tf[:, used]).astype(np.float64))
+    left, right = tf[:, used], tf[:, used]
+    del counts, tf  # the decomposition is the driver's peak: only the packed counts stay beside it
+    gram = left.T @ right
+    del left, right
+    gram = gram.astype(np.float64)
+    values, vectors = np.linalg.eigh(gram)
+    del gram
     top = np.argsort(-values)[:DIMENSIONS]
     basis = np.zeros((TERMS, len(top)), np.float32)
     basis[used] = vectors[:, top]
+    del vectors
     model = Model(idf, basis, np.zeros((0, len(top)), np.float32), y, prior)
-    parts = [model.project(counts[i : i + BLOCK]) for i in range(0, len(counts), BLOCK)]
+    parts = [model.project(unpacked(found[i : i + BLOCK])) for i in range(0, len(found), BLOCK)]
     model.vectors = np.concatenate(parts).astype(np.float32)
     return model
 
