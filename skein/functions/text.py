@@ -7,6 +7,7 @@ whole-stage codegen; no Python runs per row.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -110,19 +111,33 @@ def strip_ws(text: Column | str) -> Column:
 def topic_preprocess_text(text: Column | str, stopwords: Iterable[str] = ALL_STOPWORDS) -> Column:
     """SC-5: lower, keep only ``[a-z#]`` and whitespace, drop stop words (with or without ``#``), strip ``#``.
 
-    Written as a chain of string regexes (all inside whole-stage codegen):
-    deleting ``#`` first and turning every other non-letter run into one space
-    yields exactly the words of the split-then-strip form; stop words are then
-    removed as whole words and spaces collapsed.
+    Written as string regexes (inside whole-stage codegen): with ``#`` deleted,
+    one pass turns every run of non-letters, and the stop words within it, into
+    one space, which yields exactly the words of the split-then-strip form.
+    Stop words that aren't plain letters are patterns of a pass of their own,
+    which takes them out as whole words before spaces are collapsed.
     """
     stop = sorted(set(stopwords), key=lambda w: (-len(w), w))
-    lowered = F.lower(F.coalesce(_col(text), F.lit("")))
-    letters = F.regexp_replace(F.regexp_replace(lowered, "#", ""), "[^a-z]+", " ")
-    if stop:
-        letters = F.regexp_replace(letters, "(?<![a-z])(?:" + "|".join(stop) + ")(?![a-z])", "")
+    bare = F.replace(F.lower(F.coalesce(_col(text), F.lit(""))), F.lit("#"), F.lit(""))
+    if all(re.fullmatch("[a-z]+", w) for w in stop):
+        # possessive, so that the length of a run of stop words costs no stack
+        between = rf"(?:{_any_of(stop)}(?:[^a-z]++|\z))*+" if stop else ""
+        return F.trim(F.regexp_replace(bare, f"(?:[^a-z]++|^){between}", " "))
+    letters = F.regexp_replace(bare, "[^a-z]+", " ")
+    letters = F.regexp_replace(letters, "(?<![a-z])(?:" + "|".join(stop) + ")(?![a-z])", "")
     return F.trim(F.regexp_replace(letters, " {2,}", " "))
 
 
+def _any_of(words: Iterable[str]) -> str:
+    """Pattern of ``words``, plain letters, as a tree of their common beginnings: a word is tried letter by letter, not word by word."""
+    ends: dict[str, set[str]] = {}
+    for w in words:
+        ends.setdefault(w[:1], set()).add(w[1:])
+    done = ends.pop("", None) is not None
+    tree = "|".join(first + _any_of(rest) for first, rest in sorted(ends.items()))
+    return f"(?:{tree})" + "?" * done if tree else ""
+
+
 # SC-6 word: a whitespace-separated token of two or more letters
 _TERM_WORD = r"(?U)(?<![^\s\x1c-\x1f])\p{L}{2,}(?![^\s\x1c-\x1f])"
 

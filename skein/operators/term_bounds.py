@@ -16,20 +16,32 @@ counted as strings, over all topics, so their scores are exact.  The exact n-th
 best then shows which further buckets could still hold a better term; those are
 counted in a second round, after which none is left.  The guess decides how much
 is counted, never what comes out.
+
+Both counts run over Arrow batches: a batch's different words are numbered and
+hashed once each, n-grams are runs of these numbers, and only the different
+n-grams of chosen buckets are put together as strings.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+from typing import Any
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions.text import explode_tokens, spaced_ngrams
-from skein.session import cut_lineage
+from skein.session import bound_batches, cut_lineage, ship_package
 
 BUCKETS = 1 << 16  # rows per topic of the first count; also bounds the broadcast lists of buckets
+HELD = 64  # topics whose counts a task holds at a time, 8 bytes per bucket each
 GUESS_SHARE = 0.5  # buckets are counted from this share of the guessed n-th best score on
 _RATIOS = (0.0, 1 / 64, 1 / 32, 1 / 16, 1 / 8, 1 / 4, 3 / 8, 1 / 2, 5 / 8, 3 / 4, 7 / 8, 1.0)
 _ROUNDING = 1e-6  # scores are ranked with 9 digits
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def score_bound(c: Column, total: Column, n_i: Column, big_n: Column) -> Column:
@@ -46,15 +58,94 @@ def score_bound(c: Column, total: Column, n_i: Column, big_n: Column) -> Column:
     return F.greatest(*bounds)
 
 
-def _terms(words: DataFrame, buckets: int) -> DataFrame:
-    tokens = explode_tokens(words, ["topic"], spaced_ngrams("words"), "term")
-    return tokens.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+class _Ngrams:
+    """Uni-, bi- and trigrams of a batch (topic, words joined by single spaces), as numbers of its different words.
+
+    ``first`` is the place of an n-gram's first word in ``word`` and ``n`` its length.
+    """
+
+    def __init__(self, batch: pa.RecordBatch, buckets: int) -> None:
+        lists = pc.split_pattern(batch.column(1).cast(pa.large_string()).fill_null(""), " ")
+        coded = lists.flatten().dictionary_encode()
+        self.words = coded.dictionary
+        self.word = coded.indices.to_numpy()
+        row = np.repeat(np.arange(len(batch)), pc.list_value_length(lists).to_numpy())
+        topics = batch.column(0).dictionary_encode(null_encoding="encode")
+        self.topics = topics.dictionary
+        names = self.words.to_pylist()
+        hashes = np.array([zlib.crc32(w.encode()) for w in names], np.uint64)[self.word]  # the same in every process
+        first, length, mixed = [], [], []
+        fit = np.array([w != "" for w in names], bool)[self.word]  # the first word of an n-gram of the length reached
+        mix = np.zeros(len(row), np.uint64)
+        for n in range(3):
+            more = max(0, len(row) - n)
+            fit = fit[:more] & fit[len(fit) - more :] & (row[:more] == row[n:]) if n else fit
+            mix = (mix[:more] * _SPREAD + hashes[n:]) * _SPREAD
+            at = np.flatnonzero(fit)
+            first.append(at)
+            length.append(np.full(len(at), n + 1, np.int8))
+            mixed.append(mix[at])
+        self.first, self.n = np.concatenate(first), np.concatenate(length)
+        mixed = np.concatenate(mixed)
+        self.bucket = ((mixed ^ mixed >> np.uint64(29)) * _SPREAD >> np.uint64(32)) % np.uint64(buckets)
+        self.bucket = self.bucket.astype(np.int64)
+        self.topic = topics.indices.to_numpy().astype(np.int64)[row[self.first]]
+
+
+def _bucket_counts(words: DataFrame, buckets: int) -> DataFrame:
+    """(topic, bucket, c): the n-grams of each topic by hash bucket, added up within each task for ``HELD`` topics at a time."""
+    kind = words.schema["topic"].dataType.simpleString()
+
+    def rows(held: dict[Any, np.ndarray], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for topic, c in held.items():
+            at = np.flatnonzero(c)
+            columns = [pa.array([topic], kind).take(pa.array(np.zeros(len(at), np.int32))), pa.array(at.astype(np.int32)), pa.array(c[at])]
+            yield pa.RecordBatch.from_arrays(columns, names=["topic", "bucket", "c"])
+        held.clear()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[Any, np.ndarray] = {}
+        topics = None
+        for batch in batches:
+            found = _Ngrams(batch, buckets)
+            place, c = np.unique(found.topic * buckets + found.bucket, return_counts=True)
+            topics = found.topics.type
+            ends = np.searchsorted(place, np.arange(len(found.topics) + 1) * buckets)
+            for i, topic in enumerate(found.topics.to_pylist()):
+                if topic not in held and len(held) == HELD:
+                    yield from rows(held, topics)
+                own = slice(ends[i], ends[i + 1])
+                held.setdefault(topic, np.zeros(buckets, np.int64))[place[own] - i * buckets] += c[own]
+        yield from rows(held, topics)
+
+    counts = words.select("topic", "words").mapInArrow(count, f"topic {kind}, bucket int, c bigint")
+    return counts.groupBy("topic", "bucket").agg(F.sum("c").alias("c"))
 
 
 def _exact(words: DataFrame, chosen: DataFrame, buckets: int) -> DataFrame:
-    """(topic, term, f_i) of all terms in the chosen buckets (at most ``buckets`` rows are broadcast)."""
-    kept = _terms(words, buckets).join(F.broadcast(chosen), "bucket", "left_semi")
-    return cut_lineage(kept.groupBy("topic", "term").agg(F.count(F.lit(1)).alias("f_i")))
+    """(topic, term, f_i) of all terms in the chosen buckets (at most ``buckets`` numbers go to the tasks)."""
+    wanted = np.zeros(buckets, bool)
+    wanted[[r["bucket"] for r in chosen.collect()]] = True
+    kind = words.schema["topic"].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _Ngrams(batch, buckets)
+            hit = wanted[found.bucket]
+            first, n = found.first[hit], found.n[hit]
+            columns = {"t": pa.array(found.topic[hit])}
+            for i in range(3):
+                place = np.minimum(first + i, max(0, len(found.word) - 1))
+                columns[f"w{i}"] = pa.array(found.word[place], mask=n <= i)
+            counted = pa.table(columns).group_by(list(columns), use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+            parts = [found.words.take(counted.column(f"w{i}").combine_chunks()) for i in range(3)]
+            term = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()), null_handling="skip")
+            topic = found.topics.take(counted.column("t").combine_chunks())
+            columns = [topic, term.cast(pa.string()), counted.column("count_all").combine_chunks()]
+            yield pa.RecordBatch.from_arrays(columns, names=["topic", "term", "f_i"])
+
+    counts = words.select("topic", "words").mapInArrow(count, f"topic {kind}, term string, f_i bigint")
+    return cut_lineage(counts.groupBy("topic", "term").agg(F.sum("f_i").alias("f_i")))
 
 
 def bounded_top_terms(words: DataFrame, top_n: int, score, rank, buckets: int = BUCKETS) -> DataFrame:
@@ -65,7 +156,9 @@ def bounded_top_terms(words: DataFrame, top_n: int, score, rank, buckets: int =
     keeps the best rows of a topic; ties go as ``rank`` says.  A topic with fewer terms gives
     all of them, an empty table gives no row.
     """
-    counts = cut_lineage(_terms(words, buckets).groupBy("topic", "bucket").agg(F.count(F.lit(1)).alias("c")))
+    ship_package(words.sparkSession)
+    bound_batches(words.sparkSession)
+    counts = cut_lineage(_bucket_counts(words, buckets))
     big_n = F.lit(counts.agg(F.sum("c")).first()[0] or 0)
     # written, so that Spark knows its size: joined by a broadcast where it is small, never dealt by topic then
     sizes = cut_lineage(counts.groupBy("topic").agg(F.sum("c").alias("n_i")))

@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from skein.functions import text as tx
 from skein.operators import keywords as kw
 from skein.operators import term_bounds as tb
 
@@ -79,3 +80,29 @@ def test_rare_terms_are_not_counted_as_strings(spark, monkeypatch):
     every = kw.term_counts(df, "topic", "body").select("term").distinct().count()
     assert terms.count() == 9
     assert sum(c.select("term").distinct().count() for c in counted) < every / 2
+
+
+def test_no_row_per_ngram(spark, monkeypatch):
+    """Tasks count n-grams in arrays: no count explodes its text into a row per n-gram."""
+    plans = []
+    cut = tb.cut_lineage
+    monkeypatch.setattr(tb, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    kw.log_odds_keywords(_docs(spark, 4), "topic", "body", 3)[0].collect()
+    assert plans and not any("Generate" in p for p in plans)
+
+
+@pytest.mark.parametrize("held", [1, 64])
+def test_odd_spaces_and_many_topics(spark, monkeypatch, held):
+    """Words are those between single spaces, as the published n-grams have them; held counts are flushed without loss."""
+    monkeypatch.setattr(tb, "HELD", held)
+    rows = [("a", "one two  three one"), ("b", ""), ("b", None), ("c", " one two three "), ("d", "é one é"), ("a", "one two")]
+    df = spark.createDataFrame(rows, "topic string, words string").coalesce(1)
+    every = tx.explode_tokens(df, ["topic"], tx.spaced_ngrams("words")).groupBy("topic", "term").count()
+    want = sorted(tuple(r) for r in every.collect())
+    got = tb._exact(df, spark.range(32).select(F.col("id").cast("int").alias("bucket")), 32)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    counts = tb._bucket_counts(df, 32).groupBy("topic").agg(F.sum("c")).collect()
+    totals: dict[str, int] = {}
+    for topic, _, n in want:
+        totals[topic] = totals.get(topic, 0) + n
+    assert dict(map(tuple, counts)) == totals
