@@ -206,3 +206,38 @@ def test_neighbours_from_bounded_buckets(spark):
     exact = np.argsort(d, axis=1)[:, :10]
     recall = np.mean([len(set(near[i]) & set(exact[i].tolist())) / 10 for i in range(3000)])
     assert recall >= 0.9
+
+
+def test_ties_go_to_the_smaller_node(spark):
+    """On a grid nearly all distances repeat; of equal ones the smaller nodes count."""
+    points = {3 * i + 1: (float(i % 6), float(i // 6 % 5)) for i in range(30)} | {500: (1e200, 0.0), 501: (-1e200, 1.0)}
+    nodes = spark.createDataFrame([(n, list(p), 1) for n, p in points.items()], "node long, vec array<double>, copies long")
+    near = {r.node: [(x.d, x.node) for x in r.near] for r in density.neighbours(nodes, 5).collect()}
+    with np.errstate(over="ignore"):
+        wanted = {
+            n: sorted((d, m) for m, q in points.items() if m != n and np.isfinite(d := float(np.sqrt(((np.array(p) - np.array(q)) ** 2).sum()))))[:5]
+            for n, p in points.items()
+        }
+    assert near == {n: w for n, w in wanted.items() if w}
+
+
+def test_small_parts_cost_no_call_of_their_own(spark):
+    """Hundreds of parts go to a few groups; those below the least size are outliers; great ids stay whole beside nulls."""
+    high = (1 << 60) + 1
+    names = [high + i for i in range(8)]
+    rows = [(n, 0, 1.0 if n != names[-1] else 9.0, 2.0, True) for n in names] + [(i, 10 + i, 1.0, None, False) for i in range(300)]
+    rows += [(1000 + i, 500 + i // 3, 1.0, 2.0, True) for i in range(60)]
+    parts = spark.createDataFrame([(n, p, c, b) for n, p, _, c, b in rows], "node long, part long, close double, born boolean")
+    cores = spark.createDataFrame([(n, 1, c) for n, _, c, _, _ in rows], "node long, copies long, core double")
+    edges = [(a, b, 1.0 if b != names[-1] else 9.0, 1.0) for a, b in zip(names, names[1:])]
+    edges += [(1000 + i, 1001 + i, 1.0, 1.0) for i in range(59) if i % 3 < 2]
+    forest = spark.createDataFrame(edges, "u long, v long, w double, d double")
+    found = density.part_clusters(parts, cores, forest, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas [bin" in plan
+    got = {r.node: r.cluster for r in found.collect()}
+    assert len(got) == len(rows) and all(got[i] is None for i in range(300))
+    assert all(got[1000 + i] == 1000 + i // 3 * 3 for i in range(60))
+    assert {got[n] for n in names[:-1]} == {high}
+    alone = parts.where("part = 0 or part >= 500").withColumn("close", F.lit(0.5)).withColumn("born", F.lit(False))
+    assert all(r.cluster is None for r in density.part_clusters(alone, cores, forest, 3).collect())
