@@ -118,9 +118,14 @@ class ByteBpe:
 
     @functools.cached_property
     def _library_pretokeniser(self):
+        """The vocabulary file's own pre-tokeniser; the vocabulary itself isn't loaded a second time."""
         from tokenizers import Tokenizer
 
-        return Tokenizer.from_file(self._path).pre_tokenizer
+        with open(self._path, encoding="utf-8") as f:
+            spec = json.load(f)
+        spec["model"] |= {"vocab": {}, "merges": []}
+        own = {"version": spec["version"], "pre_tokenizer": spec["pre_tokenizer"], "model": spec["model"], "added_tokens": []}
+        return Tokenizer.from_str(json.dumps(own)).pre_tokenizer
 
     # -- merges ---------------------------------------------------------
 

@@ -28,9 +28,10 @@ from skein.llm.common import Worker, least_count, map_texts, prepare, text_slice
 
 LEXICON_WORDS = 65_536  # words compiled into the transducer
 LEXICON_WORD_BYTES = 64  # longer words are merged when they occur
-COUNT_CHARS = 4_000_000  # characters whose words are counted before they are handed on
-ENCODE_CHARS = 2_000_000  # characters that are encoded at a time; new pieces are merged once among them
-MEMO_PIECES = 400_000  # pieces whose ids a task remembers
+COUNT_CHARS = 2_000_000  # characters whose words are counted before they are handed on
+ENCODE_CHARS = 500_000  # characters that are encoded at a time; new pieces are merged once among them
+MEMO_PIECES = 100_000  # pieces whose ids a task remembers
+MEMO_BYTES = 16 << 20  # characters and bytes of ids that it remembers, as pieces may be long
 
 
 def word_counts(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -48,11 +49,18 @@ def word_counts(docs: DataFrame, text_col: str = "text", vocabulary: str | None
                         first, *rest = own.chunks(ordinary)
                         words.update(own.pretokens(first))
                         pieces.update(rest)
-                for piece, n in pieces.items():
+                while pieces:  # each table goes as the next one grows
+                    piece, n = pieces.popitem()
                     for word in own.pretokens(" " + piece):
                         words[word] += n
-                kept = [(data, n) for word, n in words.items() if len(data := word.encode()) <= LEXICON_WORD_BYTES]
-                arrays = [pa.array([w for w, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())]
+                kept, counts = [], []
+                while words:
+                    word, n = words.popitem()
+                    if len(data := word.encode()) <= LEXICON_WORD_BYTES:
+                        kept.append(data)
+                        counts.append(n)
+                arrays = [pa.array(kept, pa.binary()), pa.array(counts, pa.int64())]
+                del kept, counts
                 yield pa.RecordBatch.from_arrays(arrays, names=["word", "n"])
 
     parts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word binary, n long")
@@ -101,11 +109,10 @@ class Encoder:
         self.lexicon = transducer.load(lexicon)
         self._pieces: dict[str, bytes] = {}  # a piece also stands for the pre-token of a space and the piece
         self._words: dict[str, bytes] = {}  # pre-tokens without a space before them
+        self._held = 0  # characters and bytes of ids in both
 
     def _learn(self, new: set[str]) -> None:
         """Ids of new pieces (each stands for a space and the piece)."""
-        if len(self._words) > MEMO_PIECES:
-            self._words.clear()
         several = []  # pieces of more than one pre-token
         unknown: set[str] = set()
         for piece in new:
@@ -125,8 +132,11 @@ class Encoder:
                 self._pieces[word[1:]] = data
             else:
                 self._words[word] = data
+            self._held += len(word) + len(data)
         for piece, own in several:
-            self._pieces[piece] = b"".join([self._pieces[w[1:]] if w[0] == " " else self._words[w] for w in own])
+            data = b"".join([self._pieces[w[1:]] if w[0] == " " else self._words[w] for w in own])
+            self._pieces[piece] = data
+            self._held += len(piece) + len(data)
 
     def _merged(self, words: list[bytes]) -> list[bytes]:
         """Ids of pre-tokens: from the lexicon, or merged where it lacks them."""
@@ -142,8 +152,10 @@ class Encoder:
         cut = [[(self.bpe.chunks(t), special) for t, special in self.bpe.segments(text)] for text in texts]
         new = {p for own in cut for pieces, _ in own for p in pieces[1:]}
         unknown = new.difference(self._pieces)
-        if len(self._pieces) + len(unknown) > MEMO_PIECES:
+        if len(self._pieces) + len(self._words) + len(unknown) > MEMO_PIECES or self._held > MEMO_BYTES:
             self._pieces.clear()
+            self._words.clear()
+            self._held = 0
             unknown = new
         self._learn(unknown)
         out = []
