@@ -17,12 +17,23 @@ VOCABULARY = "byte_bpe_50k.json"
 # Fixed value: how a byte-level pre-tokeniser cuts a text.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
+
+def _latin_pattern() -> re.Pattern:
+    """``PRETOKEN`` for texts of characters up to U+017F alone, in the faster ``re``."""
+    chars = [chr(c) for c in range(0x180)]
+    letters, numbers = ("".join(c for c in chars if unicodedata.category(c)[0] == kind) for kind in "LN")
+    white = r"\t-\r \x85\xa0"
+    pattern = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{white}{letters}{numbers}]+"
+    return re.compile(rf"{pattern}|[{white}]+(?![^{white}])|[{white}]+")
+
+
+_LATIN_PRETOKEN = _latin_pattern()
+
 # A space between two other characters that are not white space always starts a
 # new pre-token, so texts may be cut there and the pieces handled on their own.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = re.compile(r"[^\S\n ]")
 NEVER = 1 << 40  # rank of a pair that is not merged
-_PLAIN_END = ".,;:!?"
 _BEYOND_LATIN = re.compile(r"[^\x00-ſ]")
 
 
@@ -109,10 +120,12 @@ class ByteBpe:
         differently by the two libraries; such pieces are cut by the vocabulary's
         own pre-tokeniser.
         """
-        word = text.rstrip(_PLAIN_END)
-        if word[:1] == " " and word.isascii() and word[1:].isalpha():  # the most common form, without a pattern
-            return [word, text[len(word) :]] if len(word) < len(text) else [word]
-        if _BEYOND_LATIN.search(text) and not all(map(_old_character, text)):
+        if not _BEYOND_LATIN.search(text):
+            return _LATIN_PRETOKEN.findall(text)
+        if not all(map(_old_character, set(text))):
+            first, *rest = self.chunks(text)
+            if rest:
+                return [w for piece in (first, *(" " + p for p in rest)) for w in self.pretokens(piece)]
             return [text[a:b] for _, (a, b) in self._library_pretokeniser.pre_tokenize_str(text)]
         return PRETOKEN.findall(text)
 

@@ -9,8 +9,8 @@ A byte sequence has exactly one merge-ordered encoding, and a sequence of
 tokens is such an encoding if and only if every two neighbours, taken alone,
 encode to themselves.  Hence for a prefix ending at byte i the last token is
 the one suffix t whose neighbour, the last token of the prefix before t, stays
-separate from it; count[i] = count[i - len(t)] + 1.  One step per byte, and
-words that begin alike share their steps.
+separate from it; count[i] = count[i - len(t)] + 1.  One step per byte; the new
+words of a slice step together in arrays, byte by byte, and long ones alone.
 """
 
 from __future__ import annotations
@@ -27,11 +27,15 @@ from pyspark.sql import functions as F
 from skein.llm import bpe
 from skein.llm.common import Worker, map_texts
 
-MEMO = 600_000  # pieces, words and pairs that a worker remembers; beyond it they are computed again
+MEMO = 600_000  # words and pairs that a worker remembers; beyond it they are computed again
 STEP_BYTES = 16  # longest prefix whose state is shared between words
-LAST = (1 << 17) - 1
+TOGETHER_BYTES = 64  # longest word that steps together with others
+TOGETHER_WORDS = 32  # least number of them; fewer step alone
+TOGETHER_PAIRS = 256  # the same for pairs of tokens that are merged
+PAIR_SLOTS = 20  # bits of the slots that hold pairs of tokens in an array
+LAST = (1 << 17) - 1  # as a token: the start of a word
 SHORT_CONTRACTIONS = ("'re", "'ve", "'ll")
-_WHITE = regex.compile(r"\s+")  # not str.isspace(), which counts U+001C to U+001F
+_WHITE_RUN = regex.compile(r"\s{2,}")  # not str.isspace(), which counts U+001C to U+001F
 
 
 class PrefixCounter:
@@ -44,10 +48,10 @@ class PrefixCounter:
             tail = token[-3:]
             self._longest[tail] = max(self._longest.get(tail, 0), len(token))
         self._pairs: dict[tuple[int, int], bool] = {}
+        self._slots = np.full(1 << PAIR_SLOTS, -1, np.int64)  # pair * 2 + whether it stays apart
         self._steps: dict[bytes, int] = {}
         self._words: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
-        self._large: dict[str, np.ndarray] = {}  # pieces of more than 255 tokens
+        self._large: dict[str, np.ndarray] = {}  # words of more than 255 tokens
 
     def _apart(self, left: int, right: int) -> bool:
         """Whether the two tokens, side by side, encode to themselves (left < 0: the right one alone)."""
@@ -87,91 +91,140 @@ class PrefixCounter:
                     steps[prefix] = state
             states.append(state)
 
+    @functools.cached_property
+    def _grown(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys token * 256 + byte in ascending order, and the token of both."""
+        token_id = self.bpe.token_id
+        grown = {token_id[t[:-1]] << 8 | t[-1]: i for t, i in token_id.items() if t[:-1] in token_id}
+        return _by_key(grown)
+
+    @functools.cached_property
+    def _backwards(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens read from their last byte: keys node * 256 + byte, the node behind each, and each node's token or -1."""
+        behind: dict[int, int] = {}
+        tokens = [-1]
+        for token, i in self.bpe.token_id.items():
+            node = 0
+            for byte in reversed(token):
+                key = node << 8 | byte
+                if key not in behind:
+                    behind[key] = len(tokens)
+                    tokens.append(-1)
+                node = behind[key]
+            tokens[node] = i
+        return *_by_key(behind), np.array(tokens, np.int64)
+
+    @functools.cached_property
+    def _lengths(self) -> np.ndarray:
+        own = self.bpe.token_bytes
+        return np.array([len(own.get(i, b"")) for i in range(max(own) + 1)], np.int64)
+
+    def _all_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``_apart`` of many pairs; a slot of the array holds the pair that was asked for last."""
+        pair = left << 17 | right
+        slot = (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_SLOTS)).astype(np.int64)
+        held = self._slots[slot]
+        apart = held & 1 == 1
+        lacking = np.flatnonzero(held >> 1 != pair)
+        if len(lacking):
+            new, which = np.unique(pair[lacking], return_inverse=True)
+            pairs = [(a, b) if a != LAST else (b,) for a, b in zip((new >> 17).tolist(), (new & LAST).tolist())]
+            own = self.bpe.token_bytes
+            joined = [b"".join([own[i] for i in pair]) for pair in pairs]
+            if len(pairs) < TOGETHER_PAIRS:
+                found = [tuple(self.bpe.merge_word(word)) == pair for word, pair in zip(joined, pairs)]
+            else:
+                found = [ids == bpe.pack(pair) for ids, pair in zip(self.bpe.merge_words(joined), pairs)]
+            apart[lacking] = np.array(found)[which]
+            self._slots[slot[lacking]] = pair[lacking] << 1 | apart[lacking]
+        return apart
+
+    def _learn_together(self, words: list[tuple[bytes, str]]) -> None:
+        """Counts of words of at most ``TOGETHER_BYTES`` bytes: one step of all words per byte."""
+        words.sort(key=lambda w: len(w[0]), reverse=True)
+        size = np.fromiter((len(data) for data, _ in words), np.int64, len(words))
+        first = np.cumsum(size + 1) - size - 1  # place of a word's empty prefix; that of n bytes is n places on
+        raw = np.frombuffer(b"\0".join([b"", *(data for data, _ in words)]), "u1").astype(np.int64)
+        last, count = np.full(len(raw), LAST, np.int64), np.zeros(len(raw), "u1")
+        keys, grown = self._grown
+        steps, behind, tokens = self._backwards
+        for n in range(1, int(size[0]) + 1):
+            place = first[: np.searchsorted(-size, -n, "right")] + n
+            before = place - 1  # the prefix that the last token follows
+            token = np.full(len(place), -1, np.int64)
+            if n > 1:  # most often the last token grows by the new byte
+                own = last[place - 1]
+                token = _find(keys, grown, own << 8 | raw[place])
+                before = place - 1 - self._lengths[own]
+                known = np.flatnonzero(token >= 0)
+                token[known[~self._all_apart(last[before[known]], token[known])]] = -1
+            todo = np.flatnonzero(token < 0)  # else try all, shortest first
+            at, node = place[todo], np.zeros(len(todo), np.int64)
+            while len(todo):
+                node = _find(steps, behind, node << 8 | raw[at])
+                at = at - 1
+                ends = np.flatnonzero(tokens[node] >= 0)
+                ends = ends[self._all_apart(last[at[ends]], tokens[node[ends]])]
+                token[todo[ends]], before[todo[ends]] = tokens[node[ends]], at[ends]
+                left = np.ones(len(todo), bool)
+                left[ends] = False
+                todo, at, node = todo[left], at[left], node[left]
+            last[place], count[place] = token, count[before] + 1
+        # the prefixes that end a character
+        whole = np.append(raw[1:] & 0xC0 != 0x80, True)
+        whole[first] = False
+        flat, at = count[whole].tobytes(), 0
+        for _, word in words:
+            self._words[word] = flat[at : at + len(word)]
+            at += len(word)
+
     def learn(self, words: set[str]) -> None:
-        """Put the counts of new pre-tokens into the memo; sorted, so that neighbours share their steps."""
-        memo = self._words
+        """Put the counts of new pre-tokens into the memo; those that step alone sorted, so that neighbours share steps."""
         if len(self._steps) > MEMO:
             self._steps.clear()
+        alone = [(w.encode(), w) for w in words]
+        if len(alone) >= TOGETHER_WORDS:
+            if together := [x for x in alone if len(x[0]) <= TOGETHER_BYTES]:
+                self._learn_together(together)
+            alone = [x for x in alone if len(x[0]) > TOGETHER_BYTES]
         before, states = b"", [0]
-        for data, word in sorted((w.encode(), w) for w in words):
+        for data, word in sorted(alone):
             same = len(commonprefix((before, data)))
             del states[same + 1 :]
             self._extend(data, states)
             counts = [s >> 17 for s in states[1:]]
             if len(data) > len(word):
                 counts = [c for c, nxt in zip(counts, data[1:] + b"\0") if nxt & 0xC0 != 0x80]
-            memo[word] = bytes(counts) if max(counts) < 256 else counts
+            if counts[-1] < 256:
+                self._words[word] = bytes(counts)
+            else:
+                self._large[word] = np.array(counts, "<i4")
             before = data
+        for word in words.intersection(SHORT_CONTRACTIONS):  # cut after its first letter: an apostrophe and a letter
+            self._words[word] = bytes((1, 2, self._words[word][-1]))
 
-    def _word(self, word: str):
-        if word not in self._words:
-            self.learn({word})
-        return self._words[word]
-
-    def _piece(self, text: str, words: list[str]) -> list[int]:
-        """Counts after each character of ``text`` (cut into ``words``), for prefixes that end there.
+    @staticmethod
+    def _ordinary(words: list[str], runs: list[tuple[int, str]], known: dict, large: set[str]) -> np.ndarray:
+        """Counts after each character of a text without special tokens, for prefixes that end there.
 
-        Two things depend on where a prefix ends: a run of white space that ends
-        the prefix is one pre-token, though a word after it takes its last
-        space; and a contraction cut after its first letter is an apostrophe and
-        a letter.
+        The text is given as its pre-tokens and its runs of white space, with the
+        counts of all of them.  A run that ends the prefix is one pre-token,
+        though a word after it takes its last space.
         """
-        counts: list[int] = []
-        done = at = k = 0
-        while k < len(words):
-            word = words[k]
-            run = white.end() if (white := _WHITE.match(text, at)) else at
-            if run > at + 1 or run == at + len(word):
-                counts += [done + c for c in self._word(text[at:run])]
-                # pre-tokens of white space alone, then the word that takes the last space
-                while at + len(words[k]) <= run:
-                    done += self._word(words[k])[-1]
-                    at += len(words[k])
-                    k += 1
-                    if k == len(words):
-                        return counts
-                if at == run:
-                    continue
-                own = self._word(words[k])
-                counts += [done + c for c in own[run - at :]]
-            else:
-                own = self._word(word)
-                if word in SHORT_CONTRACTIONS:
-                    own = [1, 2, own[-1]]
-                counts += [done + c for c in own]
-            done += own[-1]
-            at += len(words[k])
-            k += 1
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        if large.isdisjoint(words):
+            counts = np.frombuffer(b"".join(map(known.__getitem__, words)), "u1").astype("<i4")
+        else:
+            counts = np.concatenate([_array(known[w]) for w in words]).astype("<i4")
+        totals = counts[np.cumsum(size) - 1]
+        counts += np.repeat((np.cumsum(totals) - totals).astype("<i4"), size)
+        for at, run in runs:
+            counts[at : at + len(run)] = _array(known[run]) + (counts[at - 1] if at else np.int32(0))
         return counts
 
-    def _learn_pieces(self, new: set[str]) -> None:
-        """Counts of new pieces (each stands for a space and the piece) and of their new pre-tokens."""
-        if len(self._words) > MEMO:
-            self._words.clear()
-        cut = {piece: self.bpe.pretokens(" " + piece) for piece in new}
-        self.learn({w for words in cut.values() for w in words}.difference(self._words))
-        for piece, words in cut.items():
-            if len(words) == 1:
-                counts = self._words[words[0]]
-            else:
-                counts = self._piece(" " + piece, words)
-            try:
-                self._pieces[piece] = bytes(counts)
-            except ValueError:  # a count above 255
-                self._large[piece] = np.array(counts, "<i4")
-
-    def _ordinary(self, first: str, rest: list[str]) -> np.ndarray:
-        """Counts after each character of a text without special tokens, given as pieces that have been learnt."""
-        head = np.array(self._piece(first, self.bpe.pretokens(first)), "<i4")
-        lengths = np.fromiter(map(len, rest), np.int64, len(rest)) + 1
-        if self._large and not self._large.keys().isdisjoint(rest):
-            parts = [self._large[c] if c in self._large else np.frombuffer(self._pieces[c], "u1") for c in rest]
-            tail = np.concatenate(parts).astype("<i4")
-        else:
-            tail = np.frombuffer(b"".join(map(self._pieces.__getitem__, rest)), "u1").astype("<i4")
-        totals = tail[np.cumsum(lengths) - 1]
-        tail += np.repeat((np.cumsum(totals) - totals + (head[-1] if len(head) else 0)).astype("<i4"), lengths)
-        return np.concatenate((head, tail))
+    def _cut(self, text: str) -> tuple[list[str], list[tuple[int, str]]]:
+        """(pre-tokens, runs of white space with their places)."""
+        return self.bpe.pretokens(text), [(m.start(), m.group()) for m in _WHITE_RUN.finditer(text)]
 
     def tables(self, texts: list[str]) -> list[np.ndarray]:
         """Per text: count[i] = tokens of the first i characters, for i from 0 to len(text).
@@ -179,40 +232,61 @@ class PrefixCounter:
         A prefix that ends inside a special token's string has ordinary text
         there; from the string's end on it is one token.
         """
-        cut = []  # per text: pieces up to the special token, pieces with the cut-off special string, or None
+        cut = []  # per text: words and runs up to the special token, those with the cut-off special string, or None
         for text in texts:
             cut.append(
                 [
-                    (self.bpe.chunks(ordinary), self.bpe.chunks(ordinary + special[:-1]) if special else None)
+                    (self._cut(ordinary), self._cut(ordinary + special[:-1]) if special else None)
                     for ordinary, special in self.bpe.segments(text)
                 ]
             )
-        new: set[str] = set()
+        words: set[str] = set()
         for segments in cut:
             for pair in segments:
-                for pieces in filter(None, pair):
-                    new.update(pieces[1:])
-        new.difference_update(self._pieces, self._large)
-        if len(self._pieces) + len(self._large) + len(new) > MEMO:  # before learning: a slice's pieces stay together
-            self._pieces.clear()
+                for own, runs in filter(None, pair):
+                    words.update(own)
+                    words.update(run for _, run in runs)
+        new = words.difference(self._words, self._large)
+        if len(self._words) + len(self._large) + len(new) > MEMO:  # before learning: a slice's words stay together
+            self._words.clear()
             self._large.clear()
-            new = {x for segments in cut for pair in segments for pieces in filter(None, pair) for x in pieces[1:]}
-        self._learn_pieces(new)
+            new = words
+        self.learn(new)
+        large = words.intersection(self._large)
+        known = {w: self._large[w] if w in large else self._words[w] for w in words}  # quicker than the whole memo
         out = []
         for segments in cut:
             parts, base = [np.zeros(1, "<i4")], 0
-            for (first, *rest), until in segments:
-                own = self._ordinary(first, rest)
+            for whole, until in segments:
+                own = self._ordinary(*whole, known, large)
                 if until is None:
                     parts.append(own + base if base else own)
                 else:
-                    parts.append(self._ordinary(until[0], until[1:]) + base)
+                    parts.append(self._ordinary(*until, known, large) + base)
                     base += (int(own[-1]) if len(own) else 0) + 1
                     parts.append(np.array([base], "<i4"))
             out.append(np.concatenate(parts))
         return out
 
 
+def _array(counts: bytes | np.ndarray) -> np.ndarray:
+    return np.frombuffer(counts, "u1") if isinstance(counts, bytes) else counts
+
+
+def _by_key(values: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.fromiter(values, np.int64, len(values))
+    order = np.argsort(keys)
+    return keys[order], np.fromiter(values.values(), np.int64, len(values))[order]
+
+
+def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of each wanted key, -1 for those that ``keys`` lacks."""
+    if not len(keys):
+        return np.full(len(wanted), -1, np.int64)
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[place] == wanted, values[place], -1)
+
+
 @functools.lru_cache(maxsize=1)
 def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
