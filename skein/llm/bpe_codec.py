@@ -19,6 +19,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,9 @@ from skein.llm.common import Worker, least_count, map_texts, prepare, text_slice
 LEXICON_WORDS = 65_536  # words compiled into the transducer
 LEXICON_WORD_BYTES = 64  # longer words are merged when they occur
 COUNT_CHARS = 2_000_000  # characters whose words are counted before they are handed on
-ENCODE_CHARS = 500_000  # characters that are encoded at a time; new pieces are merged once among them
-MEMO_PIECES = 100_000  # pieces whose ids a task remembers
-MEMO_BYTES = 16 << 20  # characters and bytes of ids that it remembers, as pieces may be long
+ENCODE_CHARS = 500_000  # characters that are encoded at a time; new words are merged once among them
+MEMO_PIECES = 100_000  # pre-tokens whose ids a task remembers
+MEMO_BYTES = 16 << 20  # characters and bytes of ids that it remembers, as pre-tokens may be long
 
 
 def word_counts(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -42,25 +43,16 @@ def word_counts(docs: DataFrame, text_col: str = "text", vocabulary: str | None
         own = bpe.load(bpe.vocabulary_path(vocabulary))
         for batch in batches:
             for _, texts in text_slices(batch, COUNT_CHARS, 0):
-                pieces: Counter[str] = Counter()
                 words: Counter[str] = Counter()
                 for text in texts:
                     for ordinary, _ in own.segments(text):
-                        first, *rest = own.chunks(ordinary)
-                        words.update(own.pretokens(first))
-                        pieces.update(rest)
-                while pieces:  # each table goes as the next one grows
-                    piece, n = pieces.popitem()
-                    for word in own.pretokens(" " + piece):
-                        words[word] += n
-                kept, counts = [], []
-                while words:
-                    word, n = words.popitem()
-                    if len(data := word.encode()) <= LEXICON_WORD_BYTES:
-                        kept.append(data)
-                        counts.append(n)
-                arrays = [pa.array(kept, pa.binary()), pa.array(counts, pa.int64())]
-                del kept, counts
+                        words.update(own.pretokens(ordinary))
+                data = pa.array(list(words), pa.string()).cast(pa.binary())
+                counts = pa.array(words.values(), pa.int64())
+                del words  # before the arrays travel
+                short = pc.less_equal(pc.binary_length(data), LEXICON_WORD_BYTES)
+                arrays = [data.filter(short), counts.filter(short)]
+                del data, counts
                 yield pa.RecordBatch.from_arrays(arrays, names=["word", "n"])
 
     parts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "word binary, n long")
@@ -99,71 +91,55 @@ _SHIPPED: dict[str, set[str]] = {}
 
 
 class Encoder:
-    """Encodes texts in a worker: remembered pieces, then the lexicon, then exact merges.
+    """Encodes texts in a worker: remembered pre-tokens, then the lexicon, then exact merges.
 
-    A task has its own, so what it remembers goes with it.
+    A task has its own, so what it remembers goes with it; words of the lexicon,
+    which are the frequent ones, stay longest.
     """
 
     def __init__(self, vocabulary: str, lexicon: str) -> None:
         self.bpe = bpe.load(vocabulary)
         self.lexicon = transducer.load(lexicon)
-        self._pieces: dict[str, bytes] = {}  # a piece also stands for the pre-token of a space and the piece
-        self._words: dict[str, bytes] = {}  # pre-tokens without a space before them
+        self._words: dict[str, bytes] = {}  # words of the lexicon
+        self._pieces: dict[str, bytes] = {}  # other pre-tokens, merged
         self._held = 0  # characters and bytes of ids in both
 
-    def _learn(self, new: set[str]) -> None:
-        """Ids of new pieces (each stands for a space and the piece)."""
-        several = []  # pieces of more than one pre-token
-        unknown: set[str] = set()
-        for piece in new:
-            if piece.isascii() and piece.isalpha():
-                unknown.add(" " + piece)
-            elif len(own := self.bpe.pretokens(" " + piece)) == 1:
-                unknown.add(own[0])
+    def _forget(self, more: int) -> None:
+        """Make room for so many pre-tokens: merged ones go first."""
+        for memo in (self._pieces, self._words):
+            if len(self._pieces) + len(self._words) + more > MEMO_PIECES or self._held > MEMO_BYTES:
+                self._held -= sum(len(word) + len(ids) for word, ids in memo.items())
+                memo.clear()
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of each of ``words``; new ones are remembered."""
+        self._forget(sum(1 for w in words if w not in self._words and w not in self._pieces))
+        known = {w: self._words.get(w) or self._pieces.get(w) for w in words}
+        new = [w for w, ids in known.items() if ids is None]
+        data = [w.encode() for w in new]
+        numbers = self.lexicon.numbers(data).tolist()
+        merged = iter(self.bpe.merge_words([w for w, number in zip(data, numbers) if number < 0]))
+        for word, number in zip(new, numbers):
+            if number >= 0:
+                known[word] = self._words[word] = self.lexicon.ids(number)
             else:
-                several.append((piece, own))
-                for w in own:
-                    if w[1:] not in self._pieces if w[0] == " " else w not in self._words:
-                        unknown.add(w)
-        words = list(unknown)
-        ids = self._merged([w.encode() for w in words])
-        for word, data in zip(words, ids):
-            if word[0] == " ":
-                self._pieces[word[1:]] = data
-            else:
-                self._words[word] = data
-            self._held += len(word) + len(data)
-        for piece, own in several:
-            data = b"".join([self._pieces[w[1:]] if w[0] == " " else self._words[w] for w in own])
-            self._pieces[piece] = data
-            self._held += len(piece) + len(data)
-
-    def _merged(self, words: list[bytes]) -> list[bytes]:
-        """Ids of pre-tokens: from the lexicon, or merged where it lacks them."""
-        numbers = self.lexicon.numbers(words).tolist()
-        merged = iter(self.bpe.merge_words([w for w, number in zip(words, numbers) if number < 0]))
-        return [self.lexicon.ids(number) if number >= 0 else next(merged) for number in numbers]
+                known[word] = self._pieces[word] = next(merged)
+            self._held += len(word) + len(known[word])
+        return known
 
     def _head(self, text: str) -> bytes:
+        """Ids of an ordinary text by merges alone."""
         return b"".join([bpe.pack(self.bpe.merge_word(w.encode())) for w in self.bpe.pretokens(text)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [[(self.bpe.chunks(t), special) for t, special in self.bpe.segments(text)] for text in texts]
-        new = {p for own in cut for pieces, _ in own for p in pieces[1:]}
-        unknown = new.difference(self._pieces)
-        if len(self._pieces) + len(self._words) + len(unknown) > MEMO_PIECES or self._held > MEMO_BYTES:
-            self._pieces.clear()
-            self._words.clear()
-            self._held = 0
-            unknown = new
-        self._learn(unknown)
+        cut = [[(self.bpe.pretokens(t), special) for t, special in self.bpe.segments(text)] for text in texts]
+        known = self._learn({word for own in cut for words, _ in own for word in words})
         out = []
         for own in cut:
             parts = []
-            for (first, *rest), special in own:
-                parts.append(self._head(first))
-                parts += map(self._pieces.__getitem__, rest)
+            for words, special in own:
+                parts += map(known.__getitem__, words)
                 if special:
                     parts.append(bpe.pack([self.bpe.special[special]]))
             out.append(b"".join(parts))

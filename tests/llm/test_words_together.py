@@ -1,4 +1,4 @@
-"""Operator 6: words of a slice step together, with the counts of those that step alone."""
+"""Operators 6 and 9: words of a slice are cut and merged together, with the rows of those cut and merged alone."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import random
 import numpy as np
 from tokenizers import Tokenizer
 
-from skein.llm import bpe, token_counts
+from skein.llm import bpe, bpe_codec, token_counts, transducer
 
 PARTS = ["a", "the", "ing", "ation", " ", " ", " ", "  ", "\n", "\n\n", "\t", "'re", "'ll", "'ve", "'s", "'", "!", "23",
          "é", "ß", "¾", "日本", "😀", "🫠", "\x1c", "\x85", "\xa0", "$$$", "foo", "xqz", "<|endoftext|>", "<|endof"]
@@ -77,3 +77,35 @@ def test_words_of_many_tokens_and_forgetting(monkeypatch):
             for text, counts in zip(own, counter.tables(own), strict=True):
                 for i in (*range(0, len(text), 97), len(text)):
                     assert counts[i] == len(library.encode(text[:i], add_special_tokens=False).ids)
+
+
+def test_encoder_cuts_whole_texts(tmp_path, monkeypatch):
+    path = tmp_path / "some.fst"
+    own = bpe.load(bpe.vocabulary_path())
+    path.write_bytes(transducer.build((w.encode(), own.merge_word(w.encode())) for w in words(10, 50)))
+    encoder = bpe_codec.Encoder(bpe.vocabulary_path(), str(path))
+    calls = []
+    pretokens = bpe.ByteBpe.pretokens
+    monkeypatch.setattr(bpe.ByteBpe, "pretokens", lambda self, text: calls.append(text) or pretokens(self, text))
+    some = [",".join(words(seed, 500)) for seed in (10, 11)]
+    got = encoder.encode(some)
+    assert len(calls) <= len(some)  # one for each distinct piece before
+    library = Tokenizer.from_file(bpe.vocabulary_path())
+    assert got == [bpe.pack(library.encode(t, add_special_tokens=False).ids) for t in some]
+
+
+def test_encoder_forgets_merged_words_first(tmp_path, monkeypatch):
+    path = tmp_path / "some.fst"
+    own = bpe.load(bpe.vocabulary_path())
+    frequent = words(12, 20)
+    path.write_bytes(transducer.build((w.encode(), own.merge_word(w.encode())) for w in frequent))
+    monkeypatch.setattr(bpe_codec, "MEMO_PIECES", 120)
+    encoder = bpe_codec.Encoder(bpe.vocabulary_path(), str(path))
+    library = Tokenizer.from_file(bpe.vocabulary_path())
+    for seed in range(6):
+        text = "".join(frequent + words(20 + seed, 60))
+        assert encoder.encode([text]) == [bpe.pack(library.encode(text, add_special_tokens=False).ids)]
+        assert set(frequent) <= encoder._words.keys()
+        memos = (encoder._words, encoder._pieces)
+        assert sum(map(len, memos)) <= 120
+        assert encoder._held == sum(len(w) + len(ids) for memo in memos for w, ids in memo.items())
